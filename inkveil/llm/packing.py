@@ -102,8 +102,8 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     runs = np.array(plan(sizes, window) or np.zeros((0, 6)), np.int64).reshape(-1, 6)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     keys = runs[:, 0] << 44 | runs[:, 1]  # its size depends on the window alone
-    schema = numbered(pieces, ["length"], [F.col(c) for c in pieces.columns], "_rank")
-    names = [c for c in schema.columns if c != "_rank"]
+    ranked = numbered(pieces, ["length"], [F.col(c) for c in pieces.columns], "_rank").select(*pieces.columns, "_rank")
+    names = pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +115,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(run[:, 4] + at // run[:, 3]), pa.array(run[:, 5] + at % run[:, 3] * length)], [*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return schema.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def token_pieces(docs: DataFrame, path: str, spaces: str = "dropped", end: int = 2, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
