@@ -40,3 +40,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
     return shard_documents(_documents(spark, sf_dir))
+
+
+@_query
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir))
