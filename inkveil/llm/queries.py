@@ -17,6 +17,13 @@ def _query(f):
     return f
 
 
+@_query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removed_digest
+
+    return removed_digest(_documents(spark, sf_dir))
+
+
 @_query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
