@@ -42,6 +42,13 @@ def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(_documents(spark, sf_dir), path("byte_bpe_50k.json"))
 
 
+@_query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents
+
+    return score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @_query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
