@@ -24,6 +24,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_digest(_documents(spark, sf_dir))
 
 
+@_query
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import score_documents
+
+    return score_documents(_documents(spark, sf_dir))
+
+
 @_query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
