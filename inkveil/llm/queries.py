@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,6 +19,16 @@ def _query(f):
     return f
 
 
+@_query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op2_decontamination"] = decontaminate.ORACLE
+
+
 @_query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import removed_digest
