@@ -19,6 +19,13 @@ def _query(f):
     return f
 
 
+@_query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edit_report
+
+    return edit_report(_documents(spark, sf_dir))
+
+
 @_query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
