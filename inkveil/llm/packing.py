@@ -125,7 +125,7 @@ def token_pieces(docs: DataFrame, path: str, spaces: str = "dropped", end: int =
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
             rows, ids_out = [], []
             doc_ids = batch.column("doc_id").to_pylist()
             for doc, ids in zip(doc_ids, tokens.encode_rows(batch.column("text").to_pylist(), path, spaces, end), strict=True):
