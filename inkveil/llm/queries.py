@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import chat, decontaminate
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,16 @@ def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_documents(spark, sf_dir))
 
 
+@_query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import perspectives
+
+    return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLES["op5_chat"] = chat.ORACLE
+
+
 @_query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
