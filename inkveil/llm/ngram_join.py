@@ -60,7 +60,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """Shingles by ranges of their hash: bucket, sigs (8 bytes each), counts (4 each), hashes (8 each, by sig)."""
+    """Shingles by ranges of their hash: bucket, sigs (8 bytes each), ns and counts (4 each), hashes (8 each, by sig)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -76,9 +76,9 @@ def _dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             out = []
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 here = counts[b] > 0
-                out.append((b, sigs[here].tobytes(), counts[b][here].astype("<u4").tobytes(), h[cuts[b] : cuts[b + 1]].tobytes()))
+                out.append((b, sigs[here].tobytes(), sizes[here].astype("<u4").tobytes(), counts[b][here].astype("<u4").tobytes(), h[cuts[b] : cuts[b + 1]].tobytes()))
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "sigs", "counts", "hashes"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "sigs", "ns", "counts", "hashes"])
 
         sets, size = {}, 0
         for batch in batches:
@@ -93,40 +93,44 @@ def _dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         if sets:
             yield rows(sets)
 
-    return texts(docs).select("text").mapInArrow(work, "bucket int, sigs binary, counts binary, hashes binary")
+    return texts(docs).select("text").mapInArrow(work, "bucket int, sigs binary, ns binary, counts binary, hashes binary")
 
 
-def _shared(dealt: DataFrame) -> DataFrame:
-    """sig, hashes, dfs: the shingles of each class that another class has too, with their frequencies."""
+def _shared(dealt: DataFrame, parts: int) -> DataFrame:
+    """Shingles that several classes have, by ranges of the class: part, sigs, ns, counts, hashes, dfs (packed)."""
 
     def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(pdf.pop("hashes")), "<u8")
-        sig = np.repeat(np.frombuffer(b"".join(pdf["sigs"]), "<i8"), np.frombuffer(b"".join(pdf["counts"]), "<u4"))
+        counts = np.frombuffer(b"".join(pdf["counts"]), "<u4")
+        sig = np.repeat(np.frombuffer(b"".join(pdf["sigs"]), "<i8"), counts)
+        n = np.repeat(np.frombuffer(b"".join(pdf["ns"]), "<u4"), counts)
         order = np.argsort(h, kind="stable")
         hs = h[order]
         again = np.zeros(len(hs), bool)
         eq = hs[1:] == hs[:-1]
         again[1:] |= eq
         again[:-1] |= eq
-        hs, sg = hs[again], sig[order[again]]
-        order = np.lexsort((hs, sg))
-        hs, sg = hs[order], sg[order]
+        order = order[again]
+        order = order[np.lexsort((h[order], sig[order]))]
+        hs, sg, n = h[order], sig[order], n[order]
         new = np.ones(len(hs), bool)
         new[1:] = (hs[1:] != hs[:-1]) | (sg[1:] != sg[:-1])  # the same class from several batches
-        hs, sg = hs[new], sg[new]
-        values, back, df = np.unique(hs, return_inverse=True, return_counts=True)
+        hs, sg, n = hs[new], sg[new], n[new]
+        _, back, df = np.unique(hs, return_inverse=True, return_counts=True)
         df = df[back]
         keep = df > 1
-        hs, sg, df = hs[keep], sg[keep], df[keep].astype("<i4")
-        cuts = np.flatnonzero(np.r_[True, sg[1:] != sg[:-1]]) if len(sg) else np.zeros(0, int)
-        ends = np.r_[cuts[1:], len(sg)] if len(cuts) else cuts
-        return pd.DataFrame({
-            "sig": sg[cuts],
-            "hashes": [hs[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)],
-            "dfs": [df[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)],
-        })
+        hs, sg, n, df = hs[keep], sg[keep], n[keep], df[keep].astype("<i4")
+        start = np.flatnonzero(np.r_[True, sg[1:] != sg[:-1]]) if len(sg) else np.zeros(0, int)
+        many = np.diff(np.r_[start, len(sg)]).astype("<u4")
+        to = (sg[start].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        out = []
+        for p in np.unique(to).tolist():
+            classes = to == p
+            rows = np.repeat(classes, many)
+            out.append((p, sg[start][classes].tobytes(), n[start][classes].tobytes(), many[classes].tobytes(), hs[rows].tobytes(), df[rows].tobytes()))
+        return pd.DataFrame(out, columns=["part", "sigs", "ns", "counts", "hashes", "dfs"])
 
-    return dealt.groupBy("bucket").applyInPandas(work, "sig long, hashes binary, dfs binary")
+    return dealt.groupBy("bucket").applyInPandas(work, "part int, sigs binary, ns binary, counts binary, hashes binary, dfs binary")
 
 
 def needed(n, num: int = 3, den: int = 4):
@@ -134,23 +138,29 @@ def needed(n, num: int = 3, den: int = 4):
     return -(-n * num // den)
 
 
-def _ordered(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """sig, n, copies, ids (shared shingles, rare first), unique (number of those before them), prefix (ids that count as prefix)."""
+def _ordered(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """sig, n, ids (shared shingles, rare first), unique (number of those before them), prefix (ids that count as prefix).
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, unique, prefix = [], [], []
-            for n, hs, ds in zip(batch.column("n").to_pylist(), batch.column("hashes"), batch.column("dfs"), strict=True):
-                h, d = np.frombuffer(b"".join(hs.as_py()), "<u8"), np.frombuffer(b"".join(ds.as_py()), "<i4")
-                h = h[np.lexsort((h, d))]
-                u = n - len(h)
-                ids.append(h.tobytes())
-                unique.append(u)
-                prefix.append(h[: max(0, n - int(needed(n, num, den)) + 1 - u)].view(np.int64))
-            cols = [batch.column("sig"), batch.column("n"), batch.column("copies"), pa.array(ids, pa.binary()), pa.array(unique, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["sig", "n", "copies", "ids", "unique", "prefix"])
+    Only classes of which a shared shingle lies in the prefix.
+    """
+
+    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.frombuffer(b"".join(pdf["counts"]), "<u4")
+        sig = np.repeat(np.frombuffer(b"".join(pdf["sigs"]), "<i8"), counts)
+        n = np.repeat(np.frombuffer(b"".join(pdf["ns"]), "<u4"), counts).astype(np.int64)
+        h, d = np.frombuffer(b"".join(pdf["hashes"]), "<u8"), np.frombuffer(b"".join(pdf["dfs"]), "<i4")
+        order = np.lexsort((h, d, sig))
+        sig, n, h = sig[order], n[order], h[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]), len(sig)]
+        out = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            size = int(n[a])
+            prefix = b - a - int(needed(size, num, den)) + 1
+            if prefix > 0:
+                out.append((int(sig[a]), size, h[a:b].tobytes(), size - (b - a), h[a : a + prefix].view(np.int64)))
+        return pd.DataFrame(out, columns=["sig", "n", "ids", "unique", "prefix"])
 
-    return lists.mapInArrow(work, "sig long, n long, copies long, ids binary, unique long, prefix array<long>")
+    return shared.groupBy("part").applyInPandas(work, "sig long, n long, ids binary, unique long, prefix array<long>")
 
 
 def verify_block(n: list[int], copies: list[int], ids: list[np.ndarray], unique: list[int], num: int, den: int, half: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -237,16 +247,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4) ->
     rows = stored(_classes(docs, k), "classes")
     cls = stored(rows.where("sig is not null").groupBy("sig").agg(F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("doc")), "sets")
     total = cls.agg(F.sum("n")).first()[0] or 0
-    shared = _shared(_dealt(docs, k, max(8, -(-total // BUCKET_SHINGLES))))
-    lists = shared.groupBy("sig").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("dfs").alias("dfs"), F.sum(F.octet_length("dfs") / 4).alias("m"))
-    lists = lists.join(cls, "sig").where(F.col("m") * den >= F.col("n") * num).drop("m", "doc")
-    sets = stored(_ordered(lists, num, den).where(F.size("prefix") > 0), "prefixes")
+    buckets = max(8, -(-total // BUCKET_SHINGLES))
+    sets = stored(_ordered(_shared(_dealt(docs, k, buckets), buckets), num, den), "prefixes")
 
     posts = sets.select("sig", F.explode("prefix").alias("h"))
     first = posts.groupBy("h").agg(F.min("sig").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
     block = components(posts.join(first, "h").select(F.col("sig").alias("u"), "v").distinct())
     block = block.select(F.col("node").alias("sig"), F.col("component").alias("block"))
-    members = stored(sets.drop("prefix").join(block, "sig"), "blocks")
+    members = stored(sets.drop("prefix").join(block, "sig").join(cls.select("sig", "copies"), "sig"), "blocks")
     chunks = members.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     placed = members.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("sig"), "chunks"))
     placed = placed.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
