@@ -26,7 +26,7 @@ def perspectives(conversations: DataFrame) -> DataFrame:
     """conv_id, speaker, turn, role (in the view), name, segment, start, end, train_start, train_end.
 
     start and end: characters of the turn in the view's text, the segments joined in order.
-    train_start and train_end: what is trained on; null for the turns of others.
+    train_start and train_end: what is trained on; both at start for the turns of others.
     """
     said = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("name"), said.alias("said"))
@@ -46,7 +46,7 @@ def perspectives(conversations: DataFrame) -> DataFrame:
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
     return rows.select(
         "conv_id", "speaker", "turn", "role", F.when(F.col("role") == "user", F.col("name")).alias("name"), "segment", "start", "end",
-        F.when(F.col("role") == "assistant", F.col("start") + F.col("head")).alias("train_start"), F.when(F.col("role") == "assistant", F.col("end") - 1).alias("train_end"),
+        F.when(F.col("role") == "assistant", F.col("start") + F.col("head")).otherwise(F.col("start")).alias("train_start"), F.when(F.col("role") == "assistant", F.col("end") - 1).otherwise(F.col("start")).alias("train_end"),
     )
 
 
@@ -58,5 +58,5 @@ h AS (SELECT *, '<|' || role || CASE WHEN role = 'user' THEN ' ' || n ELSE '' EN
 g AS (SELECT *, head || said || '<|end|>' || chr(10) AS segment FROM h),
 e AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, speaker ORDER BY turn, n, said ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM g)
 SELECT conv_id, speaker, turn, role, CASE WHEN role = 'user' THEN n END AS name, segment, CAST("end" - length(segment) AS BIGINT) AS start, "end",
-CASE WHEN role = 'assistant' THEN CAST("end" - length(segment) + length(head) AS BIGINT) END AS train_start, CASE WHEN role = 'assistant' THEN CAST("end" - 1 AS BIGINT) END AS train_end FROM e
+CASE WHEN role = 'assistant' THEN CAST("end" - length(segment) + length(head) AS BIGINT) ELSE CAST("end" - length(segment) AS BIGINT) END AS train_start, CASE WHEN role = 'assistant' THEN CAST("end" - 1 AS BIGINT) ELSE CAST("end" - length(segment) AS BIGINT) END AS train_end FROM e
 """
