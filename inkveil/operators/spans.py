@@ -25,19 +25,24 @@ def finding(kind: Column, start: Column, end: Column, score: Column, source: Col
     return F.struct(kind.alias("type"), start.cast("int").alias("start"), end.cast("int").alias("end"), score.cast("double").alias("score"), source.alias("source"))
 
 
-def rule_matches(text: Column, rule: Rule) -> Column:
-    """Findings of one rule: the texts between matches give the offsets."""
-    between = F.split(text, rule.java, -1)
-    hits = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
+def match_places(text: Column, java: str) -> Column:
+    """array<struct<start, end>> of all matches of a regex: the texts between them give the offsets."""
+    between = F.split(text, java, -1)
+    hits = F.regexp_extract_all(text, F.lit(java), F.lit(0))
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda b, h: F.struct(F.length(b).alias("b"), F.length(h).alias("h")))
-    start = F.struct(F.lit(0).alias("pos"), no_findings().alias("out"))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start: int, end: int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["pos"] + x["b"]
-        one = finding(F.lit(rule.type), at, at + x["h"], F.lit(1.0), F.lit("regex"))
+        one = F.struct(at.alias("start"), (at + x["h"]).alias("end"))
         return F.struct((at + x["h"]).alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
+def rule_matches(text: Column, rule: Rule) -> Column:
+    """Findings of one rule."""
+    found = F.transform(match_places(text, rule.java), lambda p: finding(F.lit(rule.type), p["start"], p["end"], F.lit(1.0), F.lit("regex")))
     return F.when(text.rlike(rule.hint), found).otherwise(no_findings())
 
 

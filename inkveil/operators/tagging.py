@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions.text import clean_wordpiece, ws_trim
 from ..schema import FINDING, SCORE_THRESHOLD, SPECIAL_TOKENS, type_of
 from .chunks import chunk_text
+from .spans import match_places
 
 Tagger = Callable[[DataFrame], DataFrame]
 
@@ -24,17 +25,21 @@ def chunks(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", F.posexplode(chunk_text(F.col("text"))).alias("chunk_ord", "c")).select("paper_id", "chunk_ord", "c.start", "c.text")
 
 
+#: Words that the pattern tagger labels; all others are outside any entity.
+_SHAPES = r"(?<![\w.])(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9a-f]{32,}|\d+)(?!\w)"
+
+
 def pattern_tagger(parts: DataFrame) -> DataFrame:
     """Labels from the shape of words: IPv4 addresses, five-digit and four-digit numbers, ages, hex identifiers."""
-    words = parts.select("paper_id", "chunk_ord", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("tok_ord", "word"))
-    bare = F.regexp_replace("word", r"^[^\w]+|[^\w]+\z", "")
+    places = F.when(parts["text"].rlike(r"\d|[0-9a-f]{32}"), match_places(F.col("text"), _SHAPES))
+    rows = parts.select("paper_id", "chunk_ord", "text", F.posexplode(places).alias("tok_ord", "p"))
+    word = F.substring("text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start"))
     label = (
-        F.when(bare.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}\z"), "B-IPV4").when(bare.rlike(r"^\d{5}\z"), "B-ZIPCODE").when(bare.rlike(r"^(?:19|20)\d\d\z"), "B-DATE")
-        .when(bare.rlike(r"^\d{1,2}\z"), "B-AGE").when(bare.rlike(r"^[0-9a-f]{32,}\z"), "B-BITCOINADDRESS").when(bare.rlike(r"^\d+\z"), "I-PIN").otherwise("O")
+        F.when(word.contains("."), "B-IPV4").when(word.rlike(r"[a-f]") | (F.length(word) >= 32), "B-BITCOINADDRESS").when(word.rlike(r"^\d{5}\z"), "B-ZIPCODE")
+        .when(word.rlike(r"^(?:19|20)\d\d\z"), "B-DATE").when(word.rlike(r"^\d{1,2}\z"), "B-AGE").otherwise("I-PIN")
     )
-    score = F.when(label == "O", 0.99).when(label == "B-AGE", 0.35).otherwise(0.9)
-    none = F.lit(None).cast("int")
-    return words.select("paper_id", "chunk_ord", "tok_ord", bare.alias("word"), label.alias("label"), score.alias("score"), none.alias("start"), none.alias("end"))
+    score = F.when(label == "B-AGE", 0.35).otherwise(0.9)
+    return rows.select("paper_id", "chunk_ord", "tok_ord", word.alias("word"), label.alias("label"), score.alias("score"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
 
 
 def locate_tokens(chunk: Column, tokens: Column) -> Column:
