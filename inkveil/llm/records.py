@@ -2,8 +2,8 @@
 
 Method: each document is one frame: payload length (8 bytes), masked checksum of the
 length (4), payload, masked checksum of the payload (4), and a closing byte 0x0A, which
-is part of the frame. Payload: doc_id (8), number of ids (4), then the ids (4 each). All
-numbers little-endian. The mask rotates a crc32 by 15 bits and adds a constant, so that
+is part of the frame. Payload: doc_id (8), number of ids (4), bytes for each id (1: 2 where
+all are below 65536, else 4), then the ids. All numbers little-endian. The mask rotates a crc32 by 15 bits and adds a constant, so that
 a checksum stored inside checked data does not check itself.
 
 Documents are dealt to files by ranges of doc_id, sorted within; the file's number in
@@ -32,7 +32,7 @@ from . import tokens
 from ._common import new_path, partitions, stored, texts
 
 #: Bytes of text for each file, about; a file is read whole by one task.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
 _MASK_ADD = 0xA282EAD8  # fixed value of the record format
 
 
@@ -43,7 +43,9 @@ def masked(data: bytes) -> int:
 
 def frame(doc_id: int, ids: bytes) -> bytes:
     """One record without its closing byte."""
-    payload = struct.pack("<qI", doc_id, len(ids) // 4) + ids
+    wide = np.frombuffer(ids, "<u4")
+    width = 2 if not len(wide) or wide.max() < 1 << 16 else 4
+    payload = struct.pack("<qIB", doc_id, len(wide), width) + (wide.astype("<u2").tobytes() if width == 2 else ids)
     head = struct.pack("<Q", len(payload))
     return b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))))
 
@@ -57,8 +59,8 @@ def unframe(data: bytes, at: int = 0) -> tuple[int, bytes, int]:
     payload = data[at + 12 : at + 12 + n]
     if len(payload) < n or struct.unpack_from("<I", data, at + 12 + n)[0] != masked(payload):
         raise ValueError(f"record at byte {at} is damaged")
-    doc, count = struct.unpack_from("<qI", payload)
-    return doc, payload[12 : 12 + 4 * count], at + 17 + n
+    doc, count, width = struct.unpack_from("<qIB", payload)
+    return doc, np.frombuffer(payload, f"<u{width}", count, 13).astype("<u4").tobytes(), at + 17 + n
 
 
 def write_records(docs: DataFrame, where: str, path: str, spaces: str = "leading", end: int = 0) -> None:
@@ -70,9 +72,11 @@ def write_records(docs: DataFrame, where: str, path: str, spaces: str = "leading
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_ = batch.column("doc_id").to_pylist()
-            out = [frame(d, i) for d, i in zip(docs_, tokens.encode_rows(batch.column("text").to_pylist(), path, spaces, end), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                ids = tokens.encode_rows(part.column("text").to_pylist(), path, spaces, end)
+                out = [frame(d, i) for d, i in zip(part.column("doc_id").to_pylist(), ids, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
     dealt = rows.repartitionByRange(int(files), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{where}/ids")
@@ -85,7 +89,7 @@ def read_back(spark: SparkSession, where: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("file"), batch.column("content"), strict=True):
-                data, at, rows, n = content.as_py(), 0, [], 0
+                data, at, rows, n = memoryview(content.as_buffer()), 0, [], 0
                 while at < len(data):
                     doc, ids, after = unframe(data, at)
                     rows.append((n, at, after - at, doc, len(ids) // 4, tokens.crc(ids)))
