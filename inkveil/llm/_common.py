@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows, where the session has Spark's default: texts are long, and workers keep what they once took."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/inkveil-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -33,6 +40,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,6 +54,7 @@ def drop_stored(spark: SparkSession) -> None:
 
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, null text as empty; other columns, whatever their names, are dropped."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -3,21 +3,23 @@
 A byte goes when a string of 50 bytes that covers it also starts in a document with a
 smaller doc_id. Strings are judged on the input; matches never cross documents.
 
-Method: (1) Equal texts are one class; all but its first document go whole. (2) So
-that only text that occurs again is sorted, every window of 50 bytes has an anchor, the
-least hash of its 24-byte strings; anchors that several classes have are found by one
-exchange of hashes, and the text within reach of them makes fragments. (3) Fragments
-joined by anchors make blocks; a block goes to a task, a large one to a task for each
-pair of its chunks. (4) In a task the fragments form shards with a suffix array and a
-Burrows-Wheeler transform each. The transforms are merged by iterative interleave
-refinement: starting from the order of short prefixes, each round moves every entry
-behind the symbol before it, which sorts by one byte more; the round in which
-neighbours part is their common prefix. No suffix is sorted again. After 50 bytes,
-the intervals that remain are the repeated strings; each keeps its smallest doc_id.
+Method: (1) Equal texts are one class; all but its first document go whole. (2) Every
+window of 50 bytes has an anchor, the least hash of its 16-byte strings. Half of the
+other 34 bytes, at least, lie on one side of it; anchors that several classes have with the
+17 bytes before, or with the 17 after, are found by one exchange of hashes. The windows of
+such an anchor make a piece of text, and pieces go to tasks by their anchor, so equal
+windows meet wherever they stand, and no task sees more than its range of anchors.
+(3) In a task equal pieces are one, with the smallest doc_id. Where an anchor has several
+different pieces, these form two shards with a suffix array and a Burrows-Wheeler
+transform each. The transforms are merged by iterative interleave refinement: starting
+from the order of short prefixes, each round moves every entry behind the two symbols
+before it, which sorts by two bytes more; the round in which neighbours part is their
+common prefix. No suffix is sorted again. After 50 bytes, the intervals that remain are the
+repeated strings; each keeps its smallest doc_id.
 
 Nulls and empty texts have no bytes. Rows with the same doc_id never remove each other's
-bytes. An empty table gives an empty result. Extra columns are ignored by
-`removed_digest` and kept by `remove_repeats`.
+bytes. Classes are told apart by 64 bits of SHA-256. An empty table gives an empty result.
+Extra columns are ignored by `removed_digest` and kept by `remove_repeats`.
 """
 
 from __future__ import annotations
@@ -31,22 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import _BASE, _INV, mix, powers, slices
-from ._common import components, stored
+from ._bytes import _BASE, _INV, give_back, mix, powers, slices
+from ._common import stored
 
-#: Bytes that make a repeat, of an anchor, of fragments a task takes and of a chunk of a large block.
-WINDOW, ANCHOR, TASK_BYTES, CHUNK_BYTES = 50, 24, 2 << 20, 4 << 20
-BUCKET_ANCHORS = 1_500_000
+#: Bytes that make a repeat and of an anchor; anchors that a task compares; bytes of pieces in one merge.
+WINDOW, ANCHOR, BUCKET_ANCHORS, MERGE_BYTES = 50, 16, 700_000, 1 << 19
 
 
 # --- anchors ---------------------------------------------------------------
 
 
-def anchors(data: np.ndarray, off: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors of all windows within rows, and their hashes."""
+def anchors(data: np.ndarray, off: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the anchors of all windows within rows, their hashes, 16 bits each for what stands before and after, and reach.
+
+    reach: how far before the anchor its windows start, and 256 times how many there are after the first.
+    """
     n, w = len(data), window - k + 1
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
     run = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=run[1:])
     value = mix((run[k:] - run[:-k]) * powers(_INV, n + 1)[: n - k + 1])
@@ -62,9 +66,17 @@ def anchors(data: np.ndarray, off: np.ndarray, window: int = WINDOW, k: int = AN
     inside = np.ones(len(at), bool)  # windows that cross rows are none
     for e in off[1:-1].tolist():
         inside[max(0, e - window + 1) : e] = False
+    first = np.flatnonzero(inside)
     at = at[inside]
-    at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
-    return at.astype(np.int64), value[at]
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
+    last = first[np.r_[new[1:], len(at)] - 1] if len(at) else first
+    at, first, side = at[new].astype(np.int64), first[new], (window - k) // 2
+    reach = (at - first + (last - first) * 256).astype(np.uint16)
+    row = np.searchsorted(off, at, "right") - 1
+    inv = powers(_INV, n + 1)
+    some = lambda a, b: mix((run[b] - run[a]) * inv[a] + (b - a).astype(np.uint64)) >> np.uint64(48)
+    before, after = some(np.maximum(off[row], at - side), at), some(at + k, np.minimum(off[row + 1], at + k + side))
+    return at, value[at], (before << np.uint64(16) | after).astype(np.uint32), reach
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -75,97 +87,139 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _dealt(keyed: DataFrame, buckets: int) -> DataFrame:
-    """Anchors by ranges of their hash: bucket, sigs, counts, hashes, positions (packed)."""
+    """Anchors by ranges of their hash: bucket, sigs, counts, hashes, sides, positions, reaches (packed)."""
 
-    def pack(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def pack(parts: list[tuple]) -> pa.RecordBatch:
         sigs = np.array([p[0] for p in parts], np.int64)
-        pos, h = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        pos, h, side, reach = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
         doc = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
         key = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) * len(parts) + doc
         order = np.argsort(key, kind="stable")
         counts = np.bincount(key, minlength=buckets * len(parts)).reshape(buckets, -1)
         cuts = np.r_[0, np.cumsum(counts.sum(1))]
-        h, pos, out = h[order], pos[order].astype("<u4"), []
+        h, side, pos, reach, out = h[order], side[order].astype("<u4"), pos[order].astype("<u4"), reach[order].astype("<u2"), []
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             here, a, e = counts[b] > 0, cuts[b], cuts[b + 1]
-            out.append((b, sigs[here].tobytes(), counts[b][here].astype("<u4").tobytes(), h[a:e].tobytes(), pos[a:e].tobytes()))
+            out.append((b, sigs[here].tobytes(), counts[b][here].astype("<u4").tobytes(), h[a:e].tobytes(), side[a:e].tobytes(), pos[a:e].tobytes(), reach[a:e].tobytes()))
         cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "sigs", "counts", "hashes", "positions"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "sigs", "counts", "hashes", "sides", "positions", "reaches"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, parts, size = set(), [], 0
         for batch in batches:
             sigs = batch.column("sig").to_pylist()
             for a, b, data, off in slices(batch, "text"):
-                pos, h = anchors(data, off)
+                found = anchors(data, off)
+                pos = found[0]
                 cuts = np.searchsorted(pos, off)
                 for i in range(b - a):
                     if cuts[i + 1] > cuts[i] and sigs[a + i] not in seen:
                         seen.add(sigs[a + i])
-                        parts.append((sigs[a + i], pos[cuts[i] : cuts[i + 1]] - off[i], h[cuts[i] : cuts[i + 1]]))
+                        own = slice(cuts[i], cuts[i + 1])
+                        parts.append((sigs[a + i], pos[own] - off[i], *(x[own] for x in found[1:])))
                         size += int(cuts[i + 1] - cuts[i])
-                if size > 1_000_000:
+                if size > 400_000:
                     yield pack(parts)
                     parts, size, seen = [], 0, set()
         if parts:
             yield pack(parts)
+        parts = []
+        give_back()
 
-    return keyed.select("sig", "text").mapInArrow(work, "bucket int, sigs binary, counts binary, hashes binary, positions binary")
+    return keyed.select("sig", "text").mapInArrow(work, "bucket int, sigs binary, counts binary, hashes binary, sides binary, positions binary, reaches binary")
 
 
-def _repeated(dealt: DataFrame) -> DataFrame:
-    """sig, positions, hashes (packed) of the anchors that another class has too."""
+def _repeated(dealt: DataFrame, parts: int) -> DataFrame:
+    """Anchors that another class has too, by ranges of the class: part, sigs, positions, reaches (packed)."""
+
+    def several(key: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        many = np.minimum.reduceat(sig[order], start) != np.maximum.reduceat(sig[order], start)
+        out = np.empty(len(key), bool)
+        out[order] = np.repeat(many, np.diff(np.r_[start, len(key)]))
+        return out
 
     def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.frombuffer(b"".join(pdf.pop("hashes")), "<u8")
-        pos = np.frombuffer(b"".join(pdf.pop("positions")), "<u4")
+        kinds = (("hashes", "<u8"), ("sides", "<u4"), ("positions", "<u4"), ("reaches", "<u2"))
+        h, side, pos, reach = (np.frombuffer(b"".join(pdf.pop(c)), t) for c, t in kinds)
         sig = np.repeat(np.frombuffer(b"".join(pdf["sigs"]), "<i8"), np.frombuffer(b"".join(pdf["counts"]), "<u4"))
-        order = np.argsort(h, kind="stable")
-        hs, sg = h[order], sig[order]
-        start = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]]) if len(hs) else np.zeros(0, int)
-        several = np.minimum.reduceat(sg, start) != np.maximum.reduceat(sg, start) if len(hs) else np.zeros(0, bool)
-        keep = np.repeat(several, np.diff(np.r_[start, len(hs)]))
-        order = order[keep]
-        order = order[np.lexsort((pos[order], sig[order]))]
-        sg, ps, hs = sig[order], pos[order], h[order]
-        new = np.r_[True, (sg[1:] != sg[:-1]) | (ps[1:] != ps[:-1])] if len(sg) else np.zeros(0, bool)
-        sg, ps, hs = sg[new], ps[new], hs[new]
-        cut = np.flatnonzero(np.r_[True, sg[1:] != sg[:-1]]) if len(sg) else np.zeros(0, int)
-        ends = np.r_[cut[1:], len(sg)] if len(cut) else cut
-        return pd.DataFrame({
-            "sig": sg[cut],
-            "positions": [ps[a:b].tobytes() for a, b in zip(cut, ends, strict=True)],
-            "hashes": [hs[a:b].tobytes() for a, b in zip(cut, ends, strict=True)],
-        })
+        again = np.zeros(len(h), bool)
+        for k, s in enumerate((side >> np.uint32(16), side & np.uint32(0xFFFF))):
+            again |= several(h + (s.astype(np.uint64) << np.uint64(1) | np.uint64(k)) * np.uint64(_BASE), sig)
+        keep = np.flatnonzero(again)
+        keep = keep[np.lexsort((pos[keep], sig[keep]))]
+        new = np.r_[True, (sig[keep][1:] != sig[keep][:-1]) | (pos[keep][1:] != pos[keep][:-1])] if len(keep) else np.zeros(0, bool)
+        keep = keep[new]  # the same class from several batches
+        to = (sig[keep].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        out = []
+        for p in np.unique(to).tolist():
+            at = keep[to == p]
+            out.append((p, sig[at].tobytes(), pos[at].tobytes(), reach[at].tobytes()))
+        del h, side, pos, reach, sig, again, keep
+        give_back()
+        return pd.DataFrame(out, columns=["part", "sigs", "positions", "reaches"])
+
+    return dealt.groupBy("bucket").applyInPandas(work, "part int, sigs binary, positions binary, reaches binary")
 
-    return dealt.groupBy("bucket").applyInPandas(work, "sig long, positions binary, hashes binary")
 
+def _by_class(repeated: DataFrame) -> DataFrame:
+    """sig, positions (ascending), reaches (packed)."""
 
-# --- fragments -------------------------------------------------------------
+    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        sig, pos, reach = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("sigs", "<i8"), ("positions", "<u4"), ("reaches", "<u2")))
+        order = np.lexsort((pos, sig))
+        sig, pos, reach = sig[order], pos[order], reach[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]), len(sig)].tolist()
+        out = [(sig[a], pos[a:b].tobytes(), reach[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        give_back()
+        return pd.DataFrame(out, columns=["sig", "positions", "reaches"])
 
+    return repeated.groupBy("part").applyInPandas(work, "sig long, positions binary, reaches binary")
 
-def _fragments(found: DataFrame) -> DataFrame:
-    """frag (id), sig, doc, start, bytes, anchors from rows sig, doc, text, positions, hashes (lists)."""
+
+# --- pieces ----------------------------------------------------------------
+
+
+def _pieces(found: DataFrame, tasks: int) -> DataFrame:
+    """Pieces by ranges of their anchor's hash: task, sigs, docs, counts (a class), starts, reaches, blob (packed)."""
+
+    def pack(parts: list[tuple]) -> pa.RecordBatch:
+        sigs, docs = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
+        start, reach, h = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+        pieces = [x for p in parts for x in p[5]]
+        doc = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
+        key = ((h >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64) * len(parts) + doc
+        order = np.argsort(key, kind="stable")
+        counts = np.bincount(key, minlength=tasks * len(parts)).reshape(tasks, -1)
+        cuts, out = np.r_[0, np.cumsum(counts.sum(1))], []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            here, own = counts[b] > 0, order[cuts[b] : cuts[b + 1]]
+            out.append((b, sigs[here].tobytes(), docs[here].tobytes(), counts[b][here].astype("<u4").tobytes(), start[own].astype("<u4").tobytes(), reach[own].tobytes(), b"".join([pieces[i] for i in own.tolist()])))
+        cols = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["task", "sigs", "docs", "counts", "starts", "reaches", "blob"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
-            out = []
-            for sig, doc, text, ps, hs in zip(*(batch.column(c) for c in ("sig", "doc", "text", "positions", "hashes")), strict=True):
-                data, sig = text.as_py().encode("utf-8", "surrogatepass"), sig.as_py()
-                pos, h = np.frombuffer(b"".join(ps.as_py()), "<u4").astype(np.int64), np.frombuffer(b"".join(hs.as_py()), "<i8")
-                order = np.argsort(pos)
-                pos, h = pos[order], h[order]
-                a, b = np.maximum(0, pos - (WINDOW - ANCHOR)), np.minimum(len(data), pos + WINDOW)
-                first = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
-                for i, j in zip(first.tolist(), [*first[1:].tolist(), len(pos)], strict=True):
-                    if b[j - 1] - a[i] >= WINDOW:
-                        frag = int(mix(np.array([sig ^ (int(a[i]) * 0x9E3779B97F4A7C15 & (1 << 63) - 1)], np.int64).view(np.uint64)).view(np.int64)[0])
-                        out.append((frag, sig, doc.as_py(), int(a[i]), data[a[i] : b[j - 1]], np.unique(h[i:j])))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["frag", "sig", "doc", "start", "bytes", "anchors"])
-
-    return found.mapInArrow(work, "frag long, sig long, doc long, start long, bytes binary, anchors array<long>")
+            for sig, doc, text, ps, rs in zip(*(batch.column(c) for c in ("sig", "doc", "text", "positions", "reaches")), strict=True):
+                data, pos, reach = text.as_py().encode("utf-8", "surrogatepass"), np.frombuffer(ps.as_py(), "<u4").astype(np.int64), np.frombuffer(rs.as_py(), "<u2")
+                start = pos - (reach & 255)
+                end = start + (reach >> 8) + WINDOW
+                raw = np.frombuffer(data, np.uint8)
+                grams = raw[pos[:, None] + np.arange(ANCHOR)].astype(np.uint64) + np.uint64(1)
+                h = mix((grams * powers(_BASE, ANCHOR)).sum(1, dtype=np.uint64))
+                parts.append((sig.as_py(), doc.as_py(), start, reach, h, [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]))
+                size += len(pos)
+                if size > 100_000:
+                    yield pack(parts)
+                    parts, size = [], 0
+        if parts:
+            yield pack(parts)
+        parts = []
+        give_back()
+
+    return found.mapInArrow(work, "task int, sigs binary, docs binary, counts binary, starts binary, reaches binary, blob binary")
 
 
 # --- shard suffix arrays and their merge -----------------------------------
@@ -205,19 +259,17 @@ def interleave(text_a: np.ndarray, order_a: np.ndarray, text_b: np.ndarray, orde
     Returns from which shard each entry of the merged order comes, and the common prefix of
     each entry with the one before (at most `depth`, which also stands for longer ones).
     """
-    bwt_a, bwt_b = text_a[order_a - 1], text_b[order_b - 1]
+    before = lambda text, order: text[order - 2].astype(np.uint16) << np.uint16(8) | text[order - 1]
+    bwt_a, bwt_b = before(text_a, order_a), before(text_b, order_b)
     keys = np.concatenate([_prefixes(text_a)[order_a], _prefixes(text_b)[order_b]])
     merged = np.argsort(keys, kind="stable")
     keys = keys[merged]
     source = merged >= len(order_a)
     edge = np.r_[True, keys[1:] != keys[:-1]]
-    same = keys[1:] ^ keys[:-1]
     common = np.full(len(keys), depth, np.uint8)
-    common[0] = 0
-    for j in range(8):
-        common[1:][edge[1:] & (same >> np.uint64(56 - 8 * j) > 0) & (common[1:] > j)] = j
-    for h in range(8, depth):
-        symbol = np.empty(len(source), np.uint8)
+    common[edge] = 0  # parted within the first 8 bytes
+    for h in range(8, depth, 2):
+        symbol = np.empty(len(source), np.uint16)
         symbol[~source], symbol[source] = bwt_a, bwt_b
         moved = np.argsort(symbol, kind="stable")
         block = np.cumsum(edge, dtype=np.int32)[moved]
@@ -228,55 +280,107 @@ def interleave(text_a: np.ndarray, order_a: np.ndarray, text_b: np.ndarray, orde
     return source, common
 
 
-def covered(docs: list[int], fragments: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
-    """For each fragment its bytes that go, as flags: covered by a window that a smaller document has."""
-    sizes = np.array([len(f) for f in fragments])
+def least_documents(docs: np.ndarray, pieces: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
+    """For each piece and each window in it, the smallest document with a piece that has the window."""
+    sizes = np.array([len(f) for f in pieces])
     half = int(np.searchsorted(np.cumsum(sizes), sizes.sum() / 2)) + 1
     shards = []
-    for a, b in ((0, half), (half, len(fragments))):
-        text = np.frombuffer(b"\0".join([*fragments[a:b], b""]) or b"\0", np.uint8)
-        doc = np.repeat(np.array(docs[a:b], np.int64), sizes[a:b] + 1) if b > a else np.zeros(1, np.int64)
-        left = np.concatenate([np.arange(s, -1, -1) for s in sizes[a:b].tolist()]) if b > a else np.zeros(1, np.int64)
-        order = suffix_order(text)
-        shards.append((text, order, doc, left))
+    for a, b in ((0, half), (half, len(pieces))):
+        text = np.frombuffer(b"\0".join([*pieces[a:b], b""]) or b"\0\0", np.uint8)
+        doc = np.repeat(docs[a:b], sizes[a:b] + 1) if b > a else np.zeros(2, np.int64)
+        left = np.zeros(len(text), np.int64)
+        if b > a:
+            ends = np.cumsum(sizes[a:b] + 1) - 1  # the separators
+            left = np.repeat(ends, sizes[a:b] + 1) - np.arange(len(text))
+        shards.append((text, suffix_order(text), doc, left))
     source, common = interleave(shards[0][0], shards[0][1], shards[1][0], shards[1][1], window)
     most = np.iinfo(np.int64).max
-    doc, at = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
+    doc = np.empty(len(source), np.int64)
     for which, (_, order, owner, left) in zip((~source, source), shards, strict=True):
-        at[which] = order
         doc[which] = np.where(left[order] >= window, owner[order], most)
     starts = np.flatnonzero(common < window)
     low = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.r_[starts, len(doc)]))
-    gone = (doc != most) & (doc > low)
     out = []
-    for which, (text, *_), (a, b) in zip((~source, source), shards, ((0, half), (half, len(fragments))), strict=True):
-        step = np.zeros(len(text) + window + 1, np.int32)
-        hit = at[gone & which]
-        np.add.at(step, hit, 1)
-        np.add.at(step, hit + window, -1)
-        flags, p = np.cumsum(step) > 0, 0
+    for which, (text, order, *_), (a, b) in zip((~source, source), shards, ((0, half), (half, len(pieces))), strict=True):
+        least = np.empty(len(text), np.int64)
+        least[order] = low[which]
+        p = 0
         for s in sizes[a:b].tolist():
-            out.append(flags[p : p + s])
+            out.append(least[p : p + s - window + 1])
             p += s + 1
     return out
 
 
-def runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
-def _spans(placed: DataFrame) -> DataFrame:
-    """sig, start, end of removed runs, from the fragments of each task."""
-
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "sig", "start"])
-        out = []
-        for sig, at, flags in zip(pdf["sig"], pdf["start"], covered(pdf["doc"].tolist(), pdf["bytes"].tolist()), strict=True):
-            out += [(sig, at + a, at + b) for a, b in runs(flags)]
-        return pd.DataFrame(out, columns=["sig", "start", "end"]).astype("int64")
-
-    return placed.groupBy("task").applyInPandas(work, "sig long, start long, end long")
+def _resolve(sig, doc, start, reach, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Removed runs (sig, start, end) of the pieces of one task."""
+    size = (reach >> 8).astype(np.int64) + WINDOW
+    ends = np.cumsum(size)
+    text = [blob[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+    anchor = [t[r : r + ANCHOR] for t, r in zip(text, (reach & 255).tolist(), strict=True)]
+    number: dict[bytes, int] = {}
+    which = np.fromiter((number.setdefault(t, len(number)) for t in text), np.int64, len(text))
+    kinds = list(number)
+    least = np.full(len(kinds), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, doc)
+    of_anchor: dict[bytes, list[int]] = {}
+    seen = set()
+    for k, a in zip(which.tolist(), anchor, strict=True):
+        if k not in seen:
+            seen.add(k)
+            of_anchor.setdefault(a, []).append(k)
+    windows = np.array([len(t) - WINDOW + 1 for t in kinds])
+    at = np.cumsum(windows) - windows
+    low = np.repeat(least, windows)  # for each window of each kind of piece
+    several, group, bulk = [], [], 0
+    for ks in of_anchor.values():
+        if len(ks) > 1:
+            group += ks
+            bulk += sum(len(kinds[k]) for k in ks)
+            if bulk > MERGE_BYTES:
+                several.append(group)
+                group, bulk = [], 0
+    for ks in [*several, group] if group else several:
+        for k, own in zip(ks, least_documents(least[ks], [kinds[k] for k in ks]), strict=True):
+            low[at[k] : at[k] + windows[k]] = own
+    n = windows[which]
+    first = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(which)), n)
+    place = np.arange(len(owner)) - first[owner]
+    gone = low[at[which][owner] + place] < doc[owner]
+    owner, place = owner[gone], place[gone]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)] if len(owner) else np.zeros(0, bool)
+    a = np.flatnonzero(new)
+    b = np.r_[a[1:], len(owner)] - 1 if len(a) else a
+    return sig[owner[a]], start[owner[a]] + place[a], start[owner[a]] + place[b] + WINDOW
+
+
+def _spans(pieces: DataFrame, parts: int) -> DataFrame:
+    """sig, spans (sorted, disjoint): what goes from each first document."""
+
+    def resolve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.frombuffer(b"".join(pdf["counts"]), "<u4")
+        sig, doc = (np.repeat(np.frombuffer(b"".join(pdf[c]), "<i8"), counts) for c in ("sigs", "docs"))
+        start, reach = np.frombuffer(b"".join(pdf["starts"]), "<u4").astype(np.int64), np.frombuffer(b"".join(pdf["reaches"]), "<u2")
+        sig, a, b = _resolve(sig, doc, start, reach, b"".join(pdf.pop("blob")))
+        to = (sig.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        out = [(p, sig[to == p].tobytes(), a[to == p].astype("<u4").tobytes(), b[to == p].astype("<u4").tobytes()) for p in np.unique(to).tolist()]
+        give_back()
+        return pd.DataFrame(out, columns=["part", "sigs", "starts", "ends"])
+
+    def unite(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        sig, a, b = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("sigs", "<i8"), ("starts", "<u4"), ("ends", "<u4")))
+        order = np.lexsort((a, sig))
+        out: dict[int, list[list[int]]] = {}
+        for s, x, y in zip(sig[order].tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+            own = out.setdefault(s, [])
+            if own and x <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], y)
+            else:
+                own.append([x, y])
+        return pd.DataFrame({"sig": list(out), "spans": [[{"start": x, "end": y} for x, y in v] for v in out.values()]})
+
+    packed = pieces.groupBy("task").applyInPandas(resolve, "part int, sigs binary, starts binary, ends binary")
+    return packed.groupBy("part").applyInPandas(unite, "sig long, spans array<struct<start: long, end: long>>")
 
 
 def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -285,37 +389,13 @@ def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stored(keyed.select("doc_id", "sig", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
     firsts = stored(rows.groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("n_bytes").alias("n")), "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
-    again = _repeated(_dealt(keyed, max(8, -(-total * 2 // (WINDOW - ANCHOR + 2) // BUCKET_ANCHORS))))
-    again = stored(again, "anchors").groupBy("sig").agg(F.collect_list("positions").alias("positions"), F.collect_list("hashes").alias("hashes"))
-    again = again.join(firsts.select("sig", F.col("first").alias("doc")), "sig")
-    found = again.join(keyed.select("sig", "doc_id", "text"), "sig").where("doc_id = doc").dropDuplicates(["sig"])
-    frags = stored(_fragments(found), "fragments")
-
-    posts = frags.select("frag", F.explode("anchors").alias("h"))
-    lead = posts.groupBy("h").agg(F.min("frag").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
-    block = components(posts.join(lead, "h").select(F.col("frag").alias("u"), "v").distinct())
-    block = block.select(F.col("node").alias("frag"), F.col("component").alias("block"))
-    members = stored(frags.drop("anchors").join(block, "frag"), "blocks")
-    sums = members.groupBy("block").agg(F.sum(F.octet_length("bytes")).alias("size"))
-    amount = sums.agg(F.sum("size")).first()[0] or 0
-    placed = members.join(sums, "block").withColumn("chunks", F.ceil(F.col("size") / CHUNK_BYTES).cast("long"))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("frag"), "chunks"))
-    placed = placed.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    tasks = max(8, -(-amount // TASK_BYTES))
-    placed = placed.withColumn("task", F.pmod(F.xxhash64("block", F.least("chunk", "d"), F.greatest("chunk", "d")), F.lit(tasks)))
-    cut = stored(_spans(placed.select("task", "sig", "doc", "start", "bytes")), "spans")
-    return rows.join(firsts.drop("n"), "sig"), cut.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-
-
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Sorted spans as maximal runs."""
-    out: list[list[int]] = []
-    for s in spans:
-        if out and s["start"] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s["end"])
-        else:
-            out.append([s["start"], s["end"]])
-    return [(a, b) for a, b in out]
+    buckets = max(8, -(-total * 2 // (WINDOW - ANCHOR + 2) // BUCKET_ANCHORS))
+    again = stored(_by_class(_repeated(_dealt(keyed, buckets), buckets)), "anchors").join(firsts.select("sig", F.col("first").alias("doc")), "sig")
+    found = again.join(keyed.select("sig", "doc_id", "text"), "sig").where("doc_id = doc")
+    if rows.count() > rows.select("doc_id").distinct().count():
+        found = found.dropDuplicates(["sig"])
+    cut = stored(_spans(_pieces(found, 8 * buckets), buckets), "spans")
+    return rows.join(firsts.drop("n"), "sig"), cut
 
 
 def removed_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -335,7 +415,7 @@ def removed_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out = []
             for doc, text, spans in zip(*(batch.column(c) for c in ("doc_id", "text", "spans")), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
-                cut, kept, at = merged(spans.as_py()), hashlib.sha256(), 0
+                cut, kept, at = [(x["start"], x["end"]) for x in spans.as_py()], hashlib.sha256(), 0
                 for a, b in cut:
                     kept.update(data[at:a])
                     at = b
@@ -358,7 +438,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows, spans = _analysed(docs)
     marks = rows.join(spans, "sig", "left").select("sig", F.col("doc_id").alias("_id"), "first", "n_bytes", "spans").dropDuplicates(["sig", "_id"])
     marks = marks.withColumn("_whole", (F.col("_id") != F.col("first")) & (F.col("n_bytes") >= window))
-    marks = marks.where("not _whole").select("sig", "_id", F.when(F.col("_id") == F.col("first"), F.col("spans")).alias("spans"))
+    marks = marks.where("not _whole").select(F.col("sig").alias("_sig"), "_id", F.when(F.col("_id") == F.col("first"), F.col("spans")).alias("_spans"))
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -368,7 +448,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out.append(t)
                 continue
             data, parts, at = t.encode("utf-8", "surrogatepass"), [], 0
-            for a, b in merged(list(s)):
+            for a, b in ((x["start"], x["end"]) for x in s):
                 while a < b and data[a] & 0xC0 == 0x80:
                     a += 1
                 while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
@@ -380,8 +460,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     text = F.coalesce(F.col("text"), F.lit(""))
     sig = F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("long")
-    joined = docs.withColumn("_sig", sig).join(marks, (F.col("_sig") == F.col("sig")) & (F.col("doc_id") == F.col("_id")))
-    touched = joined.where("spans is not null").withColumn("text", kept("text", "spans")).where("text <> ''")
+    joined = docs.withColumn("_own", sig).join(marks, (F.col("_own") == F.col("_sig")) & (F.col("doc_id") == F.col("_id")))
+    touched = joined.where("_spans is not null").withColumn("text", kept("text", "_spans")).where("text <> ''")
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where("spans is null").select(*docs.columns).unionByName(touched.select(*docs.columns))
+    return joined.where("_spans is null").select(*docs.columns).unionByName(touched.select(*docs.columns))
