@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import mix, shingle_sets, slices
+from ._bytes import give_back, mix, shingle_sets, slices
 from ._common import components, stored, texts
 
 #: Shingles for each task that counts frequencies; classes for each task that verifies.
@@ -92,6 +92,8 @@ def _dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                             sets, size = {}, 0
         if sets:
             yield rows(sets)
+        sets = {}
+        give_back()
 
     return texts(docs).select("text").mapInArrow(work, "bucket int, sigs binary, ns binary, counts binary, hashes binary")
 
@@ -128,6 +130,8 @@ def _shared(dealt: DataFrame, parts: int) -> DataFrame:
             classes = to == p
             rows = np.repeat(classes, many)
             out.append((p, sg[start][classes].tobytes(), n[start][classes].tobytes(), many[classes].tobytes(), hs[rows].tobytes(), df[rows].tobytes()))
+        del h, hs, sg, n, df, order, back, sig, counts
+        give_back()
         return pd.DataFrame(out, columns=["part", "sigs", "ns", "counts", "hashes", "dfs"])
 
     return dealt.groupBy("bucket").applyInPandas(work, "part int, sigs binary, ns binary, counts binary, hashes binary, dfs binary")
@@ -158,6 +162,7 @@ def _ordered(shared: DataFrame, num: int, den: int) -> DataFrame:
             prefix = b - a - int(needed(size, num, den)) + 1
             if prefix > 0:
                 out.append((int(sig[a]), size, h[a:b].tobytes(), size - (b - a), h[a : a + prefix].view(np.int64)))
+        give_back()
         return pd.DataFrame(out, columns=["sig", "n", "ids", "unique", "prefix"])
 
     return shared.groupBy("part").applyInPandas(work, "sig long, n long, ids binary, unique long, prefix array<long>")
