@@ -46,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about `most` bytes; a longer row comes alone."""
     col = batch.column(column)
     col = (col if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else col.cast(pa.large_binary()))
