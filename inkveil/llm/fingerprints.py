@@ -99,14 +99,15 @@ def edit_report(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.length(text).cast("long").alias("n"))
     places = stored(_neighbours(rows), "neighbours")
-    marked = with_marks(rows, "text", "marks")
+    marked = with_marks(rows.drop("n"), "text", "marks")  # both joins below take the same columns of it, so one exchange serves both
     base = marked.join(places, ["doc_id", "h"])
     head = F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_prev") / 2).cast("int"))
     heads = base.select(F.col("prev_id").alias("doc_id"), F.col("prev_h").alias("h"), head.alias("head"), F.transform("marks", lambda m: F.shiftright(m, 32).cast("int")).alias("next"))
     if rows.count() > places.count():
         heads = heads.dropDuplicates(["doc_id", "h"])
-    kept = F.substring(F.col("text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 2)).cast("int"))
-    both = marked.join(heads, ["doc_id", "h"]).withColumn("edited", F.concat(kept, F.col("head")))
+    n = F.length("text").cast("long")
+    kept = F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int"))
+    both = marked.join(heads, ["doc_id", "h"]).withColumn("n", n).withColumn("edited", F.concat(kept, F.col("head")))
     both = both.select("doc_id", "n", "marks", "next", "edited", F.sha2("edited", 256).alias("edited_sha256"))
     both = with_marks(both, "edited", "edited_marks").drop("edited")
     both = both.select("doc_id", "n", "edited_sha256", "marks", "edited_marks", hashes(F.col("marks")).alias("own"), hashes(F.col("edited_marks")).alias("ed"), F.array_distinct(F.transform("next", lambda x: x.cast("long"))).alias("nx"))
