@@ -37,7 +37,7 @@ from ._bytes import _BASE, _INV, give_back, mix, powers, slices
 from ._common import stored
 
 #: Bytes that make a repeat and of an anchor; anchors that a task compares; bytes of pieces in one merge.
-WINDOW, ANCHOR, BUCKET_ANCHORS, MERGE_BYTES = 50, 16, 700_000, 1 << 19
+WINDOW, ANCHOR, BUCKET_ANCHORS, MERGE_BYTES = 50, 16, 250_000, 1 << 19
 
 
 # --- anchors ---------------------------------------------------------------
@@ -394,7 +394,7 @@ def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = again.join(keyed.select("sig", "doc_id", "text"), "sig").where("doc_id = doc")
     if rows.count() > rows.select("doc_id").distinct().count():
         found = found.dropDuplicates(["sig"])
-    cut = stored(_spans(_pieces(found, 8 * buckets), buckets), "spans")
+    cut = stored(_spans(_pieces(found, 3 * buckets), buckets), "spans")
     return rows.join(firsts.drop("n"), "sig"), cut
 
 
