@@ -17,6 +17,10 @@ before it, which sorts by two bytes more; the round in which neighbours part is
 common prefix. No suffix is sorted again. After 50 bytes, the intervals that remain are the
 repeated strings; each keeps its smallest doc_id.
 
+An anchor that very many classes have, by a sample of them, never goes to one task: its windows of 50
+bytes are told apart by 128-bit hashes, merged where they are read, and their smallest
+doc_id is found by an aggregation. The sample settles the way alone, not the result.
+
 Nulls and empty texts have no bytes. Rows with the same doc_id never remove each other's
 bytes. Classes are told apart by 64 bits of SHA-256. An empty table gives an empty result.
 Extra columns are ignored by `removed_digest` and kept by `remove_repeats`.
@@ -38,6 +42,8 @@ from ._common import stored
 
 #: Bytes that make a repeat and of an anchor; anchors that a task compares; bytes of pieces in one merge.
 WINDOW, ANCHOR, BUCKET_ANCHORS, MERGE_BYTES = 50, 16, 250_000, 1 << 19
+#: Occurrences from which an anchor is spread over tasks, and the sample of classes (one in so many) that counts them.
+HOT, SAMPLE = 5_000, 16
 
 
 # --- anchors ---------------------------------------------------------------
@@ -86,21 +92,50 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("sig", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long"))
 
 
-def _dealt(keyed: DataFrame, buckets: int) -> DataFrame:
-    """Anchors by ranges of their hash: bucket, sigs, counts, hashes, sides, positions, reaches (packed)."""
+def _hot(keyed: DataFrame) -> np.ndarray:
+    """Hashes (ascending) of anchors with about HOT occurrences or more among the classes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, off in slices(batch, "text"):
+                h, n = np.unique(anchors(data, off)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+        give_back()
+
+    some = keyed.where(F.pmod("sig", F.lit(SAMPLE)) == 0).select("sig", "text").dropDuplicates(["sig"])
+    found = some.mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * SAMPLE >= HOT)
+    return np.sort(np.array([r["h"] for r in found.collect()], np.int64).view(np.uint64))  # at most one for each HOT anchors
+
+
+def _among(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(h), bool)
+    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+
+
+def _dealt(keyed: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Anchors by ranges of their hash: bucket, sigs, counts, hashes, sides, positions, reaches (packed).
+
+    Hot ones go by ranges of their class, to buckets from `buckets` on.
+    """
 
     def pack(parts: list[tuple]) -> pa.RecordBatch:
         sigs = np.array([p[0] for p in parts], np.int64)
         pos, h, side, reach = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
         doc = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
-        key = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) * len(parts) + doc
+        spread = _among(h, hot)
+        by = np.where(spread, sigs.view(np.uint64)[doc], h) >> np.uint64(32)
+        key = ((by * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) + spread * buckets) * len(parts) + doc
         order = np.argsort(key, kind="stable")
-        counts = np.bincount(key, minlength=buckets * len(parts)).reshape(buckets, -1)
-        cuts = np.r_[0, np.cumsum(counts.sum(1))]
+        key = key[order]
+        run = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])  # a bucket's anchors of one class
+        bucket, own = key[run] // len(parts), sigs[key[run] % len(parts)]
+        ends = np.r_[run[1:], len(key)]
+        counts, first = (ends - run).astype("<u4"), np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         h, side, pos, reach, out = h[order], side[order].astype("<u4"), pos[order].astype("<u4"), reach[order].astype("<u2"), []
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            here, a, e = counts[b] > 0, cuts[b], cuts[b + 1]
-            out.append((b, sigs[here].tobytes(), counts[b][here].astype("<u4").tobytes(), h[a:e].tobytes(), side[a:e].tobytes(), pos[a:e].tobytes(), reach[a:e].tobytes()))
+        for x, y in zip(first.tolist(), [*first[1:].tolist(), len(run)], strict=True):
+            a, e = run[x], ends[y - 1]
+            out.append((int(bucket[x]), own[x:y].tobytes(), counts[x:y].tobytes(), h[a:e].tobytes(), side[a:e].tobytes(), pos[a:e].tobytes(), reach[a:e].tobytes()))
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "sigs", "counts", "hashes", "sides", "positions", "reaches"])
 
@@ -130,7 +165,7 @@ def _dealt(keyed: DataFrame, buckets: int) -> DataFrame:
 
 
 def _repeated(dealt: DataFrame, parts: int) -> DataFrame:
-    """Anchors that another class has too, by ranges of the class: part, sigs, positions, reaches (packed)."""
+    """Anchors that another class has too, and all hot ones, by ranges of the class: part, sigs, positions, reaches (packed)."""
 
     def several(key: np.ndarray, sig: np.ndarray) -> np.ndarray:
         order = np.argsort(key, kind="stable")
@@ -144,8 +179,8 @@ def _repeated(dealt: DataFrame, parts: int) -> DataFrame:
         kinds = (("hashes", "<u8"), ("sides", "<u4"), ("positions", "<u4"), ("reaches", "<u2"))
         h, side, pos, reach = (np.frombuffer(b"".join(pdf.pop(c)), t) for c, t in kinds)
         sig = np.repeat(np.frombuffer(b"".join(pdf["sigs"]), "<i8"), np.frombuffer(b"".join(pdf["counts"]), "<u4"))
-        again = np.zeros(len(h), bool)
-        for k, s in enumerate((side >> np.uint32(16), side & np.uint32(0xFFFF))):
+        again = np.full(len(h), key[0] >= parts)
+        for k, s in enumerate(() if key[0] >= parts else (side >> np.uint32(16), side & np.uint32(0xFFFF))):
             again |= several(h + (s.astype(np.uint64) << np.uint64(1) | np.uint64(k)) * np.uint64(_BASE), sig)
         keep = np.flatnonzero(again)
         keep = keep[np.lexsort((pos[keep], sig[keep]))]
@@ -181,8 +216,14 @@ def _by_class(repeated: DataFrame) -> DataFrame:
 # --- pieces ----------------------------------------------------------------
 
 
-def _pieces(found: DataFrame, tasks: int) -> DataFrame:
-    """Pieces by ranges of their anchor's hash: task, sigs, docs, counts (a class), starts, reaches, blob (packed)."""
+def _placed(pos: np.ndarray, reach: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and anchors' hashes of pieces."""
+    grams = raw[pos[:, None] + np.arange(ANCHOR)].astype(np.uint64) + np.uint64(1)
+    return pos - (reach & 255), mix((grams * powers(_BASE, ANCHOR)).sum(1, dtype=np.uint64))
+
+
+def _pieces(found: DataFrame, tasks: int, hot: np.ndarray) -> DataFrame:
+    """Pieces by ranges of their anchor's hash, without hot ones: task, sigs, docs, counts (a class), starts, reaches, blob (packed)."""
 
     def pack(parts: list[tuple]) -> pa.RecordBatch:
         sigs, docs = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
@@ -204,13 +245,14 @@ def _pieces(found: DataFrame, tasks: int) -> DataFrame:
         for batch in batches:
             for sig, doc, text, ps, rs in zip(*(batch.column(c) for c in ("sig", "doc", "text", "positions", "reaches")), strict=True):
                 data, pos, reach = text.as_py().encode("utf-8", "surrogatepass"), np.frombuffer(ps.as_py(), "<u4").astype(np.int64), np.frombuffer(rs.as_py(), "<u2")
-                start = pos - (reach & 255)
+                start, h = _placed(pos, reach, np.frombuffer(data, np.uint8))
+                cold = ~_among(h, hot)
+                if not cold.any():
+                    continue
+                start, reach, h = start[cold], reach[cold], h[cold]
                 end = start + (reach >> 8) + WINDOW
-                raw = np.frombuffer(data, np.uint8)
-                grams = raw[pos[:, None] + np.arange(ANCHOR)].astype(np.uint64) + np.uint64(1)
-                h = mix((grams * powers(_BASE, ANCHOR)).sum(1, dtype=np.uint64))
                 parts.append((sig.as_py(), doc.as_py(), start, reach, h, [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]))
-                size += len(pos)
+                size += len(start)
                 if size > 100_000:
                     yield pack(parts)
                     parts, size = [], 0
@@ -222,6 +264,57 @@ def _pieces(found: DataFrame, tasks: int) -> DataFrame:
     return found.mapInArrow(work, "task int, sigs binary, docs binary, counts binary, starts binary, reaches binary, blob binary")
 
 
+def _hot_spans(found: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """What hot anchors' windows remove, by ranges of the class: part, sigs, starts, ends (packed)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple], least: dict[bytes, int]) -> pa.RecordBatch:
+            done: list[list] = []  # a smaller doc_id was read here; runs of windows are one
+            for window, doc, sig, at in rows:
+                if doc == least[window]:
+                    done.append([window, doc, sig, at, at + WINDOW])
+                elif done and done[-1][0] is None and done[-1][2] == sig and done[-1][3] <= at <= done[-1][4]:
+                    done[-1][4] = at + WINDOW
+                else:
+                    done.append([None, doc, sig, at, at + WINDOW])
+            cols = [pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.binary(), *[pa.int64()] * 4), strict=True)]
+            return pa.RecordBatch.from_arrays(cols, ["window", "doc", "sig", "start", "end"])
+
+        rows, least = [], {}
+        for batch in batches:
+            for sig, doc, text, ps, rs in zip(*(batch.column(c) for c in ("sig", "doc", "text", "positions", "reaches")), strict=True):
+                data, pos, reach = text.as_py().encode("utf-8", "surrogatepass"), np.frombuffer(ps.as_py(), "<u4").astype(np.int64), np.frombuffer(rs.as_py(), "<u2")
+                start, h = _placed(pos, reach, np.frombuffer(data, np.uint8))
+                own, sig, doc = _among(h, hot), sig.as_py(), doc.as_py()
+                for a, n in zip(start[own].tolist(), (reach[own] >> 8).tolist(), strict=True):
+                    for at in range(a, a + n + 1):
+                        window = hashlib.blake2b(data[at : at + WINDOW], digest_size=16).digest()
+                        if least.setdefault(window, doc) > doc:
+                            least[window] = doc
+                        rows.append((window, doc, sig, at))
+                if len(rows) > 200_000:
+                    yield out(rows, least)
+                    rows, least = [], {}
+        if rows:
+            yield out(rows, least)
+        rows, least = [], {}
+        give_back()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, a, b = (batch.column(c).to_numpy() for c in ("sig", "start", "end"))
+            to = (sig.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            rows = [(p, sig[to == p].tobytes(), a[to == p].astype("<u4").tobytes(), b[to == p].astype("<u4").tobytes()) for p in np.unique(to).tolist()]
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "sigs", "starts", "ends"])
+
+    rows = stored(found.mapInArrow(work, "window binary, doc long, sig long, start long, end long"), "windows")
+    low = rows.where("window is not null").groupBy("window").agg(F.min("doc").alias("least"))
+    gone = rows.join(low, "window").where("doc > least").select("sig", "start", "end")
+    return gone.unionByName(rows.where("window is null").select("sig", "start", "end")).mapInArrow(pack, "part int, sigs binary, starts binary, ends binary")
+
+
 # --- shard suffix arrays and their merge -----------------------------------
 
 
@@ -354,8 +447,8 @@ def _resolve(sig, doc, start, reach, blob: bytes) -> tuple[np.ndarray, np.ndarra
     return sig[owner[a]], start[owner[a]] + place[a], start[owner[a]] + place[b] + WINDOW
 
 
-def _spans(pieces: DataFrame, parts: int) -> DataFrame:
-    """sig, spans (sorted, disjoint): what goes from each first document."""
+def _spans(pieces: DataFrame, parts: int, more: DataFrame | None = None) -> DataFrame:
+    """sig, spans (sorted, disjoint): what goes from each first document; more: packed spans found elsewhere."""
 
     def resolve(key, pdf: pd.DataFrame) -> pd.DataFrame:
         counts = np.frombuffer(b"".join(pdf["counts"]), "<u4")
@@ -380,6 +473,8 @@ def _spans(pieces: DataFrame, parts: int) -> DataFrame:
         return pd.DataFrame({"sig": list(out), "spans": [[{"start": x, "end": y} for x, y in v] for v in out.values()]})
 
     packed = pieces.groupBy("task").applyInPandas(resolve, "part int, sigs binary, starts binary, ends binary")
+    if more is not None:
+        packed = packed.unionByName(more)
     return packed.groupBy("part").applyInPandas(unite, "sig long, spans array<struct<start: long, end: long>>")
 
 
@@ -390,11 +485,13 @@ def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = stored(rows.groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("n_bytes").alias("n")), "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total * 2 // (WINDOW - ANCHOR + 2) // BUCKET_ANCHORS))
-    again = stored(_by_class(_repeated(_dealt(keyed, buckets), buckets)), "anchors").join(firsts.select("sig", F.col("first").alias("doc")), "sig")
+    hot = _hot(keyed)
+    again = stored(_by_class(_repeated(_dealt(keyed, buckets, hot), buckets)), "anchors").join(firsts.select("sig", F.col("first").alias("doc")), "sig")
     found = again.join(keyed.select("sig", "doc_id", "text"), "sig").where("doc_id = doc")
     if rows.count() > rows.select("doc_id").distinct().count():
         found = found.dropDuplicates(["sig"])
-    cut = stored(_spans(_pieces(found, 3 * buckets), buckets), "spans")
+    more = _hot_spans(found, buckets, hot) if len(hot) else None
+    cut = stored(_spans(_pieces(found, 3 * buckets, hot), buckets, more), "spans")
     return rows.join(firsts.drop("n"), "sig"), cut
 
 

@@ -140,6 +140,26 @@ def test_suffix_dedup_odd(spark, odd, nothing):
     assert set(kept) == {1, 2, 4, 5, 6, 7, 8, 9, 10} and kept[5].text is None and kept[4].n_chars == len(kept[4].text)
 
 
+def test_suffix_dedup_hot_anchor(spark, monkeypatch):
+    """A passage that most documents share in different surroundings never meets in one task."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 30, raising=False)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1, raising=False)
+    most, spans = [], suffix_dedup._spans
+
+    def watched(pieces, *rest):
+        most.append(max((sum(np.frombuffer(r.counts, "<u4")) for r in pieces.groupBy("task").agg(F.array_join(F.collect_list(F.hex("counts")), "").alias("c")).select(F.unhex("c").alias("counts")).collect()), default=0))
+        return spans(pieces, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_spans", watched)
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage, line = word(110), word(70)
+    docs = [(int(d), word(int(rng.integers(0, 40))) + passage[: 110 - d % 3 * 20] + word(int(rng.integers(0, 60))) + (line if d % 9 == 0 else "") + word(9)) for d in rng.permutation(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.removed_digest(df).collect()} == cut(docs)
+    assert max(most) < 120
+
+
 def test_merged_order_and_prefixes():
     rng = np.random.default_rng(1)
     a, b = (rng.choice(np.frombuffer(b"ab", np.uint8), 300) for _ in "ab")
