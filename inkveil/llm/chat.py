@@ -9,8 +9,9 @@ of 1,024 turns, moved up by the ranges before.
 
 Null roles are the speaker "unknown", null texts are empty; marks within a text are
 broken by a space, so that no text can pose as a turn. Turns with the same number follow
-each other by role and text; rows alike in all are turns of their own. An empty table
-gives an empty result. Extra columns are ignored.
+each other by role and text; rows alike in all are turns of their own. Turns without a
+number follow all others of their conversation; rows without a conv_id are one
+conversation. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RANGE_BITS = 10
+_LAST = 1 << 62  # the range of turns without a number, after all others
 
 
 def perspectives(conversations: DataFrame) -> DataFrame:
@@ -31,17 +33,18 @@ def perspectives(conversations: DataFrame) -> DataFrame:
     said = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("name"), said.alias("said"))
     speakers = turns.where("name <> 'system'").select("conv_id", F.col("name").alias("speaker")).distinct()
-    rows = turns.join(speakers, "conv_id")
+    rows = turns.join(speakers.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     own = F.col("name") == F.col("speaker")
     role = F.when(own, "assistant").when(F.col("name") == "system", "system").otherwise("user")
     head = F.concat(F.lit("<|"), role, F.when(role == "user", F.concat(F.lit(" "), F.col("name"))).otherwise(""), F.lit("|>\n"))
     rows = rows.withColumn("role", role).withColumn("head", F.length(head)).withColumn("segment", F.concat(head, F.col("said"), F.lit("<|end|>\n")))
-    rows = rows.withColumn("size", F.length("segment").cast("long")).withColumn("range", F.shiftright(F.col("turn").cast("long"), RANGE_BITS))
+    rows = rows.withColumn("size", F.length("segment").cast("long")).withColumn("range", F.coalesce(F.shiftright(F.col("turn").cast("long"), RANGE_BITS), F.lit(_LAST)))
     view = Window.partitionBy("conv_id", "speaker")
     sums = rows.groupBy("conv_id", "speaker", "range").agg(F.sum("size").alias("s"))
-    sums = sums.select("conv_id", "speaker", "range", (F.sum("s").over(view.orderBy("range")) - F.col("s")).alias("before"))
-    upto = Window.partitionBy("conv_id", "speaker", "range").orderBy("turn", "name", "said").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("within", F.sum("size").over(upto)).join(sums, ["conv_id", "speaker", "range"])
+    sums = sums.select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("_speaker"), F.col("range").alias("_range"), (F.sum("s").over(view.orderBy("range")) - F.col("s")).alias("before"))
+    upto = Window.partitionBy("conv_id", "speaker", "range").orderBy(F.asc_nulls_last("turn"), "name", "said").rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("speaker") == F.col("_speaker")) & (F.col("range") == F.col("_range"))
+    rows = rows.withColumn("within", F.sum("size").over(upto)).join(sums, same)
     end = F.col("before") + F.col("within")
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
     return rows.select(

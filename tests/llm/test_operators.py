@@ -235,6 +235,21 @@ def test_perspectives(spark):
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_perspectives_without_numbers(spark):
+    """Null turns come last in every view, and rows without a conv_id are one conversation."""
+    given = [(1, None, "ann", "later"), (1, 0, "ann", "hi"), (1, 1500, "bob", "yes"), (1, None, "bob", None), (None, 0, "eve", "who"), (None, 1, "dan", "me"), (None, None, "eve", "end")]
+    got = chat.perspectives(spark.createDataFrame(given, "conv_id long, turn long, role string, text string")).collect()
+    views = collections.defaultdict(list)
+    for r in got:
+        views[r.conv_id, r.speaker].append(r)
+    assert {k: len(v) for k, v in views.items()} == {(1, "ann"): 4, (1, "bob"): 4, (None, "eve"): 3, (None, "dan"): 3}
+    for parts in views.values():
+        parts.sort(key=lambda r: r.start)
+        assert [r.start for r in parts] == [0, *(r.end for r in parts[:-1])]
+        turns = [r.turn for r in parts]
+        assert turns == sorted(turns, key=lambda t: (t is None, t or 0)) and all(r.end - r.start == len(r.segment) for r in parts)
+
+
 # --- packing and records ----------------------------------------------------------------
 
 
