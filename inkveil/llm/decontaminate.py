@@ -158,9 +158,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows without any match, all columns kept."""
+    """The rows without any match, all columns kept; a missing doc_id makes no difference."""
     bad = phrase_matches(docs, items, window).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    match = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
     return docs.join(bad, match, "left_anti")
 
 

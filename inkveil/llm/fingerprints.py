@@ -10,7 +10,7 @@ their hashes; two empty ones are alike.
 A mark is one number, hash and position together, built so that the least number is
 the rightmost least hash; window minima come from doubling spans.
 
-Nulls and texts without words have an empty fingerprint. Rows with the same doc_id
+Nulls and texts without words have an empty fingerprint. A null doc_id comes before all others. Rows with the same doc_id
 follow each other by hash of text; rows alike in both are one document with one
 result for each row. An empty table gives an empty result. Extra columns are ignored.
 """
@@ -90,6 +90,12 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return placed.join(prev, "pos").select("doc_id", "h", "n_prev", "prev_id", "prev_h")
 
 
+def _same(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """Joined on doc_id, null or not, and h."""
+    more = more.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    return rows.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).drop("_id", "_h")
+
+
 def edit_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
@@ -100,14 +106,14 @@ def edit_report(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.length(text).cast("long").alias("n"))
     places = stored(_neighbours(rows), "neighbours")
     marked = with_marks(rows.drop("n"), "text", "marks")  # both joins below take the same columns of it, so one exchange serves both
-    base = marked.join(places, ["doc_id", "h"])
+    base = _same(marked, places)
     head = F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_prev") / 2).cast("int"))
     heads = base.select(F.col("prev_id").alias("doc_id"), F.col("prev_h").alias("h"), head.alias("head"), F.transform("marks", lambda m: F.shiftright(m, 32).cast("int")).alias("next"))
     if rows.count() > places.count():
         heads = heads.dropDuplicates(["doc_id", "h"])
     n = F.length("text").cast("long")
     kept = F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int"))
-    both = marked.join(heads, ["doc_id", "h"]).withColumn("n", n).withColumn("edited", F.concat(kept, F.col("head")))
+    both = _same(marked, heads).withColumn("n", n).withColumn("edited", F.concat(kept, F.col("head")))
     both = both.select("doc_id", "n", "marks", "next", "edited", F.sha2("edited", 256).alias("edited_sha256"))
     both = with_marks(both, "edited", "edited_marks").drop("edited")
     both = both.select("doc_id", "n", "edited_sha256", "marks", "edited_marks", hashes(F.col("marks")).alias("own"), hashes(F.col("edited_marks")).alias("ed"), F.array_distinct(F.transform("next", lambda x: x.cast("long"))).alias("nx"))

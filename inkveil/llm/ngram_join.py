@@ -280,6 +280,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4) ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near copies of a smaller doc_id's component: one stays of each."""
-    first = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"] == F.col("_id"), "left_semi")
+    """The documents without near copies of a smaller doc_id's component: one stays of each, and all rows without a doc_id."""
+    first = near_duplicates(docs).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")

@@ -3,7 +3,7 @@
 Method: each document is one frame: payload length (8 bytes), masked checksum of the
 length (4), payload, masked checksum of the payload (4), and a closing byte 0x0A, which
 is part of the frame. Payload: doc_id (8), number of ids (4), bytes for each id (1: 2 where
-all are below 65536, else 4), then the ids. All numbers little-endian. The mask rotates a crc32 by 15 bits and adds a constant, so that
+all are below 65536, else 4; 128 more where doc_id is missing, which is written as 0), then the ids. All numbers little-endian. The mask rotates a crc32 by 15 bits and adds a constant, so that
 a checksum stored inside checked data does not check itself.
 
 Documents are dealt to files by ranges of doc_id, sorted within; the file's number in
@@ -12,7 +12,7 @@ bytes), so any store that Spark reaches will do, and the commit protocol discard
 what lost tasks have left. The index (file, record, byte offset and length, doc_id,
 number of ids) is a Parquet table of its own, for shuffled reads.
 
-Nulls: a null text has the end id alone. Repeated rows are written each. Ties on doc_id
+Nulls: a null text has the end id alone; a null doc_id comes first and is read back as null. Repeated rows are written each. Ties on doc_id
 follow the text. An empty table gives empty files. Extra columns are ignored.
 """
 
@@ -36,21 +36,25 @@ FILE_BYTES = 8 << 20
 _MASK_ADD = 0xA282EAD8  # fixed value of the record format
 
 
+_NO_ID = 128  # in the byte of the width
+
+
 def masked(data: bytes) -> int:
     c = zlib.crc32(data)
     return (((c >> 15) | (c << 17)) + _MASK_ADD) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: bytes) -> bytes:
+def frame(doc_id: int | None, ids: bytes) -> bytes:
     """One record without its closing byte."""
     wide = np.frombuffer(ids, "<u4")
     width = 2 if not len(wide) or wide.max() < 1 << 16 else 4
-    payload = struct.pack("<qIB", doc_id, len(wide), width) + (wide.astype("<u2").tobytes() if width == 2 else ids)
+    head = (0, len(wide), width | _NO_ID) if doc_id is None else (doc_id, len(wide), width)
+    payload = struct.pack("<qIB", *head) + (wide.astype("<u2").tobytes() if width == 2 else ids)
     head = struct.pack("<Q", len(payload))
     return b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))))
 
 
-def unframe(data: bytes, at: int = 0) -> tuple[int, bytes, int]:
+def unframe(data: bytes, at: int = 0) -> tuple[int | None, bytes, int]:
     """doc_id, ids and the next record's offset; raises ValueError where a checksum differs."""
     head = data[at : at + 8]
     if len(head) < 8 or struct.unpack_from("<I", data, at + 8)[0] != masked(head):
@@ -60,6 +64,7 @@ def unframe(data: bytes, at: int = 0) -> tuple[int, bytes, int]:
     if len(payload) < n or struct.unpack_from("<I", data, at + 12 + n)[0] != masked(payload):
         raise ValueError(f"record at byte {at} is damaged")
     doc, count, width = struct.unpack_from("<qIB", payload)
+    doc, width = None if width & _NO_ID else doc, width & ~_NO_ID
     return doc, np.frombuffer(payload, f"<u{width}", count, 13).astype("<u4").tobytes(), at + 17 + n
 
 
@@ -103,7 +108,7 @@ def read_back(spark: SparkSession, where: str) -> DataFrame:
     return named.mapInArrow(parse, "file string, record long, offset long, bytes long, doc_id long, n_tokens long, ids_crc32 long")
 
 
-def read_at(data: bytes, offset: int) -> tuple[int, np.ndarray]:
+def read_at(data: bytes, offset: int) -> tuple[int | None, np.ndarray]:
     """One record by its offset from the index."""
     doc, ids, _ = unframe(data, offset)
     return doc, np.frombuffer(ids, "<u4")

@@ -21,7 +21,8 @@ An anchor that very many classes have, by a sample of them, never goes to one ta
 bytes are told apart by 128-bit hashes, merged where they are read, and their smallest
 doc_id is found by an aggregation. The sample settles the way alone, not the result.
 
-Nulls and empty texts have no bytes. Rows with the same doc_id never remove each other's
+Nulls and empty texts have no bytes. Rows without a doc_id are neither before nor after
+others: they stay whole and remove nothing. Rows with the same doc_id never remove each other's
 bytes. Classes are told apart by 64 bits of SHA-256. An empty table gives an empty result.
 Extra columns are ignored by `removed_digest` and kept by `remove_repeats`.
 """
@@ -534,7 +535,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     rows, spans = _analysed(docs)
     marks = rows.join(spans, "sig", "left").select("sig", F.col("doc_id").alias("_id"), "first", "n_bytes", "spans").dropDuplicates(["sig", "_id"])
-    marks = marks.withColumn("_whole", (F.col("_id") != F.col("first")) & (F.col("n_bytes") >= window))
+    marks = marks.withColumn("_whole", F.coalesce((F.col("_id") != F.col("first")) & (F.col("n_bytes") >= window), F.lit(False)))
     marks = marks.where("not _whole").select(F.col("sig").alias("_sig"), "_id", F.when(F.col("_id") == F.col("first"), F.col("spans")).alias("_spans"))
 
     @F.pandas_udf("string")
@@ -557,7 +558,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     text = F.coalesce(F.col("text"), F.lit(""))
     sig = F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("long")
-    joined = docs.withColumn("_own", sig).join(marks, (F.col("_own") == F.col("_sig")) & (F.col("doc_id") == F.col("_id")))
+    joined = docs.withColumn("_own", sig).join(marks, (F.col("_own") == F.col("_sig")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     touched = joined.where("_spans is not null").withColumn("text", kept("text", "_spans")).where("text <> ''")
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -429,6 +429,31 @@ def test_ngram_join_odd(spark, odd, nothing):
     assert {r.doc_id for r in ngram_join.keep_one(odd).collect()} == {1, 2, 5, 6, 8, 9, 10}
 
 
+@pytest.fixture(scope="module")
+def unnamed(spark):
+    """Rows without a doc_id, clean ones, copies of others, and one with words of item 2."""
+    rows_ = [(None, "q w e r t y u i o p a s d"), (None, "clean words of no other row"), (None, None), (1, "w1 " * 40 + "end"), (None, "w1 " * 40 + "end"), (2, "some other text")]
+    return spark.createDataFrame(rows_, "doc_id long, text string")
+
+
+def test_no_doc_id_stays(spark, unnamed):
+    count = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    every = count(unnamed)
+    assert count(suffix_dedup.remove_repeats(unnamed)) == every
+    assert count(ngram_join.keep_one(unnamed)) == every
+    items = spark.createDataFrame(CASES, "item_id long, text string").where("item_id = 2")
+    bad = (None, "q w e r t y u i o p a s d")
+    assert count(decontaminate.drop_contaminated(unnamed, items)) == collections.Counter({k: n for k, n in every.items() if k != bad})
+
+
+def test_no_doc_id_is_reported(unnamed):
+    got = collections.Counter((r.doc_id, r.n_chars) for r in fingerprints.edit_report(unnamed).collect())
+    assert got == collections.Counter((r.doc_id, len(r.text or "")) for r in unnamed.collect())
+    back = records.write_and_read(unnamed, P.path("byte_bpe_50k.json")).collect()
+    assert sorted(r.doc_id or 0 for r in back) == [0, 0, 0, 0, 1, 2] and sum(r.doc_id is None for r in back) == 4
+    assert records.unframe(records.frame(None, b"\1\0\0\0") + b"\n")[0] is None and records.unframe(records.frame(0, b"") + b"\n")[0] == 0
+
+
 def test_words_never_cross_rows():
     data = np.frombuffer(b"ab" + b"cd e", np.uint8)
     starts, ends, n = byte_words(data, np.array([0, 2, 2, 6]))
