@@ -63,6 +63,40 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 18) -> Iterator[
         a = b
 
 
+def unpacked(table: pa.Table | pa.RecordBatch, name: str, kind: str) -> np.ndarray:
+    """The values of a column of packed arrays, one after the other."""
+    column = table.column(name)
+    parts = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        wide = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+        off = np.frombuffer(chunk.buffers()[1], wide)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, wide)
+        if off[-1] > off[0]:
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[off[0] : off[-1]])
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint8)).view(kind)
+
+
+def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary rows values[cuts[i]:cuts[i + 1]]."""
+    values = np.ascontiguousarray(values)
+    off = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(off), pa.py_buffer(values.view(np.uint8))])
+
+
+def packed(name: str, key: np.ndarray, columns: list[tuple[str, str]], values: tuple, blob: tuple | None = None) -> pa.RecordBatch:
+    """One row for each key with the values that have it, as bytes; blob: a name, bytes and how many each row has of them."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(order)])
+    cuts = np.r_[first, len(order)]
+    cols = [pa.array(ordered[first], pa.int32())] + [binaries(v[order].astype(kind), cuts) for v, (_, kind) in zip(values, columns, strict=True)]
+    if blob:
+        _, body, size = blob
+        own = size[order]
+        at = np.repeat((np.cumsum(size) - size)[order] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        cols.append(binaries(body[at], np.r_[0, np.cumsum(own)][cuts]))
+    return pa.RecordBatch.from_arrays(cols, [name, *(c for c, _ in columns), *(blob[:1] if blob else ())])
+
+
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of values[start:end] for each span, alike for alike contents wherever they stand."""
     n = len(values)

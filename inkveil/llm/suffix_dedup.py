@@ -31,18 +31,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._bytes import _BASE, _INV, give_back, mix, powers, slices
+from ._bytes import _BASE, _INV, binaries, give_back, mix, packed, powers, slices, span_hash, unpacked
 from ._common import stored
 
-#: Bytes that make a repeat and of an anchor; anchors that a task compares; bytes of pieces in one merge.
-WINDOW, ANCHOR, BUCKET_ANCHORS, MERGE_BYTES = 50, 16, 250_000, 1 << 19
+#: Bytes that make a repeat, of an anchor and of a segment of a long text; anchors that a task compares; shards of a task's text.
+WINDOW, ANCHOR, SEGMENT, BUCKET_ANCHORS, SHARDS = 50, 16, 1 << 22, 250_000, 4
 #: Occurrences from which an anchor is spread over tasks, and the sample of classes (one in so many) that counts them.
 HOT, SAMPLE = 5_000, 16
 
@@ -86,21 +89,39 @@ def anchors(data: np.ndarray, off: np.ndarray, window: int = WINDOW, k: int = AN
     return at, value[at], (before << np.uint64(16) | after).astype(np.uint32), reach
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, sha, sig: 64 bits of the text's SHA-256."""
+def row_anchors(data: np.ndarray, off: np.ndarray, window: int = WINDOW, segment: int = SEGMENT) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, position in the row, hash, sides and reach of the anchors; a longer row than a segment is taken by overlapping segments.
+
+    Every window lies whole in one segment, so all are found; an anchor between two has a reach in each.
+    """
+    if len(off) == 2 and len(data) > segment + window:
+        for x in range(0, len(data) - window + 1, segment):
+            part = data[x : x + segment + window - 1]
+            pos, *rest = anchors(part, np.array([0, len(part)]), window)
+            yield np.zeros(len(pos), np.int64), pos + x, *rest
+    else:
+        pos, *rest = anchors(data, off, window)
+        row = np.searchsorted(off, pos, "right") - 1
+        yield row, pos - off[row], *rest
+
+
+def _keyed(docs: DataFrame, clashing: list[str] | None = None) -> DataFrame:
+    """doc_id, text, sha, sig: 64 bits that stand for the text: of its SHA-256, or of a hash of that where texts would clash."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
-    return rows.withColumn("sig", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long"))
+    sig = F.conv(F.substring("sha", 1, 16), 16, -10).cast("long")
+    return rows.withColumn("sig", F.when(F.col("sha").isin(clashing), F.xxhash64("sha")).otherwise(sig) if clashing else sig)
 
 
-def _hot(keyed: DataFrame) -> np.ndarray:
+def _hot(keyed: DataFrame, window: int) -> np.ndarray:
     """Hashes (ascending) of anchors with about HOT occurrences or more among the classes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, off in slices(batch, "text"):
-                h, n = np.unique(anchors(data, off)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+                for found in row_anchors(data, off, window):
+                    h, n = np.unique(found[2], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
         give_back()
 
     some = keyed.where(F.pmod("sig", F.lit(SAMPLE)) == 0).select("sig", "text").dropDuplicates(["sig"])
@@ -114,59 +135,55 @@ def _among(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
 
 
-def _dealt(keyed: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Anchors by ranges of their hash: bucket, sigs, counts, hashes, sides, positions, reaches (packed).
+def _range(key: np.ndarray, n: int) -> np.ndarray:
+    """Which of n even ranges of 64 bits each key lies in."""
+    return ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
-    Hot ones go by ranges of their class, to buckets from `buckets` on.
-    """
+
+_DEALT = [("sigs", "<i8"), ("hashes", "<u8"), ("sides", "<u4"), ("positions", "<u4"), ("reaches", "<u2")]
+_PLACES = [("sigs", "<i8"), ("positions", "<u4"), ("reaches", "<u2")]
+_SPANS = [("sigs", "<i8"), ("starts", "<u4"), ("ends", "<u4")]
+_PIECES = [("sigs", "<i8"), ("docs", "<i8"), ("starts", "<u4"), ("reaches", "<u2")]
+
+
+def _schema(key: str, columns: list[tuple[str, str]], *more: str) -> str:
+    return ", ".join([f"{key} int", *(f"{c} binary" for c, _ in columns), *(f"{c} binary" for c in more)])
+
+
+def _dealt(keyed: DataFrame, buckets: int, hot: np.ndarray, window: int) -> DataFrame:
+    """Anchors by ranges of their hash: bucket and packed columns; hot ones by ranges of their class, to buckets from `buckets` on."""
 
     def pack(parts: list[tuple]) -> pa.RecordBatch:
-        sigs = np.array([p[0] for p in parts], np.int64)
-        pos, h, side, reach = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
-        doc = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+        sig, h, side, pos, reach = (np.concatenate(c) for c in zip(*parts, strict=True))
         spread = _among(h, hot)
-        by = np.where(spread, sigs.view(np.uint64)[doc], h) >> np.uint64(32)
-        key = ((by * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) + spread * buckets) * len(parts) + doc
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        run = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])  # a bucket's anchors of one class
-        bucket, own = key[run] // len(parts), sigs[key[run] % len(parts)]
-        ends = np.r_[run[1:], len(key)]
-        counts, first = (ends - run).astype("<u4"), np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        h, side, pos, reach, out = h[order], side[order].astype("<u4"), pos[order].astype("<u4"), reach[order].astype("<u2"), []
-        for x, y in zip(first.tolist(), [*first[1:].tolist(), len(run)], strict=True):
-            a, e = run[x], ends[y - 1]
-            out.append((int(bucket[x]), own[x:y].tobytes(), counts[x:y].tobytes(), h[a:e].tobytes(), side[a:e].tobytes(), pos[a:e].tobytes(), reach[a:e].tobytes()))
-        cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "sigs", "counts", "hashes", "sides", "positions", "reaches"])
+        to = _range(np.where(spread, sig.view(np.uint64), h), buckets) + spread * buckets
+        return packed("bucket", to, _DEALT, (sig, h, side, pos, reach))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, parts, size = set(), [], 0
         for batch in batches:
-            sigs = batch.column("sig").to_pylist()
+            sigs = batch.column("sig").to_numpy()
             for a, b, data, off in slices(batch, "text"):
-                found = anchors(data, off)
-                pos = found[0]
-                cuts = np.searchsorted(pos, off)
-                for i in range(b - a):
-                    if cuts[i + 1] > cuts[i] and sigs[a + i] not in seen:
-                        seen.add(sigs[a + i])
-                        own = slice(cuts[i], cuts[i + 1])
-                        parts.append((sigs[a + i], pos[own] - off[i], *(x[own] for x in found[1:])))
-                        size += int(cuts[i + 1] - cuts[i])
-                if size > 400_000:
-                    yield pack(parts)
-                    parts, size, seen = [], 0, set()
-        if parts:
+                new = np.array([not (x in seen or seen.add(x)) for x in sigs[a:b].tolist()])  # a class once
+                for row, pos, h, side, reach in row_anchors(data, off, window):
+                    own = new[row]
+                    parts.append((sigs[a + row[own]], h[own], side[own], pos[own], reach[own]))
+                    size += int(own.sum())
+                    if size > 400_000:
+                        yield pack(parts)
+                        parts, size = [], 0
+                if len(seen) > 100_000:
+                    seen = set()
+        if size:
             yield pack(parts)
         parts = []
         give_back()
 
-    return keyed.select("sig", "text").mapInArrow(work, "bucket int, sigs binary, counts binary, hashes binary, sides binary, positions binary, reaches binary")
+    return keyed.select("sig", "text").mapInArrow(work, _schema("bucket", _DEALT))
 
 
 def _repeated(dealt: DataFrame, parts: int) -> DataFrame:
-    """Anchors that another class has too, and all hot ones, by ranges of the class: part, sigs, positions, reaches (packed)."""
+    """Anchors that another class has too, and all hot ones, by ranges of the class: part and packed columns."""
 
     def several(key: np.ndarray, sig: np.ndarray) -> np.ndarray:
         order = np.argsort(key, kind="stable")
@@ -176,156 +193,129 @@ def _repeated(dealt: DataFrame, parts: int) -> DataFrame:
         out[order] = np.repeat(many, np.diff(np.r_[start, len(key)]))
         return out
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        kinds = (("hashes", "<u8"), ("sides", "<u4"), ("positions", "<u4"), ("reaches", "<u2"))
-        h, side, pos, reach = (np.frombuffer(b"".join(pdf.pop(c)), t) for c, t in kinds)
-        sig = np.repeat(np.frombuffer(b"".join(pdf["sigs"]), "<i8"), np.frombuffer(b"".join(pdf["counts"]), "<u4"))
-        again = np.full(len(h), key[0] >= parts)
-        for k, s in enumerate(() if key[0] >= parts else (side >> np.uint32(16), side & np.uint32(0xFFFF))):
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        sig, h, side, pos, reach = (unpacked(table, *c) for c in _DEALT)
+        again = np.full(len(h), key[0].as_py() >= parts)
+        for k, s in enumerate(() if again.all() else (side >> np.uint32(16), side & np.uint32(0xFFFF))):
             again |= several(h + (s.astype(np.uint64) << np.uint64(1) | np.uint64(k)) * np.uint64(_BASE), sig)
         keep = np.flatnonzero(again)
-        keep = keep[np.lexsort((pos[keep], sig[keep]))]
-        new = np.r_[True, (sig[keep][1:] != sig[keep][:-1]) | (pos[keep][1:] != pos[keep][:-1])] if len(keep) else np.zeros(0, bool)
-        keep = keep[new]  # the same class from several batches
-        to = (sig[keep].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        out = []
-        for p in np.unique(to).tolist():
-            at = keep[to == p]
-            out.append((p, sig[at].tobytes(), pos[at].tobytes(), reach[at].tobytes()))
-        del h, side, pos, reach, sig, again, keep
+        keep = keep[np.lexsort((reach[keep], pos[keep], sig[keep]))]
+        sig, pos, reach = sig[keep], pos[keep], reach[keep]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (pos[1:] != pos[:-1]) | (reach[1:] != reach[:-1])][: len(sig)]
+        sig, pos, reach = sig[new], pos[new], reach[new]  # the same class from several batches
+        out = pa.Table.from_batches([packed("part", _range(sig, parts), _PLACES, (sig, pos, reach))])
+        del h, side, again, keep, table
         give_back()
-        return pd.DataFrame(out, columns=["part", "sigs", "positions", "reaches"])
+        return out
 
-    return dealt.groupBy("bucket").applyInPandas(work, "part int, sigs binary, positions binary, reaches binary")
+    return dealt.groupBy("bucket").applyInArrow(work, _schema("part", _PLACES))
 
 
 def _by_class(repeated: DataFrame) -> DataFrame:
     """sig, positions (ascending), reaches (packed)."""
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, pos, reach = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("sigs", "<i8"), ("positions", "<u4"), ("reaches", "<u2")))
-        order = np.lexsort((pos, sig))
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        sig, pos, reach = (unpacked(table, *c) for c in _PLACES)
+        order = np.lexsort((reach, pos, sig))
         sig, pos, reach = sig[order], pos[order], reach[order]
-        cuts = np.r_[np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]), len(sig)].tolist()
-        out = [(sig[a], pos[a:b].tobytes(), reach[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+        cuts = np.r_[first, len(sig)]
+        out = pa.table({"sig": sig[first], "positions": binaries(pos, cuts), "reaches": binaries(reach, cuts)})
         give_back()
-        return pd.DataFrame(out, columns=["sig", "positions", "reaches"])
+        return out
 
-    return repeated.groupBy("part").applyInPandas(work, "sig long, positions binary, reaches binary")
+    return repeated.groupBy("part").applyInArrow(work, "sig long, positions binary, reaches binary")
 
 
 # --- pieces ----------------------------------------------------------------
 
 
-def _placed(pos: np.ndarray, reach: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and anchors' hashes of pieces."""
-    grams = raw[pos[:, None] + np.arange(ANCHOR)].astype(np.uint64) + np.uint64(1)
-    return pos - (reach & 255), mix((grams * powers(_BASE, ANCHOR)).sum(1, dtype=np.uint64))
-
+def _pieces(found: DataFrame, tasks: int, hot: np.ndarray, window: int) -> DataFrame:
+    """Pieces by ranges of their anchor's hash: task, packed columns, blob (their bytes).
 
-def _pieces(found: DataFrame, tasks: int, hot: np.ndarray) -> DataFrame:
-    """Pieces by ranges of their anchor's hash, without hot ones: task, sigs, docs, counts (a class), starts, reaches, blob (packed)."""
+    The windows of hot anchors go by ranges of their own hashes to tasks from `tasks` on; the blob
+    has 16 bytes of hashes for each. Of equal windows in a batch only one with the smallest doc_id
+    goes there; what that one removes at once goes, as pieces, to tasks from 2 * `tasks` on.
+    """
 
-    def pack(parts: list[tuple]) -> pa.RecordBatch:
-        sigs, docs = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
-        start, reach, h = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
-        pieces = [x for p in parts for x in p[5]]
-        doc = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
-        key = ((h >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64) * len(parts) + doc
-        order = np.argsort(key, kind="stable")
-        counts = np.bincount(key, minlength=tasks * len(parts)).reshape(tasks, -1)
-        cuts, out = np.r_[0, np.cumsum(counts.sum(1))], []
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            here, own = counts[b] > 0, order[cuts[b] : cuts[b + 1]]
-            out.append((b, sigs[here].tobytes(), docs[here].tobytes(), counts[b][here].astype("<u4").tobytes(), start[own].astype("<u4").tobytes(), reach[own].tobytes(), b"".join([pieces[i] for i in own.tolist()])))
-        cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["task", "sigs", "docs", "counts", "starts", "reaches", "blob"])
+    def cold(parts: list[tuple]) -> pa.RecordBatch:
+        sig, doc, start, reach, h = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        body, size = np.concatenate([p[5] for p in parts]), (reach >> 8).astype(np.int64) + window
+        to = _range(h, tasks)
+        return packed("task", to, _PIECES, (sig, doc, start, reach), ("blob", body, size))
+
+    def warm(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sig, doc, start, one, two = (np.concatenate(c) for c in zip(*parts, strict=True))
+        kind, _ = _alike(one, two)
+        order = np.lexsort((doc, kind))
+        first = order[np.r_[True, kind[order][1:] != kind[order][:-1]]]
+        least = np.empty(len(first), np.int64)
+        least[kind[first]] = doc[first]
+        gone = doc > least[kind]
+        rest = first
+        x, y = runs(sig[gone], start[gone])
+        if len(x):
+            s = sig[gone][x]
+            yield packed("task", _range(s, tasks) + 2 * tasks, _PIECES, (s, start[gone][x].astype(np.int64), (start[gone][y] + window).astype(np.uint32), np.zeros(len(x), np.uint16)), ("blob", np.zeros(0, np.uint8), np.zeros(len(x), np.int64)))
+        same = (doc == least[kind]) & ~np.isin(np.arange(len(doc)), rest)  # the same document has it again: as the first, wherever a smaller one is found
+        rest = np.r_[rest, np.flatnonzero(same)]
+        both = np.stack([one[rest], two[rest]], 1).astype("<u8").view(np.uint8).ravel()
+        yield packed("task", _range(one[rest], tasks) + tasks, _PIECES, (sig[rest], doc[rest], start[rest], np.zeros(len(rest), np.uint16)), ("blob", both, np.full(len(rest), 16, np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, size, hots, many = [], 0, [], 0
         for batch in batches:
-            for sig, doc, text, ps, rs in zip(*(batch.column(c) for c in ("sig", "doc", "text", "positions", "reaches")), strict=True):
-                data, pos, reach = text.as_py().encode("utf-8", "surrogatepass"), np.frombuffer(ps.as_py(), "<u4").astype(np.int64), np.frombuffer(rs.as_py(), "<u2")
-                start, h = _placed(pos, reach, np.frombuffer(data, np.uint8))
-                cold = ~_among(h, hot)
-                if not cold.any():
-                    continue
-                start, reach, h = start[cold], reach[cold], h[cold]
-                end = start + (reach >> 8) + WINDOW
-                parts.append((sig.as_py(), doc.as_py(), start, reach, h, [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]))
-                size += len(start)
+            for a, b, data, off in slices(batch, "text"):
+                part = batch.slice(a, b - a)
+                n = pc.binary_length(part.column("positions")).to_numpy() // 4
+                row = np.repeat(np.arange(b - a), n)
+                pos, reach = unpacked(part, "positions", "<u4").astype(np.int64), unpacked(part, "reaches", "<u2")
+                sig, doc, at = part.column("sig").to_numpy()[row], part.column("doc").to_numpy()[row], pos + off[row]
+                symbols = data.astype(np.uint64) + np.uint64(1)
+                h, start = span_hash(symbols, at, at + ANCHOR), at - (reach & 255)
+                spread = _among(h, hot)
+                own = ~spread
+                count = (reach[own] >> 8).astype(np.int64) + window
+                body = data[np.repeat(start[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+                parts.append((sig[own], doc[own], (start - off[row])[own].astype(np.uint32), reach[own], h[own], body))
+                size += len(count)
+                if spread.any():
+                    count = (reach[spread] >> 8).astype(np.int64) + 1
+                    first = np.repeat(start[spread] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    of = np.repeat(np.flatnonzero(spread), count)
+                    hots.append((sig[of], doc[of], (first - off[row[of]]).astype(np.uint32), span_hash(symbols, first, first + window), span_hash(mix(symbols), first, first + window)))
+                    many += len(first)
                 if size > 100_000:
-                    yield pack(parts)
+                    yield cold(parts)
                     parts, size = [], 0
-        if parts:
-            yield pack(parts)
-        parts = []
+                if many > 300_000:
+                    yield from warm(hots)
+                    hots, many = [], 0
+        if size:
+            yield cold(parts)
+        if many:
+            yield from warm(hots)
+        parts, hots = [], []
         give_back()
 
-    return found.mapInArrow(work, "task int, sigs binary, docs binary, counts binary, starts binary, reaches binary, blob binary")
+    return found.select("sig", "doc", "text", "positions", "reaches").mapInArrow(work, _schema("task", _PIECES, "blob"))
 
 
-def _hot_spans(found: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """What hot anchors' windows remove, by ranges of the class: part, sigs, starts, ends (packed)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple], least: dict[bytes, int]) -> pa.RecordBatch:
-            done: list[list] = []  # a smaller doc_id was read here; runs of windows are one
-            for window, doc, sig, at in rows:
-                if doc == least[window]:
-                    done.append([window, doc, sig, at, at + WINDOW])
-                elif done and done[-1][0] is None and done[-1][2] == sig and done[-1][3] <= at <= done[-1][4]:
-                    done[-1][4] = at + WINDOW
-                else:
-                    done.append([None, doc, sig, at, at + WINDOW])
-            cols = [pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.binary(), *[pa.int64()] * 4), strict=True)]
-            return pa.RecordBatch.from_arrays(cols, ["window", "doc", "sig", "start", "end"])
-
-        rows, least = [], {}
-        for batch in batches:
-            for sig, doc, text, ps, rs in zip(*(batch.column(c) for c in ("sig", "doc", "text", "positions", "reaches")), strict=True):
-                data, pos, reach = text.as_py().encode("utf-8", "surrogatepass"), np.frombuffer(ps.as_py(), "<u4").astype(np.int64), np.frombuffer(rs.as_py(), "<u2")
-                start, h = _placed(pos, reach, np.frombuffer(data, np.uint8))
-                own, sig, doc = _among(h, hot), sig.as_py(), doc.as_py()
-                for a, n in zip(start[own].tolist(), (reach[own] >> 8).tolist(), strict=True):
-                    for at in range(a, a + n + 1):
-                        window = hashlib.blake2b(data[at : at + WINDOW], digest_size=16).digest()
-                        if least.setdefault(window, doc) > doc:
-                            least[window] = doc
-                        rows.append((window, doc, sig, at))
-                if len(rows) > 200_000:
-                    yield out(rows, least)
-                    rows, least = [], {}
-        if rows:
-            yield out(rows, least)
-        rows, least = [], {}
-        give_back()
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig, a, b = (batch.column(c).to_numpy() for c in ("sig", "start", "end"))
-            to = (sig.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-            rows = [(p, sig[to == p].tobytes(), a[to == p].astype("<u4").tobytes(), b[to == p].astype("<u4").tobytes()) for p in np.unique(to).tolist()]
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "sigs", "starts", "ends"])
-
-    rows = stored(found.mapInArrow(work, "window binary, doc long, sig long, start long, end long"), "windows")
-    low = rows.where("window is not null").groupBy("window").agg(F.min("doc").alias("least"))
-    gone = rows.join(low, "window").where("doc > least").select("sig", "start", "end")
-    return gone.unionByName(rows.where("window is null").select("sig", "start", "end")).mapInArrow(pack, "part int, sigs binary, starts binary, ends binary")
+def runs(sig: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last rows of runs of the next place of the same class."""
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (start[1:] != start[:-1] + np.uint32(1))][: len(sig)]
+    x = np.flatnonzero(new)
+    return x, np.r_[x[1:], len(sig)][: len(x)] - 1
 
 
 # --- shard suffix arrays and their merge -----------------------------------
 
 
-def _prefixes(text: np.ndarray) -> np.ndarray:
-    """The first 8 bytes of every rotation as one number."""
-    padded = np.concatenate([text, np.resize(text, 8)]).astype(np.uint64)
-    key = np.zeros(len(text), np.uint64)
-    for j in range(8):
-        key = key << np.uint64(8) | padded[j : j + len(text)]
-    return key
+class Shard(NamedTuple):
+    """Rotations of a text in sorted order: the two symbols before each (its Burrows-Wheeler transform, two columns of it), and where it stands."""
+
+    before: np.ndarray
+    at: np.ndarray
 
 
 def suffix_order(text: np.ndarray, depth: int = 64) -> np.ndarray:
@@ -333,172 +323,198 @@ def suffix_order(text: np.ndarray, depth: int = 64) -> np.ndarray:
 
     Every fragment ends with a separator; what follows it never counts as a match.
     """
-    n = len(text)
-    order = np.argsort(_prefixes(text), kind="stable")
-    key, have = _prefixes(text)[order], 8
+    n, have = len(text), 4
+    padded = np.concatenate([text, np.resize(text, 3)]).astype(np.int64)
+    key = padded[:n] << 24 | padded[1 : n + 1] << 16 | padded[2 : n + 2] << 8 | padded[3 : n + 3]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
     while have < depth:
+        new = np.r_[False, key[1:] != key[:-1]]
+        if new[1:].all():
+            break
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+        rank[order] = np.cumsum(new)
         both = rank * n + np.roll(rank, -have)
         order = np.argsort(both, kind="stable")
         key, have = both[order], 2 * have
-        if len(key) < 2 or (key[1:] != key[:-1]).all():
-            break
     return order
 
 
-def interleave(text_a: np.ndarray, order_a: np.ndarray, text_b: np.ndarray, order_b: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Merge two sorted shards by refining their interleave.
+def shard(text: np.ndarray, base: int = 0) -> Shard:
+    """The shard of a text that starts at `base` among all texts of its task."""
+    order = suffix_order(text)
+    return Shard(text[order - 2].astype(np.uint16) << np.uint16(8) | text[order - 1], (order + base).astype(np.int32))
+
+
+def interleave(a: Shard, b: Shard, depth: int = WINDOW) -> tuple[Shard, np.ndarray]:
+    """Merge two shards by refining their interleave, and the common prefix of each entry with the one before.
 
-    Returns from which shard each entry of the merged order comes, and the common prefix of
-    each entry with the one before (at most `depth`, which also stands for longer ones).
+    At first all of a stand before all of b. Each round moves every entry behind the two
+    symbols before it, which sorts by two bytes more; no suffix is compared or sorted. The
+    round in which neighbours part is their common prefix (rounded down to an even number;
+    `depth` also stands for longer ones).
     """
-    before = lambda text, order: text[order - 2].astype(np.uint16) << np.uint16(8) | text[order - 1]
-    bwt_a, bwt_b = before(text_a, order_a), before(text_b, order_b)
-    keys = np.concatenate([_prefixes(text_a)[order_a], _prefixes(text_b)[order_b]])
-    merged = np.argsort(keys, kind="stable")
-    keys = keys[merged]
-    source = merged >= len(order_a)
-    edge = np.r_[True, keys[1:] != keys[:-1]]
-    common = np.full(len(keys), depth, np.uint8)
-    common[edge] = 0  # parted within the first 8 bytes
-    for h in range(8, depth, 2):
-        symbol = np.empty(len(source), np.uint16)
-        symbol[~source], symbol[source] = bwt_a, bwt_b
-        moved = np.argsort(symbol, kind="stable")
+    source = np.r_[np.zeros(len(a.at), bool), np.ones(len(b.at), bool)]
+    edge = np.arange(len(source)) == 0
+    common = np.full(len(source), depth, np.uint8)
+    common[:1] = 0
+    symbol = np.empty(len(source), np.uint16)
+    for h in range(0, depth, 2):
+        symbol[~source], symbol[source] = a.before, b.before
+        moved = np.argsort(symbol, kind="stable")  # a counting sort of 16 bits
         block = np.cumsum(edge, dtype=np.int32)[moved]
-        source, symbol = source[moved], symbol[moved]
-        now = np.r_[True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])]
+        sorted_ = symbol[moved]
+        source = source[moved]
+        now = np.r_[True, (sorted_[1:] != sorted_[:-1]) | (block[1:] != block[:-1])][: len(source)]
         common[now & ~edge] = h
         edge = now | edge
-    return source, common
-
-
-def least_documents(docs: np.ndarray, pieces: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
-    """For each piece and each window in it, the smallest document with a piece that has the window."""
-    sizes = np.array([len(f) for f in pieces])
-    half = int(np.searchsorted(np.cumsum(sizes), sizes.sum() / 2)) + 1
-    shards = []
-    for a, b in ((0, half), (half, len(pieces))):
-        text = np.frombuffer(b"\0".join([*pieces[a:b], b""]) or b"\0\0", np.uint8)
-        doc = np.repeat(docs[a:b], sizes[a:b] + 1) if b > a else np.zeros(2, np.int64)
-        left = np.zeros(len(text), np.int64)
-        if b > a:
-            ends = np.cumsum(sizes[a:b] + 1) - 1  # the separators
-            left = np.repeat(ends, sizes[a:b] + 1) - np.arange(len(text))
-        shards.append((text, suffix_order(text), doc, left))
-    source, common = interleave(shards[0][0], shards[0][1], shards[1][0], shards[1][1], window)
-    most = np.iinfo(np.int64).max
-    doc = np.empty(len(source), np.int64)
-    for which, (_, order, owner, left) in zip((~source, source), shards, strict=True):
-        doc[which] = np.where(left[order] >= window, owner[order], most)
-    starts = np.flatnonzero(common < window)
-    low = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.r_[starts, len(doc)]))
-    out = []
-    for which, (text, order, *_), (a, b) in zip((~source, source), shards, ((0, half), (half, len(pieces))), strict=True):
-        least = np.empty(len(text), np.int64)
-        least[order] = low[which]
-        p = 0
-        for s in sizes[a:b].tolist():
-            out.append(least[p : p + s - window + 1])
-            p += s + 1
-    return out
-
-
-def _resolve(sig, doc, start, reach, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Removed runs (sig, start, end) of the pieces of one task."""
-    size = (reach >> 8).astype(np.int64) + WINDOW
+    at = np.empty(len(source), np.int32)
+    symbol[~source], symbol[source] = a.before, b.before
+    at[~source], at[source] = a.at, b.at
+    return Shard(symbol, at), common
+
+
+def merged(shards: list[Shard], depth: int = WINDOW) -> tuple[Shard, np.ndarray]:
+    """All shards merged pairwise up a tree, with the common prefixes of the last merge."""
+    while len(shards) > 2:
+        shards = [interleave(*pair, depth)[0] if len(pair) == 2 else pair[0] for pair in (shards[i : i + 2] for i in range(0, len(shards), 2))]
+    return interleave(*shards, depth)
+
+
+def least_documents(docs: np.ndarray, text: np.ndarray, ends: np.ndarray, window: int = WINDOW, shards: int = SHARDS) -> np.ndarray:
+    """For each place of a text of pieces, each closed by a separator: the smallest document of a piece that has the window there.
+
+    docs: the document of each piece; ends: where its separator stands. A place without a whole window has the greatest number.
+    """
+    sizes = np.diff(np.r_[-1, ends])
+    doc = np.repeat(docs, sizes)
+    doc[np.repeat(ends, sizes) - np.arange(len(text)) < window] = np.iinfo(np.int64).max
+    cuts = np.unique(np.searchsorted(ends, len(text) * np.arange(1, shards) / shards))
+    cuts = [0, *(ends[cuts[cuts < len(ends) - 1]] + 1).tolist(), len(text)]
+    all_ = [shard(text[x:y], x) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    order, common = merged(all_ if len(all_) > 1 else [*all_, Shard(np.zeros(0, np.uint16), np.zeros(0, np.int32))], window)
+    starts = np.flatnonzero(common < window)  # intervals of equal windows
+    low = np.minimum.reduceat(doc[order.at], starts)
+    least = np.empty(len(text), np.int64)
+    least[order.at] = np.repeat(low, np.diff(np.r_[starts, len(text)]))
+    return least
+
+
+def _alike(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a pair of hashes the number of its kind, and the first row of each kind."""
+    order = np.lexsort((other, h))
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (other[order][1:] != other[order][:-1])][: len(h)]
+    kind = np.empty(len(h), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return kind, order[new]
+
+
+def _resolve(sig, doc, start, reach, text: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Removed runs (sig, start, end) of the pieces of one task; text: their bytes one after the other."""
+    size = (reach >> 8).astype(np.int64) + window
     ends = np.cumsum(size)
-    text = [blob[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-    anchor = [t[r : r + ANCHOR] for t, r in zip(text, (reach & 255).tolist(), strict=True)]
-    number: dict[bytes, int] = {}
-    which = np.fromiter((number.setdefault(t, len(number)) for t in text), np.int64, len(text))
-    kinds = list(number)
-    least = np.full(len(kinds), np.iinfo(np.int64).max)
+    symbols = text.astype(np.uint64) + np.uint64(1)
+    hashed = span_hash(symbols, ends - size, ends)
+    at = ends - size + (reach & 255)
+    anchor = span_hash(symbols, at, at + ANCHOR)
+    which, first = _alike(hashed, span_hash(mix(symbols), ends - size, ends))
+    least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
-    of_anchor: dict[bytes, list[int]] = {}
-    seen = set()
-    for k, a in zip(which.tolist(), anchor, strict=True):
-        if k not in seen:
-            seen.add(k)
-            of_anchor.setdefault(a, []).append(k)
-    windows = np.array([len(t) - WINDOW + 1 for t in kinds])
-    at = np.cumsum(windows) - windows
-    low = np.repeat(least, windows)  # for each window of each kind of piece
-    several, group, bulk = [], [], 0
-    for ks in of_anchor.values():
-        if len(ks) > 1:
-            group += ks
-            bulk += sum(len(kinds[k]) for k in ks)
-            if bulk > MERGE_BYTES:
-                several.append(group)
-                group, bulk = [], 0
-    for ks in [*several, group] if group else several:
-        for k, own in zip(ks, least_documents(least[ks], [kinds[k] for k in ks]), strict=True):
-            low[at[k] : at[k] + windows[k]] = own
-    n = windows[which]
-    first = np.cumsum(n) - n
+    # the text of all kinds, those of one anchor together, each closed by a separator
+    by = np.argsort(anchor[first], kind="stable")
+    sizes = size[first][by]
+    close = np.cumsum(sizes + 1) - 1
+    a = close - sizes
+    source = np.arange(close[-1] + 1 if len(close) else 0) - np.repeat(a - (ends - size)[first][by], sizes + 1)
+    body = text[np.minimum(source, len(text) - 1)]
+    body[close] = 0
+    low = np.repeat(least[by], sizes + 1)
+    own = anchor[first][by]
+    alone = np.r_[True, own[1:] != own[:-1]] & np.r_[own[1:] != own[:-1], True] if len(own) else np.zeros(0, bool)
+    if (~alone).any():
+        inside = np.repeat(~alone, sizes + 1)
+        low[inside] = least_documents(least[by][~alone], body[inside], np.cumsum(sizes[~alone] + 1) - 1, window)
+    base = np.empty(len(by), np.int64)
+    base[by] = a
+    n = size - window + 1
     owner = np.repeat(np.arange(len(which)), n)
-    place = np.arange(len(owner)) - first[owner]
-    gone = low[at[which][owner] + place] < doc[owner]
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    gone = low[base[which][owner] + place] < doc[owner]
     owner, place = owner[gone], place[gone]
-    new = np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)] if len(owner) else np.zeros(0, bool)
-    a = np.flatnonzero(new)
-    b = np.r_[a[1:], len(owner)] - 1 if len(a) else a
-    return sig[owner[a]], start[owner[a]] + place[a], start[owner[a]] + place[b] + WINDOW
-
-
-def _spans(pieces: DataFrame, parts: int, more: DataFrame | None = None) -> DataFrame:
-    """sig, spans (sorted, disjoint): what goes from each first document; more: packed spans found elsewhere."""
-
-    def resolve(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.frombuffer(b"".join(pdf["counts"]), "<u4")
-        sig, doc = (np.repeat(np.frombuffer(b"".join(pdf[c]), "<i8"), counts) for c in ("sigs", "docs"))
-        start, reach = np.frombuffer(b"".join(pdf["starts"]), "<u4").astype(np.int64), np.frombuffer(b"".join(pdf["reaches"]), "<u2")
-        sig, a, b = _resolve(sig, doc, start, reach, b"".join(pdf.pop("blob")))
-        to = (sig.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        out = [(p, sig[to == p].tobytes(), a[to == p].astype("<u4").tobytes(), b[to == p].astype("<u4").tobytes()) for p in np.unique(to).tolist()]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)][: len(owner)]
+    x = np.flatnonzero(new)
+    y = np.r_[x[1:], len(owner)][: len(x)] - 1
+    return sig[owner[x]], start[owner[x]] + place[x], start[owner[x]] + place[y] + window
+
+
+def _resolve_windows(sig, doc, start, both: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Removed runs of windows told apart by two hashes."""
+    kind, first = _alike(both[:, 0], both[:, 1])
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, doc)
+    gone = least[kind] < doc
+    sig, start = sig[gone], start[gone].astype(np.int64)
+    return sig, start, start + window
+
+
+def _spans(pieces: DataFrame, tasks: int, window: int) -> DataFrame:
+    """sig, spans (sorted, disjoint): what goes from each first document."""
+
+    def resolve(key: tuple, table: pa.Table) -> pa.Table:
+        (sig, doc, start, reach), blob = (unpacked(table, *c) for c in _PIECES), unpacked(table, "blob", "u1")
+        kind = key[0].as_py() // tasks
+        if kind == 2:
+            sig, a, b = sig, doc, start
+        elif kind == 1:
+            sig, a, b = _resolve_windows(sig, doc, start, blob.view("<u8").reshape(-1, 2), window)
+        else:
+            sig, a, b = _resolve(sig, doc, start.astype(np.int64), reach, blob, window)
+        out = pa.Table.from_batches([packed("part", _range(sig, tasks), _SPANS, (sig, a.astype("<u4"), b.astype("<u4")))])
+        del doc, start, reach, blob, table
         give_back()
-        return pd.DataFrame(out, columns=["part", "sigs", "starts", "ends"])
-
-    def unite(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, a, b = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("sigs", "<i8"), ("starts", "<u4"), ("ends", "<u4")))
-        order = np.lexsort((a, sig))
-        out: dict[int, list[list[int]]] = {}
-        for s, x, y in zip(sig[order].tolist(), a[order].tolist(), b[order].tolist(), strict=True):
-            own = out.setdefault(s, [])
-            if own and x <= own[-1][1]:
-                own[-1][1] = max(own[-1][1], y)
-            else:
-                own.append([x, y])
-        return pd.DataFrame({"sig": list(out), "spans": [[{"start": x, "end": y} for x, y in v] for v in out.values()]})
-
-    packed = pieces.groupBy("task").applyInPandas(resolve, "part int, sigs binary, starts binary, ends binary")
-    if more is not None:
-        packed = packed.unionByName(more)
-    return packed.groupBy("part").applyInPandas(unite, "sig long, spans array<struct<start: long, end: long>>")
-
-
-def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, sig, sha, n_bytes, first) and removed spans (sig, spans) of first documents."""
+        return out
+
+    def unite(key: tuple, table: pa.Table) -> pa.Table:
+        sig, a, b = (unpacked(table, *c) for c in _SPANS)
+        order = np.lexsort((b, a, sig))
+        sig, a, b = sig[order], a[order].astype(np.int64), b[order].astype(np.int64)
+        lift = np.cumsum(np.r_[False, sig[1:] != sig[:-1]][: len(sig)]) << 33  # classes one after the other on a line
+        far = np.maximum.accumulate(b + lift) if len(sig) else b
+        new = np.flatnonzero(np.r_[True, (a + lift)[1:] > far[:-1]][: len(sig)])
+        a, b, sig = a[new], (far - lift)[np.r_[new[1:], len(far)][: len(new)] - 1], sig[new]
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+        each = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["start", "end"])
+        return pa.table({"sig": sig[first], "spans": pa.ListArray.from_arrays(pa.array(np.r_[first, len(sig)], pa.int32()), each)})
+
+    found = pieces.groupBy("task").applyInArrow(resolve, _schema("part", _SPANS))
+    return found.groupBy("part").applyInArrow(unite, "sig long, spans array<struct<start: long, end: long>>")
+
+
+def _analysed(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows (doc_id, sig, n_bytes, sha, first), removed spans (sig, spans) of first documents, and clashing SHA-256s."""
     keyed = _keyed(docs)
     rows = stored(keyed.select("doc_id", "sig", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
-    firsts = stored(rows.groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("n_bytes").alias("n")), "firsts")
-    total = firsts.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, -(-total * 2 // (WINDOW - ANCHOR + 2) // BUCKET_ANCHORS))
-    hot = _hot(keyed)
-    again = stored(_by_class(_repeated(_dealt(keyed, buckets, hot), buckets)), "anchors").join(firsts.select("sig", F.col("first").alias("doc")), "sig")
+    firsts = stored(rows.groupBy("sig", "sha").agg(F.min("doc_id").alias("first"), F.max("n_bytes").alias("n"), F.count("*").alias("copies")), "firsts")
+    clash = firsts.withColumn("least", F.min("sha").over(Window.partitionBy("sig"))).where("sha <> least").select("sha")
+    clash = [r["sha"] for r in clash.collect()]  # by chance some 25 among 3 * 10**10 texts
+    if clash:
+        keyed = _keyed(docs, clash)
+        sig = lambda df: df.withColumn("sig", F.when(F.col("sha").isin(clash), F.xxhash64("sha")).otherwise(F.col("sig")))
+        rows, firsts = sig(rows), sig(firsts)
+    total, copies = firsts.agg(F.sum("n"), F.max("copies")).first()
+    buckets = max(8, -(-(total or 0) * 2 // (window - ANCHOR + 2) // BUCKET_ANCHORS))
+    hot = _hot(keyed, window)
+    again = stored(_by_class(_repeated(_dealt(keyed, buckets, hot, window), buckets)), "anchors").join(firsts.select("sig", F.col("first").alias("doc")), "sig")
     found = again.join(keyed.select("sig", "doc_id", "text"), "sig").where("doc_id = doc")
     if rows.count() > rows.select("doc_id").distinct().count():
         found = found.dropDuplicates(["sig"])
-    more = _hot_spans(found, buckets, hot) if len(hot) else None
-    cut = stored(_spans(_pieces(found, 3 * buckets, hot), buckets, more), "spans")
-    return rows.join(firsts.drop("n"), "sig"), cut
+    cut = stored(_spans(_pieces(found, 2 * buckets, hot, window), 2 * buckets, window), "spans")
+    return rows.join(firsts.select("sig", "first"), "sig"), cut, clash
 
 
 def removed_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    rows, spans = _analysed(docs)
+    rows, spans, clash = _analysed(docs, window)
     rows = rows.join(spans.select("sig", F.lit(True).alias("some")), "sig", "left")
     copy = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= window)
     own = (F.col("doc_id") == F.col("first")) & F.col("some")
@@ -523,7 +539,7 @@ def removed_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     firsts = rows.where(own).select("sig", "first").distinct()
-    cut = _keyed(docs).select("sig", "doc_id", "text").join(spans.join(firsts, "sig"), "sig").where("doc_id = first").select("doc_id", "text", "spans")
+    cut = _keyed(docs, clash).select("sig", "doc_id", "text").join(spans.join(firsts, "sig"), "sig").where("doc_id = first").select("doc_id", "text", "spans")
     return plain.unionByName(cut.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
@@ -533,7 +549,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A cut never parts a character: its partial bytes stay. A text that was repeated whole
     drops out; a text that was empty or null at first stays.
     """
-    rows, spans = _analysed(docs)
+    rows, spans, clash = _analysed(docs, window)
     marks = rows.join(spans, "sig", "left").select("sig", F.col("doc_id").alias("_id"), "first", "n_bytes", "spans").dropDuplicates(["sig", "_id"])
     marks = marks.withColumn("_whole", F.coalesce((F.col("_id") != F.col("first")) & (F.col("n_bytes") >= window), F.lit(False)))
     marks = marks.where("not _whole").select(F.col("sig").alias("_sig"), "_id", F.when(F.col("_id") == F.col("first"), F.col("spans")).alias("_spans"))
@@ -556,8 +572,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out.append(b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass"))
         return pd.Series(out)
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    sig = F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("long")
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    sig = F.conv(F.substring(sha, 1, 16), 16, -10).cast("long")
+    sig = F.when(sha.isin(clash), F.xxhash64(sha)).otherwise(sig) if clash else sig
     joined = docs.withColumn("_own", sig).join(marks, (F.col("_own") == F.col("_sig")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     touched = joined.where("_spans is not null").withColumn("text", kept("text", "_spans")).where("text <> ''")
     if "n_chars" in docs.columns:

@@ -140,38 +140,57 @@ def test_suffix_dedup_odd(spark, odd, nothing):
     assert set(kept) == {1, 2, 4, 5, 6, 7, 8, 9, 10} and kept[5].text is None and kept[4].n_chars == len(kept[4].text)
 
 
-def test_suffix_dedup_hot_anchor(spark, monkeypatch):
-    """A passage that most documents share in different surroundings never meets in one task."""
-    monkeypatch.setattr(suffix_dedup, "HOT", 30, raising=False)
-    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1, raising=False)
-    most, spans = [], suffix_dedup._spans
-
-    def watched(pieces, *rest):
-        most.append(max((sum(np.frombuffer(r.counts, "<u4")) for r in pieces.groupBy("task").agg(F.array_join(F.collect_list(F.hex("counts")), "").alias("c")).select(F.unhex("c").alias("counts")).collect()), default=0))
-        return spans(pieces, *rest)
-
-    monkeypatch.setattr(suffix_dedup, "_spans", watched)
+@pytest.mark.parametrize("hot", [30, 10**9])
+def test_suffix_dedup_hot_anchor(spark, monkeypatch, hot):
+    """A passage that most documents share in different surroundings, met by its windows or by its anchors: the same result."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
     rng = np.random.default_rng(5)
     word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
     passage, line = word(110), word(70)
     docs = [(int(d), word(int(rng.integers(0, 40))) + passage[: 110 - d % 3 * 20] + word(int(rng.integers(0, 60))) + (line if d % 9 == 0 else "") + word(9)) for d in rng.permutation(120)]
+    docs.append((500, "ab" * 400))
+    docs.append((501, "ab" * 300))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
     assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.removed_digest(df).collect()} == cut(docs)
-    assert max(most) < 120
-
-
-def test_merged_order_and_prefixes():
-    rng = np.random.default_rng(1)
-    a, b = (rng.choice(np.frombuffer(b"ab", np.uint8), 300) for _ in "ab")
-    a, b = np.r_[a, np.uint8(0)], np.r_[b, a[50:200], np.uint8(0)]
-    oa, ob = suffix_dedup.suffix_order(a), suffix_dedup.suffix_order(b)
-    source, common = suffix_dedup.interleave(a, oa, b, ob, 50)
-    places = {False: iter(oa), True: iter(ob)}
-    text = {False: bytes(a) * 2, True: bytes(b) * 2}
-    got = [text[bool(s)][(i := int(next(places[bool(s)]))) : i + 50] for s in source]
-    assert got == sorted(got)
+
+
+@pytest.mark.parametrize("shards", [1, 2, 3, 5])
+def test_merged_order_and_prefixes(shards):
+    """The tree of merges gives the order and the common prefixes that sorting gives."""
+    rng = np.random.default_rng(shards)
+    texts = [np.r_[rng.choice(np.frombuffer(b"ab", np.uint8), 300), np.uint8(0)] for _ in range(shards)]
+    texts[-1][50:200] = texts[0][100:250]
+    whole, base = b"".join(map(bytes, texts)), np.cumsum([0, *map(len, texts)])
+    cut_ = [suffix_dedup.shard(t, b) for t, b in zip(texts, base, strict=False)]
+    empty = suffix_dedup.Shard(np.zeros(0, np.uint16), np.zeros(0, np.int32))
+    order, common = suffix_dedup.merged(cut_ if shards > 1 else [*cut_, empty], 50)
+    at = lambda p: next((bytes(t) * 2)[p - b :][:50] for t, b in zip(texts, base, strict=False) if b <= p < b + len(t))
+    got = [at(p) for p in order.at.tolist()]
+    assert got == sorted(got) and sorted(order.at.tolist()) == list(range(len(whole)))
     for x, y, c in zip(got, got[1:], common[1:], strict=False):
-        assert (x == y) == (c == 50)
+        same = next((i for i in range(50) if x[i] != y[i]), 50)
+        assert c == same // 2 * 2
+
+
+def test_long_text_by_segments():
+    """Every window of a text taken by segments belongs to an anchor, with the hash it has in the text as a whole."""
+    data = np.random.default_rng(4).integers(97, 100, 5000).astype(np.uint8)
+    off = np.array([0, 5000])
+    whole = {(int(p), int(h)) for _, pos, h, *_ in suffix_dedup.row_anchors(data, off) for p, h in zip(pos, h, strict=True)}
+    parts = [(int(p), int(h), int(r)) for _, pos, h, _, reach in suffix_dedup.row_anchors(data, off, segment=700) for p, h, r in zip(pos, h, reach, strict=True)]
+    assert {(p, h) for p, h, _ in parts} == whole
+    assert sorted(x for p, _, r in parts for x in range(p - r % 256, p - r % 256 + r // 256 + 1)) == list(range(4951))
+
+
+def test_clashing_classes(spark, monkeypatch):
+    """Texts whose short keys clash are told apart by their whole SHA-256."""
+    real = suffix_dedup._keyed
+    short = lambda docs, clash=None: real(docs, clash).withColumn("sig", F.when(F.col("sha").isin(clash or []), F.col("sig")).otherwise(F.col("sig") % 2))
+    monkeypatch.setattr(suffix_dedup, "_keyed", short)
+    docs = [(i, f"{i % 3} some text that is long enough to have windows of fifty bytes {i % 3}" * 2) for i in range(9)]
+    got = suffix_dedup.removed_digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == cut(docs)
 
 
 # --- language model ------------------------------------------------------------------
