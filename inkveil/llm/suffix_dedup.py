@@ -44,8 +44,8 @@ from pyspark.sql.window import Window
 from ._bytes import _BASE, _INV, binaries, give_back, mix, packed, powers, slices, span_hash, unpacked
 from ._common import stored
 
-#: Bytes that make a repeat, of an anchor and of a segment of a long text; anchors that a task compares; shards of a task's text.
-WINDOW, ANCHOR, SEGMENT, BUCKET_ANCHORS, SHARDS = 50, 16, 1 << 22, 250_000, 4
+#: Bytes that make a repeat, of an anchor and of a segment of a long text; anchors that a task compares; bytes of one merge and its shards.
+WINDOW, ANCHOR, SEGMENT, BUCKET_ANCHORS, MERGE_BYTES, SHARDS = 50, 16, 1 << 22, 250_000, 1 << 20, 4
 #: Occurrences from which an anchor is spread over tasks, and the sample of classes (one in so many) that counts them.
 HOT, SAMPLE = 5_000, 16
 
@@ -303,7 +303,7 @@ def _pieces(found: DataFrame, tasks: int, hot: np.ndarray, window: int) -> DataF
 
 def runs(sig: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last rows of runs of the next place of the same class."""
-    new = np.r_[True, (sig[1:] != sig[:-1]) | (start[1:] != start[:-1] + np.uint32(1))][: len(sig)]
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (start[1:] != start[:-1] + start.dtype.type(1))][: len(sig)]
     x = np.flatnonzero(new)
     return x, np.r_[x[1:], len(sig)][: len(x)] - 1
 
@@ -409,42 +409,60 @@ def _alike(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind, order[new]
 
 
+def _cuts(size: np.ndarray, most: int, same: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Ranges of rows of about `most` bytes; rows of one value of `same` stay together."""
+    edge = np.flatnonzero(np.r_[True, same[1:] != same[:-1]][: len(size)]) if same is not None else np.arange(len(size))
+    before = np.r_[0, np.cumsum(size)][edge]
+    first = edge[np.r_[True, before[1:] // most != before[:-1] // most][: len(edge)]].tolist()
+    return list(zip(first, [*first[1:], len(size)], strict=False))
+
+
 def _resolve(sig, doc, start, reach, text: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Removed runs (sig, start, end) of the pieces of one task; text: their bytes one after the other."""
+    """Removed runs (sig, start, end) of the pieces of one task; text: their bytes one after the other.
+
+    Anchors are merged in groups of about MERGE_BYTES: what has another anchor has no window in common.
+    """
     size = (reach >> 8).astype(np.int64) + window
     ends = np.cumsum(size)
-    symbols = text.astype(np.uint64) + np.uint64(1)
-    hashed = span_hash(symbols, ends - size, ends)
-    at = ends - size + (reach & 255)
-    anchor = span_hash(symbols, at, at + ANCHOR)
-    which, first = _alike(hashed, span_hash(mix(symbols), ends - size, ends))
+    begin = ends - size
+    hashed, other, anchor = (np.empty(len(size), np.uint64) for _ in "123")
+    for x, y in _cuts(size, MERGE_BYTES):
+        symbols, here = text[begin[x] : ends[y - 1]].astype(np.uint64) + np.uint64(1), slice(x, y)
+        a, b, at = begin[here] - begin[x], ends[here] - begin[x], begin[here] - begin[x] + (reach[here] & 255)
+        hashed[here], other[here], anchor[here] = span_hash(symbols, a, b), span_hash(mix(symbols), a, b), span_hash(symbols, at, at + ANCHOR)
+    which, first = _alike(hashed, other)
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
-    # the text of all kinds, those of one anchor together, each closed by a separator
-    by = np.argsort(anchor[first], kind="stable")
-    sizes = size[first][by]
-    close = np.cumsum(sizes + 1) - 1
-    a = close - sizes
-    source = np.arange(close[-1] + 1 if len(close) else 0) - np.repeat(a - (ends - size)[first][by], sizes + 1)
-    body = text[np.minimum(source, len(text) - 1)]
-    body[close] = 0
-    low = np.repeat(least[by], sizes + 1)
+    by = np.argsort(anchor[first], kind="stable")  # kinds, those of one anchor together
     own = anchor[first][by]
-    alone = np.r_[True, own[1:] != own[:-1]] & np.r_[own[1:] != own[:-1], True] if len(own) else np.zeros(0, bool)
-    if (~alone).any():
-        inside = np.repeat(~alone, sizes + 1)
-        low[inside] = least_documents(least[by][~alone], body[inside], np.cumsum(sizes[~alone] + 1) - 1, window)
-    base = np.empty(len(by), np.int64)
-    base[by] = a
-    n = size - window + 1
-    owner = np.repeat(np.arange(len(which)), n)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    gone = low[base[which][owner] + place] < doc[owner]
-    owner, place = owner[gone], place[gone]
-    new = np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)][: len(owner)]
-    x = np.flatnonzero(new)
-    y = np.r_[x[1:], len(owner)][: len(x)] - 1
-    return sig[owner[x]], start[owner[x]] + place[x], start[owner[x]] + place[y] + window
+    more = ~(np.r_[True, own[1:] != own[:-1]] & np.r_[own[1:] != own[:-1], True])[: len(own)]
+    many = np.zeros(len(first), bool)
+    many[by] = more
+    gone = ~many[which] & (least[which] < doc)  # an anchor with one kind of piece
+    out = [(sig[gone], start[gone], start[gone] + size[gone])]
+    by, own = by[more], own[more]
+    rank = np.full(len(first), len(by))
+    rank[by] = np.arange(len(by))
+    members = np.argsort(rank[which], kind="stable")
+    ranks, sizes = rank[which][members], size[first][by]
+    for x, y in _cuts(sizes, MERGE_BYTES, own):
+        close = np.cumsum(sizes[x:y] + 1) - 1
+        head = close - sizes[x:y]
+        body = text[np.minimum(np.arange(close[-1] + 1) + np.repeat(begin[first][by[x:y]] - head, sizes[x:y] + 1), len(text) - 1)]
+        body[close] = 0
+        low = least_documents(least[by[x:y]], body, close, window)
+        a, b = np.searchsorted(ranks, [x, y])
+        for m in range(a, b, 50_000):
+            piece = members[m : min(b, m + 50_000)]
+            n = size[piece] - window + 1
+            owner = np.repeat(np.arange(len(piece)), n)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            gone = low[head[ranks[m : m + len(piece)] - x][owner] + place] < doc[piece][owner]
+            owner, place = owner[gone], place[gone]
+            first_, last = runs(owner, place)
+            at = start[piece][owner[first_]]
+            out.append((sig[piece][owner[first_]], at + place[first_], at + place[last] + window))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _resolve_windows(sig, doc, start, both: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
