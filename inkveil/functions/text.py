@@ -33,14 +33,6 @@ def out_name(name: Column, extension: str) -> Column:
     return F.concat(F.when(base == "", "paper").otherwise(base), F.lit(f"-scrubbed.{extension}"))
 
 
-def strip_possessive(word: Column) -> Column:
-    return F.regexp_replace(word, r"(?i)['’]s\z", "")
-
-
-def name_words(surface: Column) -> Column:
-    return F.split(surface, r"[^\p{L}'’\-]+")
-
-
 def clean_wordpiece(word: Column) -> Column:
     return ws_trim(F.regexp_replace(F.regexp_replace(word, "^##", ""), "^[▁Ġ]+", ""))
 

@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tag_key
 from . import names, spans
 
 
 def detect(papers: DataFrame, model: DataFrame | None = None) -> DataFrame:
-    """papers with findings (id, type, start, end, score, source, enabled).
+    """papers with findings (id, type, start, end, score, source, enabled), in one pass over the text.
 
     model: findings of a tagger, one row for each paper_id with an array `model`
-    (operators.tagging.model_findings); rules alone without it. Only documents with a
-    finding that can extend or echo go through Python.
+    (operators.tagging.model_findings); rules alone without it. Only the text of documents with a
+    name goes through Python.
     """
-    raw = spans.all_rule_matches(F.col("text"))
-    df = papers.withColumn("raw", raw)
+    df = papers.withColumn("found", spans.all_rule_matches(F.col("text")))
     if model is not None:
-        df = df.join(model, "paper_id", "left").withColumn("raw", F.concat(F.coalesce("model", spans.no_findings()), "raw")).drop("model")
-    df = df.withColumn("raw", spans.expand(F.col("text"), F.col("raw")))
-    df = df.withColumn("found", spans.resolve(F.col("raw"))).drop("raw")
+        df = df.join(model, "paper_id", "left").withColumn("found", F.concat(F.coalesce("model", spans.no_findings()), "found")).drop("model")
+    df = df.withColumn("found", spans.resolve(spans.expand(F.col("text"), F.col("found"))))
     df = df.withColumn("found", spans.merge(F.col("text"), F.col("found")))
-    grows = F.exists("found", lambda f: f["type"].isin(names.EXTENDS))
-    more = df.where(grows).withColumn("found", names.settled("text", "found"))
-    df = df.where(~grows).unionByName(more)
+    df = df.withColumn("found", names.settled(F.col("text"), F.col("found")))
     return df.withColumn("findings", spans.finished(F.col("text"), F.col("found"))).drop("found")
 
 
+def findings(papers: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """A row for each finding: batch_id, paper_ord, paper_id, status, the finding's fields, surface and key, without the text.
+
+    Kept in memory and on disk for those who use it several times; lost parts are computed again.
+    """
+    rows = exploded(detect(papers, model)).withColumn("key", tag_key(F.col("surface")))
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def exploded(detected: DataFrame) -> DataFrame:
     """A row for each finding, with its surface."""
     keys = [c for c in ("batch_id", "paper_ord", "paper_id", "status") if c in detected.columns]
-    rows = detected.select(*keys, "text", F.explode("findings").alias("f"))
+    # outer, as the filter that an inner explode would infer repeats all steps of detection
+    rows = detected.select(*keys, "text", F.explode_outer("findings").alias("f")).where("f is not null")
     return rows.select(*keys, "f.*", spans.surface(F.col("text"), F.col("f")).alias("surface"))
 
 

@@ -30,6 +30,27 @@ def batch_status(detected: DataFrame) -> DataFrame:
     return detected.groupBy("batch_id").agg(done.alias("done_n"), bad.alias("error_n"), F.sum(F.size("findings")).alias("findings_n"))
 
 
+def batch_text(status: DataFrame) -> DataFrame:
+    """batch_id, title, text from the counts of `batch_status`: what stands above and below a batch's rows."""
+    total = F.col("done_n") + F.col("error_n")
+    n = lambda c: F.col(c).cast("string")
+    title = F.when(F.col("error_n") == 0, F.concat(F.lit("Done: all "), n("done_n"), F.lit(" papers are scrubbed"))).otherwise(F.concat(n("done_n"), F.lit(" of "), total.cast("string"), F.lit(" papers scrubbed")))
+    bad = F.when(F.col("error_n") > 0, F.concat(F.lit(" "), n("error_n"), F.lit(" couldn't be read."))).otherwise("")
+    text = F.when(F.col("done_n") > 0, F.concat(F.lit("Every paper was scrubbed separately."), bad)).otherwise("None of these files could be read.")
+    return status.select("batch_id", title.alias("title"), text.alias("text"))
+
+
+def row_text(papers: DataFrame, found: DataFrame) -> DataFrame:
+    """paper_id, line: what a batch's row says of its paper (status, error, ocr where there is such a column)."""
+    counts = found.where("enabled").groupBy("paper_id").agg(F.count("*").alias("_n"))
+    n, read = F.coalesce("_n", F.lit(0)), F.col("ocr") if "ocr" in papers.columns else F.lit(False)
+    some = F.concat(n.cast("string"), F.when(n == 1, " personal detail replaced").otherwise(" personal details replaced"))
+    done = F.concat(F.when(n > 0, some).otherwise("nothing personal found"), F.when(F.coalesce(read, F.lit(False)), "; read from a photo, to be checked again").otherwise(""))
+    line = F.when(F.col("status") == "waiting", "waiting its turn").when(F.col("status") == "scanning", "being scrubbed")
+    line = line.when(F.col("status") == "error", F.concat(F.lit("couldn't read this file: "), F.col("error"))).otherwise(done)
+    return papers.join(counts, "paper_id", "left").select("paper_id", line.alias("line"))
+
+
 def next_done(papers: DataFrame) -> DataFrame:
     """paper_ord and the next one that is done, by ranges of papers (65,536 each) and the first done one of each range."""
     rows = papers.select("batch_id", "paper_ord", "status", F.shiftright("paper_ord", 16).alias("range"))

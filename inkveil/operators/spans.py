@@ -6,6 +6,8 @@ row-local: no shuffle, no Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..functions.patterns import RULES, Rule
 from ..functions.text import WS, ws_trim
 from ..schema import FINDINGS
 
+#: How far a finding's surroundings are looked at first; further only where all of that belongs to it.
+NEAR = 64
 _LOOSE = rf"[^{WS}()\[\]{{}}<>,;:\"']"
 _TIGHT = r"[A-Za-z0-9'’\-]"
 
@@ -25,11 +29,16 @@ def finding(kind: Column, start: Column, end: Column, score: Column, source: Col
     return F.struct(kind.alias("type"), start.cast("int").alias("start"), end.cast("int").alias("end"), score.cast("double").alias("score"), source.alias("source"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def match_places(text: Column, java: str) -> Column:
     """array<struct<start, end>> of all matches of a regex: the texts between them give the offsets."""
     between = F.split(text, java, -1)
     hits = F.regexp_extract_all(text, F.lit(java), F.lit(0))
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda b, h: F.struct(F.length(b).alias("b"), F.length(h).alias("h")))
+    pairs = F.zip_with(between, hits, lambda b, h: F.struct(F.length(b).alias("b"), F.length(h).alias("h")))
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start: int, end: int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -37,13 +46,13 @@ def match_places(text: Column, java: str) -> Column:
         one = F.struct(at.alias("start"), (at + x["h"]).alias("end"))
         return F.struct((at + x["h"]).alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return F.aggregate(F.filter(pairs, lambda x: x["h"].isNotNull()), start, step, lambda acc: acc["out"])
 
 
 def rule_matches(text: Column, rule: Rule) -> Column:
     """Findings of one rule."""
     found = F.transform(match_places(text, rule.java), lambda p: finding(F.lit(rule.type), p["start"], p["end"], F.lit(1.0), F.lit("regex")))
-    return F.when(text.rlike(rule.hint), found).otherwise(no_findings())
+    return F.when(rule.hint(text), found).otherwise(no_findings())
 
 
 def all_rule_matches(text: Column) -> Column:
@@ -54,22 +63,38 @@ def surface(text: Column, f: Column) -> Column:
     return F.substring(text, f["start"] + 1, f["end"] - f["start"])
 
 
+def grown_past(within: Callable[[Column], Column], text: Column) -> Column:
+    """What `within` a slice of so many characters counts, in slices of growing size, each read only if the one before is taken whole."""
+    out = within(F.length(text))
+    for n in (NEAR * 64, NEAR):
+        out = F.when(within(F.lit(n)) < n, within(F.lit(n))).otherwise(out)
+    return out
+
+
+def _run(text: Column, at: Column, signs: str, side: int) -> Column:
+    """How many signs stand before (side < 0) or after a place."""
+
+    def within(n: Column) -> Column:
+        piece = F.substring(text, at + 1, n) if side > 0 else F.reverse(F.substring(text, F.greatest(at - n, F.lit(0)) + 1, F.least(n, at)))
+        return F.length(F.regexp_extract(piece, f"^{signs}*+", 0))
+
+    return grown_past(within, text)
+
+
 def expand(text: Column, findings: Column) -> Column:
     """Each finding grown to the whole word; e-mails, links and user names take more signs but give closing marks back."""
+    loose = lambda f: f["type"].isin("EMAIL", "LINK", "USERNAME")
 
-    def grown(f: Column, signs: str) -> tuple[Column, Column]:
-        left = F.length(F.regexp_extract(F.substring(text, F.lit(1), f["start"]), rf"({signs}*)\z", 1))
-        right = F.length(F.regexp_extract(F.substring(text, f["end"] + 1, F.length(text)), rf"^({signs}*)", 1))
-        return f["start"] - left, f["end"] + right
+    def grown(f: Column) -> Column:
+        before = F.when(loose(f), _run(text, f["start"], _LOOSE, -1)).otherwise(_run(text, f["start"], _TIGHT, -1))
+        after = F.when(loose(f), _run(text, f["end"], _LOOSE, 1)).otherwise(_run(text, f["end"], _TIGHT, 1))
+        return finding(f["type"], f["start"] - before, f["end"] + after, f["score"], f["source"])
 
-    def one(f: Column) -> Column:
-        a, b = grown(f, _LOOSE)
-        kept = F.length(F.regexp_replace(F.substring(text, a + 1, b - a), r"[.!?,;:]+\z", ""))
-        loose = finding(f["type"], a, a + kept, f["score"], f["source"])
-        a, b = grown(f, _TIGHT)
-        return F.when(f["type"].isin("EMAIL", "LINK", "USERNAME"), loose).otherwise(finding(f["type"], a, b, f["score"], f["source"]))
+    def closed(f: Column) -> Column:
+        marks = F.length(F.regexp_extract(F.reverse(surface(text, f)), "^[.!?,;:]*+", 0))
+        return F.when(loose(f), finding(f["type"], f["start"], f["end"] - marks, f["score"], f["source"])).otherwise(f)
 
-    return F.transform(findings, one)
+    return F.transform(F.transform(findings, grown), closed)
 
 
 def weight(f: Column) -> Column:
@@ -82,7 +107,6 @@ def in_order(findings: Column) -> Column:
     return F.transform(F.array_sort(numbered), lambda x: x["f"])
 
 
-
 def _replace_last(acc: Column, f: Column) -> Column:
     return F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(f))
 

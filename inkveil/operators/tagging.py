@@ -1,8 +1,9 @@
 """Taggers and the assembly of their tokens into entities.
 
-A tagger takes chunks (paper_id, chunk_ord, start, text) and gives tokens (paper_id, chunk_ord,
-tok_ord, word, label, score, start, end; start and end may be null). Any model can be one;
-`pattern_tagger` is a rule-based one that needs no weights.
+A tagger is a function from the column of a chunk's text to the column of its tokens (an array of
+word, label, score, start, end; start and end may be null): an expression, or a pandas UDF around a model.
+So tagging and assembly stay in the row of the chunk, and only entities travel. `pattern_tagger` and
+`list_tagger` need no weights.
 """
 
 from __future__ import annotations
@@ -11,35 +12,58 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import clean_wordpiece, ws_trim
 from ..schema import FINDING, SCORE_THRESHOLD, SPECIAL_TOKENS, type_of
 from .chunks import chunk_text
-from .spans import match_places
+from .spans import match_places, once
 
-Tagger = Callable[[DataFrame], DataFrame]
+Tagger = Callable[[Column], Column]
+TOKENS = "array<struct<word: string, label: string, score: double, start: int, end: int>>"
+ENTITIES = "array<struct<type: string, start: int, end: int, score: double>>"
 
 
 def chunks(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", F.posexplode(chunk_text(F.col("text"))).alias("chunk_ord", "c")).select("paper_id", "chunk_ord", "c.start", "c.text")
 
 
-#: Words that the pattern tagger labels; all others are outside any entity.
-_SHAPES = r"(?<![\w.])(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9a-f]{32,}|\d+)(?!\w)"
+#: Words of the pattern tagger, and the shapes that it labels; all others are outside any entity.
+_WORDS = r"[A-Za-z0-9_.]*[A-Za-z0-9_]"
+_SHAPES = r"^(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9a-f]{32,}|\d+)\z"
 
 
-def pattern_tagger(parts: DataFrame) -> DataFrame:
+def _token(text: Column, p: Column, label: Callable[[Column], Column], score: Callable[[Column], Column]) -> Column:
+    def made(word: Column) -> Column:
+        return F.struct(word.alias("word"), label(word).alias("label"), score(word).cast("double").alias("score"), p["start"].alias("start"), p["end"].alias("end"))
+
+    return once(F.substring(text, p["start"] + 1, p["end"] - p["start"]), made)
+
+
+def pattern_tagger(text: Column) -> Column:
     """Labels from the shape of words: IPv4 addresses, five-digit and four-digit numbers, ages, hex identifiers."""
-    places = F.when(parts["text"].rlike(r"\d|[0-9a-f]{32}"), match_places(F.col("text"), _SHAPES))
-    rows = parts.select("paper_id", "chunk_ord", "text", F.posexplode(places).alias("tok_ord", "p"))
-    word = F.substring("text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start"))
-    label = (
-        F.when(word.contains("."), "B-IPV4").when(word.rlike(r"[a-f]") | (F.length(word) >= 32), "B-BITCOINADDRESS").when(word.rlike(r"^\d{5}\z"), "B-ZIPCODE")
-        .when(word.rlike(r"^(?:19|20)\d\d\z"), "B-DATE").when(word.rlike(r"^\d{1,2}\z"), "B-AGE").otherwise("I-PIN")
-    )
-    score = F.when(label == "B-AGE", 0.35).otherwise(0.9)
-    return rows.select("paper_id", "chunk_ord", "tok_ord", word.alias("word"), label.alias("label"), score.alias("score"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+
+    def label(word: Column) -> Column:
+        return (
+            F.when(word.contains("."), "B-IPV4").when(word.rlike(r"[a-f]") | (F.length(word) >= 32), "B-BITCOINADDRESS").when(word.rlike(r"^\d{5}\z"), "B-ZIPCODE")
+            .when(word.rlike(r"^(?:19|20)\d\d\z"), "B-DATE").when(word.rlike(r"^\d{1,2}\z"), "B-AGE").otherwise("I-PIN")
+        )
+
+    score = lambda word: F.when(word.rlike(r"^\d{1,2}\z"), 0.35).otherwise(0.9)
+    places = F.when(text.rlike(r"\d|[0-9a-f]{32}"), match_places(text, _WORDS))
+    made = F.filter(F.transform(places, lambda p: _token(text, p, label, score)), lambda t: t["word"].rlike(_SHAPES))
+    return F.coalesce(made, F.array().cast(TOKENS)).cast(TOKENS)
+
+
+def list_tagger(words: dict[str, list[str]], score: float = 0.8) -> Tagger:
+    """Labels from lists of words, such as given names or places; words are runs of letters. A word of several lists has the first one's label."""
+    known = {w: label for label, ws in reversed(words.items()) for w in ws}
+    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+
+    def tag(text: Column) -> Column:
+        each = F.transform(match_places(text, r"\p{L}++"), lambda p: _token(text, p, lambda w: F.coalesce(F.try_element_at(table, w), F.lit("O")), lambda w: F.lit(score)))
+        return each.cast(TOKENS)
+
+    return tag
 
 
 def locate_tokens(chunk: Column, tokens: Column) -> Column:
@@ -60,35 +84,53 @@ def locate_tokens(chunk: Column, tokens: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda acc: acc["out"])
 
 
-def located(parts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """A row for each token: paper_id, chunk_ord, start (of the chunk), text (of the chunk), tok_ord, label, score, a, b."""
-    kept = tokens.where(~ws_trim(F.coalesce("word", F.lit(""))).isin(SPECIAL_TOKENS))
-    lists = kept.groupBy("paper_id", "chunk_ord").agg(F.array_sort(F.collect_list(F.struct("tok_ord", "word", "label", "score", "start", "end"))).alias("tokens"))
-    rows = parts.join(lists, ["paper_id", "chunk_ord"])
-    return rows.select("paper_id", "chunk_ord", "start", "text", F.posexplode(locate_tokens(F.col("text"), F.col("tokens"))).alias("tok_ord", "t")).select("paper_id", "chunk_ord", "start", "text", "tok_ord", "t.*")
+def with_tokens(parts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Chunks with `tokens` from rows (paper_id, chunk_ord, tok_ord, word, label, score, start, end) that a tagger elsewhere has made."""
+    lists = tokens.groupBy("paper_id", "chunk_ord").agg(F.array_sort(F.collect_list(F.struct("tok_ord", "word", "label", "score", "start", "end"))).alias("t"))
+    plain = F.transform("t", lambda t: F.struct(*[t[c].alias(c) for c in ("word", "label", "score", "start", "end")])).cast(TOKENS)
+    return parts.join(lists, ["paper_id", "chunk_ord"], "left").withColumn("tokens", F.coalesce(plain, F.array().cast(TOKENS))).drop("t")
 
 
-def entities(tokens: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:
-    """paper_id, type, start, end, score: runs of located tokens (rows of `located`) of one type.
+def entities_in(chunk: Column, tokens: Column, threshold: float = SCORE_THRESHOLD) -> Column:
+    """Runs of tokens of one type in a chunk, with their mean score: a fold over the tokens, in the row.
 
     A token goes on with the run if nothing lies between, or one or two blanks and it isn't a B-.
     """
-    w = Window.partitionBy("paper_id", "chunk_ord").orderBy("tok_ord")
-    kind = F.when(F.col("a").isNotNull(), type_of(F.col("label")))
-    rows = tokens.withColumn("type", kind).withColumn("p_type", F.lag("type").over(w)).withColumn("p_b", F.lag("b").over(w))
-    gap = F.substring("text", F.col("p_b") + 1, F.col("a") - F.col("p_b"))
-    inside = (F.col("a") <= F.col("p_b")) | (gap.rlike(r"^[ \t]{1,2}\z") & ~F.col("label").startswith("B-"))
-    on = F.coalesce((F.col("type") == F.col("p_type")) & inside, F.lit(False))
-    rows = rows.withColumn("run", F.sum(F.when(on, 0).otherwise(1)).over(w)).where("type is not null")
-    ends = F.max_by("b", "tok_ord")
-    out = rows.groupBy("paper_id", "chunk_ord", "run").agg(F.first("type").alias("type"), (F.min("start") + F.min_by("a", "tok_ord")).alias("start"), (F.min("start") + ends).alias("end"), F.avg("score").alias("score"))
-    return out.where(F.col("score") >= threshold).select("paper_id", "chunk_ord", "type", "start", "end", "score")
+    kept = F.filter(tokens, lambda t: ~ws_trim(F.coalesce(t["word"], F.lit(""))).isin(SPECIAL_TOKENS))
+    none = F.lit(None)
+    start = F.struct(
+        F.array().cast(ENTITIES).alias("done"), none.cast("string").alias("type"), none.cast("int").alias("a"), none.cast("int").alias("b"),
+        F.lit(0.0).alias("sum"), F.lit(0).alias("n"),
+    )
+
+    def flushed(acc: Column) -> Column:
+        one = F.struct(acc["type"].alias("type"), acc["a"].alias("start"), acc["b"].alias("end"), (acc["sum"] / acc["n"]).alias("score"))
+        return F.when(acc["type"].isNotNull() & (acc["n"] > 0) & (acc["sum"] >= threshold * acc["n"]), F.concat(acc["done"], F.array(one))).otherwise(acc["done"])
+
+    def step(acc: Column, t: Column) -> Column:
+        def with_type(kind: Column) -> Column:
+            gap = F.substring(chunk, acc["b"] + 1, t["a"] - acc["b"])
+            inside = (t["a"] <= acc["b"]) | (gap.rlike(r"^[ \t]{1,2}\z") & ~t["label"].startswith("B-"))
+            on = F.coalesce((kind == acc["type"]) & inside, F.lit(False))
+            score, one = F.coalesce(t["score"], F.lit(0.0)), F.when(t["score"].isNotNull(), 1).otherwise(0)
+            more = F.struct(acc["done"].alias("done"), acc["type"].alias("type"), acc["a"].alias("a"), t["b"].alias("b"), (acc["sum"] + score).alias("sum"), (acc["n"] + one).alias("n"))
+            new = F.struct(flushed(acc).alias("done"), kind.alias("type"), t["a"].alias("a"), t["b"].alias("b"), score.alias("sum"), one.alias("n"))
+            return F.when(on, more).otherwise(new)
+
+        return once(F.when(t["a"].isNotNull(), type_of(t["label"])), with_type)
+
+    return F.aggregate(locate_tokens(chunk, kept), start, step, flushed)
+
+
+def entities(parts: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:
+    """paper_id, chunk_ord, type, start, end (in the paper), score of chunks with `tokens`."""
+    rows = parts.select("paper_id", "chunk_ord", "start", F.explode(entities_in(F.col("text"), F.col("tokens"), threshold)).alias("e"))
+    return rows.select("paper_id", "chunk_ord", "e.type", (F.col("start") + F.col("e.start")).alias("start"), (F.col("start") + F.col("e.end")).alias("end"), "e.score")
 
 
 def model_findings(papers: DataFrame, tagger: Tagger = pattern_tagger) -> DataFrame:
     """paper_id, model: the tagger's entities as findings, in order."""
-    parts = chunks(papers)
-    found = entities(located(parts, tagger(parts)))
+    found = entities(chunks(papers).withColumn("tokens", tagger(F.col("text"))))
     one = F.struct("type", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "score", F.lit("model").alias("source"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col("start").alias("o"), one.alias("f"))))
     return found.groupBy("paper_id").agg(F.transform(ordered, lambda x: x["f"]).cast(f"array<{FINDING}>").alias("model"))

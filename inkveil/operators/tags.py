@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import tag, tag_key
+from ..functions.text import tag
 from ..schema import placeholder
-from .detect import exploded
 
 #: Papers whose first values one task numbers: 2 ** this.
 RANGE_BITS = 16
@@ -31,33 +30,55 @@ def numbered_values(values: DataFrame) -> DataFrame:
     return out.select("batch_id", "type", "key", "n", "n_distinct", tag(placeholder(F.col("type")), F.col("n"), F.col("n_distinct")).alias("tag"))
 
 
-def assign_tags(detected: DataFrame) -> DataFrame:
-    """The tag dictionary of a batch: disabled findings count too, so that numbers stay."""
-    return numbered_values(exploded(detected).withColumn("key", tag_key(F.col("surface"))))
+def assign_tags(found: DataFrame) -> DataFrame:
+    """The tag dictionary of a batch, from its findings (detect.findings): disabled ones count too, so that numbers stay."""
+    return numbered_values(found)
 
 
-def tagged(detected: DataFrame, tags: DataFrame) -> DataFrame:
+def tagged(found: DataFrame, tags: DataFrame) -> DataFrame:
     """A row for each finding with its tag."""
-    rows = exploded(detected).withColumn("key", tag_key(F.col("surface")))
-    return rows.join(tags.select("batch_id", "type", "key", "tag"), ["batch_id", "type", "key"])
+    return found.join(tags.select("batch_id", "type", "key", "tag"), ["batch_id", "type", "key"])
 
 
-def scrub(detected: DataFrame, tags: DataFrame) -> DataFrame:
-    """papers with scrubbed: enabled findings replaced by their tags."""
-    hits = tagged(detected, tags).where("enabled").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("hits"))
-    df = detected.join(hits, "paper_id", "left")
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    step = lambda acc, h: F.struct(h["end"].alias("pos"), F.concat(acc["out"], F.substring("text", acc["pos"] + 1, h["start"] - acc["pos"]), h["tag"]).alias("out"))
-    close = lambda acc: F.concat(acc["out"], F.substring("text", acc["pos"] + 1, F.length("text")))
-    return df.withColumn("scrubbed", F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.aggregate("hits", start, step, close))).drop("hits")
+def hits(found: DataFrame, tags: DataFrame) -> DataFrame:
+    """paper_id, hits: the enabled findings of a paper in order, as (start, end, tag); what rewriting texts and Word files takes."""
+    one = F.struct("start", "end", "tag")
+    return tagged(found, tags).where("enabled").groupBy("paper_id").agg(F.array_sort(F.collect_list(one)).alias("hits"))
 
 
-def tag_map(detected: DataFrame, tags: DataFrame, scope: str = "batch") -> DataFrame:
-    """scope, ord, tag, original: for each tag its first enabled surface, over the batch or in each paper."""
-    rows = tagged(detected, tags).where("enabled and status = 'done'")
+def scrub(papers: DataFrame, found: DataFrame, tags: DataFrame) -> DataFrame:
+    """papers with n_findings and scrubbed: enabled findings replaced by their tags."""
+    counts = found.groupBy("paper_id").agg(F.count("*").alias("n_findings"))
+    df = papers.join(counts.join(hits(found, tags), "paper_id", "left"), "paper_id", "left")
+    places = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("tag"))), "hits")
+
+    def piece(h: Column, i: Column) -> Column:
+        after = F.coalesce(F.try_element_at("hits", i + 1)["start"], F.length("text"))
+        return F.concat(h["tag"], F.substring("text", h["end"] + 1, after - h["end"]))
+
+    scrubbed = F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, piece), ""))
+    return df.withColumn("scrubbed", scrubbed).withColumn("n_findings", F.coalesce("n_findings", F.lit(0)).cast("long")).drop("hits")
+
+
+def tag_map(found: DataFrame, tags: DataFrame, scope: str = "batch", snapshots: DataFrame | None = None) -> DataFrame:
+    """scope, ord, start, tag, original: for each tag its first enabled surface, over the batch or in each paper.
+
+    snapshots: maps of papers as they were exported (paper_id, ord, start, tag, original, as `exported` makes them);
+    a paper that has one is taken by it, as replies know the tags that were handed out.
+    """
+    rows = tagged(found, tags).where("enabled and status = 'done'").select("batch_id", "paper_id", F.col("paper_ord").alias("ord"), "start", "tag", F.col("surface").alias("original"))
+    if snapshots is not None:
+        batches = rows.select("batch_id", "paper_id").distinct()
+        old = snapshots.join(batches, "paper_id")
+        rows = rows.join(snapshots.select("paper_id").distinct(), "paper_id", "left_anti").unionByName(old.select(*rows.columns))
     key = F.col("paper_id") if scope == "paper" else F.col("batch_id")
-    first = rows.groupBy(key.alias("scope"), "tag").agg(F.min_by("surface", F.struct("paper_ord", "start")).alias("original"), F.min(F.struct("paper_ord", "start")).alias("at"))
-    return first.select("scope", F.col("at.paper_ord").alias("ord"), F.col("at.start").alias("start"), "tag", "original")
+    first = rows.groupBy(key.alias("scope"), "tag").agg(F.min_by(F.struct("ord", "start", "original"), F.struct("ord", "start")).alias("f"))
+    return first.select("scope", F.col("f.ord").alias("ord"), F.col("f.start").alias("start"), "tag", F.col("f.original").alias("original"))
+
+
+def exported(found: DataFrame, tags: DataFrame) -> DataFrame:
+    """The map of each paper to keep beside its export: paper_id, ord, start, tag, original."""
+    return tag_map(found, tags, "paper").withColumnRenamed("scope", "paper_id")
 
 
 def unscrub(replies: DataFrame, tags: DataFrame) -> DataFrame:

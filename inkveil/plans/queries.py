@@ -41,7 +41,7 @@ def _query(sql: str | None = None):
 
 def _rule_count(rule) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = _table(spark, sf_dir, "documents").where(F.col("text").rlike(rule.hint))
+        docs = _table(spark, sf_dir, "documents").where(rule.hint(F.col("text")))
         n = F.size(F.regexp_extract_all("text", F.lit(rule.java), F.lit(0))).cast("long")
         return docs.select("doc_id", n.alias("n")).where("n > 0")
 
@@ -123,7 +123,8 @@ g AS (SELECT type, key, row_number() OVER (PARTITION BY type ORDER BY spot) AS n
 @_query(f"""WITH {_M}, {_TAGS} SELECT type, key, CAST(n AS BIGINT) AS n, CAST(n_distinct AS BIGINT) AS n_distinct,
 '[' || {_PH} || CASE WHEN n_distinct > 1 THEN ' ' || n ELSE '' END || ']' AS tag FROM g""")
 def tag_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tags.assign_tags(_raw(spark, sf_dir)).select("type", "key", "n", "n_distinct", "tag")
+    found = detect.exploded(_raw(spark, sf_dir)).withColumn("key", T.tag_key(F.col("surface")))
+    return tags.assign_tags(found).select("type", "key", "n", "n_distinct", "tag")
 
 
 @_query(
@@ -146,6 +147,14 @@ def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.batch_status(_raw(spark, sf_dir))
 
 
+@_query(f"""WITH {_M}, c AS (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id) SELECT CAST(doc_id AS VARCHAR) AS paper_id,
+CASE WHEN trim(coalesce(text, '')) = '' THEN 'couldn''t read this file: file appears to be empty' WHEN n IS NULL THEN 'nothing personal found' WHEN n = 1 THEN '1 personal detail replaced' ELSE n || ' personal details replaced' END AS line
+FROM documents LEFT JOIN c USING (doc_id)""")
+def row_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _raw(spark, sf_dir)
+    return reports.row_text(found, detect.exploded(found))
+
+
 @_query("""SELECT doc_id, coalesce(min(CASE WHEN lang = 'en' THEN doc_id END) OVER (ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), -1) AS next_id FROM documents""")
 def next_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next paper to review, English ones being the ones that are done."""
@@ -163,12 +172,19 @@ def outname_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- intake ------------------------------------------------------------------------
 
 
-@_query(r"""SELECT CASE WHEN regexp_matches(url, '(?i)\.docx$') THEN 'docx' WHEN regexp_matches(url, '(?i)\.pdf$') THEN 'pdf'
-WHEN regexp_matches(url, '(?i)\.(png|jpe?g|webp|bmp|heic|heif)$') THEN 'image' ELSE 'text' END AS kind,
-regexp_matches(url, '(?i)\.(docx|pdf|txt|md|text|png|jpe?g|webp|bmp|heic|heif)$') AS accepted, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY ALL""")
+_EXTENSIONS = ["txt", "DOCX", "pdf", "heic", "JPG", "doc", "md", "exe"]
+_FILES = "f AS (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) || '.' || list_extract(['" + "', '".join(_EXTENSIONS) + "'], CAST(page_id % 8 AS INTEGER) + 1) AS name, CASE WHEN page_id % 5 = 0 THEN 'image/png' ELSE 'text/html' END AS mime FROM pages)"
+
+
+@_query(f"WITH {_FILES}" + r""" SELECT CASE WHEN regexp_matches(name, '(?i)\.docx$') THEN 'docx' WHEN regexp_matches(name, '(?i)\.pdf$') THEN 'pdf'
+WHEN regexp_matches(name, '(?i)\.(png|jpe?g|webp|bmp|heic|heif)$') OR mime LIKE 'image/%' THEN 'image' ELSE 'text' END AS kind,
+regexp_matches(name, '(?i)\.(docx|pdf|txt|md|text|png|jpe?g|webp|bmp|heic|heif)$') OR mime LIKE 'image/%' AS accepted, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY ALL""")
 def scan_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    return pages.groupBy(intake.kind_of(F.col("url")).alias("kind"), intake.accepted(F.col("url")).alias("accepted")).agg(F.count("*").alias("n"))
+    """Kinds of files, of pages under names with extensions, some with an image's type."""
+    ending = F.element_at(F.array(*[F.lit(x) for x in _EXTENSIONS]), (F.col("page_id") % 8 + 1).cast("int"))
+    name = F.concat(F.regexp_extract("url", r"([^/]*)\z", 1), F.lit("."), ending)
+    files = _table(spark, sf_dir, "pages").select(name.alias("name"), F.when(F.col("page_id") % 5 == 0, "image/png").otherwise("text/html").alias("mime"))
+    return files.groupBy(intake.kind_of(F.col("name"), F.col("mime")).alias("kind"), intake.accepted(F.col("name"), F.col("mime")).alias("accepted")).agg(F.count("*").alias("n"))
 
 
 @_query("SELECT doc_id, source AS t, text AS x FROM documents WHERE trim(coalesce(text, '')) <> ''")
@@ -198,7 +214,7 @@ def pdf_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- chunks and taggers ---------------------------------------------------------------
 
 
-@_query("""WITH RECURSIVE c AS (
+_CHUNKS = """c AS (
   SELECT doc_id, text, 0 AS pos, 0 AS size, 0 AS ord FROM documents WHERE length(text) > 0
   UNION ALL
   SELECT doc_id, text, pos + size, CASE WHEN pos + size + 1300 >= length(text) THEN length(text) - pos - size
@@ -209,7 +225,10 @@ def pdf_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN strpos(r, ' !') > 0 THEN length(r) - strpos(r, ' !') - 1 ELSE -1 END,
       CASE WHEN strpos(r, ' ?') > 0 THEN length(r) - strpos(r, ' ?') - 1 ELSE -1 END) AS cut,
       CASE WHEN strpos(r, ' ') > 0 THEN length(r) - strpos(r, ' ') ELSE -1 END AS sp
-    FROM (SELECT *, reverse(substring(text, pos + size + 1, 1300)) AS r FROM c WHERE pos + size < length(text))))
+    FROM (SELECT *, reverse(substring(text, pos + size + 1, 1300)) AS r FROM c WHERE pos + size < length(text))))"""
+
+
+@_query(f"""WITH RECURSIVE {_CHUNKS}
 SELECT doc_id, CAST(ord - 1 AS INTEGER) AS chunk_ord, CAST(pos AS INTEGER) AS start, CAST(size AS INTEGER) AS size FROM c WHERE ord > 0""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
@@ -232,41 +251,86 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("type is not null").groupBy("event_type", "type").agg(F.count("*").alias("n"))
 
 
-@_query()
+#: The pattern tagger's tokens of each chunk, and their runs.
+_ENTITIES = r"""k AS (SELECT doc_id, ord - 1 AS chunk_ord, pos, substring(text, pos + 1, size) AS ct FROM c WHERE ord > 0),
+w AS (SELECT doc_id, chunk_ord, pos, ct, i, h[i] AS word, coalesce(list_sum(list_transform(b[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS a
+  FROM (SELECT *, string_split_regex(ct, '[A-Za-z0-9_.]*[A-Za-z0-9_]') AS b, regexp_extract_all(ct, '[A-Za-z0-9_.]*[A-Za-z0-9_]') AS h FROM k WHERE regexp_matches(ct, '[0-9]|[0-9a-f]{32}')), unnest(range(1, len(h) + 1)) AS t(i)),
+v AS (SELECT *, a + length(word) AS b, CASE WHEN contains(word, '.') OR length(word) >= 32 OR regexp_matches(word, '[a-f]') THEN 'LINK' WHEN length(word) = 5 THEN 'ZIP' WHEN regexp_full_match(word, '(19|20)[0-9]{2}') THEN 'DATE' WHEN length(word) <= 2 THEN 'AGE' ELSE 'ID' END AS type
+  FROM w WHERE regexp_full_match(word, '([0-9]{1,3}\.){3}[0-9]{1,3}|[0-9a-f]{32,}|[0-9]+')),
+o AS (SELECT *, CASE WHEN type = lag(type) OVER n AND (a <= lag(b) OVER n OR type = 'ID' AND regexp_full_match(substring(ct, CAST(lag(b) OVER n AS BIGINT) + 1, CAST(a - lag(b) OVER n AS BIGINT)), '[ \t]{1,2}')) THEN 0 ELSE 1 END AS new
+  FROM v WINDOW n AS (PARTITION BY doc_id, chunk_ord ORDER BY i)),
+u AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, chunk_ord ORDER BY i) AS run FROM o),
+ent AS (SELECT doc_id, chunk_ord, min(type) AS type, CAST(min(pos + a) AS INTEGER) AS s, CAST(max(pos + b) AS INTEGER) AS e, avg(CASE WHEN type = 'AGE' THEN 0.35 ELSE 0.9 END) AS score FROM u GROUP BY doc_id, chunk_ord, run HAVING min(type) <> 'AGE')"""
+
+
+@_query(f"WITH RECURSIVE {_CHUNKS}, {_ENTITIES} SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(chunk_ord AS INTEGER) AS chunk_ord, type, s AS start, e AS \"end\", CAST(round(score, 3) AS DOUBLE) AS score FROM ent")
 def bio_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of the pattern tagger over all documents."""
-    parts = tagging.chunks(_papers(spark, sf_dir))
-    found = tagging.entities(tagging.located(parts, tagging.pattern_tagger(parts)))
-    return found.select("paper_id", "chunk_ord", "type", "start", "end", F.round("score", 3).alias("score"))
+    parts = tagging.chunks(_papers(spark, sf_dir)).withColumn("tokens", tagging.pattern_tagger(F.col("text")))
+    return tagging.entities(parts).select("paper_id", "chunk_ord", "type", "start", "end", F.round("score", 3).alias("score"))
 
 
 # --- whole pipeline ------------------------------------------------------------------------
 
 
-@_query()
+#: Signs of words, for use in SQL strings.
+_LOOSE = "[^\\s()\\[\\]{}<>,;:\"'']"
+_TIGHT = "[A-Za-z0-9''’-]"
+
+
+def _grown(cls: str) -> tuple[str, str]:
+    return f"s - length(regexp_extract(substring(text, 1, s), '({cls}*)$', 1))", f"e + length(regexp_extract(substring(text, e + 1), '^({cls}*)', 1))"
+
+
+#: From findings f0 (doc_id, ord, type, s, e, score, source) to expanded, resolved (res) and merged (mer) lists of each document.
+_STEPS = f"""f1 AS (SELECT f0.*, text, type IN ('EMAIL', 'LINK', 'USERNAME') AS loose FROM f0 JOIN documents USING (doc_id)),
+f2 AS (SELECT *, CASE WHEN loose THEN {_grown(_LOOSE)[0]} ELSE {_grown(_TIGHT)[0]} END AS s2, CASE WHEN loose THEN {_grown(_LOOSE)[1]} ELSE {_grown(_TIGHT)[1]} END AS e2 FROM f1),
+f3 AS (SELECT doc_id, text, ord, type, s2 AS s, CASE WHEN loose THEN s2 + length(regexp_replace(substring(text, s2 + 1, e2 - s2), '[.!?,;:]+$', '')) ELSE e2 END AS e, score, source FROM f2),
+f4 AS (SELECT doc_id, any_value(text) AS text, list({{'type': type, 's': CAST(s AS INTEGER), 'e': CAST(e AS INTEGER), 'score': CAST(score AS DOUBLE), 'source': source, 'w': CASE WHEN source = 'regex' THEN 1e9 ELSE 0 END + (e - s) * 100 + score}} ORDER BY s, e DESC, ord) AS l FROM f3 GROUP BY doc_id),
+res AS (SELECT doc_id, text, list_reduce(list_transform(l, lambda z: [z]), lambda a, y: CASE WHEN y[1].s >= a[-1].e THEN list_concat(a, y) WHEN y[1].w > a[-1].w THEN list_concat(a[:-2], y) ELSE a END) AS l FROM f4),
+mer AS (SELECT doc_id, text, list_reduce(list_transform(l, lambda z: [z]), lambda a, y: CASE WHEN a[-1].type = y[1].type AND regexp_full_match(substring(text, a[-1].e + 1, y[1].s - a[-1].e), '[ \\t.,''’-]{{0,3}}')
+  THEN list_concat(a[:-2], [{{'type': a[-1].type, 's': a[-1].s, 'e': y[1].e, 'score': greatest(a[-1].score, y[1].score), 'source': a[-1].source, 'w': 0e0}}]) ELSE list_concat(a, y) END) AS l FROM res),
+fin AS (SELECT doc_id, text, z.type AS type, z.s AS s, z.e AS e, z.score AS score, z.source AS source, substring(text, z.s + 1, z.e - z.s) AS surface FROM (SELECT doc_id, text, unnest(l) AS z FROM mer) WHERE length(trim(substring(text, z.s + 1, z.e - z.s))) >= 2)"""
+_RULES = f"{_M}, f0 AS (SELECT doc_id, list_position(['EMAIL', 'PHONE', 'SSN', 'ID', 'ORG'], type) AS ord, type, start AS s, \"end\" AS e, 1e0 AS score, 'regex' AS source FROM m)"
+_INLINE = "SELECT doc_id, z.type AS type, z.s AS start, z.e AS \"end\", z.score AS score, z.source AS source FROM (SELECT doc_id, unnest(l) AS z FROM {0})"
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _papers(spark, sf_dir).withColumn("f", spans.resolve(spans.expand(F.col("text"), spans.all_rule_matches(F.col("text")))))
+
+
+@_query(f"WITH {_RULES}, {_STEPS} {_INLINE.format('res')}")
 def resolve_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _papers(spark, sf_dir).withColumn("f", spans.resolve(spans.expand(F.col("text"), spans.all_rule_matches(F.col("text")))))
-    return rows.select(F.col("paper_ord").alias("doc_id"), F.inline("f"))
+    return _steps(spark, sf_dir).select(F.col("paper_ord").alias("doc_id"), F.inline("f"))
 
 
-@_query()
+@_query(f"WITH {_RULES}, {_STEPS} {_INLINE.format('mer')}")
 def merged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _papers(spark, sf_dir).withColumn("f", spans.resolve(spans.expand(F.col("text"), spans.all_rule_matches(F.col("text")))))
-    return rows.withColumn("f", spans.merge(F.col("text"), F.col("f"))).select(F.col("paper_ord").alias("doc_id"), F.inline("f"))
+    return _steps(spark, sf_dir).withColumn("f", spans.merge(F.col("text"), F.col("f"))).select(F.col("paper_ord").alias("doc_id"), F.inline("f"))
+
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.findings(_papers(spark, sf_dir))
 
-def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.detect(_papers(spark, sf_dir))
 
+#: Tags of findings fin, numbered by first appearance.
+_NUMBERED = f"""key AS (SELECT *, {_KEY.format(s="surface")} AS key FROM fin),
+num AS (SELECT type, key, row_number() OVER (PARTITION BY type ORDER BY spot) AS n, count(*) OVER (PARTITION BY type) AS d FROM (SELECT type, key, min((doc_id, s)) AS spot FROM key GROUP BY type, key)),
+tag AS (SELECT key.*, '[' || {_PH} || CASE WHEN d > 1 THEN ' ' || n ELSE '' END || ']' AS tag FROM key JOIN num USING (type, key))"""
+_SCRUBBED = """pc AS (SELECT doc_id, string_agg(substring(text, p + 1, s - p) || tag, '' ORDER BY s) AS head, max(e) AS last, count(*) AS n FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM tag) GROUP BY doc_id)"""
 
-@_query()
+
+@_query(f"""WITH {_RULES}, {_STEPS}, {_NUMBERED}, {_SCRUBBED}
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_findings, coalesce(head || substring(text, last + 1), text, '') AS scrubbed FROM documents LEFT JOIN pc USING (doc_id)""")
 def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _detected(spark, sf_dir)
-    out = tags.scrub(found, tags.assign_tags(found))
-    return out.select(F.col("paper_ord").alias("doc_id"), F.size("findings").cast("long").alias("n_findings"), "scrubbed")
+    found = _found(spark, sf_dir)
+    out = tags.scrub(_papers(spark, sf_dir), found, tags.assign_tags(found))
+    return out.select(F.col("paper_ord").alias("doc_id"), "n_findings", "scrubbed")
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_CHUNKS}, {_ENTITIES}, {_M}, f0 AS (SELECT doc_id, 0 AS ord, type, s, e, score, 'model' AS source FROM ent
+UNION ALL SELECT doc_id, list_position(['EMAIL', 'PHONE', 'SSN', 'ID', 'ORG'], type), type, start, "end", 1e0, 'regex' FROM m), {_STEPS}
+SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS id, type, surface, CAST(round(score, 3) AS DOUBLE) AS score, source, true AS enabled FROM fin""")
 def detect_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and the pattern tagger together, all steps."""
     rows = _papers(spark, sf_dir)
@@ -274,18 +338,82 @@ def detect_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.findings_export(found)
 
 
+# --- papers with names: made of customers, so that every step of detection has something to do -------
+
+
+_REGION_WORDS = ["Africa", "America", "Asia", "Europe", "Middle"]
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A letter for each customer: a name that is named again, an address, numbers of each kind, a mail, a school."""
+    rows = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    given, last = F.split(F.initcap(F.lower("r_name")), " ")[0], F.initcap(F.lower("c_mktsegment"))
+    k = F.col("c_custkey").cast("string")
+    digits = lambda n: F.lpad((F.col("c_custkey") % 10**n).cast("string"), n, "0")
+    text = F.concat(
+        given, F.lit(" "), last, F.lit(" of "), k, F.lit(" Deer Creek Road wrote.\n"), last, F.lit(" came, and "), given, F.lit(" left. Id "), digits(3), F.lit("-"), digits(2), F.lit("-"), digits(4),
+        F.lit("; "), (F.col("c_custkey") + 1000000).cast("string"), F.lit(". Mail c"), k, F.lit("@a"), F.col("c_nationkey").cast("string"), F.lit(".example.com or 606-555-"), digits(4), F.lit(". Belfry High School"),
+    )
+    return papers(rows.select(F.col("c_custkey").alias("doc_id"), text.alias("text"), F.lit("letter").alias("source")))
+
+
+#: The same findings by arithmetic over the parts of each letter.
+_LETTERS = """p AS (SELECT c_custkey AS doc_id, upper(split_part(r_name, ' ', 1)[1]) || lower(split_part(r_name, ' ', 1)[2:]) AS g, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS l, CAST(c_custkey AS VARCHAR) AS k,
+  lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS ssn, CAST(c_custkey + 1000000 AS VARCHAR) AS num,
+  'c' || c_custkey || '@a' || c_nationkey || '.example.com' AS mail, '606-555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS tel
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+q AS (SELECT doc_id, [{'type': 'NAME', 'source': 'model', 'pre': '', 'surface': g || ' ' || l}, {'type': 'ADDRESS', 'source': 'model', 'pre': ' of ', 'surface': k || ' Deer Creek Road'}, {'type': 'NAME', 'source': 'echo', 'pre': ' wrote.' || chr(10), 'surface': l},
+  {'type': 'NAME', 'source': 'model', 'pre': ' came, and ', 'surface': g}, {'type': 'SSN', 'source': 'regex', 'pre': ' left. Id ', 'surface': ssn}, {'type': 'ID', 'source': 'regex', 'pre': '; ', 'surface': num},
+  {'type': 'EMAIL', 'source': 'regex', 'pre': '. Mail ', 'surface': mail}, {'type': 'PHONE', 'source': 'regex', 'pre': ' or ', 'surface': tel}, {'type': 'ORG', 'source': 'regex', 'pre': '. ', 'surface': 'Belfry High School'}] AS z FROM p),
+z AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS id, z[i].type AS type, z[i].source AS source, z[i].surface AS surface, z[i].pre AS pre,
+  CAST(list_sum(list_transform(z[1:i], lambda x: length(x.pre))) + coalesce(list_sum(list_transform(z[1:i - 1], lambda x: length(x.surface))), 0) AS INTEGER) AS s FROM q, unnest(range(1, 10)) AS t(i)),
+fin AS (SELECT *, CAST(s + length(surface) AS INTEGER) AS e, CASE source WHEN 'model' THEN 0.8 WHEN 'echo' THEN 0.99 ELSE 1.0 END AS score FROM z)"""
+
+
+def _letter_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _letters(spark, sf_dir)
+    tagger = tagging.list_tagger({"B-FIRSTNAME": _REGION_WORDS, "B-STREET": ["Deer"]})
+    return rows, detect.findings(rows, tagging.model_findings(rows, tagger))
+
+
+@_query(f'WITH {_LETTERS} SELECT doc_id, id, type, s AS start, e AS "end", surface, CAST(score AS DOUBLE) AS score, source FROM fin')
+def letter_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps of detection over letters with names, addresses and schools: extension, echo, rules of every kind."""
+    found = _letter_findings(spark, sf_dir)[1]
+    return found.select(F.col("paper_ord").alias("doc_id"), "id", "type", "start", "end", "surface", "score", "source")
+
+
+@_query(f"WITH {_LETTERS}, {_NUMBERED} SELECT doc_id, string_agg(pre || tag, '' ORDER BY s) AS scrubbed FROM tag GROUP BY doc_id")
+def letter_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, found = _letter_findings(spark, sf_dir)
+    return tags.scrub(rows, found, tags.assign_tags(found)).select(F.col("paper_ord").alias("doc_id"), "scrubbed")
+
+
+@_query(f"""WITH {_LETTERS}, {_NUMBERED}, x AS (SELECT * FROM tag WHERE type <> 'ID'), y AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'old ' || surface ELSE surface END AS original, tag, doc_id, s FROM x)
+SELECT tag, arg_min(original, (doc_id, s)) AS original FROM y GROUP BY tag""")
+def letter_tag_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch's map with numbers switched off, where every third letter was exported before with other originals."""
+    found = _letter_findings(spark, sf_dir)[1]
+    known = tags.assign_tags(found)
+    on = found.withColumn("enabled", F.col("type") != "ID")
+    old = tags.exported(on.where("paper_ord % 3 = 0"), known).withColumn("original", F.concat(F.lit("old "), "original"))
+    return tags.tag_map(on, known, snapshots=old).select("tag", "original")
+
+
 @_query("SELECT CAST(doc_id AS VARCHAR) AS reply_id, coalesce(text, '') AS text FROM documents")
 def reply_unscrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scrubbed texts as replies, with their own paper's map: the texts come back as they were."""
-    found = _detected(spark, sf_dir)
+    found = _found(spark, sf_dir)
     known = tags.assign_tags(found)
-    replies = tags.scrub(found, known).select(F.col("paper_id").alias("reply_id"), F.col("paper_id").alias("scope"), F.col("scrubbed").alias("text"))
+    replies = tags.scrub(_papers(spark, sf_dir), found, known).select(F.col("paper_id").alias("reply_id"), F.col("paper_id").alias("scope"), F.col("scrubbed").alias("text"))
     return tags.unscrub(replies, tags.tag_map(found, known, "paper"))
 
 
-@_query()
+@_query(f"""WITH {_RULES}, {_STEPS}, {_NUMBERED} SELECT 'corpus' AS scope, min((doc_id, s))[1] AS ord, CAST(min((doc_id, s))[2] AS INTEGER) AS start, tag, arg_min(surface, (doc_id, s)) AS original
+FROM tag JOIN documents USING (doc_id) WHERE trim(coalesce(documents.text, '')) <> '' GROUP BY tag""")
 def tag_map_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _detected(spark, sf_dir)
+    found = _found(spark, sf_dir)
     return tags.tag_map(found, tags.assign_tags(found))
 
 

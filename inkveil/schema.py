@@ -25,26 +25,62 @@ TYPES = [
     ("LINK", "LINK", "Links & online addresses"),
 ]
 
-# Tagger labels that make each type; other labels make none.
-LABELS = {
-    "NAME": "FIRSTNAME MIDDLENAME LASTNAME GIVENNAME SURNAME PREFIX TITLE",
-    "ORG": "COMPANYNAME",
+# The type that each label of a tagger makes; other labels make none.
+LABEL_TYPE = {
+    "FIRSTNAME": "NAME",
+    "MIDDLENAME": "NAME",
+    "LASTNAME": "NAME",
+    "GIVENNAME": "NAME",
+    "SURNAME": "NAME",
+    "PREFIX": "NAME",
+    "TITLE": "NAME",
+    "COMPANYNAME": "ORG",
     "EMAIL": "EMAIL",
-    "PHONE": "PHONENUMBER TELEPHONENUM",
-    "ADDRESS": "STREET STREETADDRESS BUILDINGNUMBER BUILDINGNUM SECONDARYADDRESS",
+    "PHONENUMBER": "PHONE",
+    "TELEPHONENUM": "PHONE",
+    "STREET": "ADDRESS",
+    "STREETADDRESS": "ADDRESS",
+    "BUILDINGNUMBER": "ADDRESS",
+    "BUILDINGNUM": "ADDRESS",
+    "SECONDARYADDRESS": "ADDRESS",
     "CITY": "CITY",
-    "STATE": "STATE COUNTY",
-    "ZIP": "ZIPCODE",
-    "DOB": "DOB DATEOFBIRTH",
+    "STATE": "STATE",
+    "COUNTY": "STATE",
+    "ZIPCODE": "ZIP",
+    "DOB": "DOB",
+    "DATEOFBIRTH": "DOB",
     "DATE": "DATE",
     "AGE": "AGE",
-    "SSN": "SSN SOCIALNUM",
-    "ID": "DRIVERLICENSENUM IDCARDNUM TAXNUM PASSPORTNUM ACCOUNTNUMBER ACCOUNTNUM CREDITCARDNUMBER CREDITCARDCVV IBAN BIC PIN MASKEDNUMBER VEHICLEVIN VEHICLEVRM PHONEIMEI",
-    "USERNAME": "USERNAME ACCOUNTNAME",
+    "SSN": "SSN",
+    "SOCIALNUM": "SSN",
+    "DRIVERLICENSENUM": "ID",
+    "IDCARDNUM": "ID",
+    "TAXNUM": "ID",
+    "PASSPORTNUM": "ID",
+    "ACCOUNTNUMBER": "ID",
+    "ACCOUNTNUM": "ID",
+    "CREDITCARDNUMBER": "ID",
+    "CREDITCARDCVV": "ID",
+    "IBAN": "ID",
+    "BIC": "ID",
+    "PIN": "ID",
+    "MASKEDNUMBER": "ID",
+    "VEHICLEVIN": "ID",
+    "VEHICLEVRM": "ID",
+    "PHONEIMEI": "ID",
+    "USERNAME": "USERNAME",
+    "ACCOUNTNAME": "USERNAME",
     "PASSWORD": "PASSWORD",
-    "LINK": "URL IP IPV4 IPV6 MAC USERAGENT BITCOINADDRESS ETHEREUMADDRESS LITECOINADDRESS",
+    "URL": "LINK",
+    "IP": "LINK",
+    "IPV4": "LINK",
+    "IPV6": "LINK",
+    "MAC": "LINK",
+    "USERAGENT": "LINK",
+    "BITCOINADDRESS": "LINK",
+    "ETHEREUMADDRESS": "LINK",
+    "LITECOINADDRESS": "LINK",
 }
-LABEL_TYPE = {label: kind for kind, labels in LABELS.items() for label in labels.split()}
 
 # Tokens of taggers that stand for no text.
 SPECIAL_TOKENS = ["[CLS]", "[SEP]", "[PAD]", "[MASK]", "[UNK]", "<s>", "</s>", "<pad>", "<unk>", "<mask>"]
@@ -59,10 +95,6 @@ def types_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, p, n, i) for i, (t, p, n) in enumerate(TYPES)], "type string, ph string, title string, ord int")
 
 
-def labels_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(LABEL_TYPE.items()), "raw string, type string")
-
-
 def type_of(label: Column) -> Column:
     """The type of a tagger's label, with or without B- or I-; null for others."""
     pairs = [F.lit(x) for kv in sorted(LABEL_TYPE.items()) for x in kv]

@@ -8,6 +8,7 @@ import zipfile
 from xml.dom import minidom
 from xml.parsers.expat import ExpatError
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,30 +65,49 @@ def parts(content: bytes) -> tuple[str, list[dict]]:
     return whole, out
 
 
+def node_edits(nodes: list[tuple[int, int]], hits: list[tuple[int, int, str]]) -> dict[int, list[tuple[int, int, str]]]:
+    """For each touched node its cuts (from, to, what stands there), from disjoint, sorted hits over disjoint, sorted nodes.
+
+    A hit's tag stands in the node where it starts; what it covers of others goes.
+    """
+    edits: dict[int, list[tuple[int, int, str]]] = {}
+    starts, ends = np.array([a for a, _ in nodes], int), np.array([b for _, b in nodes], int)
+    first = np.searchsorted(ends, [s for s, _, _ in hits], "right")
+    last = np.searchsorted(starts, [e for _, e, _ in hits], "left")
+    for (s, e, tag), i, j in zip(hits, first.tolist(), last.tolist(), strict=True):
+        for k in range(i, j):
+            a, b = nodes[k]
+            if a < b:
+                edits.setdefault(k, []).append((max(s, a) - a, min(e, b) - a, tag if a <= s else ""))
+    return edits
+
+
+def _applied(text: str, cuts: list[tuple[int, int, str]]) -> str:
+    kept = [text[b:a] for (_, b, _), (a, _, _) in zip([(0, 0, ""), *cuts], [*cuts, (len(text), 0, "")], strict=True)]
+    return "".join(x for pair in zip(kept, [*(tag for _, _, tag in cuts), ""], strict=True) for x in pair)
+
+
 def rewrite(content: bytes, hits: list[dict]) -> bytes:
-    """The file with hits (start, end, tag) replaced: the tag stands in the node where its hit starts."""
-    _, found = parts(content)
+    """The file with hits (start, end, tag) replaced in its text nodes; all other parts stay as they are."""
     changed = {}
-    for part in found:
-        own = [h for h in hits if h["end"] > part["base"] and h["start"] < part["base"] + len(part["text"])]
-        for node, a, b in part["nodes"] if own else []:
-            text, out, at = _content(node), "", a
-            for h in sorted(own, key=lambda h: h["start"]):
-                s, e = h["start"] - part["base"], h["end"] - part["base"]
-                if s < b and e > a:
-                    out += text[at - a : max(at, s) - a] + (h["tag"] if s >= a else "")
-                    at = min(b, e)
-            out += text[at - a :]
+    ordered = sorted((h["start"], h["end"], h["tag"]) for h in hits)
+    for part in parts(content)[1]:
+        base, size = part["base"], len(part["text"])
+        own = [(s - base, e - base, tag) for s, e, tag in ordered if e > base and s < base + size]
+        if not own:
+            continue
+        for k, cuts in node_edits([(a, b) for _, a, b in part["nodes"]], own).items():
+            node = part["nodes"][k][0]
+            text = _applied(_content(node), cuts)
             while node.firstChild:
                 node.removeChild(node.firstChild)
-            node.appendChild(part["tree"].createTextNode(out))
+            node.appendChild(part["tree"].createTextNode(text))
             node.setAttribute("xml:space", "preserve")
-        if own:
-            changed[part["path"]] = part["tree"].toxml(encoding="UTF-8", standalone=True)
+        changed[part["path"]] = part["tree"].toxml(encoding="UTF-8", standalone=True)
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as to:
         for name in z.namelist():
-            to.writestr(name, changed.get(name, z.read(name)))
+            to.writestr(name, changed[name] if name in changed else z.read(name))
     return out.getvalue()
 
 
@@ -108,9 +128,16 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def scrubbed(files: DataFrame) -> DataFrame:
-    """paper_id, content of rows paper_id, content, hits (array of start, end, tag)."""
+    """paper_id, content, error of rows paper_id, content, hits (array of start, end, tag; null: none); a damaged file has an error."""
 
-    def work(content: pd.Series, hits: pd.Series) -> pd.Series:
-        return pd.Series([rewrite(c, list(h)) for c, h in zip(content, hits, strict=True)])
+    def work(content: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, h in zip(content, hits, strict=True):
+            try:
+                rows.append((rewrite(c, [] if h is None else list(h)), None))
+            except Exception as e:  # one file never fails the batch
+                rows.append((None, str(e) or type(e).__name__))
+        return pd.DataFrame(rows, columns=["content", "error"])
 
-    return files.select("paper_id", F.pandas_udf(work, "binary")("content", "hits").alias("content"))
+    done = files.select("paper_id", F.pandas_udf(work, "content binary, error string")("content", "hits").alias("r"))
+    return done.select("paper_id", "r.content", "r.error")

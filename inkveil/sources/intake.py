@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_handoff, non_space_length, ws_trim
+from .pdf import error_text
 
 # Extensions that are read, and those of images.
 _IMAGES = "png|jpe?g|webp|bmp|heic|heif"
@@ -55,7 +56,7 @@ def load_text(files: DataFrame, readers: dict[str, Reader]) -> DataFrame:
 
     A file without a reader, or whose reader fails, has status error; the batch goes on.
     """
-    plain = files.where("kind = 'text'").select("paper_id", F.try_validate_utf8(F.col("content").cast("string")).alias("text"), F.lit(False).alias("ocr"), F.lit(None).cast("string").alias("error"))
+    plain = files.where("kind = 'text'").select("paper_id", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(False).alias("ocr"), F.lit(None).cast("string").alias("error"))
     parts = [plain] + [reader(files.where(F.col("kind") == kind).select("paper_id", "content")) for kind, reader in readers.items()]
     got = parts[0]
     for p in parts[1:]:
@@ -70,15 +71,75 @@ def enough_text(text: Column, least: int) -> Column:
     return non_space_length(text) >= least
 
 
+NO_PRINT = "no readable print was found: a clear, straight scan of a typed paper works best"
+HEIC = "HEIC photos can't be read here: share the photo as a JPEG"
+NO_IMAGE = "this image couldn't be read: a .png or .jpg photo works best"
+OcrEngine = Callable[[str], Reader]  # for languages such as "eng" or "eng+spa"
+
+
+def ocr_languages(mode: str) -> str:
+    """Languages of print that are read: with the multilingual tagger ("max") Spanish too."""
+    return "eng+spa" if mode == "max" else "eng"
+
+
 def with_fallback(pages: DataFrame, ocr: Reader | None = None, least: int = 30, least_ocr: int = 20) -> DataFrame:
-    """PDF rows (paper_id, content, text): those with too little text go to OCR, if there is one."""
-    good = pages.where(enough_text(F.col("text"), least)).select("paper_id", "text", F.lit(False).alias("ocr"), F.lit(None).cast("string").alias("error"))
-    poor = pages.where(~enough_text(F.coalesce("text", F.lit("")), least))
+    """PDF rows (paper_id, content, text, error): those with too little text go to OCR, if there is one; errors are told."""
+    text = F.coalesce("text", F.lit(""))
+    bad = pages.where("error is not null").select("paper_id", F.lit(None).cast("string").alias("text"), F.lit(False).alias("ocr"), error_text(F.col("error")).alias("error"))
+    well = pages.where("error is null")
+    good = well.where(enough_text(text, least)).select("paper_id", "text", F.lit(False).alias("ocr"), F.lit(None).cast("string").alias("error"))
+    poor = well.where(~enough_text(text, least))
     if ocr is None:
-        return good.unionByName(poor.select("paper_id", F.lit("").alias("text"), F.lit(True).alias("ocr"), F.lit("this scan has no text").alias("error")))
-    read = ocr(poor.select("paper_id", "content"))
-    short = F.when(~enough_text(F.coalesce("text", F.lit("")), least_ocr), "this scan has no text")
-    return good.unionByName(read.select("paper_id", "text", F.lit(True).alias("ocr"), F.coalesce("error", short).alias("error")))
+        return bad.unionByName(good).unionByName(poor.select("paper_id", F.lit("").alias("text"), F.lit(True).alias("ocr"), F.lit(NO_PRINT).alias("error")))
+    return bad.unionByName(good).unionByName(read_print(poor.select("paper_id", "content"), ocr, least_ocr))
+
+
+def read_print(files: DataFrame, ocr: Reader, least: int = 20) -> DataFrame:
+    """paper_id, text, ocr, error of what OCR reads; too little print is an error."""
+    read = ocr(files)
+    short = F.when(~enough_text(F.coalesce("text", F.lit("")), least), NO_PRINT)
+    return read.select("paper_id", "text", F.lit(True).alias("ocr"), F.coalesce("error", short).alias("error"))
+
+
+def pdf_reader(extract: Reader, ocr: Reader | None = None) -> Reader:
+    """The reader of PDF files from an extractor of their text layer (paper_id, text, error) and an OCR reader for scans."""
+
+    def read(files: DataFrame) -> DataFrame:
+        return with_fallback(files.join(extract(files).select("paper_id", "text", "error"), "paper_id"), ocr)
+
+    return read
+
+
+def image_reader(ocr: Reader) -> Reader:
+    """The reader of images. What the OCR reader can't open has an error by its kind; files need a name for that."""
+
+    def read(files: DataFrame) -> DataFrame:
+        heic = F.col("paper_id").rlike(r"(?i)\.hei[cf]\z")
+        got = read_print(files, ocr)
+        opened = F.col("error").isNull() | (F.col("error") == NO_PRINT)
+        return got.withColumn("error", F.when(opened, F.col("error")).otherwise(F.when(heic, HEIC).otherwise(NO_IMAGE)))
+
+    return read
+
+
+def from_text(texts: DataFrame) -> DataFrame:
+    """Pasted texts (paper_id, text) as papers of a batch of their own each; a blank one is no paper."""
+    rows = texts.where(ws_trim(F.coalesce("text", F.lit(""))) != "")
+    return rows.select(
+        F.concat(F.lit("pasted-"), F.col("paper_id")).alias("batch_id"), F.lit(0).cast("long").alias("paper_ord"), "paper_id", F.lit("").alias("name"),
+        F.lit("text").alias("kind"), "text", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"),
+    )
+
+
+#: A made-up paper to try things on.
+SAMPLE = (
+    "Robin Alder\nMs. Quill, English 8\nHarbor Middle School\n\nMy name is Robin Alder, and I live at 77 Mill Pond Road. "
+    "Write to robin.alder@example.com or call (555) 555-0187; my number is 30817264.\n"
+)
+
+
+def sample(spark: SparkSession) -> DataFrame:
+    return from_text(spark.createDataFrame([("sample", SAMPLE)], "paper_id string, text string"))
 
 
 def from_handoff(fragments: DataFrame) -> DataFrame:

@@ -12,17 +12,30 @@ ITEMS = "array<struct<str: string, x: double, y: double, width: double, has_eol:
 
 def page_text(items: Column) -> Column:
     """Fragments in order: a new line where y moves by more than 2, a space where a gap of more than 1.5 has no blank beside it."""
-    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("end"))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("blank"), none.alias("y"), none.alias("end"))
 
     def step(acc: Column, i: Column) -> Column:
         line = F.coalesce(F.abs(i["y"] - acc["y"]) > 2, F.lit(False))
-        gap = F.coalesce(i["x"] - acc["end"] > 1.5, F.lit(False)) & (i["str"] != "") & ~i["str"].rlike(f"^[{WS}]") & ~acc["text"].rlike(rf"[{WS}]\z")
-        text = F.concat(acc["text"], F.when(line, "\n").when(gap, " ").otherwise(""), i["str"])
+        gap = F.coalesce(i["x"] - acc["end"] > 1.5, F.lit(False)) & (i["str"] != "") & ~i["str"].rlike(f"^[{WS}]") & ~acc["blank"]
         eol = F.coalesce(i["has_eol"], F.lit(False))
-        none = F.lit(None).cast("double")
-        return F.struct(F.when(eol, F.concat(text, F.lit("\n"))).otherwise(text).alias("text"), F.when(eol, none).otherwise(i["y"]).alias("y"), F.when(eol, none).otherwise(i["x"] + F.coalesce(i["width"], F.lit(0.0))).alias("end"))
+        piece = F.concat(F.when(line, "\n").when(gap, " ").otherwise(""), i["str"], F.when(eol, "\n").otherwise(""))
+        return F.struct(
+            F.concat(acc["out"], F.array(piece)).alias("out"),
+            (eol | F.when(i["str"] == "", line | acc["blank"]).otherwise(i["str"].rlike(rf"[{WS}]\z"))).alias("blank"),  # what is there so far ends with one
+            F.when(eol, none).otherwise(i["y"]).alias("y"), F.when(eol, none).otherwise(i["x"] + F.coalesce(i["width"], F.lit(0.0))).alias("end"),
+        )
 
-    return F.aggregate(items, start, step, lambda acc: acc["text"])
+    return F.aggregate(items, start, step, lambda acc: F.array_join(acc["out"], ""))
+
+
+#: Errors of extractors and what they mean to those who read the batch.
+ERRORS = {"password": "this PDF is password-protected; remove the password and try again", "invalid": "this does not look like a working PDF"}
+
+
+def error_text(error: Column) -> Column:
+    """The message for an extractor's error, which names a password or an invalid file; others stay as they are."""
+    return F.when(error.rlike("(?i)password"), ERRORS["password"]).when(error.rlike("(?i)invalid"), ERRORS["invalid"]).otherwise(error)
 
 
 def document_text(fragments: DataFrame) -> DataFrame:

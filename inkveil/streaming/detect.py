@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.detect import detect, exploded
-from ..operators.tags import tag_key
+from ..functions.text import tag_key
 
 
 def findings_stream(papers: DataFrame) -> DataFrame:

@@ -43,8 +43,9 @@ def test_native_and_python_span_logic_agree(spark):
     texts = ["a 1234567 12345678 b@c.de f", "x 606-555-0142 1234567", "1234567, 1234567 and a@b.co b@c.co"]
     df = papers(spark, texts).withColumn("raw", spans.expand(F.col("text"), spans.all_rule_matches(F.col("text"))))
     df = df.withColumn("out", spans.merge(F.col("text"), spans.resolve(F.col("raw"))))
+    df = df.withColumn("one", spans.resolve(F.col("raw")))
     for r in df.collect():
-        assert [f.asDict() for f in r.out] == names.merged(r.text, names.resolved([f.asDict() for f in r.raw]))
+        assert [f.asDict() for f in r.out] == names.joined(r.text, [f.asDict() for f in r.one])
 
 
 def found(text, kind, word):
@@ -70,10 +71,25 @@ def test_extension_and_echo(text, kind, word, out):
     assert [text[f["start"] : f["end"]] for f in names.settle(text, found(text, kind, word))] == out
 
 
-def test_heavier_finding_wins():
-    a = {"type": "NAME", "start": 0, "end": 10, "score": 0.9, "source": "model"}
-    b = {"type": "ID", "start": 5, "end": 12, "score": 1.0, "source": "regex"}
-    assert names.resolved([a, b]) == [b]
+def test_heavier_finding_wins(spark):
+    df = spark.range(1).select(spans.resolve(F.expr("array(named_struct('type', 'NAME', 'start', 0, 'end', 10, 'score', 0.9D, 'source', 'model'), named_struct('type', 'ID', 'start', 5, 'end', 12, 'score', 1D, 'source', 'regex'))")).alias("f"))
+    assert [(f.type, f.start) for f in df.first().f] == [("ID", 5)]
+
+
+def test_overlapping_echoes():
+    text = "Anne-Marie Lou. Then Anne-Marie-Lou, Anne and Marie"
+    names_ = [{"type": "NAME", "start": 0, "end": 14, "score": 0.9, "source": "model"}]
+    assert [text[f["start"] : f["end"]] for f in names.echoes(text, names_)] == ["Anne-Marie", "Lou"]
+    assert names.echoes("no names", []) == []
+
+
+@pytest.mark.parametrize("filler", ["a" * 1_000_000, "A-" * 100_000, "9" * 1_000_000, "x y. " * 200_000, "a@" * 100_000])
+def test_long_texts_take_linear_time(spark, filler):
+    import time
+
+    began = time.time()
+    got = detect.detect(papers(spark, [filler + " x@b.co " + filler[:1000] + " 1234567 b " + filler])).first()
+    assert {"EMAIL", "ID"} <= {f.type for f in got.findings} and time.time() - began < 60
 
 
 def test_entities(spark):
@@ -81,26 +97,33 @@ def test_entities(spark):
     toks = [("B-FIRSTNAME", "Jas"), ("I-LASTNAME", "##mine"), ("I-LASTNAME", "Carter"), ("I-CITY", "Paris"), ("B-CITY", "Rome"), ("B-JOBTITLE", "Chef")]
     parts = spark.createDataFrame([("p", 0, 0, text)], "paper_id string, chunk_ord int, start int, text string")
     rows = spark.createDataFrame([("p", 0, i, w, lab, 0.8, None, None) for i, (lab, w) in enumerate(toks)], "paper_id string, chunk_ord int, tok_ord int, word string, label string, score double, start int, end int")
-    got = tagging.entities(tagging.located(parts, rows)).orderBy("start").collect()
+    got = tagging.entities(tagging.with_tokens(parts, rows)).orderBy("start").collect()
     assert [(r.type, text[r.start : r.end]) for r in got] == [("NAME", "Jas mine Carter"), ("CITY", "Paris"), ("CITY", "Rome")]
 
 
 def test_threshold_keeps_the_mean_that_equals_it(spark):
-    rows = spark.createDataFrame([("p", 0, 0, "a b", i, "I-CITY", s, 2 * i, 2 * i + 1) for i, s in enumerate((0.3, 0.5))], "paper_id string, chunk_ord int, start int, text string, tok_ord int, label string, score double, a int, b int")
-    assert tagging.entities(rows).count() == 1
+    rows = spark.createDataFrame([("p", 0, 0, "a b", [(w, "I-CITY", s, None, None) for w, s in (("a", 0.3), ("b", 0.5))])], f"paper_id string, chunk_ord int, start int, text string, tokens {tagging.TOKENS}")
+    assert tagging.entities(rows).count() == 1 and tagging.entities(rows, 0.41).count() == 0
+
+
+def test_list_tagger(spark):
+    rows = papers(spark, ["Ann lives in Paris. Later Smith saw Ann Smith"])
+    tagger = tagging.list_tagger({"B-FIRSTNAME": ["Ann"], "B-CITY": ["Paris"]})
+    found = detect.findings(rows, tagging.model_findings(rows, tagger)).orderBy("start").collect()
+    assert [(r.type, r.surface, r.source) for r in found] == [("NAME", "Ann", "model"), ("CITY", "Paris", "model"), ("NAME", "Smith", "echo"), ("NAME", "Ann Smith", "model")]
 
 
 def test_tags_and_unscrub(spark):
     df = papers(spark, ["a@b.co and A@B.co. then c@d.ef", "c@d.ef 1234567"])
-    got = detect.detect(df)
-    known = tags.assign_tags(got)
+    found_ = detect.findings(df)
+    known = tags.assign_tags(found_)
     assert {(r.key, r.tag) for r in known.collect()} == {("a@b.co", "[EMAIL 1]"), ("c@d.ef", "[EMAIL 2]"), ("1234567", "[ID]")}
-    out = [r.scrubbed for r in tags.scrub(got, known).orderBy("paper_ord").collect()]
+    out = [r.scrubbed for r in tags.scrub(df, found_, known).orderBy("paper_ord").collect()]
     assert out == ["[EMAIL 1] and [EMAIL 1]. then [EMAIL 2]", "[EMAIL 2] [ID]"]
-    off = got.withColumn("findings", F.transform("findings", lambda f: f.withField("enabled", f["id"] > 0)))
-    assert tags.scrub(off, tags.assign_tags(off)).orderBy("paper_ord").first().scrubbed.startswith("a@b.co and [EMAIL 1]")
+    off = found_.withColumn("enabled", F.col("id") > 0)
+    assert tags.scrub(df, off, tags.assign_tags(off)).orderBy("paper_ord").first().scrubbed.startswith("a@b.co and [EMAIL 1]")
     replies = spark.createDataFrame([("r", "b", "[EMAIL 2], [EMAIL 10]"), ("s", "b", "none")], "reply_id string, scope string, text string")
-    back = {r.reply_id: r.text for r in tags.unscrub(replies, tags.tag_map(got, known)).collect()}
+    back = {r.reply_id: r.text for r in tags.unscrub(replies, tags.tag_map(found_, known)).collect()}
     assert back == {"r": "c@d.ef, [EMAIL 10]", "s": "none"}
 
 
@@ -136,6 +159,11 @@ def test_docx(spark):
     assert docx.parts(file)[0] == "Jasmine Carter\nB\nh"
     new = docx.rewrite(file, [{"start": 0, "end": 14, "tag": "[NAME]"}])
     assert docx.parts(new)[0] == "[NAME]\nB\nh"
+    two = docx.rewrite(file, [{"start": 1, "end": 5, "tag": "[A]"}, {"start": 6, "end": 9, "tag": "[B]"}, {"start": 15, "end": 18, "tag": "[C]"}])
+    assert docx.parts(two)[0] == "J[A]n[B]arter\n[C]\n"
+    given = spark.createDataFrame([("a", file, [(0, 14, "[NAME]")]), ("b", file, None), ("c", b"junk", None)], "paper_id string, content binary, hits array<struct<start: int, end: int, tag: string>>")
+    made = {r.paper_id: r for r in docx.scrubbed(given).collect()}
+    assert docx.parts(bytes(made["a"].content))[0] == "[NAME]\nB\nh" and docx.parts(bytes(made["b"].content))[0] == "Jasmine Carter\nB\nh" and made["c"].error and made["c"].content is None
     rows = docx.read(spark.createDataFrame([("a", file), ("b", b"junk")], "paper_id string, content binary")).orderBy("paper_id").collect()
     assert rows[0].text.startswith("Jasmine") and rows[1].error
 
@@ -183,6 +211,47 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.docx").write_bytes(word_file(("hi",)))
     (tmp_path / "c.docx").write_bytes(b"junk")
     (tmp_path / "d.txt").write_text(" \n")
+    (tmp_path / "e.txt").write_bytes(b"caf\xe9 ok")
     files = intake.read_files(spark, str(tmp_path)).where(intake.accepted(F.col("name")))
     got = {r.name: (r.status, r.text) for r in intake.load_text(files, {"docx": docx.read}).collect()}
-    assert got["a.txt"][0] == got["b.docx"][0] == "done" and got["c.docx"][0] == got["d.txt"][0] == "error"
+    assert got["a.txt"][0] == got["b.docx"][0] == "done" and got["c.docx"][0] == got["d.txt"][0] == "error" and got["e.txt"] == ("done", "caf\ufffd ok")
+
+
+def test_export(spark, tmp_path):
+    from inkveil.sources import sinks
+
+    word = word_file(("Mail a@b.co",))
+    rows = papers(spark, ["call 606-555-0142, a@b.co", "Mail a@b.co", "none"]).withColumn("kind", F.when(F.col("paper_ord") == 1, "docx").otherwise("text"))
+    found_ = detect.findings(rows)
+    known = tags.assign_tags(found_)
+    files = spark.createDataFrame([("1", word)], "paper_id string, content binary")
+    manifest = sinks.write_batch(rows, found_, known, f"file://{tmp_path}/out", files).collect()
+    assert {r.out_name for r in manifest} == {"n-scrubbed.txt", "n-scrubbed (2).txt", "n-scrubbed.docx"} == {p.name for p in (tmp_path / "out/files").iterdir() if not p.name.startswith(".")}
+    assert (tmp_path / "out/files/n-scrubbed.txt").read_text() == "call [PHONE], [EMAIL]"
+    assert docx.parts((tmp_path / "out/files/n-scrubbed.docx").read_bytes())[0] == "Mail [EMAIL]"
+    old = spark.read.parquet(f"file://{tmp_path}/out/tag_maps").withColumn("original", F.upper("original"))
+    assert {(r.tag, r.original) for r in tags.tag_map(found_, known, snapshots=old).collect()} == {("[PHONE]", "606-555-0142"), ("[EMAIL]", "A@B.CO")}
+    sinks.write_findings(found_, f"file://{tmp_path}/findings")
+    assert spark.read.json(f"file://{tmp_path}/findings").count() == 3
+
+
+def test_readers(spark):
+    ok = lambda text, error=None: lambda files: files.select("paper_id", F.lit(text).cast("string").alias("text"), F.lit(error).cast("string").alias("error"))
+    files = spark.createDataFrame([("a.pdf", b""), ("b.heic", b"")], "paper_id string, content binary")
+    one = lambda reader: [(r.ocr, r.error) for r in reader(files).orderBy("paper_id").collect()][0]
+    assert one(intake.pdf_reader(ok("word " * 9))) == (False, None)
+    assert one(intake.pdf_reader(ok("few"))) == (True, intake.NO_PRINT)
+    assert one(intake.pdf_reader(ok("few"), ok("print " * 5))) == (True, None)
+    assert one(intake.pdf_reader(ok(None, "PasswordException"))) == (False, pdf.ERRORS["password"])
+    assert one(intake.pdf_reader(ok(None, "InvalidPDFException"))) == (False, pdf.ERRORS["invalid"])
+    assert [r.error for r in intake.image_reader(ok(None, "cannot open"))(files).orderBy("paper_id").collect()] == [intake.NO_IMAGE, intake.HEIC]
+    assert intake.ocr_languages("max") == "eng+spa"
+    assert intake.from_text(spark.createDataFrame([("x", " \n"), ("y", "hi")], "paper_id string, text string")).count() == 1
+    assert {r.type for r in detect.findings(intake.sample(spark)).collect()} == {"ORG", "EMAIL", "PHONE", "ID"}
+
+
+def test_batch_texts(spark):
+    rows = papers(spark, ["a@b.co", "none"]).withColumn("status", F.when(F.col("paper_ord") == 1, "error").otherwise("done")).withColumn("error", F.lit("damaged"))
+    got = detect.detect(rows)
+    assert [r.line for r in reports.row_text(rows, detect.exploded(got)).orderBy("paper_id").collect()] == ["1 personal detail replaced", "couldn't read this file: damaged"]
+    assert reports.batch_text(reports.batch_status(got)).first().title == "1 of 2 papers scrubbed"
