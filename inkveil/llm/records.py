@@ -119,9 +119,14 @@ def write_and_read(docs: DataFrame, path: str, spaces: str = "leading", end: int
     spark = docs.sparkSession
     where = new_path(spark, "records")
     write_records(docs, where, path, spaces, end)
-    rows = stored(read_back(spark, where), "read")
+    return with_starts(stored(read_back(spark, where), "read"))
+
+
+def with_starts(rows: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 from records (file, record, ...): files in the order of their numbers, records in theirs."""
     each = rows.groupBy("file").agg(F.sum("n_tokens").alias("_n"))  # one row for each file
-    before = each.withColumn("_before", F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)))
+    number = F.regexp_extract("file", r"(\d+)", 1).cast("long")  # names have five digits, more from file 100,000 on
+    before = each.withColumn("_before", F.sum("_n").over(Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)))
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("record")) - F.col("n_tokens")
     return (
         rows.withColumn("_within", within).join(before.select("file", "_before"), "file")
