@@ -1,13 +1,13 @@
 """K-d tree partitioning of documents into shards of near equal bytes.
 
-Method: a k-d tree over metadata of the text (bytes, words' separators, bytes a
-character, two coordinates from the text's hash that stand for content metadata).
-Each node is split at the weighted median of its widest dimension. The medians come
-from sums of weights in bins of the coordinate, refined bin by bin over the whole
-table until the bin holds one key: exact, and only bin sums reach the driver.
+Method: a k-d tree over metadata (source and lang by name, bytes, bytes a character, share of
+spaces). Each node is split at the weighted median of its widest dimension, each dimension
+measured by its range over the whole table. The medians come from sums of weights in bins
+of the coordinate, refined bin by bin over the whole table until the bin holds one key:
+exact, and only bin sums reach the driver. The text's hash only breaks ties.
 
-Every coordinate depends on the text alone, so equal texts stay in one shard unless the
-cut falls among copies that weigh more than the tolerance; those are cut by doc_id.
+Equal texts have one place: of several sources or langs the first by name counts. So they stay in one
+shard, unless the cut falls among copies that weigh more than the tolerance; those are cut by doc_id.
 
 Nulls: a null text has no bytes and size 1. Repeated rows: each is placed. Ties: keys
 alike in all coordinates are cut by text hash, then doc_id. An empty table gives an
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ._common import numbered, stored
 
-DIMENSIONS = ["d_size", "d_density", "d_spaces", "d_hash"]
+DIMENSIONS = ["d_source", "d_lang", "d_size", "d_density", "d_spaces"]
+SALT = 32  # parts of a hot group of copies
 TOLERANCE = 0.001  # what weighs less than this part of a shard, copies above all, is never parted
 _BITS, _SPAN = 12, 48  # bins a round: 2**12; coordinates are integers below 2**48
 
@@ -33,8 +34,9 @@ def _coordinates(docs: DataFrame) -> DataFrame:
     scale = F.lit(float(2**_SPAN - 1))
     unit = lambda c: (F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * scale).cast("long")
     spaces = (F.length(text) - F.length(F.replace(text, F.lit(" ")))).cast("double")
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"),
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), name("source").alias("source"), name("lang").alias("lang"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.crc32(F.encode(text, "UTF-8"))).cast("long").alias("text_crc32"),
         unit(F.log2(size.cast("double")) / 40).alias("d_size"),
         unit(F.length(text) / size).alias("d_density"),
@@ -43,6 +45,12 @@ def _coordinates(docs: DataFrame) -> DataFrame:
         hashed.alias("h"),
         F.shiftrightunsigned(F.xxhash64("doc_id", text), 64 - _SPAN).alias("tie"),
     )
+    names = rows.groupBy("h").agg(F.min("source").alias("_s"), F.min("lang").alias("_l"), (F.max("source") != F.min("source")).alias("_a"), (F.max("lang") != F.min("lang")).alias("_b"))
+    mixed = names.where("_a or _b").select("h", "_s", "_l", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    rows = rows.withColumn("_salt", F.pmod(F.col("tie"), F.lit(SALT)).cast("int")).join(mixed, ["h", "_salt"], "left")
+    placed = lambda first, own: F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(first, own), "UTF-8"), 1, _SPAN // 8)), _SPAN // 4, "0"), 16, 10).cast("long")
+    rows = rows.withColumn("d_source", placed(F.col("_s"), F.col("source"))).withColumn("d_lang", placed(F.col("_l"), F.col("lang")))
+    return rows.drop("source", "lang", "_s", "_l", "_salt")
 
 
 def _cut(rows: DataFrame, by: dict[int, str], total: dict[int, int], share: dict[int, float], light: dict[int, float]) -> dict[int, tuple[str, list[int]]]:
@@ -77,14 +85,16 @@ def _cut(rows: DataFrame, by: dict[int, str], total: dict[int, int], share: dict
     return {n: (by[n], found[n]) for n in by}
 
 
-def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, shard 0 ... shards-1, of near equal sums of size.
+def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard 0 ... shards-1, of near equal sums of size; with target_bytes as many shards as that takes.
 
     `shards` leaves are made by splitting the heaviest share first at proportional
     medians, so any number works, not powers of two alone.
     """
     rows = stored(_coordinates(docs), "kd").withColumn("node", F.lit(0))
-    leaves = {0: (0, shards)}  # node: first shard, number of shards
+    if target_bytes is not None:
+        shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
+    leaves, full = {0: (0, shards)}, None  # node: first shard, number of shards; ranges over the whole table
     while any(k > 1 for _, k in leaves.values()):
         todo = {n: v for n, v in leaves.items() if v[1] > 1}
         spread = [F.sum("size").alias("w")] + [(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS]
@@ -94,7 +104,8 @@ def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
             leaves[n] = (leaves[n][0], 1)  # an empty node: nothing to place
         if not todo:
             break
-        by = {n: max(DIMENSIONS, key=lambda d: stats[n][d]) for n in todo}
+        full = full or {d: max(1, stats[0][d]) for d in DIMENSIONS}
+        by = {n: max(DIMENSIONS, key=lambda d: stats[n][d] / full[d]) for n in todo}
         cuts = _cut(rows, by, {n: stats[n]["w"] for n in todo}, {n: (k // 2) / k for n, (_, k) in todo.items()}, {n: TOLERANCE * stats[n]["w"] / k for n, (_, k) in todo.items()})
         node = F.col("node")
         for n, (first, k) in todo.items():
