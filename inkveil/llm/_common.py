@@ -91,7 +91,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as longs (u, v); component: its smallest node.
 
     Alternating large-star and small-star steps: O(log^2) rounds, each linear in the
-    edges, written to the shared folder. Nodes without edges aren't in the result.
+    edges, written to the shared folder. Nodes without edges aren't in the result. Raises
+    RuntimeError where the rounds don't suffice.
     """
     e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _mark(e)
@@ -108,6 +109,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components: not settled after {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -222,6 +222,30 @@ def test_mixing_is_a_distribution():
     assert 0 < ends < 1 and total < 1 and len(bits) == 16 * 255 and slots.max() < 1 << max(mixing.BITS) and owner.max() == 254
 
 
+def test_mixing_against_plain_python():
+    """Mixer and map, bit by bit in plain Python."""
+    rng = np.random.default_rng(7)
+    m = mixing.Mixer([rng.integers(0, 9, (1 << b, 2)).astype(np.float32) for b in mixing.BITS])
+    m.weights = [rng.normal(0.2, 0.1, w.shape) for w in m.weights]
+    m.map = np.sort(rng.random((mixing.CONF, mixing.STEPS)), axis=1)
+    toks = [b"alpha", b"b", "é".encode(), b"", b"alphabet" * 9]
+    for tok, got in zip(toks, m.log2p(toks), strict=True):
+        slots, bits, places, _ = mixing.bit_slots([tok])
+        total = 0.0
+        for i, bit in enumerate(bits.tolist()):
+            pairs = [m.tables[k][slots[k, i]] for k in range(6)]
+            whole = min(pairs[4], pairs[5], key=lambda p: p.sum())
+            x = [math.log((p[1] + 0.02) / (p[0] + 0.02)) for p in (*pairs[:4], whole)] + [0.3]
+            conf = [min(int(math.log2(1 + p.sum())), mixing.CONF - 1) for p in (whole, pairs[3])]
+            z = sum(a * (m.weights[0][conf[0] * 4 + places[i]][j] + m.weights[1][conf[1] * 4 + places[i]][j]) for j, a in enumerate(x))
+            at = (max(-12.0, min(12.0, z)) + 12) / 24 * (mixing.STEPS - 1)
+            low = min(int(at), mixing.STEPS - 2)
+            row = m.map[conf[0]]
+            p = (1 / (1 + math.exp(-z)) + row[low] * (1 - at + low) + row[low + 1] * (at - low)) / 2
+            total += math.log2(p if bit else 1 - p)
+        assert got == pytest.approx(total, rel=1e-5)
+
+
 def test_mixing_odd(spark, odd, nothing):
     got = rows(mixing.score_documents(odd, common=3))
     assert got[5].n_tokens == 1 and got[2].score == pytest.approx(got[3].score) and all(math.isfinite(r.score) for r in got.values())
@@ -387,6 +411,57 @@ def test_sharding(spark, corpus):
     assert max(sums.values()) - min(sums.values()) < 2 * max(len(t.encode()) for t in text.values())
 
 
+def test_sharding_follows_a_plain_tree(spark):
+    """Against a k-d tree built row by row: the same dimension and, but for what is too light to part, the same side of the median."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = rows(sharding.kd_shards(docs, 8))
+    points = sharding._coordinates(docs).collect()
+    full = {d: max(1, max(r[d] for r in points) - min(r[d] for r in points)) for d in sharding.DIMENSIONS}
+    want = {}
+
+    def split(part, first, k):
+        if k == 1:
+            want.update({r.doc_id: first for r in part})
+            return
+        spread = lambda d: (max(r[d] for r in part) - min(r[d] for r in part)) / full[d]
+        by = max(sharding.DIMENSIONS, key=spread)
+        part = sorted(part, key=lambda r: (r[by], r.d_hash, r.tie))
+        sums = np.cumsum([r["size"] for r in part])
+        cut_ = int(np.argmin(np.abs(sums - sums[-1] * (k // 2) / k))) + 1
+        split(part[:cut_], first, k // 2)
+        split(part[cut_:], first + k // 2, k - k // 2)
+
+    split(points, 0, 8)
+    assert np.mean([got[d].shard == x for d, x in want.items()]) > 0.9
+    weight = collections.Counter()
+    for r in got.values():
+        weight[r.shard] += r["size"]
+    assert len(weight) == 8 and max(weight.values()) - min(weight.values()) < 2 * max(r["size"] for r in points)
+    small = sharding.kd_shards(docs, target_bytes=100_000).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert len(small) == -(-sum(r["size"] for r in points) // 100_000)
+
+
+def test_equal_texts_of_several_sources(spark):
+    df = spark.createDataFrame([(i, "same text" if i % 2 else f"text {i}", "abc"[i % 3], f"s{i % 5}") for i in range(60)], "doc_id long, text string, lang string, source string")
+    same = sharding._coordinates(df).where("doc_id % 2 = 1").select("d_source", "d_lang").distinct()
+    assert same.count() == 1
+
+
+def test_components_say_when_they_are_not_settled(spark):
+    from inkveil.llm._common import components
+
+    chain = spark.range(200).selectExpr("id AS u", "id + 1 AS v")
+    assert {r.component for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
+
+
+def test_files_beyond_five_digits(spark):
+    df = spark.createDataFrame([(f"part-{n}", 0, n, 10, n) for n in ("00000", "99999", "100000")], "file string, record long, doc string, n_tokens long, crc string")
+    got = records.with_starts(df.selectExpr("file", "record", "cast(doc AS long) AS doc_id", "n_tokens", "cast(crc AS long) AS ids_crc32"))
+    assert {r.doc_id: r.start for r in got.collect()} == {0: 0, 99999: 10, 100000: 20}
+
+
 def test_sharding_odd(spark, odd, nothing):
     got = sharding.shard_documents(odd.unionByName(odd), 4).collect()
     assert len(got) == 20 and {r.shard for r in got} <= set(range(4))
