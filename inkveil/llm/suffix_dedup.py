@@ -45,7 +45,7 @@ from ._bytes import _BASE, _INV, binaries, give_back, mix, packed, powers, slice
 from ._common import stored
 
 #: Bytes that make a repeat, of an anchor and of a segment of a long text; anchors that a task compares; bytes of one merge and its shards.
-WINDOW, ANCHOR, SEGMENT, BUCKET_ANCHORS, MERGE_BYTES, SHARDS = 50, 16, 1 << 22, 250_000, 1 << 20, 4
+WINDOW, ANCHOR, SEGMENT, BUCKET_ANCHORS, MERGE_BYTES, SHARDS = 50, 16, 1 << 22, 100_000, 1 << 20, 4
 #: Occurrences from which an anchor is spread over tasks, and the sample of classes (one in so many) that counts them.
 HOT, SAMPLE = 5_000, 16
 
@@ -198,13 +198,14 @@ def _repeated(dealt: DataFrame, parts: int) -> DataFrame:
         again = np.full(len(h), key[0].as_py() >= parts)
         for k, s in enumerate(() if again.all() else (side >> np.uint32(16), side & np.uint32(0xFFFF))):
             again |= several(h + (s.astype(np.uint64) << np.uint64(1) | np.uint64(k)) * np.uint64(_BASE), sig)
+        del h, side
         keep = np.flatnonzero(again)
         keep = keep[np.lexsort((reach[keep], pos[keep], sig[keep]))]
         sig, pos, reach = sig[keep], pos[keep], reach[keep]
         new = np.r_[True, (sig[1:] != sig[:-1]) | (pos[1:] != pos[:-1]) | (reach[1:] != reach[:-1])][: len(sig)]
         sig, pos, reach = sig[new], pos[new], reach[new]  # the same class from several batches
         out = pa.Table.from_batches([packed("part", _range(sig, parts), _PLACES, (sig, pos, reach))])
-        del h, side, again, keep, table
+        del again, keep, table
         give_back()
         return out
 
