@@ -54,17 +54,21 @@ def _around(w: Column, at: Column, side: int, window: int) -> Column:
     return F.when(at > 0, F.reverse(F.slice(w, first + 1, at - first))).otherwise(F.array().cast("array<string>"))
 
 
-def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
+def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, absent: int = 0, picks: int = 1) -> DataFrame:
     """item_id, need, at, word, left, right: the anchors of each item's windows.
 
-    need: words that a match must have. counts: word, n over the documents.
+    need: words that a match must have. counts: word, n over the documents. absent: how often words
+    that no document has count; at 0 their windows have no anchor, as none can occur whole. picks: so many rarest words of a window are anchors.
     """
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.monotonically_increasing_id().alias("item"), words(F.col("text")).alias("w"))
     rows = stored(rows.where(F.size("w") > 0), "items")
-    at = rows.select("item", F.posexplode("w").alias("at", "word")).join(counts, "word", "left").fillna(0, ["n"])
-    rare = F.min(F.struct("n", "at", "word")).over(Window.partitionBy("item").orderBy("at").rowsBetween(0, window - 1))
+    at = rows.select("item", F.posexplode("w").alias("at", "word")).join(counts, "word", "left").fillna(absent, ["n"])
+    ahead = Window.partitionBy("item").orderBy("at").rowsBetween(0, window - 1)
+    term = F.struct("n", "at", "word")
+    rare = F.min(term).over(ahead) if picks == 1 else F.explode(F.slice(F.array_sort("ahead"), 1, picks))
+    at = at if picks == 1 else at.withColumn("ahead", F.collect_list(term).over(ahead))
     size = F.count("*").over(Window.partitionBy("item"))
-    picked = at.withColumn("rare", rare).withColumn("size", size).where(F.col("at") <= F.greatest(F.col("size") - window, F.lit(0)))
+    picked = at.withColumn("size", size).withColumn("rare", rare).where(F.col("at") <= F.greatest(F.col("size") - window, F.lit(0)))
     picked = picked.where("rare.n > 0").select("item", F.least("size", F.lit(window)).cast("int").alias("need"), F.col("rare.at").alias("at"), F.col("rare.word").alias("word")).distinct()
     return rows.join(picked, "item").select("item_id", "need", "at", "word", _around(F.col("w"), F.col("at"), -1, window).alias("left"), _around(F.col("w"), F.col("at"), 1, window).alias("right"))
 
@@ -132,15 +136,17 @@ def proximity_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, s
     """doc_id, item_id, at, near: windows of which at least `at_least` words occur in order-free reach of an anchor.
 
     Words of the item's window must lie within window-1+slop positions of the anchor's place in the document.
+    Anchors are the rarest words that documents have, one more than may be missing, so that one is there in every match. Where the window has fewer different words than
+    `at_least`, all of them are asked for.
     """
     rows = _rows(docs)
     vocabulary = items.select(F.explode(words(F.col("text"))).alias("word")).distinct()
-    wanted = stored(anchors(items, _count(rows, vocabulary, 0), window), "queries")
+    wanted = stored(anchors(items, _count(rows, vocabulary, 0), window, 1 << 62, window - at_least + 1), "queries")
     found = _postings(rows, wanted.select("word").distinct(), window + slop, 20_000)
     q = wanted.select("item_id", "need", "word", F.array_distinct(F.concat("left", F.array("word"), "right")).alias("q"))
     d = found.select("doc_id", "at", "word", F.concat("left", F.array("word"), "right").alias("d"))
     near = F.size(F.array_intersect("q", "d"))
-    return d.join(q, "word").withColumn("near", near).where(F.col("near") >= F.least(F.lit(at_least), F.col("need"))).groupBy("doc_id", "item_id").agg(F.min_by("at", -F.col("near")).alias("at"), F.max("near").alias("near"))
+    return d.join(q, "word").withColumn("near", near).where(F.col("near") >= F.least(F.lit(at_least), F.col("need"), F.size("q"))).groupBy("doc_id", "item_id").agg(F.min_by("at", -F.col("near")).alias("at"), F.max("near").alias("near"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -110,6 +110,15 @@ def test_decontamination_odd(spark, odd, nothing):
     assert decontaminate.proximity_matches(spark.createDataFrame(TEXTS, "doc_id long, text string"), items).where("item_id = '2'").count() >= 2
 
 
+def test_proximity(spark):
+    """A copy with its rarest word replaced, words out of order, and a window of one word over and over."""
+    items = spark.createDataFrame([(1, "q w e r t y u i o p"), (2, "the " * 12)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b q w e r NEW y u i o p c"), (2, "p o i u y t r e w q"), (3, "q w e other words"), (4, "the " * 30), (5, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.near for r in decontaminate.proximity_matches(docs.where("doc_id in (1, 3, 4, 5)"), items).collect()}
+    assert got == {(1, "1"): 9, (4, "2"): 1}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.proximity_matches(docs, items).collect()} == {(1, "1"), (2, "1"), (4, "2")}
+
+
 # --- suffix arrays ----------------------------------------------------------------
 
 
