@@ -9,8 +9,9 @@ a checksum stored inside checked data does not check itself.
 Documents are dealt to files by ranges of doc_id, sorted within; the file's number in
 its name follows the ranges. Spark's own text writer puts the frames down (as raw
 bytes), so any store that Spark reaches will do, and the commit protocol discards
-what lost tasks have left. The index (file, record, byte offset and length, doc_id,
-number of ids) is a Parquet table of its own, for shuffled reads.
+what lost tasks have left. The files are then read back once, with every checksum verified; that
+makes the index (file, record, byte offset and length, doc_id, number of ids, crc32 of the ids), a Parquet
+table of its own for shuffled reads, from which reports are made too.
 
 Nulls: a null text has the end id alone; a null doc_id comes first and is read back as null. Repeated rows are written each. Ties on doc_id
 follow the text. An empty table gives empty files. Extra columns are ignored.
@@ -29,14 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from ._common import new_path, partitions, stored, texts
+from ._common import new_path, partitions, texts
 
-#: Bytes of text for each file, about; a file is read whole by one task.
-FILE_BYTES = 8 << 20
+#: Bytes of text for each file, about; a file is read whole by one task (a record that is longer makes its file longer).
+FILE_BYTES = 32 << 20
 _MASK_ADD = 0xA282EAD8  # fixed value of the record format
 
 
 _NO_ID = 128  # in the byte of the width
+_INDEX = "file string, record long, offset long, bytes long, doc_id long, n_tokens long, ids_crc32 long"
 
 
 def masked(data: bytes) -> int:
@@ -85,7 +87,7 @@ def write_records(docs: DataFrame, where: str, path: str, spaces: str = "leading
 
     dealt = rows.repartitionByRange(int(files), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{where}/ids")
-    read_back(spark, where).select("file", "record", "offset", "bytes", "doc_id", "n_tokens").write.parquet(f"{where}/index")
+    read_back(spark, where).write.parquet(f"{where}/index")
 
 
 def read_back(spark: SparkSession, where: str) -> DataFrame:
@@ -105,7 +107,7 @@ def read_back(spark: SparkSession, where: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{where}/ids")
     named = files.select(F.regexp_extract("path", r"(part-\d+)", 1).alias("file"), "content")
-    return named.mapInArrow(parse, "file string, record long, offset long, bytes long, doc_id long, n_tokens long, ids_crc32 long")
+    return named.mapInArrow(parse, _INDEX)
 
 
 def read_at(data: bytes, offset: int) -> tuple[int | None, np.ndarray]:
@@ -119,7 +121,7 @@ def write_and_read(docs: DataFrame, path: str, spaces: str = "leading", end: int
     spark = docs.sparkSession
     where = new_path(spark, "records")
     write_records(docs, where, path, spaces, end)
-    return with_starts(stored(read_back(spark, where), "read"))
+    return with_starts(spark.read.schema(_INDEX).parquet(f"{where}/index"))
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
