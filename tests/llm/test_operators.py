@@ -396,6 +396,17 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
 
 
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w" * 100) for i in range(40)] + [(1, "w" * 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, prior: taken.append(len(rows)))
+    for most in (64 << 20, 1000, 0):
+        toxicity.fit(docs, labels, most_bytes=most)
+    known = [d for d in [*range(40), 1] if zlib.crc32(str(d).encode()) % 3 != 1]
+    assert taken[0] == len(known) and taken[1] in (9, 10) and taken[2] == 0
+
+
 def test_toxicity_odd(spark, odd, nothing):
     labels = spark.createDataFrame([(i, None, i % 2) for i in range(1, 11)], "doc_id long, quality int, toxic int")
     got = rows(toxicity.score_documents(odd, labels))
