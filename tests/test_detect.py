@@ -168,6 +168,21 @@ def test_docx(spark):
     assert rows[0].text.startswith("Jasmine") and rows[1].error
 
 
+def test_pdf_fragments_across_blocks(spark):
+    rows = [("a" if i % 7 else "", float(i % 50) * 10, float(i // 50) * 12, 5.0, i % 90 == 89) for i in range(5 * pdf.BLOCK + 3)]
+    text, y, end = "", None, None
+    for s, x, at, width, eol in rows:
+        if y is not None and abs(at - y) > 2:
+            text += "\n"
+        elif end is not None and x - end > 1.5 and s and text[-1:] not in (" ", "\n"):
+            text += " "
+        text += s + ("\n" if eol else "")
+        y, end = (None, None) if eol else (at, x + width)
+    df = spark.createDataFrame([("p", rows), ("q", []), ("r", None)], f"paper_id string, items {pdf.ITEMS}")
+    got = {r[0]: r[1] for r in df.select("paper_id", pdf.page_text(F.col("items"))).collect()}
+    assert got == {"p": text, "q": "", "r": None}
+
+
 def test_pdf_fragments(spark):
     rows = [("A", 0.0, 0.0, 10.0, False), ("B", 11.6, 0.0, 5.0, False), ("C", 18.1, 2.0, 5.0, False), ("D", 0.0, 4.1, 5.0, True), ("E", 0.0, 4.1, 5.0, False)]
     df = spark.createDataFrame([("p", 1, rows)], f"paper_id string, page int, items {pdf.ITEMS}")
