@@ -1,7 +1,10 @@
 """Document fingerprints by winnowing, with DataFrame functions alone.
 
-Method: words (letters and digits, lower-cased) are hashed; every k = 4 consecutive words
-give a rolling hash of 31 bits (fewer words give one). In each window of w = 12
+Method: words (letters and digits, lower-cased) are hashed to 1 .. P - 1; every k = 4 consecutive
+words give a rolling hash, the polynomial of their hashes in BASE modulo the prime P (31
+bits; fewer words give one, with zeros for the missing). Array functions carry no running
+sum, so the k terms are added up at each place: the value is the one that rolling gives.
+In each window of w = 12
 such hashes the least is chosen, the rightmost of equal ones, and kept with its
 position. Two texts that share w + k - 1 = 15 consecutive words share a mark, and the
 positions say where. The likeness of two fingerprints is the Jaccard similarity of
@@ -17,6 +20,8 @@ result for each row. An empty table gives an empty result. Extra columns are ign
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +29,7 @@ from pyspark.sql.window import Window
 from ._common import partitions, stored
 
 K, W = 4, 12
+P, BASE = (1 << 31) - 1, 1_000_003
 _LOW = 0xFFFFFFFF
 
 
@@ -35,9 +41,9 @@ def with_marks(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> Da
     """
     a, b = f"_a_{out}", f"_b_{out}"
     at = lambda name, i: F.get(F.col(name), i)
-    hashed = F.transform(F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), ""), lambda x: F.xxhash64(x))
+    hashed = F.transform(F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), ""), lambda x: F.pmod(F.xxhash64(x), F.lit(P - 1)) + 1)
     df = df.withColumn(a, hashed)
-    gram = lambda h, i: F.xxhash64(h, *[at(a, i + j) for j in range(1, k)]).bitwiseAND(0x7FFFFFFF)
+    gram = lambda h, i: reduce(lambda x, j: (x * BASE + F.coalesce(at(a, i + j), F.lit(0))) % P, range(1, k), h)
     one = lambda h, i: F.shiftleft(gram(h, i), 32) + (F.lit(_LOW) - i)
     df = df.withColumn(b, F.slice(F.transform(a, one), F.lit(1), F.greatest(F.size(a) - (k - 1), F.least(F.size(a), F.lit(1))))).drop(a)
     df = df.withColumn(f"_n_{out}", F.size(b))

@@ -9,6 +9,8 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -26,29 +28,48 @@ def rows(df, key="doc_id"):
 
 
 def winnowed(text, k=4, w=12):
-    ws = [x for x in re.split(r"[\W_]+", text.lower()) if x]
-    grams = [tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))] if ws else []
-    return len(grams), max(1, len(grams) - w + 1) if grams else 0
+    """Marks (hash, position) by the plain rule: a hash that rolls over the words, the least of each window, the rightmost of equal ones."""
+    p, base = fingerprints.P, fingerprints.BASE
+    ws = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if x]
+    ws = [((x - (1 << 64) if x >> 63 else x) % (p - 1)) + 1 for x in ws]
+    if not ws:
+        return []
+    h = 0
+    for x in (ws + [0] * k)[:k]:
+        h = (h * base + x) % p
+    grams = [h]
+    for i in range(k, len(ws)):
+        h = ((h - ws[i - k] * pow(base, k - 1, p)) * base + ws[i]) % p
+        grams.append(h)
+    windows = [range(i, min(i + w, len(grams))) for i in range(max(1, len(grams) - w + 1))]
+    return sorted({min((grams[j], -j) for j in win) for win in windows}, key=lambda m: -m[1])
+
+
+def alike(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
 
 
 def test_fingerprints(spark, corpus):
     got = rows(queries.QUERIES["op1_fingerprints"](spark, SF))
-    by_text = {}
+    printed = lambda marks: " ".join(f"{h:X}@{-i}" for h, i in marks)
+    plain = [winnowed(t) for _, t in corpus]
     for i, (d, t) in enumerate(corpus):
         nxt, half = corpus[(i + 1) % len(corpus)][1], len(t) // 2
-        r = got[d]
-        assert r.n_chars == len(t)
-        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
-        grams, windows = winnowed(t)
-        at = [int(m.split("@")[1]) for m in r.fingerprint.split()]
-        assert at == sorted(set(at)) and len(at) <= windows
-        if windows > 1:  # every window holds a mark
-            assert at[0] < 12 and at[-1] >= grams - 12 and all(b - a <= 12 for a, b in zip(at, at[1:], strict=False))
+        r, edited = got[d], t[: len(t) - half] + nxt[:half]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == printed(plain[i]) and r.edited_fingerprint == printed(winnowed(edited))
+        assert r.near_edited == pytest.approx(alike(plain[i], winnowed(edited))) and r.near_next == pytest.approx(alike(plain[i], plain[(i + 1) % len(corpus)]))
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
 
 
+@pytest.mark.parametrize("text", ["a b", "a b c d", "a b c d e", "x " * 40, "x y " * 30, " ".join(f"w{i % 7}" for i in range(60)), "The END. the_end, THE end!"])
+def test_marks_of_repeating_and_short_texts(spark, text):
+    """Ties all along a text, fewer words than one gram, fewer grams than one window."""
+    (r,) = fingerprints.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r.fingerprint == " ".join(f"{h:X}@{-i}" for h, i in winnowed(text))
+
+
 def test_fingerprints_share_long_passages(spark):
     passage = " ".join(f"p{i}" for i in range(15))
     df = spark.createDataFrame([(i, " ".join(f"{i}x{j}" for j in range(20 * i)) + " " + passage + " " + " ".join(f"{i}y{j}" for j in range(9))) for i in (1, 2)], "doc_id long, text string")
