@@ -2,7 +2,10 @@
 
 Method: rare-first prefix filtering. Every document is the set of its distinct 5-word
 shingles (64-bit hashes). The document frequency of each shingle is counted over the
-whole corpus, with copies counted once; a set is ordered from rare to frequent. Two
+whole corpus, with copies counted once; a set is ordered from rare to frequent. Shingles
+that a sample shows to be in very many documents are not counted: they come last, by
+their number in the sample, and are dealt by document instead of by shingle, so that no
+task gets all occurrences of one. Any order that all sets share gives the same links. Two
 sets with similarity >= t must share a shingle within their prefixes of
 n - ceil(t n) + 1 shingles. As shingles of frequency 1 come first and match nothing, a
 set reaches the join only if most of its shingles occur elsewhere, and then only
@@ -36,6 +39,9 @@ from ._common import components, stored, texts
 
 #: Shingles for each task that counts frequencies; classes for each task that verifies.
 BUCKET_SHINGLES, CHUNK = 2_000_000, 4096
+#: Texts of the sample for frequent shingles, at least this many and this share of all; texts of it that make a shingle frequent.
+SAMPLE, SAMPLE_SHARE, FREQUENT = 4096, 2.5e-6, 20
+_OFTEN = 1 << 30  # above any counted frequency: a task that counts has fewer shingles
 
 
 def _signature(s: np.ndarray) -> int:
@@ -59,8 +65,44 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     return texts(docs).mapInArrow(work, "doc_id long, n_shingles long, sig long")
 
 
-def _dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """Shingles by ranges of their hash: bucket, sigs (8 bytes each), ns and counts (4 each), hashes (8 each, by sig)."""
+def _frequent(docs: DataFrame, k: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles in ascending order, and their numbers of different texts in the sample.
+
+    At most SAMPLE or SAMPLE_SHARE of the texts, and of their shingles at most one for FREQUENT of them, come to the driver.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, off in slices(batch, "text"):
+                for s in shingle_sets(data, off, k):
+                    if len(s):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), _signature(s))), pa.array(s.view(np.int64))], ["sig", "h"])
+
+    share = min(1.0, max(SAMPLE / max(1, total), SAMPLE_SHARE))
+    sample = texts(docs).select("text")
+    sample = sample.sample(share, seed=7) if share < 1 else sample
+    found = sample.mapInArrow(work, "sig long, h long").distinct().groupBy("h").count().where(F.col("count") >= FREQUENT).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _place(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value would stand in an ascending array, and whether it is there."""
+    at = np.searchsorted(among, values)
+    return at, np.r_[among, np.uint64(0)][at] == values if len(among) else np.zeros(len(values), bool)
+
+
+def _range(x: np.ndarray, parts: int) -> np.ndarray:
+    """The part, of equal ranges of 64-bit hashes, that each is in."""
+    return ((x.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _dealt(docs: DataFrame, k: int, buckets: int, frequent) -> DataFrame:
+    """Shingles by ranges of their hash: bucket, sigs (8 bytes each), ns and counts (4 each), hashes (8 each, by sig).
+
+    Frequent ones, a broadcast, are in as many buckets more, by ranges of sig.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -68,15 +110,19 @@ def _dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             sizes = np.array([len(s) for s in sets.values()])
             h = np.concatenate(list(sets.values()))
             doc = np.repeat(np.arange(len(sigs), dtype=np.int64), sizes)
-            to = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascending within a set
+            _, often = _place(h, frequent.value[0])
+            to = np.where(often, buckets + np.repeat(_range(sigs, buckets), sizes), _range(h, buckets))
             key = to * len(sigs) + doc
             order = np.argsort(key, kind="stable")
-            h, cuts = h[order], np.searchsorted(key[order], np.arange(buckets + 1) * len(sigs))
-            counts = np.bincount(key, minlength=buckets * len(sigs)).reshape(buckets, -1)
+            key, h = key[order], h[order]
+            first = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]  # one for each bucket and class
+            counts = np.diff(first).astype("<u4")
+            bucket, doc = np.divmod(key[first[:-1]], len(sigs))
+            own, n = sigs[doc], sizes[doc].astype("<u4")
+            cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)].tolist()
             out = []
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                here = counts[b] > 0
-                out.append((b, sigs[here].tobytes(), sizes[here].astype("<u4").tobytes(), counts[b][here].astype("<u4").tobytes(), h[cuts[b] : cuts[b + 1]].tobytes()))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                out.append((bucket[a], own[a:b].tobytes(), n[a:b].tobytes(), counts[a:b].tobytes(), h[first[a] : first[b]].tobytes()))
             cols = list(zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "sigs", "ns", "counts", "hashes"])
 
@@ -98,17 +144,21 @@ def _dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     return texts(docs).select("text").mapInArrow(work, "bucket int, sigs binary, ns binary, counts binary, hashes binary")
 
 
-def _shared(dealt: DataFrame, parts: int) -> DataFrame:
-    """Shingles that several classes have, by ranges of the class: part, sigs, ns, counts, hashes, dfs (packed)."""
+def _shared(dealt: DataFrame, parts: int, frequent) -> DataFrame:
+    """Shingles that several classes have, by ranges of the class: part, sigs, ns, counts, hashes, dfs (packed).
+
+    Frequent ones count as shared.
+    """
 
     def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(pdf.pop("hashes")), "<u8")
         counts = np.frombuffer(b"".join(pdf["counts"]), "<u4")
         sig = np.repeat(np.frombuffer(b"".join(pdf["sigs"]), "<i8"), counts)
         n = np.repeat(np.frombuffer(b"".join(pdf["ns"]), "<u4"), counts)
+        often = key[0] >= parts
         order = np.argsort(h, kind="stable")
         hs = h[order]
-        again = np.zeros(len(hs), bool)
+        again = np.full(len(hs), often)
         eq = hs[1:] == hs[:-1]
         again[1:] |= eq
         again[:-1] |= eq
@@ -118,19 +168,23 @@ def _shared(dealt: DataFrame, parts: int) -> DataFrame:
         new = np.ones(len(hs), bool)
         new[1:] = (hs[1:] != hs[:-1]) | (sg[1:] != sg[:-1])  # the same class from several batches
         hs, sg, n = hs[new], sg[new], n[new]
-        _, back, df = np.unique(hs, return_inverse=True, return_counts=True)
-        df = df[back]
+        if often:
+            df = _OFTEN + frequent.value[1][_place(hs, frequent.value[0])[0]]
+        else:
+            _, back, df = np.unique(hs, return_inverse=True, return_counts=True)
+            df = df[back]
+            del back
         keep = df > 1
         hs, sg, n, df = hs[keep], sg[keep], n[keep], df[keep].astype("<i4")
         start = np.flatnonzero(np.r_[True, sg[1:] != sg[:-1]]) if len(sg) else np.zeros(0, int)
         many = np.diff(np.r_[start, len(sg)]).astype("<u4")
-        to = (sg[start].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        to = _range(sg[start], parts)
         out = []
         for p in np.unique(to).tolist():
             classes = to == p
             rows = np.repeat(classes, many)
             out.append((p, sg[start][classes].tobytes(), n[start][classes].tobytes(), many[classes].tobytes(), hs[rows].tobytes(), df[rows].tobytes()))
-        del h, hs, sg, n, df, order, back, sig, counts
+        del h, hs, sg, n, df, order, sig, counts
         give_back()
         return pd.DataFrame(out, columns=["part", "sigs", "ns", "counts", "hashes", "dfs"])
 
@@ -251,9 +305,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4) ->
     """doc_id, n_shingles, component_id, n_links of every row; linked: similarity >= num / den."""
     rows = stored(_classes(docs, k), "classes")
     cls = stored(rows.where("sig is not null").groupBy("sig").agg(F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("doc")), "sets")
-    total = cls.agg(F.sum("n")).first()[0] or 0
+    total, copies = (x or 0 for x in cls.agg(F.sum("n"), F.sum("copies")).first())
     buckets = max(8, -(-total // BUCKET_SHINGLES))
-    sets = stored(_ordered(_shared(_dealt(docs, k, buckets), buckets), num, den), "prefixes")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, copies))
+    sets = stored(_ordered(_shared(_dealt(docs, k, buckets, frequent), buckets, frequent), num, den), "prefixes")
 
     posts = sets.select("sig", F.explode("prefix").alias("h"))
     first = posts.groupBy("h").agg(F.min("sig").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")

@@ -541,10 +541,11 @@ def test_ngram_join(spark, corpus):
     assert {r.doc_id: tuple(r)[1:] for r in got} == linked(corpus)
 
 
-@pytest.mark.parametrize("chunk", [4096, 7])
-def test_ngram_join_large_group(spark, monkeypatch, chunk):
-    """Many near copies, also where a block is cut into chunks."""
+@pytest.mark.parametrize("chunk,frequent", [(4096, 20), (7, 2), (4096, 1000)])
+def test_ngram_join_large_group(spark, monkeypatch, chunk, frequent):
+    """Many near copies, also where a block is cut into chunks; with all, some and none of the shared shingles frequent."""
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(80)]
     docs = []
@@ -557,6 +558,21 @@ def test_ngram_join_large_group(spark, monkeypatch, chunk):
     assert {r.doc_id: tuple(r)[1:] for r in ngram_join.near_duplicates(df).collect()} == linked(docs)
 
 
+def test_ngram_join_frequent_shingles(spark, monkeypatch):
+    """A passage in all texts: its shingles come last in every set, dealt by text, from a sample or from all."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = [(d, passage + " " + " ".join(f"d{d % 60}w{i}" for i in range(rng.integers(1, 40)))) for d in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    h, n = ngram_join._frequent(df, 5, len(docs))
+    assert len(h) == 26 and (n >= 100).all() and (np.diff(h.astype(object)) > 0).all()
+    want = linked(docs)
+    assert {r.doc_id: tuple(r)[1:] for r in ngram_join.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(ngram_join, "SAMPLE", 60)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 10)
+    assert {r.doc_id: tuple(r)[1:] for r in ngram_join.near_duplicates(df).collect()} == want
+
+
 def test_ngram_join_odd(spark, odd, nothing):
     got = {r.doc_id: tuple(r)[1:] for r in ngram_join.near_duplicates(odd).collect()}
     assert got == linked([(r.doc_id, r.text) for r in odd.collect()])
