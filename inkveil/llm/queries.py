@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate
+from . import chat, decontaminate, merkle, spelling
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,30 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
     return near_duplicates(_documents(spark, sf_dir))
+
+
+@_query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    return score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(_documents(spark, sf_dir))
+
+
+ORACLES["op12_spelling"] = spelling.ORACLE
+
+
+@_query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import verified
+
+    return verified(_documents(spark, sf_dir))
+
+
+ORACLES["op13_merkle"] = merkle.ORACLE
