@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import unused
 from ._common import stored
 
 WINDOW = 10
@@ -164,9 +165,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows without any match, all columns kept; a missing doc_id makes no difference."""
-    bad = phrase_matches(docs, items, window).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
+    """The rows without any match, all columns kept, whatever their names; a missing doc_id makes no difference.
+
+    Null and empty texts stay, as do all rows where there are no items; repeated rows stay or go together. Texts are read whole.
+    """
+    id_, key_ = unused("_id", docs.columns), unused("_key", docs.columns)
+    bad = phrase_matches(docs, items, window).select(F.col("doc_id").alias(id_), F.col("key").alias(key_)).distinct()
+    match = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key_))
     return docs.join(bad, match, "left_anti")
 
 

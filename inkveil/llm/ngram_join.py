@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import unused
 from ._bytes import give_back, mix, shingle_sets, slices
 from ._common import components, stored, texts
 
@@ -335,6 +336,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4) ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near copies of a smaller doc_id's component: one stays of each, and all rows without a doc_id."""
-    first = near_duplicates(docs).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    """The documents without near copies of a smaller doc_id's component: one stays of each, and all rows without a doc_id.
+
+    Null and empty texts are linked with nothing and stay; repeated rows stay or go together; all columns are kept, whatever their names.
+    """
+    id_ = unused("_id", docs.columns)
+    first = near_duplicates(docs).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")

@@ -9,6 +9,8 @@ exact, and only bin sums reach the driver. The text's hash only breaks ties.
 Equal texts have one place: of several sources or langs the first by name counts. So they stay in one
 shard, unless the cut falls among copies that weigh more than the tolerance; those are cut by doc_id.
 
+Source and lang are coordinates by the rank of their name among all names, so any two names part.
+
 Nulls: a null text has no bytes and size 1. Repeated rows: each is placed. Ties: keys
 alike in all coordinates are cut by text hash, then doc_id. An empty table gives an
 empty result. Extra columns are ignored.
@@ -19,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ranked
 from ._common import numbered, stored
 
 DIMENSIONS = ["d_source", "d_lang", "d_size", "d_density", "d_spaces"]
@@ -48,9 +51,13 @@ def _coordinates(docs: DataFrame) -> DataFrame:
     names = rows.groupBy("h").agg(F.min("source").alias("_s"), F.min("lang").alias("_l"), (F.max("source") != F.min("source")).alias("_a"), (F.max("lang") != F.min("lang")).alias("_b"))
     mixed = names.where("_a or _b").select("h", "_s", "_l", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
     rows = rows.withColumn("_salt", F.pmod(F.col("tie"), F.lit(SALT)).cast("int")).join(mixed, ["h", "_salt"], "left")
-    placed = lambda first, own: F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(first, own), "UTF-8"), 1, _SPAN // 8)), _SPAN // 4, "0"), 16, 10).cast("long")
-    rows = rows.withColumn("d_source", placed(F.col("_s"), F.col("source"))).withColumn("d_lang", placed(F.col("_l"), F.col("lang")))
-    return rows.drop("source", "lang", "_s", "_l", "_salt")
+    rows = rows.withColumn("source", F.coalesce("_s", "source")).withColumn("lang", F.coalesce("_l", "lang")).drop("_s", "_l", "_salt")
+    rows = stored(rows, "named")
+    for c in ("source", "lang"):
+        order = ranked(rows.select(c, F.lit(0).alias("all")).distinct(), ["all"], [F.col(c)], "r", "n")
+        step = F.floor(F.lit(2**_SPAN - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
+        rows = rows.join(order.select(c, (F.col("r") * step).cast("long").alias(f"d_{c}")), c).drop(c)
+    return rows
 
 
 def _cut(rows: DataFrame, by: dict[int, str], total: dict[int, int], share: dict[int, float], light: dict[int, float]) -> dict[int, tuple[str, list[int]]]:

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import unused
 from ._bytes import _BASE, _INV, binaries, give_back, mix, packed, powers, slices, span_hash, unpacked
 from ._common import stored
 
@@ -353,7 +354,7 @@ def interleave(a: Shard, b: Shard, depth: int = WINDOW) -> tuple[Shard, np.ndarr
     At first all of a stand before all of b. Each round moves every entry behind the two
     symbols before it, which sorts by two bytes more; no suffix is compared or sorted. The
     round in which neighbours part is their common prefix (rounded down to an even number;
-    `depth` also stands for longer ones).
+    `depth` also stands for longer ones). Of an odd depth the last round takes one symbol.
     """
     source = np.r_[np.zeros(len(a.at), bool), np.ones(len(b.at), bool)]
     edge = np.arange(len(source)) == 0
@@ -361,7 +362,8 @@ def interleave(a: Shard, b: Shard, depth: int = WINDOW) -> tuple[Shard, np.ndarr
     common[:1] = 0
     symbol = np.empty(len(source), np.uint16)
     for h in range(0, depth, 2):
-        symbol[~source], symbol[source] = a.before, b.before
+        last = np.uint16(0xFF if depth - h == 1 else 0xFFFF)
+        symbol[~source], symbol[source] = a.before & last, b.before & last
         moved = np.argsort(symbol, kind="stable")  # a counting sort of 16 bits
         block = np.cumsum(edge, dtype=np.int32)[moved]
         sorted_ = symbol[moved]
@@ -511,6 +513,8 @@ def _spans(pieces: DataFrame, tasks: int, window: int) -> DataFrame:
 
 def _analysed(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """Rows (doc_id, sig, n_bytes, sha, first), removed spans (sig, spans) of first documents, and clashing SHA-256s."""
+    if not ANCHOR + 2 <= window <= 64:  # suffixes are sorted by 64 bytes
+        raise ValueError(f"window: {window} is not between {ANCHOR + 2} and 64 bytes")
     keyed = _keyed(docs)
     rows = stored(keyed.select("doc_id", "sig", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
     firsts = stored(rows.groupBy("sig", "sha").agg(F.min("doc_id").alias("first"), F.max("n_bytes").alias("n"), F.count("*").alias("copies")), "firsts")
@@ -569,9 +573,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     drops out; a text that was empty or null at first stays.
     """
     rows, spans, clash = _analysed(docs, window)
-    marks = rows.join(spans, "sig", "left").select("sig", F.col("doc_id").alias("_id"), "first", "n_bytes", "spans").dropDuplicates(["sig", "_id"])
-    marks = marks.withColumn("_whole", F.coalesce((F.col("_id") != F.col("first")) & (F.col("n_bytes") >= window), F.lit(False)))
-    marks = marks.where("not _whole").select(F.col("sig").alias("_sig"), "_id", F.when(F.col("_id") == F.col("first"), F.col("spans")).alias("_spans"))
+    own_, id_, sig_, spans_ = (unused(c, docs.columns) for c in ("_own", "_id", "_sig", "_spans"))
+    marks = rows.join(spans, "sig", "left").select("sig", "doc_id", "first", "n_bytes", "spans").dropDuplicates(["sig", "doc_id"])
+    marks = marks.withColumn("whole", F.coalesce((F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= window), F.lit(False)))
+    marks = marks.where("not whole").select(F.col("sig").alias(sig_), F.col("doc_id").alias(id_), F.when(F.col("doc_id") == F.col("first"), F.col("spans")).alias(spans_))
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -594,8 +599,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     sig = F.conv(F.substring(sha, 1, 16), 16, -10).cast("long")
     sig = F.when(sha.isin(clash), F.xxhash64(sha)).otherwise(sig) if clash else sig
-    joined = docs.withColumn("_own", sig).join(marks, (F.col("_own") == F.col("_sig")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    touched = joined.where("_spans is not null").withColumn("text", kept("text", "_spans")).where("text <> ''")
+    joined = docs.withColumn(own_, sig).join(marks, (F.col(own_) == F.col(sig_)) & F.col("doc_id").eqNullSafe(F.col(id_)))
+    touched = joined.where(F.col(spans_).isNotNull()).withColumn("text", kept("text", spans_)).where("text <> ''")
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where("_spans is null").select(*docs.columns).unionByName(touched.select(*docs.columns))
+    return joined.where(F.col(spans_).isNull()).select(*docs.columns).unionByName(touched.select(*docs.columns))
