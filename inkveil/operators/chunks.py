@@ -33,4 +33,5 @@ def chunk_text(text: Column, most: int = CHUNK_CHARS) -> Column:
         rows = (("" if t is None else t, cuts(t or "", most)) for t in texts)
         return pd.Series([[{"start": a, "text": t[a:b]} for a, b in zip(at, at[1:], strict=False)] for t, at in rows])
 
-    return F.pandas_udf(sliced, CHUNKS)(text)
+    # declared so, lest the optimizer folds this projection into one with another UDF, which it then can't take apart
+    return F.pandas_udf(sliced, CHUNKS).asNondeterministic()(text)

@@ -1,9 +1,9 @@
 """Taggers and the assembly of their tokens into entities.
 
-A tagger is a function from the column of a chunk's text to the column of its tokens (an array of
-word, label, score, start, end; start and end may be null): an expression, or a pandas UDF around a model.
-So tagging and assembly stay in the row of the chunk, and only entities travel. `pattern_tagger` and
-`list_tagger` need no weights.
+A tagger is a function from the column of a paper's chunks (array of start, text) to the column of their tokens (an array
+for each chunk of word, label, score, start, end; start and end may be null): `each_chunk` of an expression over a chunk's text, or an
+iterator UDF around a model (operators.perceptron). So tagging and assembly stay in the row of the paper: nothing is exchanged.
+`pattern_tagger` and `list_tagger` are expressions and need no weights.
 """
 
 from __future__ import annotations
@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_wordpiece, ws_trim
 from ..schema import FINDING, SCORE_THRESHOLD, SPECIAL_TOKENS, type_of
 from .chunks import chunk_text
-from .spans import match_places, once
+from .spans import finding, match_places, no_findings, once
 
 Tagger = Callable[[Column], Column]
 TOKENS = "array<struct<word: string, label: string, score: double, start: int, end: int>>"
 ENTITIES = "array<struct<type: string, start: int, end: int, score: double>>"
 
 
+def each_chunk(tag: Callable[[Column], Column]) -> Tagger:
+    """A tagger from an expression over one chunk's text."""
+    return lambda chunks: F.transform(chunks, lambda c: tag(c["text"]))
+
+
 def chunks(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", F.posexplode(chunk_text(F.col("text"))).alias("chunk_ord", "c")).select("paper_id", "chunk_ord", "c.start", "c.text")
 
@@ -128,9 +133,12 @@ def entities(parts: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:
     return rows.select("paper_id", "chunk_ord", "e.type", (F.col("start") + F.col("e.start")).alias("start"), (F.col("start") + F.col("e.end")).alias("end"), "e.score")
 
 
-def model_findings(papers: DataFrame, tagger: Tagger = pattern_tagger) -> DataFrame:
-    """paper_id, model: the tagger's entities as findings, in order."""
-    found = entities(chunks(papers).withColumn("tokens", tagger(F.col("text"))))
-    one = F.struct("type", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "score", F.lit("model").alias("source"))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("start").alias("o"), one.alias("f"))))
-    return found.groupBy("paper_id").agg(F.transform(ordered, lambda x: x["f"]).cast(f"array<{FINDING}>").alias("model"))
+def model_findings(parts: Column, tagger: Tagger) -> Column:
+    """The tagger's entities in a text's chunks (chunk_text) as findings, in order: tokens and assembly in the row."""
+
+    def placed(x: Column) -> Column:
+        found = entities_in(x["c"]["text"], x["t"])
+        return F.transform(found, lambda e: finding(e["type"], x["c"]["start"] + e["start"], x["c"]["start"] + e["end"], e["score"], F.lit("model")))
+
+    both = F.zip_with(parts, tagger(parts), lambda c, t: F.struct(c.alias("c"), F.coalesce(t, F.array().cast(TOKENS)).cast(TOKENS).alias("t")))
+    return F.coalesce(F.flatten(F.transform(both, placed)), no_findings())

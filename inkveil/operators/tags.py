@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import tag
 from ..schema import placeholder
+from .spans import cut, once, slabs
 
 #: Papers whose first values one task numbers: 2 ** this.
 RANGE_BITS = 16
@@ -47,16 +48,37 @@ def hits(found: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def scrub(papers: DataFrame, found: DataFrame, tags: DataFrame) -> DataFrame:
-    """papers with n_findings and scrubbed: enabled findings replaced by their tags."""
-    counts = found.groupBy("paper_id").agg(F.count("*").alias("n_findings"))
-    df = papers.join(counts.join(hits(found, tags), "paper_id", "left"), "paper_id", "left")
-    places = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("tag"))), "hits")
+    """papers with n_findings and scrubbed: enabled findings replaced by their tags.
 
-    def piece(h: Column, i: Column) -> Column:
-        after = F.coalesce(F.try_element_at("hits", i + 1)["start"], F.length("text"))
-        return F.concat(h["tag"], F.substring("text", h["end"] + 1, after - h["end"]))
+    Of detected papers (detect.kept) those without findings pass through where they are; only the texts of
+    the others are exchanged, to meet their hits. findings isn't in the result.
+    """
+    if "findings" not in papers.columns:
+        return _scrubbed(papers, found, tags)
+    rows = [c for c in papers.columns if c != "findings"]
+    plain = papers.where(F.size("findings") == 0).select(*rows, F.lit(0).cast("long").alias("n_findings"), F.col("text").alias("scrubbed"))
+    return plain.unionByName(_scrubbed(papers.where(F.size("findings") > 0).select(*rows), found, tags))
+
+
+def _scrubbed(papers: DataFrame, found: DataFrame, tags: DataFrame) -> DataFrame:
+    one = F.when(F.col("enabled"), F.struct("start", "end", "tag"))
+    each = tagged(found, tags).groupBy("paper_id").agg(F.count("*").alias("n_findings"), F.array_sort(F.collect_list(one)).alias("hits"))
+    df = papers.join(each, "paper_id", "left")
+    first = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("tag"))
+
+    def rewritten(parts: Column) -> Column:
+        places = F.concat(F.array(first), "hits")
+
+        def of(ps: Column) -> Column:
+            def piece(h: Column, i: Column) -> Column:
+                after = F.coalesce(F.try_element_at(ps, i + 2)["start"], F.length("text"))
+                return F.concat(h["tag"], cut(parts, h["end"], after - h["end"]))
+
+            return F.array_join(F.transform(ps, piece), "")
+
+        return once(places, of)
 
-    scrubbed = F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, piece), ""))
+    scrubbed = F.when(F.size("hits") > 0, once(slabs(F.col("text")), rewritten)).otherwise(F.col("text"))
     return df.withColumn("scrubbed", scrubbed).withColumn("n_findings", F.coalesce("n_findings", F.lit(0)).cast("long")).drop("hits")
 
 

@@ -309,8 +309,10 @@ def merged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(spark, sf_dir).withColumn("f", spans.merge(F.col("text"), F.col("f"))).select(F.col("paper_ord").alias("doc_id"), F.inline("f"))
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.findings(_papers(spark, sf_dir))
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents detected, and their findings."""
+    papers_ = detect.kept(_papers(spark, sf_dir))
+    return papers_, detect.findings(papers_)
 
 
 #: Tags of findings fin, numbered by first appearance.
@@ -323,8 +325,8 @@ _SCRUBBED = """pc AS (SELECT doc_id, string_agg(substring(text, p + 1, s - p) ||
 @_query(f"""WITH {_RULES}, {_STEPS}, {_NUMBERED}, {_SCRUBBED}
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_findings, coalesce(head || substring(text, last + 1), text, '') AS scrubbed FROM documents LEFT JOIN pc USING (doc_id)""")
 def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _found(spark, sf_dir)
-    out = tags.scrub(_papers(spark, sf_dir), found, tags.assign_tags(found))
+    papers_, found = _found(spark, sf_dir)
+    out = tags.scrub(papers_, found, tags.assign_tags(found))
     return out.select(F.col("paper_ord").alias("doc_id"), "n_findings", "scrubbed")
 
 
@@ -333,9 +335,7 @@ UNION ALL SELECT doc_id, list_position(['EMAIL', 'PHONE', 'SSN', 'ID', 'ORG'], t
 SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS id, type, surface, CAST(round(score, 3) AS DOUBLE) AS score, source, true AS enabled FROM fin""")
 def detect_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and the pattern tagger together, all steps."""
-    rows = _papers(spark, sf_dir)
-    found = detect.detect(rows, tagging.model_findings(rows))
-    return reports.findings_export(found)
+    return reports.findings_export(detect.detect(_papers(spark, sf_dir), tagging.each_chunk(tagging.pattern_tagger)))
 
 
 # --- papers with names: made of customers, so that every step of detection has something to do -------
@@ -372,9 +372,9 @@ fin AS (SELECT *, CAST(s + length(surface) AS INTEGER) AS e, CASE source WHEN 'm
 
 
 def _letter_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = _letters(spark, sf_dir)
-    tagger = tagging.list_tagger({"B-FIRSTNAME": _REGION_WORDS, "B-STREET": ["Deer"]})
-    return rows, detect.findings(rows, tagging.model_findings(rows, tagger))
+    tagger = tagging.each_chunk(tagging.list_tagger({"B-FIRSTNAME": _REGION_WORDS, "B-STREET": ["Deer"]}))
+    rows = detect.kept(_letters(spark, sf_dir), tagger)
+    return rows, detect.findings(rows)
 
 
 @_query(f'WITH {_LETTERS} SELECT doc_id, id, type, s AS start, e AS "end", surface, CAST(score AS DOUBLE) AS score, source FROM fin')
@@ -404,16 +404,16 @@ def letter_tag_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT CAST(doc_id AS VARCHAR) AS reply_id, coalesce(text, '') AS text FROM documents")
 def reply_unscrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scrubbed texts as replies, with their own paper's map: the texts come back as they were."""
-    found = _found(spark, sf_dir)
+    papers_, found = _found(spark, sf_dir)
     known = tags.assign_tags(found)
-    replies = tags.scrub(_papers(spark, sf_dir), found, known).select(F.col("paper_id").alias("reply_id"), F.col("paper_id").alias("scope"), F.col("scrubbed").alias("text"))
+    replies = tags.scrub(papers_, found, known).select(F.col("paper_id").alias("reply_id"), F.col("paper_id").alias("scope"), F.col("scrubbed").alias("text"))
     return tags.unscrub(replies, tags.tag_map(found, known, "paper"))
 
 
 @_query(f"""WITH {_RULES}, {_STEPS}, {_NUMBERED} SELECT 'corpus' AS scope, min((doc_id, s))[1] AS ord, CAST(min((doc_id, s))[2] AS INTEGER) AS start, tag, arg_min(surface, (doc_id, s)) AS original
 FROM tag JOIN documents USING (doc_id) WHERE trim(coalesce(documents.text, '')) <> '' GROUP BY tag""")
 def tag_map_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _found(spark, sf_dir)
+    found = _found(spark, sf_dir)[1]
     return tags.tag_map(found, tags.assign_tags(found))
 
 

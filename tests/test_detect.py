@@ -108,8 +108,8 @@ def test_threshold_keeps_the_mean_that_equals_it(spark):
 
 def test_list_tagger(spark):
     rows = papers(spark, ["Ann lives in Paris. Later Smith saw Ann Smith"])
-    tagger = tagging.list_tagger({"B-FIRSTNAME": ["Ann"], "B-CITY": ["Paris"]})
-    found = detect.findings(rows, tagging.model_findings(rows, tagger)).orderBy("start").collect()
+    tagger = tagging.each_chunk(tagging.list_tagger({"B-FIRSTNAME": ["Ann"], "B-CITY": ["Paris"]}))
+    found = detect.findings(rows, tagger).orderBy("start").collect()
     assert [(r.type, r.surface, r.source) for r in found] == [("NAME", "Ann", "model"), ("CITY", "Paris", "model"), ("NAME", "Smith", "echo"), ("NAME", "Ann Smith", "model")]
 
 
