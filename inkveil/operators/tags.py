@@ -103,13 +103,63 @@ def exported(found: DataFrame, tags: DataFrame) -> DataFrame:
     return tag_map(found, tags, "paper").withColumnRenamed("scope", "paper_id")
 
 
+def export_version(papers: DataFrame, found: DataFrame, tags: DataFrame, export_id: int) -> tuple[DataFrame, DataFrame]:
+    """What an export adds to the log: its papers (export_id, batch_id, paper_id), those without tags too, and their maps (export_id, batch_id, paper_id, ord, start, tag, original)."""
+    done = papers.where("status = 'done'").select(F.lit(export_id).cast("long").alias("export_id"), "batch_id", "paper_id").distinct()
+    return done, done.join(exported(found, tags), "paper_id").select("export_id", "batch_id", "paper_id", "ord", "start", "tag", "original")
+
+
+def timeline(exports: DataFrame, maps: DataFrame) -> DataFrame:
+    """batch_id, export_id, tag, ord, start, original: what each tag of a batch stands for from that export on, until the next one.
+
+    A paper counts by its latest export up to then, whole: tags that it had before and has no more are gone. Of several papers
+    with the tag the first one counts. A map is repeated for the exports of its batch that leave its paper alone, before tags are
+    reduced where they are; a batch has few exports, papers and tags are many.
+    """
+    own = Window.partitionBy("batch_id", "paper_id").orderBy("export_id")
+    spans = exports.distinct().withColumn("until", F.lead("export_id").over(own))
+    every = exports.groupBy("batch_id").agg(F.collect_set("export_id").alias("all"))
+    live = maps.join(spans, ["batch_id", "paper_id", "export_id"]).join(every, "batch_id")
+    at = F.filter("all", lambda e: (e >= F.col("export_id")) & (F.col("until").isNull() | (e < F.col("until"))))
+    live = live.select("batch_id", F.explode(at).alias("export_id"), "tag", "ord", "start", "original")
+    first = live.groupBy("batch_id", "export_id", "tag").agg(F.min_by(F.struct("ord", "start", "original"), F.struct("ord", "start")).alias("f"))
+    return first.select("batch_id", "export_id", "tag", "f.*")
+
+
+def unscrub_as_of(replies: DataFrame, exports: DataFrame, maps: DataFrame) -> DataFrame:
+    """reply_id, text of replies (reply_id, batch_id, at, text) by the tags that were handed out at that time: the batch's latest export with export_id <= at.
+
+    A reply from before the first export stays as it is.
+    """
+    known = timeline(exports, maps)
+    when = exports.groupBy("batch_id").agg(F.array_sort(F.collect_set("export_id")).alias("all"))
+    latest = F.array_max(F.filter("all", lambda e: e <= F.col("at")))
+    scope = F.concat_ws(" ", F.coalesce(latest, F.lit(-1)).cast("string"), "batch_id")
+    placed = replies.join(when, "batch_id", "left").select("reply_id", scope.alias("scope"), "text")
+    return unscrub(placed, known.select(F.concat_ws(" ", F.col("export_id").cast("string"), "batch_id").alias("scope"), "ord", "start", "tag", "original"))
+
+
+TAG = r"\[[A-Z]+(?: \d+)?\]"
+
+
 def unscrub(replies: DataFrame, tags: DataFrame) -> DataFrame:
-    """reply_id, text with the tags of its scope put back, one after the other in order of appearance.
+    """reply_id, text with the tags of its scope put back, as if one after the other in order of appearance.
 
-    Only tags that the reply has are joined to it.
+    Only tags that the reply has are joined to it. The text is split at its tags once and joined with what they stand for. Only where that could make
+    a new tag (an original with a bracket, or a tag behind an open one) they are replaced one after the other over the whole text.
     """
-    in_text = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[[A-Z]+(?: \d+)?\]"), F.lit(0))))
-    used = replies.select("reply_id", "scope", in_text.alias("tag")).join(tags, ["scope", "tag"])
+    hits = F.regexp_extract_all("text", F.lit(TAG), F.lit(0))
+    used = replies.select("reply_id", "scope", F.explode(F.array_distinct(hits)).alias("tag")).join(tags, ["scope", "tag"])
     each = used.groupBy("reply_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "tag", "original"))).alias("m"))
-    out = F.aggregate("m", F.col("text"), lambda acc, x: F.replace(acc, x["tag"], x["original"]))
-    return replies.join(each, "reply_id", "left").select("reply_id", F.when(F.col("m").isNull(), F.col("text")).otherwise(out).alias("text"))
+    between = F.split("text", TAG, -1)
+    open_ = F.exists(F.slice(between, F.lit(1), F.size(hits)), lambda b: b.rlike(r"\[[A-Z0-9 ]*\z"))
+    chained = F.exists("m", lambda x: x["original"].rlike(r"[\[\]]")) | open_
+    one_by_one = F.aggregate("m", F.col("text"), lambda acc, x: F.replace(acc, x["tag"], x["original"]))
+
+    def at_once(known: Column) -> Column:
+        back = F.transform(hits, lambda h: F.coalesce(F.try_element_at(known, h), h))
+        return F.array_join(F.flatten(F.zip_with(between, back, lambda b, h: F.array(b, F.coalesce(h, F.lit(""))))), "")
+
+    known = F.map_from_entries(F.transform("m", lambda x: F.struct(x["tag"], x["original"])))
+    text = F.when(F.col("m").isNull(), F.col("text")).when(chained, one_by_one).otherwise(once(known, at_once))
+    return replies.join(each, "reply_id", "left").select("reply_id", text.alias("text"))

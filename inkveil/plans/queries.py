@@ -439,3 +439,6 @@ def email_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents the cheap test of the e-mail rule lets through, with the rule's title."""
     n = _table(spark, sf_dir, "documents").where(F.col("text").contains("@")).agg(F.count("*").alias("n")).withColumn("type", F.lit("EMAIL"))
     return n.join(F.broadcast(types_table(spark)), "type").select("type", "title", "n")  # 16 types
+
+
+from . import notes  # noqa: E402, F401  registers its queries

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_handoff, non_space_length, ws_trim
+from ..operators.ranking import ranked
 from .pdf import error_text
 
 # Extensions that are read, and those of images.
@@ -36,19 +37,23 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     return files.select(F.col("path").alias("paper_id"), name.alias("name"), kind_of(name).alias("kind"), "content")
 
 
-def skipped(files: DataFrame) -> DataFrame:
-    """skipped_n, names, only_doc: what intake leaves out; only_doc where nothing is accepted and an old .doc is there."""
+def skipped(files: DataFrame, most: int = 20) -> DataFrame:
+    """skipped_n, names, only_doc: what intake leaves out; names are the first `most` (rejected has all); only_doc where nothing is accepted and an old .doc is there."""
     ok = accepted(F.col("name"))
-    out = F.when(~ok, F.col("name"))
-    old = F.coalesce(F.bool_or(F.col("name").rlike(r"(?i)\.doc\z")), F.lit(False))
-    return files.agg(F.count(out).alias("skipped_n"), F.array_join(F.array_sort(F.collect_list(out)), ", ").alias("names"), (old & (F.count_if(ok) == 0)).alias("only_doc"))
+    counts = files.agg(F.count_if(~ok).alias("skipped_n"), F.coalesce(F.bool_or(F.col("name").rlike(r"(?i)\.doc\z")), F.lit(False)).alias("old"), F.count_if(ok).alias("ok_n"))
+    first = rejected(files).orderBy("name").limit(most).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))  # one row each
+    both = counts.withColumn("one", F.lit(1)).join(first.withColumn("one", F.lit(1)), "one")
+    return both.select("skipped_n", "names", (F.col("old") & (F.col("ok_n") == 0)).alias("only_doc"))
+
+
+def rejected(files: DataFrame) -> DataFrame:
+    """The files that intake leaves out, one row each."""
+    return files.where(~accepted(F.col("name")))
 
 
 def in_batch_order(files: DataFrame, batch_id: str) -> DataFrame:
-    """paper_ord by name in Unicode collation, the path breaking ties."""
-    key = F.collate("name", "UNICODE")
-    ranged = files.orderBy(key, "paper_id").withColumn("paper_ord", F.monotonically_increasing_id())
-    return ranged.withColumn("batch_id", F.lit(batch_id))
+    """Files with batch_id and paper_ord: 0, 1, ... by name in Unicode collation, the path breaking ties. The same numbers in every run: ranks by stored ranges."""
+    return ranked(files.withColumn("batch_id", F.lit(batch_id)), ["batch_id"], [F.collate("name", "UNICODE"), F.col("paper_id")], "paper_ord")
 
 
 def load_text(files: DataFrame, readers: dict[str, Reader]) -> DataFrame:
