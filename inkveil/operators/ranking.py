@@ -1,4 +1,4 @@
-"""Numbers without gaps over a whole table, equal in every run."""
+"""Numbers without gaps and running sums over a whole table, equal in every run."""
 
 from __future__ import annotations
 
@@ -31,3 +31,14 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, size
     both = dealt.withColumn(place, at).alias("a").join(sizes.alias("b"), same)
     out = [F.col(f"a.{c}") for c in df.columns] + [(F.col(place) + F.col(before)).cast("long").alias(name)]
     return both.select(*out, *([F.col(whole).alias(size)] if size else []))
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """df with `name`: the sum of `value` over all rows before, in `order`; by stored ranges, as `ranked`."""
+    n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, sums, before, own = (unused(c, [*df.columns, name]) for c in ("_range", "_sum", "_before", "_own"))
+    dealt = stored(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(part).agg(F.sum(value).alias(sums))
+    sizes = sizes.select(part, (F.sum(sums).over(Window.orderBy(part)) - F.col(sums)).alias(before))  # a row for each range
+    upto = F.sum(value).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn(own, upto - F.col(value)).join(sizes, part).select(*df.columns, (F.col(own) + F.col(before)).cast("long").alias(name))

@@ -352,8 +352,8 @@ def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey").cast("string")
     digits = lambda n: F.lpad((F.col("c_custkey") % 10**n).cast("string"), n, "0")
     text = F.concat(
-        given, F.lit(" "), last, F.lit(" of "), k, F.lit(" Deer Creek Road wrote.\n"), last, F.lit(" came, and "), given, F.lit(" left. Id "), digits(3), F.lit("-"), digits(2), F.lit("-"), digits(4),
-        F.lit("; "), (F.col("c_custkey") + 1000000).cast("string"), F.lit(". Mail c"), k, F.lit("@a"), F.col("c_nationkey").cast("string"), F.lit(".example.com or 606-555-"), digits(4), F.lit(". Belfry High School"),
+        given, F.lit(" "), last, F.lit(" of "), k, F.lit(" Alder Brook Road wrote.\n"), last, F.lit(" came, and "), given, F.lit(" left. Id "), digits(3), F.lit("-"), digits(2), F.lit("-"), digits(4),
+        F.lit("; "), (F.col("c_custkey") + 1000000).cast("string"), F.lit(". Mail c"), k, F.lit("@a"), F.col("c_nationkey").cast("string"), F.lit(".example.com or 502-555-"), digits(4), F.lit(". Quarry Hill Academy"),
     )
     return papers(rows.select(F.col("c_custkey").alias("doc_id"), text.alias("text"), F.lit("letter").alias("source")))
 
@@ -361,18 +361,18 @@ def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same findings by arithmetic over the parts of each letter.
 _LETTERS = """p AS (SELECT c_custkey AS doc_id, upper(split_part(r_name, ' ', 1)[1]) || lower(split_part(r_name, ' ', 1)[2:]) AS g, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS l, CAST(c_custkey AS VARCHAR) AS k,
   lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS ssn, CAST(c_custkey + 1000000 AS VARCHAR) AS num,
-  'c' || c_custkey || '@a' || c_nationkey || '.example.com' AS mail, '606-555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS tel
+  'c' || c_custkey || '@a' || c_nationkey || '.example.com' AS mail, '502-555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS tel
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-q AS (SELECT doc_id, [{'type': 'NAME', 'source': 'model', 'pre': '', 'surface': g || ' ' || l}, {'type': 'ADDRESS', 'source': 'model', 'pre': ' of ', 'surface': k || ' Deer Creek Road'}, {'type': 'NAME', 'source': 'echo', 'pre': ' wrote.' || chr(10), 'surface': l},
+q AS (SELECT doc_id, [{'type': 'NAME', 'source': 'model', 'pre': '', 'surface': g || ' ' || l}, {'type': 'ADDRESS', 'source': 'model', 'pre': ' of ', 'surface': k || ' Alder Brook Road'}, {'type': 'NAME', 'source': 'echo', 'pre': ' wrote.' || chr(10), 'surface': l},
   {'type': 'NAME', 'source': 'model', 'pre': ' came, and ', 'surface': g}, {'type': 'SSN', 'source': 'regex', 'pre': ' left. Id ', 'surface': ssn}, {'type': 'ID', 'source': 'regex', 'pre': '; ', 'surface': num},
-  {'type': 'EMAIL', 'source': 'regex', 'pre': '. Mail ', 'surface': mail}, {'type': 'PHONE', 'source': 'regex', 'pre': ' or ', 'surface': tel}, {'type': 'ORG', 'source': 'regex', 'pre': '. ', 'surface': 'Belfry High School'}] AS z FROM p),
+  {'type': 'EMAIL', 'source': 'regex', 'pre': '. Mail ', 'surface': mail}, {'type': 'PHONE', 'source': 'regex', 'pre': ' or ', 'surface': tel}, {'type': 'ORG', 'source': 'regex', 'pre': '. ', 'surface': 'Quarry Hill Academy'}] AS z FROM p),
 z AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS id, z[i].type AS type, z[i].source AS source, z[i].surface AS surface, z[i].pre AS pre,
   CAST(list_sum(list_transform(z[1:i], lambda x: length(x.pre))) + coalesce(list_sum(list_transform(z[1:i - 1], lambda x: length(x.surface))), 0) AS INTEGER) AS s FROM q, unnest(range(1, 10)) AS t(i)),
 fin AS (SELECT *, CAST(s + length(surface) AS INTEGER) AS e, CASE source WHEN 'model' THEN 0.8 WHEN 'echo' THEN 0.99 ELSE 1.0 END AS score FROM z)"""
 
 
 def _letter_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    tagger = tagging.each_chunk(tagging.list_tagger({"B-FIRSTNAME": _REGION_WORDS, "B-STREET": ["Deer"]}))
+    tagger = tagging.each_chunk(tagging.list_tagger({"B-FIRSTNAME": _REGION_WORDS, "B-STREET": ["Alder"]}))
     rows = detect.kept(_letters(spark, sf_dir), tagger)
     return rows, detect.findings(rows)
 

@@ -1,67 +1,138 @@
-"""Word files: text with the place of every text node, and rewriting of those nodes alone."""
+"""Word files: their text with the bytes of every text element, and rewriting of those bytes alone.
+
+A part is read by one pass of an event parser, which tells where in the bytes each text element's content stands. The
+text is the elements' contents with what lies between them; offsets are sums of lengths. Rewriting splices bytes, so all else in a
+file, also in the part itself, stays as it was.
+"""
 
 from __future__ import annotations
 
 import io
 import re
 import zipfile
-from xml.dom import minidom
-from xml.parsers.expat import ExpatError
+from dataclasses import dataclass, field
+from itertools import accumulate
+from xml.parsers import expat
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The namespace of word-processing elements, and the parts that hold text.
+# The namespace of word-processing elements, the parts that hold text, and elements that stand for a sign.
 NAMESPACE = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _PART = re.compile(r"word/(document\d*|header\d+|footer\d+|footnotes|endnotes|comments)\.xml").fullmatch
-
-
-def _walk(node):
-    for child in node.childNodes:
-        if child.nodeType == child.ELEMENT_NODE:
-            yield child
-            yield from _walk(child)
-
-
-def _paragraph(node):
-    while node is not None and not (node.nodeType == node.ELEMENT_NODE and node.namespaceURI == NAMESPACE and node.localName == "p"):
-        node = node.parentNode
-    return node
-
-
-def _content(node) -> str:
-    return "".join(c.data for c in node.childNodes if c.nodeType in (c.TEXT_NODE, c.CDATA_SECTION_NODE))
-
-
-def parts(content: bytes) -> tuple[str, list[dict]]:
-    """The text, and for each part its path, tree, base and text nodes (node, start, end within the part)."""
+_SIGNS = {"tab": "\t", "br": "\n", "cr": "\n"}
+_SPACE = re.compile(rb"""\s+xml:space\s*=\s*(?:"[^"]*"|'[^']*')""")
+_TAG_END = re.compile(rb"""(?:[^>"']|"[^"]*"|'[^']*')*>""").match
+
+
+@dataclass
+class Piece:
+    """Text of one element; for text elements also where its tag starts, and its content starts and ends, in bytes."""
+
+    text: str
+    paragraph: int | None = None
+    place: tuple[int, int, int] | None = None
+
+
+def pieces(xml: bytes) -> list[Piece]:
+    """The pieces of a part in UTF-8, in order, from one pass of events; paragraphs are told apart by number."""
+    out: list[Piece] = []
+    open_, begun, inside = [], [0], []
+    parser = expat.ParserCreate("utf-8", " ")
+    parser.buffer_text = True
+
+    def start(name: str, _: dict) -> None:
+        space, _, local = name.rpartition(" ")
+        if space != NAMESPACE:
+            return
+        if local == "p":
+            begun[0] += 1
+            open_.append(begun[0])
+        elif local == "t":
+            inside.append((Piece("", open_[-1] if open_ else None), parser.CurrentByteIndex))
+            out.append(inside[-1][0])
+        elif local in _SIGNS:
+            out.append(Piece(_SIGNS[local]))
+
+    def end(name: str) -> None:
+        if name == f"{NAMESPACE} p":
+            open_.pop()
+        elif name == f"{NAMESPACE} t":
+            piece, tag = inside.pop()
+            if parser.CurrentByteIndex > tag:  # else an empty element without an end tag
+                piece.place = (tag, _TAG_END(xml, tag).end(), parser.CurrentByteIndex)
+
+    def characters(text: str) -> None:
+        if inside:
+            inside[-1][0].text += text
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, characters
+    parser.Parse(xml, True)
+    return out
+
+
+def separated(found: list[Piece]) -> list[Piece]:
+    """With a piece for each line end: before a text element of another paragraph than the last one's."""
+    out, last, some = [], None, False
+    for piece in found:
+        if piece.paragraph is not None or piece.place is not None:
+            if last is not None and piece.paragraph != last[0] and some:
+                out.append(Piece("\n"))
+            last = (piece.paragraph,)
+        out.append(piece)
+        some = some or bool(piece.text)
+    return out
+
+
+@dataclass
+class Part:
+    """A part's name, bytes in UTF-8, encoding in the file, first offset in the whole text, pieces and where each starts."""
+
+    path: str
+    xml: bytes
+    encoding: str
+    base: int
+    pieces: list[Piece] = field(default_factory=list)
+
+    @property
+    def text(self) -> str:
+        return "".join(p.text for p in self.pieces)
+
+    @property
+    def starts(self) -> list[int]:
+        return [0, *accumulate(len(p.text) for p in self.pieces)]
+
+
+def _encoding(raw: bytes) -> str:
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    named = re.match(rb"""(?:\xef\xbb\xbf)?<\?xml[^>]*?encoding=["']([\w.-]+)""", raw)
+    name = named[1].decode().lower() if named else "utf-8"
+    return "utf-8" if name == "utf8" else name
+
+
+def parts(content: bytes) -> tuple[str, list[Part]]:
+    """The text and the parts that make it: documents first, then by name. A part that can't be parsed is left out."""
+    out: list[Part] = []
+    whole = ""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        found = [n for n in z.namelist() if _PART(n)]
-        if not any(n.startswith("word/document") for n in found):
+        names = {n: not n.startswith("word/document") for n in z.namelist() if _PART(n)}
+        if all(names.values()):
             raise ValueError("not a Word document")
-        out, whole = [], ""
-        for path in sorted(found, key=lambda n: (not n.startswith("word/document"), n)):
+        for path in sorted(names, key=lambda n: (names[n], n)):
+            raw = z.read(path)
+            encoding = _encoding(raw)
             try:
-                tree = minidom.parseString(z.read(path))
-            except ExpatError:
+                xml = raw if encoding == "utf-8" else raw.decode(encoding).encode("utf-8")
+                found = separated(pieces(xml))
+            except (expat.ExpatError, LookupError, UnicodeError):
                 continue
-            whole += "\n" if out else ""
-            base, text, nodes, last = len(whole), "", [], None
-            for e in _walk(tree):
-                if e.namespaceURI != NAMESPACE:
-                    continue
-                if e.localName == "t":
-                    p = _paragraph(e)
-                    text += "\n" if p is not last and text else ""
-                    last = p
-                    nodes.append((e, len(text), len(text) + len(_content(e))))
-                    text += _content(e)
-                else:
-                    text += {"tab": "\t", "br": "\n", "cr": "\n"}.get(e.localName, "")
-            out.append({"path": path, "tree": tree, "base": base, "nodes": nodes, "text": text})
-            whole += text
+            whole += "\n" if whole else ""
+            out.append(Part(path, xml, encoding, len(whole), found))
+            whole += out[-1].text
     return whole, out
 
 
@@ -87,27 +158,35 @@ def _applied(text: str, cuts: list[tuple[int, int, str]]) -> str:
     return "".join(x for pair in zip(kept, [*(tag for _, _, tag in cuts), ""], strict=True) for x in pair)
 
 
+def _spliced(part: Part, hits: list[tuple[int, int, str]]) -> bytes:
+    """The part's bytes with hits, in its own offsets, replaced."""
+    starts = part.starts
+    texts = [(i, p) for i, p in enumerate(part.pieces) if p.place]
+    out, at = [], 0
+    edits = node_edits([(starts[i], starts[i + 1]) for i, _ in texts], hits)
+    for k in sorted(edits):
+        piece = texts[k][1]
+        tag, start, end = piece.place
+        head = _SPACE.sub(b"", part.xml[tag : start - 1])
+        out += [part.xml[at:tag], head, b' xml:space="preserve">', escape(_applied(piece.text, edits[k])).encode("utf-8", "surrogatepass")]
+        at = end
+    xml = b"".join([*out, part.xml[at:]])
+    return xml if part.encoding == "utf-8" else xml.decode("utf-8").encode(part.encoding)
+
+
 def rewrite(content: bytes, hits: list[dict]) -> bytes:
-    """The file with hits (start, end, tag) replaced in its text nodes; all other parts stay as they are."""
-    changed = {}
+    """The file with hits (start, end, tag) replaced in its text elements; all other bytes of its members stay as they are."""
     ordered = sorted((h["start"], h["end"], h["tag"]) for h in hits)
+    changed = {}
     for part in parts(content)[1]:
-        base, size = part["base"], len(part["text"])
-        own = [(s - base, e - base, tag) for s, e, tag in ordered if e > base and s < base + size]
-        if not own:
-            continue
-        for k, cuts in node_edits([(a, b) for _, a, b in part["nodes"]], own).items():
-            node = part["nodes"][k][0]
-            text = _applied(_content(node), cuts)
-            while node.firstChild:
-                node.removeChild(node.firstChild)
-            node.appendChild(part["tree"].createTextNode(text))
-            node.setAttribute("xml:space", "preserve")
-        changed[part["path"]] = part["tree"].toxml(encoding="UTF-8", standalone=True)
+        size = part.starts[-1]
+        own = [(s - part.base, e - part.base, tag) for s, e, tag in ordered if e > part.base and s < part.base + size]
+        if own:
+            changed[part.path] = _spliced(part, own)
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as to:
-        for name in z.namelist():
-            to.writestr(name, changed[name] if name in changed else z.read(name))
+        for member in z.infolist():
+            to.writestr(member, changed[member.filename] if member.filename in changed else z.read(member), zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 

@@ -1,67 +1,42 @@
-"""Writing scrubbed papers: text and Word files by executors, findings and the tag map as tables."""
+"""Writing scrubbed papers: text and Word files, findings and the tag maps."""
 
 from __future__ import annotations
 
-import hashlib
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import tags as T
 from ..operators.reports import output_names
-
-MANIFEST = "paper_ord long, out_name string, bytes long, sha256 string"
+from . import formats
 
 
-def write_files(files: DataFrame, where: str) -> DataFrame:
-    """Each row (paper_ord, out_name, content) as a file below `where`; a manifest row for each.
+def batch_files(papers: DataFrame, found: DataFrame, tags: DataFrame, word_files: DataFrame | None = None) -> DataFrame:
+    """paper_ord, out_name, content, error of every done paper: its scrubbed text, or Word file where it is one (word_files: paper_id, content).
 
-    A file is written under a name of its own and then moved, so a task that is run again, or twice
-    at once, leaves whole files only.
+    A Word file that can't be rewritten, or isn't given, has an error and no content.
     """
+    from .docx import scrubbed
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(where)
-        for batch in batches:
-            rows = []
-            for order, name, content in zip(*(batch.column(c).to_pylist() for c in ("paper_ord", "out_name", "content")), strict=True):
-                part = f"{root}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as out:
-                    out.write(content)
-                store.move(part, f"{root}/{name}")
-                rows.append((order, name, len(content), hashlib.sha256(content).hexdigest()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], ["paper_ord", "out_name", "bytes", "sha256"])
-
-    store, root = fs.FileSystem.from_uri(where)
-    store.create_dir(root, recursive=True)
-    return files.select(F.col("paper_ord").cast("long").alias("paper_ord"), "out_name", "content").mapInArrow(work, MANIFEST)
+    done = T.scrub(papers.where("status = 'done'"), found, tags)
+    texts = done.where("kind <> 'docx'") if word_files is not None else done
+    none = F.lit(None).cast("string").alias("error")
+    files = texts.join(output_names(texts), "paper_ord").select("paper_ord", "out_name", F.encode("scrubbed", "UTF-8").alias("content"), none)
+    if word_files is None:
+        return files
+    word = done.where("kind = 'docx'")
+    made = scrubbed(word_files.join(word.select("paper_id"), "paper_id").join(T.hits(found, tags), "paper_id", "left"))
+    made = word.select("paper_id", "paper_ord").join(made, "paper_id", "left").join(output_names(word, "docx"), "paper_ord")
+    error = F.coalesce("error", F.when(F.col("content").isNull(), F.lit("no Word file is given for this paper")))
+    return files.unionByName(made.select("paper_ord", "out_name", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error")))
 
 
 def write_batch(papers: DataFrame, found: DataFrame, tags: DataFrame, path: str, word_files: DataFrame | None = None) -> DataFrame:
-    """The export of a batch: files/ (.txt, and .docx for Word papers), manifest/ and tag_maps/ (each paper's map, for later replies).
+    """The export of a batch: its files, committed together, and tag_maps/ (each paper's map, for later replies).
 
-    word_files: paper_id, content of papers of kind docx. Returns the manifest as written.
+    Returns the manifest as committed: a row for each done paper, with an error for a Word file that couldn't be rewritten.
     """
-    from .docx import scrubbed
-
-    spark = papers.sparkSession
-    done = T.scrub(papers.where("status = 'done'"), found, tags)
-    texts = done.where("kind <> 'docx'") if word_files is not None else done
-    names = output_names(texts)
-    files = texts.join(names, "paper_ord").select("paper_ord", "out_name", F.encode("scrubbed", "UTF-8").alias("content"))
-    if word_files is not None:
-        word = done.where("kind = 'docx'")
-        made = scrubbed(word_files.join(word.select("paper_id"), "paper_id").join(T.hits(found, tags), "paper_id", "left"))
-        made = word.select("paper_id", "paper_ord").join(made.where("error is null"), "paper_id").join(output_names(word, "docx"), "paper_ord")
-        files = files.unionByName(made.select("paper_ord", "out_name", "content"))
-    write_files(files, f"{path}/files").write.mode("overwrite").parquet(f"{path}/manifest")
     T.exported(found, tags).write.mode("overwrite").parquet(f"{path}/tag_maps")
-    return spark.read.parquet(f"{path}/manifest")
+    return formats.write(batch_files(papers, found, tags, word_files), path)
 
 
 def write_findings(found: DataFrame, path: str, kind: str = "json") -> None:
