@@ -9,6 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 from inkveil.plans.queries import QUERIES
+from inkveil.storage import drop_stored
 
 HEADLINE = ["rule_email", "rule_id", "rule_offsets", "tag_numbering", "scrub_documents", "chunk_documents", "bio_entities", "detect_full", "legend"]
 
@@ -28,6 +29,7 @@ def main() -> None:
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - began, 3)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf.rstrip("/"))}))
+    drop_stored(spark)
     spark.stop()
 
 

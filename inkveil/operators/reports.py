@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,12 +17,31 @@ def legend(detected: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(types_table(detected.sparkSession)), "type").select("paper_id", "type", "title", "ord", "total", "enabled_n")  # 16 types
 
 
+#: What is said of each state; {n} is a count, {more} a detail.
+WORDS = {
+    "clean": "no findings",
+    "open": "findings: none masked",
+    "masked": "masked findings: {n}",
+    "queued": "queued",
+    "running": "in progress",
+    "failed": "unreadable: {more}",
+    "whole": "papers: all of {n} ready",
+    "part": "papers: {n} ready, {more} unreadable",
+    "none": "papers: none ready, {more} unreadable",
+}
+
+
+def said(state: Column, n: Column, more: Column) -> Column:
+    """The words for a state."""
+    words = F.try_element_at(F.create_map(*[F.lit(x) for pair in WORDS.items() for x in pair]), state)
+    return F.replace(F.replace(words, F.lit("{n}"), n.cast("string")), F.lit("{more}"), F.coalesce(more.cast("string"), F.lit("")))
+
+
 def paper_summary(detected: DataFrame) -> DataFrame:
-    """paper_id, total, enabled_n, summary."""
+    """paper_id, total, enabled_n, state (clean, open or masked), summary."""
     total, on = F.size("findings"), F.size(F.filter("findings", lambda f: f["enabled"]))
-    some = F.concat(on.cast("string"), F.when(on == 1, " item").otherwise(" items"), F.lit(" replaced"))
-    text = F.when(total == 0, "nothing found").when(on == 0, "everything is shown").otherwise(some)
-    return detected.select("paper_id", total.cast("long").alias("total"), on.cast("long").alias("enabled_n"), text.alias("summary"))
+    state = F.when(total == 0, "clean").when(on == 0, "open").otherwise("masked")
+    return detected.select("paper_id", total.cast("long").alias("total"), on.cast("long").alias("enabled_n"), state.alias("state"), said(state, on, F.lit("")).alias("summary"))
 
 
 def batch_status(detected: DataFrame) -> DataFrame:
@@ -31,24 +50,21 @@ def batch_status(detected: DataFrame) -> DataFrame:
 
 
 def batch_text(status: DataFrame) -> DataFrame:
-    """batch_id, title, text from the counts of `batch_status`: what stands above and below a batch's rows."""
-    total = F.col("done_n") + F.col("error_n")
-    n = lambda c: F.col(c).cast("string")
-    title = F.when(F.col("error_n") == 0, F.concat(F.lit("Done: all "), n("done_n"), F.lit(" papers are scrubbed"))).otherwise(F.concat(n("done_n"), F.lit(" of "), total.cast("string"), F.lit(" papers scrubbed")))
-    bad = F.when(F.col("error_n") > 0, F.concat(F.lit(" "), n("error_n"), F.lit(" couldn't be read."))).otherwise("")
-    text = F.when(F.col("done_n") > 0, F.concat(F.lit("Every paper was scrubbed separately."), bad)).otherwise("None of these files could be read.")
-    return status.select("batch_id", title.alias("title"), text.alias("text"))
+    """batch_id, state (whole, part or none), title from the counts of `batch_status`."""
+    state = F.when(F.col("done_n") == 0, "none").when(F.col("error_n") == 0, "whole").otherwise("part")
+    return status.select("batch_id", state.alias("state"), said(state, F.col("done_n"), F.col("error_n")).alias("title"))
 
 
 def row_text(papers: DataFrame, found: DataFrame) -> DataFrame:
-    """paper_id, line: what a batch's row says of its paper (status, error, ocr where there is such a column)."""
+    """paper_id, state, n (masked findings), scanned (to be compared with the original), line: what a batch's row says of its paper.
+
+    State by status: queued (waiting), running (scanning), failed (error), else clean or masked. scanned is the column ocr, where there is one.
+    """
     counts = found.where("enabled").groupBy("paper_id").agg(F.count("*").alias("_n"))
-    n, read = F.coalesce("_n", F.lit(0)), F.col("ocr") if "ocr" in papers.columns else F.lit(False)
-    some = F.concat(n.cast("string"), F.when(n == 1, " personal detail replaced").otherwise(" personal details replaced"))
-    done = F.concat(F.when(n > 0, some).otherwise("nothing personal found"), F.when(F.coalesce(read, F.lit(False)), "; read from a photo, to be checked again").otherwise(""))
-    line = F.when(F.col("status") == "waiting", "waiting its turn").when(F.col("status") == "scanning", "being scrubbed")
-    line = line.when(F.col("status") == "error", F.concat(F.lit("couldn't read this file: "), F.col("error"))).otherwise(done)
-    return papers.join(counts, "paper_id", "left").select("paper_id", line.alias("line"))
+    n, scan = F.coalesce("_n", F.lit(0)).cast("long"), F.coalesce("ocr", F.lit(False)) if "ocr" in papers.columns else F.lit(False)
+    state = F.when(F.col("status") == "waiting", "queued").when(F.col("status") == "scanning", "running").when(F.col("status") == "error", "failed")
+    state = state.when(n > 0, "masked").otherwise("clean")
+    return papers.join(counts, "paper_id", "left").select("paper_id", state.alias("state"), n.alias("n"), scan.alias("scanned"), said(state, n, F.col("error")).alias("line"))
 
 
 def next_done(papers: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def legend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""WITH {_M}, c AS (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id)
 SELECT CAST(doc_id AS VARCHAR) AS paper_id, CAST(coalesce(n, 0) AS BIGINT) AS total, CAST(coalesce(n, 0) AS BIGINT) AS enabled_n,
-CASE WHEN n IS NULL THEN 'nothing found' WHEN n = 1 THEN '1 item replaced' ELSE n || ' items replaced' END AS summary FROM documents LEFT JOIN c USING (doc_id)""")
+CASE WHEN n IS NULL THEN 'clean' ELSE 'masked' END AS state, CASE WHEN n IS NULL THEN 'no findings' ELSE 'masked findings: ' || n END AS summary FROM documents LEFT JOIN c USING (doc_id)""")
 def paper_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.paper_summary(_raw(spark, sf_dir))
 
@@ -148,8 +148,8 @@ def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH {_M}, c AS (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id) SELECT CAST(doc_id AS VARCHAR) AS paper_id,
-CASE WHEN trim(coalesce(text, '')) = '' THEN 'couldn''t read this file: file appears to be empty' WHEN n IS NULL THEN 'nothing personal found' WHEN n = 1 THEN '1 personal detail replaced' ELSE n || ' personal details replaced' END AS line
-FROM documents LEFT JOIN c USING (doc_id)""")
+CASE WHEN trim(coalesce(text, '')) = '' THEN 'failed' WHEN n IS NULL THEN 'clean' ELSE 'masked' END AS state, CAST(coalesce(n, 0) AS BIGINT) AS n, false AS scanned,
+CASE WHEN trim(coalesce(text, '')) = '' THEN 'unreadable: file appears to be empty' WHEN n IS NULL THEN 'no findings' ELSE 'masked findings: ' || n END AS line FROM documents LEFT JOIN c USING (doc_id)""")
 def row_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _raw(spark, sf_dir)
     return reports.row_text(found, detect.exploded(found))

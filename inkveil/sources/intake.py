@@ -79,7 +79,6 @@ def enough_text(text: Column, least: int) -> Column:
 NO_PRINT = "no readable print was found: a clear, straight scan of a typed paper works best"
 HEIC = "HEIC photos can't be read here: share the photo as a JPEG"
 NO_IMAGE = "this image couldn't be read: a .png or .jpg photo works best"
-OcrEngine = Callable[[str], Reader]  # for languages such as "eng" or "eng+spa"
 
 
 def ocr_languages(mode: str) -> str:

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from inkveil.storage import drop_stored
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -10,4 +12,5 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    drop_stored(s)
     s.stop()

@@ -269,5 +269,11 @@ def test_readers(spark):
 def test_batch_texts(spark):
     rows = papers(spark, ["a@b.co", "none"]).withColumn("status", F.when(F.col("paper_ord") == 1, "error").otherwise("done")).withColumn("error", F.lit("damaged"))
     got = detect.detect(rows)
-    assert [r.line for r in reports.row_text(rows, detect.exploded(got)).orderBy("paper_id").collect()] == ["1 personal detail replaced", "couldn't read this file: damaged"]
-    assert reports.batch_text(reports.batch_status(got)).first().title == "1 of 2 papers scrubbed"
+    lines = [(r.state, r.n, r.scanned, r.line) for r in reports.row_text(rows.withColumn("ocr", F.col("paper_ord") == 0), detect.exploded(got)).orderBy("paper_id").collect()]
+    assert lines == [("masked", 1, True, "masked findings: 1"), ("failed", 0, False, "unreadable: damaged")]
+    waiting = rows.withColumn("status", F.when(F.col("paper_ord") == 1, "waiting").otherwise("scanning"))
+    assert [r.line for r in reports.row_text(waiting, detect.exploded(got)).orderBy("paper_id").collect()] == ["in progress", "queued"]
+    status = reports.batch_status(got)
+    assert tuple(reports.batch_text(status).first())[1:] == ("part", "papers: 1 ready, 1 unreadable")
+    assert reports.batch_text(status.withColumn("error_n", F.lit(0))).first().title == "papers: all of 1 ready"
+    assert reports.batch_text(status.withColumn("done_n", F.lit(0))).first().title == "papers: none ready, 1 unreadable"
