@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, a session on this machine alone gets a folder of its own;
-    on a cluster that is an error, as executors share no local folder.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="inkveil-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+from .. import storage
+from ..storage import drop_stored, new_path, shared_dir  # noqa: F401
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -33,23 +18,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/inkveil-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession) -> None:
-    """Delete every intermediate table of this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/inkveil-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """storage.stored with small Arrow batches."""
+    small_batches(df.sparkSession)
+    return storage.stored(df, name)
 
 
 def texts(docs: DataFrame) -> DataFrame:

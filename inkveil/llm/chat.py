@@ -11,7 +11,7 @@ Null roles are the speaker "unknown", null texts are empty; marks within a text
 broken by a space, so that no text can pose as a turn. Turns with the same number follow
 each other by role and text; rows alike in all are turns of their own. Turns without a
 number follow all others of their conversation; rows without a conv_id are one
-conversation. An empty table gives an empty result. Extra columns are ignored.
+conversation. A turn of any length is one row. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def perspectives(conversations: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS name, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
 s AS (SELECT DISTINCT conv_id, name AS speaker FROM t WHERE name <> 'system'),
-v AS (SELECT conv_id, speaker, turn, name AS n, said, CASE WHEN name = speaker THEN 'assistant' WHEN name = 'system' THEN 'system' ELSE 'user' END AS role FROM t JOIN s USING (conv_id)),
+v AS (SELECT t.conv_id, speaker, turn, name AS n, said, CASE WHEN name = speaker THEN 'assistant' WHEN name = 'system' THEN 'system' ELSE 'user' END AS role FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 h AS (SELECT *, '<|' || role || CASE WHEN role = 'user' THEN ' ' || n ELSE '' END || '|>' || chr(10) AS head FROM v),
 g AS (SELECT *, head || said || '<|end|>' || chr(10) AS segment FROM h),
 e AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, speaker ORDER BY turn, n, said ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM g)

@@ -13,7 +13,7 @@ their next and previous words in the join key where those lie within the window,
 that a posting meets only items that agree on three words.
 
 Nulls have no words. Items without words match nothing. Repeated items and rows give the
-same result for each. Ties among rarest words go to the leftmost. Empty tables give
+same result for each. A text is read whole, as an array of its words in its row; of it only postings are exchanged. Ties among rarest words go to the leftmost. Empty tables give
 clean documents or an empty result. Extra columns are ignored by `phrase_matches`.
 """
 

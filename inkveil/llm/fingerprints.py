@@ -15,7 +15,7 @@ the rightmost least hash; window minima come from doubling spans.
 
 Nulls and texts without words have an empty fingerprint. A null doc_id comes before all others. Rows with the same doc_id
 follow each other by hash of text; rows alike in both are one document with one
-result for each row. An empty table gives an empty result. Extra columns are ignored.
+result for each row. A text is read whole, as an array of its words in its row. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ reports its root, and the number of documents that it is linked with.
 
 Equal sets are one class from the start. Shingles and classes are told apart by 64-bit
 hashes. Nulls and texts without words have no shingles and no links; fewer than n words
-are one shingle. Repeated rows and ties are one class each. An empty table gives an
+are one shingle. A text is read whole, in slices of rows, a long one alone. Repeated rows and ties are one class each. An empty table gives an
 empty result. Extra columns are ignored.
 """
 

@@ -6,7 +6,8 @@ found through a segment tree indexed by remaining capacity. As the plan depends
 the number of pieces of each length alone, it is made once from the histogram of
 lengths (at most `window` rows, whatever the corpus): runs of like windows are
 filled together, and the result says for each length which ranks go to which
-windows. Spark numbers the pieces within their length and looks the ranks up.
+windows. Spark numbers the pieces within their length and looks the ranks up. A text is encoded whole in its task,
+chunk by chunk, and cut into windows there.
 
 Nulls: a null text has the end id alone. Repeated rows are packed each. Ties: pieces of
 one length are interchangeable. An empty table gives an empty result. Extra columns
@@ -16,7 +17,7 @@ are ignored.
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +167,3 @@ def sequences(placed: DataFrame, window: int = WINDOW, pad: int = 0) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(ids, pa.list_(pa.int32()))], ["sequence_id", "ids"])
 
     return parts.mapInArrow(build, "sequence_id long, ids array<int>")
-
-
-def packer(path: str, **kw) -> Callable[[DataFrame], DataFrame]:
-    return lambda docs: pack_documents(docs, path, **kw)

@@ -13,7 +13,7 @@ what lost tasks have left. The files are then read back once, with every checksu
 makes the index (file, record, byte offset and length, doc_id, number of ids, crc32 of the ids), a Parquet
 table of its own for shuffled reads, from which reports are made too.
 
-Nulls: a null text has the end id alone; a null doc_id comes first and is read back as null. Repeated rows are written each. Ties on doc_id
+A text of any length is one record, made in its row. Nulls: a null text has the end id alone; a null doc_id comes first and is read back as null. Repeated rows are written each. Ties on doc_id
 follow the text. An empty table gives empty files. Extra columns are ignored.
 """
 

@@ -11,7 +11,7 @@ shard, unless the cut falls among copies that weigh more than the tolerance; tho
 
 Source and lang are coordinates by the rank of their name among all names, so any two names part.
 
-Nulls: a null text has no bytes and size 1. Repeated rows: each is placed. Ties: keys
+Nulls: a null text has no bytes and size 1. Of a text, however long, only its size and hashes are exchanged. Repeated rows: each is placed. Ties: keys
 alike in all coordinates are cut by text hash, then doc_id. An empty table gives an
 empty result. Extra columns are ignored.
 """
