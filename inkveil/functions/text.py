@@ -13,6 +13,11 @@ def ws_trim(s: Column) -> Column:
     return F.regexp_replace(s, rf"^[{WS}]+|[{WS}]+\z", "")
 
 
+def is_blank(s: Column) -> Column:
+    """Whether there is nothing but white space: known at the first other character."""
+    return ~s.rlike(rf"[^{WS}]")
+
+
 def non_space_length(s: Column) -> Column:
     """Characters that are no white space: the measure of whether extraction found text."""
     return F.length(F.regexp_replace(s, rf"[{WS}]+", ""))

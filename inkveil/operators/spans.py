@@ -77,10 +77,11 @@ def scanned(items: Column, zero: Column, following: Callable[[Column, Column], C
     return once(items, cut_up)
 
 
-def match_places(text: Column, java: str) -> Column:
+def match_places(text: Column, java: str | Column) -> Column:
     """array<struct<start, end>> of all matches of a regex: the texts between them give the offsets."""
-    between = F.split(text, java, -1)
-    hits = F.regexp_extract_all(text, F.lit(java), F.lit(0))
+    rule = F.lit(java) if isinstance(java, str) else java
+    between = F.split(text, rule, -1)
+    hits = F.regexp_extract_all(text, rule, F.lit(0))
 
     def sizes(found: Column) -> Column:
         return F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, h: F.struct(F.length(b).alias("b"), F.length(h).alias("h")))
@@ -92,14 +93,14 @@ def match_places(text: Column, java: str) -> Column:
     return scanned(once(hits, sizes), F.lit(0), lambda at, x: at + x["b"] + x["h"], place, none)
 
 
-def rule_matches(text: Column, rule: Rule) -> Column:
-    """Findings of one rule."""
-    found = F.transform(match_places(text, rule.java), lambda p: finding(F.lit(rule.type), p["start"], p["end"], F.lit(1.0), F.lit("regex")))
-    return F.when(rule.hint(text), found).otherwise(no_findings())
+def all_rule_matches(text: Column, rules: list[Rule] = RULES) -> Column:
+    """Findings of all rules, rule by rule: first the hints say which rules a text is looked through for, and for most texts that is none."""
+    known = F.array(*[F.struct(r.hint(text).alias("may"), F.lit(r.type).alias("type"), F.lit(r.java).alias("java")) for r in rules])
 
+    def found(r: Column) -> Column:
+        return F.transform(match_places(text, r["java"]), lambda p: finding(r["type"], p["start"], p["end"], F.lit(1.0), F.lit("regex")))
 
-def all_rule_matches(text: Column) -> Column:
-    return F.concat(*[rule_matches(text, r) for r in RULES])
+    return F.coalesce(F.flatten(F.transform(F.filter(known, lambda r: r["may"]), found)), no_findings())
 
 
 def surface(parts: Column, f: Column) -> Column:
@@ -116,15 +117,19 @@ def grown_past(within: Callable[[Column], Column], rest: Column) -> Column:
     return unless_whole(NEAR, unless_whole(NEAR * 64, within(rest)))
 
 
-def _run(parts: Column, size: Column, at: Column, signs: str, side: int) -> Column:
-    """How many signs stand before (side < 0) or after a place of a text of `size` code points."""
+def _run(parts: Column, size: Column, at: Column, loose: Column, side: int) -> Column:
+    """How many loose or tight signs stand before (side < 0) or after a place of a text of `size` code points."""
+    signs = lambda piece, cls: F.regexp_extract(piece, f"^{cls}*+", 0)
+    rest = at if side < 0 else size - at
 
     def within(n: Column) -> Column:
-        m = F.least(n, at if side < 0 else size - at)
-        piece = cut(parts, at, m) if side > 0 else F.reverse(cut(parts, at - m, m))
-        return F.length(F.regexp_extract(piece, f"^{signs}*+", 0))
+        def taken(m: Column) -> Column:
+            piece = cut(parts, at, m) if side > 0 else F.reverse(cut(parts, at - m, m))
+            return once(piece, lambda x: F.length(F.when(loose, signs(x, _LOOSE)).otherwise(signs(x, _TIGHT))))
 
-    return grown_past(within, at if side < 0 else size - at)
+        return once(F.least(n, rest), taken)
+
+    return grown_past(within, rest)
 
 
 def expand(text: Column, findings: Column) -> Column:
@@ -135,8 +140,7 @@ def expand(text: Column, findings: Column) -> Column:
         parts, size = cuts["parts"], cuts["size"]
 
         def grown(f: Column) -> Column:
-            before = F.when(loose(f), _run(parts, size, f["start"], _LOOSE, -1)).otherwise(_run(parts, size, f["start"], _TIGHT, -1))
-            after = F.when(loose(f), _run(parts, size, f["end"], _LOOSE, 1)).otherwise(_run(parts, size, f["end"], _TIGHT, 1))
+            before, after = _run(parts, size, f["start"], loose(f), -1), _run(parts, size, f["end"], loose(f), 1)
             return finding(f["type"], f["start"] - before, f["end"] + after, f["score"], f["source"])
 
         def closed(f: Column) -> Column:

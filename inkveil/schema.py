@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import ws_trim
+from .functions.text import is_blank
 
 # Output types with placeholder and title, in legend order.
 TYPES = [
@@ -110,7 +110,7 @@ def placeholder(kind: Column) -> Column:
 def papers(docs: DataFrame) -> DataFrame:
     """documents as papers of one batch: paper_id, paper_ord, name, kind, text, status, error."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    blank = ws_trim(text) == ""
+    blank = is_blank(text)
     return docs.select(
         F.lit("corpus").alias("batch_id"), F.col("doc_id").cast("long").alias("paper_ord"), F.col("doc_id").cast("string").alias("paper_id"),
         F.concat("source", F.lit(".txt")).alias("name"), F.lit("text").alias("kind"), text.alias("text"),

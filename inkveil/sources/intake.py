@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import decode_handoff, non_space_length, ws_trim
+from ..functions.text import decode_handoff, is_blank, non_space_length
 from ..operators.ranking import ranked
 from .pdf import error_text
 
@@ -67,7 +67,7 @@ def load_text(files: DataFrame, readers: dict[str, Reader]) -> DataFrame:
     for p in parts[1:]:
         got = got.unionByName(p)
     out = files.join(got, "paper_id", "left")
-    blank = F.length(ws_trim(F.coalesce("text", F.lit("")))) == 0
+    blank = is_blank(F.coalesce("text", F.lit("")))
     error = F.coalesce("error", F.when(F.col("text").isNull(), "this kind of file can't be read here"), F.when(blank, "file appears to be empty"))
     return out.withColumn("error", error).withColumn("status", F.when(F.col("error").isNull(), "done").otherwise("error")).withColumn("text", F.coalesce("text", F.lit("")))
 
@@ -128,7 +128,7 @@ def image_reader(ocr: Reader) -> Reader:
 
 def from_text(texts: DataFrame) -> DataFrame:
     """Pasted texts (paper_id, text) as papers of a batch of their own each; a blank one is no paper."""
-    rows = texts.where(ws_trim(F.coalesce("text", F.lit(""))) != "")
+    rows = texts.where(~is_blank(F.coalesce("text", F.lit(""))))
     return rows.select(
         F.concat(F.lit("pasted-"), F.col("paper_id")).alias("batch_id"), F.lit(0).cast("long").alias("paper_ord"), "paper_id", F.lit("").alias("name"),
         F.lit("text").alias("kind"), "text", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"),
