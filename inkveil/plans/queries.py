@@ -384,6 +384,16 @@ def letter_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("paper_ord").alias("doc_id"), "id", "type", "start", "end", "surface", "score", "source")
 
 
+_LETTER_RULES = " UNION ALL ".join(f"SELECT doc_id, '{r.type}' AS type, CAST(len(regexp_extract_all(text, '{_quoted(r.re2)}', {_group(r)})) AS BIGINT) AS n FROM t" for r in RULES)
+
+
+@_query(f"WITH {_LETTERS}, t AS (SELECT doc_id, string_agg(pre || surface, '' ORDER BY s) AS text FROM fin GROUP BY doc_id) SELECT doc_id, type, n FROM ({_LETTER_RULES}) WHERE n > 0")
+def letter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of each rule in letters, where all rules have some."""
+    rows = _letters(spark, sf_dir).select(F.col("paper_ord").alias("doc_id"), F.explode(spans.all_rule_matches(F.col("text"))).alias("f"))
+    return rows.groupBy("doc_id", F.col("f.type").alias("type")).agg(F.count("*").alias("n"))
+
+
 @_query(f"WITH {_LETTERS}, {_NUMBERED} SELECT doc_id, string_agg(pre || tag, '' ORDER BY s) AS scrubbed FROM tag GROUP BY doc_id")
 def letter_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, found = _letter_findings(spark, sf_dir)
