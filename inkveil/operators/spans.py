@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.patterns import RULES, Rule
+from ..functions.patterns import RULES, Rule, any_sign
 from ..functions.text import WS, ws_trim
 from ..schema import FINDING, FINDINGS
 
@@ -94,13 +94,14 @@ def match_places(text: Column, java: str | Column) -> Column:
 
 
 def all_rule_matches(text: Column, rules: list[Rule] = RULES) -> Column:
-    """Findings of all rules, rule by rule: first the hints say which rules a text is looked through for, and for most texts that is none."""
+    """Findings of all rules, rule by rule: one pass finds the texts with a sign of any rule, and in those, mostly few, the hints say which rules to look for."""
     known = F.array(*[F.struct(r.hint(text).alias("may"), F.lit(r.type).alias("type"), F.lit(r.java).alias("java")) for r in rules])
 
     def found(r: Column) -> Column:
         return F.transform(match_places(text, r["java"]), lambda p: finding(r["type"], p["start"], p["end"], F.lit(1.0), F.lit("regex")))
 
-    return F.coalesce(F.flatten(F.transform(F.filter(known, lambda r: r["may"]), found)), no_findings())
+    made = F.flatten(F.transform(F.filter(known, lambda r: r["may"]), found))
+    return F.coalesce(F.when(text.rlike(any_sign(rules)), made), no_findings())
 
 
 def surface(parts: Column, f: Column) -> Column:

@@ -32,9 +32,9 @@ def chunks(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", F.posexplode(chunk_text(F.col("text"))).alias("chunk_ord", "c")).select("paper_id", "chunk_ord", "c.start", "c.text")
 
 
-#: Words of the pattern tagger, and the shapes that it labels; all others are outside any entity.
-_WORDS = r"[A-Za-z0-9_.]*[A-Za-z0-9_]"
-_SHAPES = r"^(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9a-f]{32,}|\d+)\z"
+#: Words of the pattern tagger are runs of these signs without the dots at their end; it labels those of some shapes, all others are outside any entity.
+_SIGN = "[A-Za-z0-9_.]"
+_SHAPED = rf"(?<!{_SIGN})(?:(?:\d{{1,3}}\.){{3}}\d{{1,3}}|[0-9a-f]{{32,}}+|\d++)(?=\.*+(?!{_SIGN}))"
 
 
 def _token(text: Column, p: Column, label: Callable[[Column], Column], score: Callable[[Column], Column]) -> Column:
@@ -54,8 +54,8 @@ def pattern_tagger(text: Column) -> Column:
         )
 
     score = lambda word: F.when(word.rlike(r"^\d{1,2}\z"), 0.35).otherwise(0.9)
-    places = F.when(text.rlike(r"\d|[0-9a-f]{32}"), match_places(text, _WORDS))
-    made = F.filter(F.transform(places, lambda p: _token(text, p, label, score)), lambda t: t["word"].rlike(_SHAPES))
+    places = F.when(text.rlike(r"\d|[a-f]{32}"), match_places(text, _SHAPED))
+    made = F.transform(places, lambda p: _token(text, p, label, score))
     return F.coalesce(made, F.array().cast(TOKENS)).cast(TOKENS)
 
 
