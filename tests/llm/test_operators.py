@@ -103,10 +103,23 @@ def matches(docs, items, n=10):
                 if tuple(w[j : j + k]) in grams:
                     hit.update(range(j, j + k))
                     ids.add(str(i))
-        out[d] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
+        near = {str(i) for i, x in items if in_place(w, word_list(x), n)}
+        out[d] = (len(w), len(hit), *listed(ids), bool(hit), *listed(near))
     return out
 
 
+def listed(ids):
+    return len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+
+
+def in_place(w, v, n, replaced=2):
+    """The most words that a window of v has in place anywhere in w, if they suffice; every window is laid at every place."""
+    k = min(n, len(v))
+    sums = (sum(0 <= p + x < len(w) and w[p + x] == v[s + x] for x in range(k)) for s in range(len(v) - k + 1) for p in range(-k, len(w))) if k else ()
+    best = max(sums, default=0)
+    return best if best and best >= k - k * replaced // n else 0
+
+
 CASES = [(1, "A b c"), (2, "q w e r t y u i o p a s"), (3, "x"), (4, None), (5, ""), (6, "É é"), (7, "the the the the the the the the the the the")]
 TEXTS = [(1, "a B, c! a b"), (2, "Q w e r t y u i o p a s d"), (3, "w e r t y u i o p a s"), (4, None), (5, "x"), (6, "É é"), (7, "é é"), (8, "the " * 30), (9, "r t y u i o p a s")]
 
@@ -131,6 +144,29 @@ def test_decontamination_odd(spark, odd, nothing):
     assert decontaminate.proximity_matches(spark.createDataFrame(TEXTS, "doc_id long, text string"), items).where("item_id = '2'").count() >= 2
 
 
+@pytest.mark.parametrize("literals", [20_000, 0])
+def test_near_matches(spark, literals):
+    """Random texts of few words against windows at every place: replaced words, short items, windows over a text's ends, one block over and over."""
+    rng = np.random.default_rng(5)
+    text = lambda n, of: " ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"[:of]), n))
+    items = [(i, text(n, 26)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 14, 25, 10])] + [(99, "the " * 15), (98, None), (97, "")]
+    docs = []
+    for d in range(60):
+        words_ = items[rng.integers(3, 14)][1].split()
+        for at in rng.integers(0, len(words_), d % 4):
+            words_[at] = "new"
+        docs.append((d, f"{text(6, 26)} {' '.join(words_)} {text(4, 26)}" if d % 5 else " ".join(words_[1:])))
+    docs += [(100, "the " * 400), (101, text(300, 3)), (102, None)]
+    got = decontaminate.near_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most_literals=literals).collect()
+    want = {(d, str(i)): best for d, t in docs for i, x in items if (best := in_place(word_list(t), word_list(x), 10))}
+    assert {(r.doc_id, r.item_id): r.same for r in got} == want and len(got) == len(want) > 40
+    source, target = dict(docs), {str(i): word_list(x) for i, x in items}
+    for r in got:  # what `first` says is there
+        w, v = word_list(source[r.doc_id]), target[r.item_id]
+        k = min(10, len(v))
+        assert any(sum(0 <= r["first"] + x < len(w) and w[r["first"] + x] == v[s + x] for x in range(k)) == r.same for s in range(len(v) - k + 1))
+
+
 def test_proximity(spark):
     """A copy with its rarest word replaced, words out of order, and a window of one word over and over."""
     items = spark.createDataFrame([(1, "q w e r t y u i o p"), (2, "the " * 12)], "item_id long, text string")
