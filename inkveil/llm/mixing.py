@@ -1,32 +1,30 @@
 """Language-model scores by online logistic context mixing over bits.
 
 The text is its tokens (A-Z lower-cased, runs without white space), each with a closing
-byte, then one end. Every byte is predicted bit by bit. Predictors are tables of counts
-in hashed contexts: the last 1, 2, 3 or 4 bytes of the token, and the whole token so far,
-which is kept in two tables of which the one with fewer counts is believed. Their
+byte, then one end: a closing byte alone. Every byte of this running text is predicted bit by bit. Predictors are tables of counts
+in hashed contexts: the last 1, 2, 3 or 4 bytes of the text, whatever tokens they belong to; the whole token so far,
+which is kept in two tables of which the one with fewer counts is believed; and the token before with the token so far. Their
 stretched probabilities are combined by weights that two gates choose (how much the
 whole-token and 4-byte contexts have seen, and the place in the token), learned
-online; an adaptive map of the mixed probability corrects what is left. The bit model spells what
-the discounted counts of whole tokens leave over. On top, each
-document adapts online to its own tokens: this is the base of two urns of
+online; an adaptive map of the mixed probability corrects what is left. On top, each token's probability
+by the mixer is blended, half and half, with discounted counts of whole tokens that leave their rest to it, and
+each document adapts online to its own tokens: the blend is the base of two urns of
 different weight, and of one model for each class of training documents (hashed lang, at most
-16), whose discounted counts leave the rest to it. All are mixed by how well they did so
+16). The mixer alone, the blend and these are mixed by how well they did so
 far in the document; a document's own lang is not looked at.
 
-Contexts end at the token, so the order of words is not modelled. All learning runs over the table of
-distinct training tokens with their counts, which one exchange over the corpus makes. For the count
-tables that is a pass over all occurrences; the weights take steps over batches of distinct
-tokens, by the root of their counts, each predicted as if it had not been counted itself; the map is counted
-in a pass of its own over all training tokens, under the weights that it is applied to. Count tables and map are
+All learning runs over the running text of all training documents: one pass for the count
+tables; one in which the weights take steps along the text, each bit predicted as if it had not been counted itself; and
+one that counts the map, under the weights that it is applied to. Count tables and map are
 sums over partitions, weights their means. The bit tables have a fixed size (BITS) at any input; the
-table of tokens grows with the corpus. A score needs each token's count and
-probability: the commonest `common` tokens are looked up in a broadcast of that bounded
+table of tokens grows with the corpus. The discounted counts need each token's count:
+the commonest `common` tokens are looked up in a broadcast of that bounded
 size, all others by a join.
 
 Nulls are empty texts: one end token. Repeated rows are scored each. Ties among the
 commonest tokens change no result. Without training tokens N is 0 and base scores are
-those of the formula with c = 0. A text is read whole; a token of more than LONG bytes is taken part by part, with the
-contexts of the whole (when weights are learned, each part is a step). An empty table gives an empty result. Extra columns are
+those of the formula with c = 0. A text is read whole; the bits of a text of more than LONG bytes are taken part by part, with the
+contexts of the whole. An empty table gives an empty result. Extra columns are
 ignored.
 """
 
@@ -46,20 +44,30 @@ from pyspark.sql import functions as F
 from ._bytes import _BASE, _INV, powers
 from ._common import stored, texts
 
-#: log2 of the slots of each context's table: orders 1 to 4, whole token twice.
-BITS = (16, 18, 19, 20, 20, 20)
+#: log2 of the slots of each context's table: orders 1 to 4, whole token twice, the token before and this one.
+BITS = (16, 18, 19, 20, 20, 20, 20)
 CONF, PLACES, STEPS, BLOCK = 8, 4, 33, 1 << 14
 URNS = (3000.0, 300.0)
-TASK_TOKENS = 150_000  # distinct tokens of one training task
-LONG = 1 << 17  # bytes whose bits are looked at together
-N_IN = 6  # five predictors and a constant
-_SEED = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+TASK_BYTES = 64 << 20  # text of one training task
+LONG = 1 << 17  # bytes of a text above which it is taken part by part
+TOGETHER = 1 << 15  # bytes of shorter texts whose bits are looked at together
+STEP = 1 << 14  # bits of one step of the weights
+N_IN = 7  # five predictors, a constant, and the predictor by the token before
+_SEED = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+
+_BITS_OF = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.int8)  # the bits of each byte, the highest first
+_NODES = np.stack([1 << b % 4 | (np.arange(256) >> (4 - 4 * (b // 4)) & 15) >> (4 - b % 4) for b in range(8)], 1).astype(np.int32)  # what is known of a half before each bit
 
 
 def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def running(toks: list[bytes]) -> bytes:
+    """The text that is predicted, but for its last byte (the end's closing one), which every item gets."""
+    return b" ".join([*toks, b""])
+
+
 # --- counts over the corpus ------------------------------------------------
 
 
@@ -98,66 +106,97 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 1
 
 
-# --- bits of tokens and their contexts ---------------------------------------
+# --- bits of texts and their contexts ----------------------------------------
 
 
 class Piece(NamedTuple):
-    """A part of a long token: its bytes (with the closing one at the end), the four before, its place and the hash of all before it."""
+    """A part of a long text: its bytes (with the closing one at the end), the four before, its place in its token and the hash of that token so far, its place in the text and the hash of the token before."""
 
     data: bytes
     last: bytes
     place: int
     hashed: int
+    at: int = 0
+    before: int = 0
+
 
+def _hashed(part: bytes) -> int:
+    return int(((np.frombuffer(part, np.uint8).astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(part))).sum(dtype=np.uint64))
 
-def pieces(token: bytes, size: int) -> Iterator[Piece]:
-    """A token part by part, so that its bits need no more memory than those of `size` bytes."""
-    closed, hashed = token + b" ", 0
+
+def pieces(text: bytes, size: int) -> Iterator[Piece]:
+    """A text part by part, so that its bits need no more memory than those of `size` bytes."""
+    closed, place, hashed, before = text + b" ", 0, 0, 0
     for a in range(0, len(closed), size):
         part = closed[a : a + size]
-        yield Piece(part, closed[max(0, a - 4) : a], a, hashed)
-        own = (np.frombuffer(part, np.uint8).astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(part))
-        hashed = (hashed + int(own.sum(dtype=np.uint64)) * pow(_BASE, a, 1 << 64)) % (1 << 64)
+        yield Piece(part, closed[max(0, a - 4) : a], place, hashed, a, before)
+        cut = part.rfind(b" ") + 1
+        if cut:  # the token before the one that goes on
+            begin = part.rfind(b" ", 0, cut - 1) + 1
+            own = _hashed(part[begin : cut - 1])
+            before = own if begin else (hashed + own * pow(_BASE, place, 1 << 64)) % (1 << 64)
+            before = (before + cut - 1 - begin + (0 if begin else place)) % (1 << 64)
+            place, hashed = 0, 0
+        hashed = (hashed + _hashed(part[cut:]) * pow(_BASE, place, 1 << 64)) % (1 << 64)
+        place += len(part) - cut
 
 
 def bit_slots(batch: list[bytes] | list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all bits of the tokens, or of one piece: slots (6 tables x bits), the bits, places, and the token each belongs to."""
+    """For all bits of the texts, or of one piece: slots (7 tables x bits), the bits, places in the token, and the text each belongs to.
+
+    Contexts reach across tokens to the start of the text. In the last table slot 0 stands for no token before.
+    """
     piece = batch[0] if batch and isinstance(batch[0], Piece) else None
     data = np.frombuffer(piece.data if piece else b" ".join([*batch, b""]), np.uint8)
     size = np.array([len(piece.data)] if piece else [len(t) + 1 for t in batch])
-    start = np.repeat(np.cumsum(size) - size, size)
+    first = np.cumsum(size) - size
     at = np.arange(len(data))
-    place = at - start + (piece.place if piece else 0)
-    before = np.frombuffer((b"\0" * 4 + piece.last)[-4:] if piece else b"\0" * 4, np.uint8)
-    longer = np.concatenate([before, data])
-    last = [np.where(place >= k, longer[4 - k : len(longer) - k], 0).astype(np.uint64) for k in (1, 2, 3, 4)]
+    in_text = at - np.repeat(first, size) + (piece.at if piece else 0)
+    closing = np.flatnonzero(data == 32)
+    starts = np.unique(np.concatenate([first, closing + 1]))  # of tokens
+    starts = starts[starts < len(data)]
+    length = np.diff(np.append(starts, len(data)))
+    start = np.repeat(starts, length)
+    place = at - start
+    if piece:
+        place[: length[0]] += piece.place
+    head = np.frombuffer((b"\0" * 4 + piece.last)[-4:] if piece else b"\0" * 4, np.uint8)
+    longer = np.concatenate([head, data])
+    last = [np.where(in_text >= k, longer[4 - k : len(longer) - k], 0).astype(np.uint64) for k in (1, 2, 3, 4)]
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=run[1:])
     whole = (run[at] - run[start]) * powers(_INV, len(data) + 1)[start]
     if piece:
-        whole = whole * np.uint64(pow(_BASE, piece.place, 1 << 64)) + np.uint64(piece.hashed)
+        whole[: length[0]] = whole[: length[0]] * np.uint64(pow(_BASE, piece.place, 1 << 64)) + np.uint64(piece.hashed)
     whole = whole + place.astype(np.uint64)
+    # the token before: what the whole token was at its closing byte; none for the first token of a text
+    before = np.zeros(len(starts), np.uint64)
+    before[1:] = whole[starts[1:] - 1]
+    before[np.searchsorted(starts, first)] = np.uint64(piece.before if piece else 0)
+    follows = in_text > place
     context = last[0]
     contexts = [context]
     for k in (1, 2, 3):
         context = context << np.uint64(8) | last[k]
         contexts.append(context)
-    contexts += [whole, whole]
-    contexts = [(c + np.uint64(k + 1)) * _SEED[k] for k, c in enumerate(contexts)]
-    contexts = [c ^ (c >> np.uint64(29)) for c in contexts]
+    contexts += [whole, whole, whole + np.repeat(before + np.uint64(1), length) * _SEED[5]]
     slots = np.empty((len(BITS), len(data), 8), np.int32)
-    bits = np.empty((len(data), 8), np.int8)
-    node = np.ones(len(data), np.uint64)
-    for b in range(8):
-        bit = data >> (7 - b) & 1
-        bits[:, b] = bit
-        for k, c in enumerate(contexts):
-            x = (c + node) * _SEED[5 - k]
-            slots[k, :, b] = ((x ^ (x >> np.uint64(31))) * _SEED[k] >> np.uint64(64 - BITS[k])).astype(np.int32)
-        node = node << np.uint64(1) | bit.astype(np.uint64)
+    high_half = (data >> 4).astype(np.uint64) + np.uint64(1)
+    lines, nodes = np.empty((len(data), 2), np.int32), _NODES[data]
+    for k, c in enumerate(contexts):  # one line of 16 slots for each half of the byte
+        c = (c + np.uint64(k + 1)) * _SEED[k]
+        c ^= c >> np.uint64(29)
+        for half, x in enumerate((c, c + high_half)):
+            x = x * _SEED[6 - k]
+            x ^= x >> np.uint64(31)
+            x *= _SEED[k]
+            x >>= np.uint64(64 - BITS[k] + 4)
+            lines[:, half] = x
+        np.add(np.repeat(lines.ravel() << 4, 4).reshape(-1, 8), nodes, out=slots[k])
+    slots[6][~follows] = 0
     places = np.repeat(np.minimum(place, PLACES - 1), 8)
     owner = np.repeat(np.repeat(np.arange(len(batch)), size), 8)
-    return slots.reshape(len(BITS), -1), bits.ravel(), places, owner
+    return slots.reshape(len(BITS), -1), _BITS_OF[data].ravel(), places, owner
 
 
 def _sum_blocks(parts: DataFrame) -> list:
@@ -180,14 +219,14 @@ _BLOCKS = "name int, block int, data binary"
 
 def _batches(batches: Iterator[pa.RecordBatch], size: int = 2048) -> Iterator[tuple[list[bytes] | list[Piece], np.ndarray]]:
     for batch in batches:
-        toks, c = batch.column("token").to_pylist(), batch.column("c").to_numpy().astype(np.float64)
+        toks, c = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64)
         a = 0
         while a < len(toks):
             b, n = a, 0
-            while b < len(toks) and b - a < size and (b == a or n + len(toks[b]) < LONG):
+            while b < len(toks) and b - a < size and (b == a or n + len(toks[b]) < min(LONG, TOGETHER)):
                 n += len(toks[b])
                 b += 1
-            if n > LONG:  # one token, part by part
+            if n > LONG:  # one text, part by part
                 yield from (([piece], c[a:b]) for piece in pieces(toks[a], LONG))
             else:
                 yield toks[a:b], c[a:b]
@@ -201,13 +240,9 @@ def count_tables(train: DataFrame) -> list[np.ndarray]:
         tables = [np.zeros(2 << b) for b in BITS]
         for toks, c in _batches(batches):
             slots, bits, _, owner = bit_slots(toks)
+            times = 1.0 if (c == 1).all() else c[owner]
             for k, t in enumerate(tables):
-                key = slots[k] * 2 + bits
-                low = np.bincount(key, c[owner], minlength=len(t)) if len(key) * 4 > len(t) else None
-                if low is not None:
-                    t += low
-                else:
-                    np.add.at(t, key, c[owner])
+                np.add.at(t, slots[k] * 2 + bits, times)
         for k, t in enumerate(tables):
             for b in range(0, len(t), BLOCK):
                 if t[b : b + BLOCK].any():
@@ -234,58 +269,75 @@ class Mixer:
         self.tables = tables
         self.weights = [np.full((CONF * PLACES, N_IN), 0.12), np.full((CONF * PLACES, N_IN), 0.12)]
         self.map = None
-
-    def inputs(self, toks: list[bytes], leave_out: bool):
-        """Inputs (bits x N_IN), gates, bits and owners; leave_out: as if each token had been seen once less."""
+        self.looked: dict[bool, list[np.ndarray]] = {}
+
+    def look_up(self, leave_out: bool) -> list[np.ndarray]:
+        """For each table, by slot and bit, the stretched prediction and beside it, as an imaginary part, the count behind it; leave_out: as if that bit had been seen once less."""
+        if leave_out not in self.looked:
+            out = []
+            for t in self.tables:
+                pair = np.empty(t.shape, np.complex64)
+                for bit in (0, 1):
+                    own, other = np.maximum(t[:, bit] - leave_out, 0), t[:, 1 - bit]
+                    pair.real[:, bit] = np.log((own + np.float32(0.02)) / (other + np.float32(0.02))) * (2 * bit - 1)
+                    pair.imag[:, bit] = own + other
+                out.append(pair.ravel() if 3 <= len(out) <= 5 else pair.real.ravel())
+            self.looked[leave_out] = out
+        return self.looked[leave_out]
+
+    def inputs(self, toks: list[bytes] | list[Piece], leave_out: bool):
+        """Inputs (bits x N_IN), gates, bits and owners; leave_out: as if each bit had been seen once less."""
         slots, bits, places, owner = bit_slots(toks)
-        sign = np.where(bits, np.float32(1), np.float32(-1))
-        x, seen, two = np.empty((len(bits), N_IN), np.float32), [], bits.astype(np.int32)
-        for k, t in enumerate(self.tables):
-            at = slots[k] * 2 + two
-            own, other = t.ravel()[at], t.ravel()[at ^ 1]
-            if leave_out:
-                own = np.maximum(own - 1, 0)
-            both, ratio = own + other, np.log((own + np.float32(0.02)) / (other + np.float32(0.02))) * sign
+        x, seen = np.empty((len(bits), N_IN), np.float32), {}
+        two = bits.astype(np.int32)
+        for k, table in enumerate(self.look_up(leave_out)):
+            got = table.take(slots[k] * 2 + two)
             if k < 5:
-                x[:, k] = ratio
-                seen.append(both)
-            else:  # the second table of the whole token, where it has seen less
-                fewer = both < seen[4]
-                x[:, 4] = np.where(fewer, ratio, x[:, 4])
-                seen[4] = np.where(fewer, both, seen[4])
+                x[:, k] = got.real
+                seen[k] = got.imag
+            elif k == 5:  # the second table of the whole token, where it has seen less
+                x[:, 4] = np.where(got.imag < seen[4], got.real, x[:, 4])
+                seen[4] = np.minimum(got.imag, seen[4])
+            else:
+                x[:, 6] = got * (slots[k] > 0)
         x[:, 5] = 0.3
+        places = places.astype(np.int32)
         conf = [np.minimum(np.log2(1 + seen[k]).astype(np.int32), CONF - 1) for k in (4, 3)]
         return x, [conf[0] * PLACES + places, conf[1] * PLACES + places], bits, owner
 
     def mixed(self, x: np.ndarray, gates: list[np.ndarray]) -> np.ndarray:
-        return np.einsum("ij,ij->i", x, sum(w.astype(np.float32)[g] for w, g in zip(self.weights, gates, strict=True)))
+        both = (self.weights[0][:, None] + self.weights[1][None]).reshape(-1, N_IN).astype(np.float32)
+        return np.einsum("ij,ij->i", x, both.take(gates[0] * (CONF * PLACES) + gates[1], axis=0))
 
     def learn(self, batches: Iterator[tuple[list[bytes], np.ndarray]], rate: float = 0.03) -> float:
-        """Online steps over tokens weighted by the root of their count; returns the weight seen."""
+        """Online steps along the texts; returns the weight seen."""
         total, sums = 0.0, [np.full(w.shape, 1e-3) for w in self.weights]
         for toks, c in batches:
-            x, gates, bits, owner = self.inputs(toks, True)
-            weight = np.sqrt(c)[owner]
-            d = (squash(self.mixed(x, gates)) - bits) * weight
-            for w, g, s in zip(self.weights, gates, sums, strict=True):
-                size = np.bincount(g, weight, minlength=len(w))[:, None] + 1e-9
-                flat = (g[:, None] * N_IN + np.arange(N_IN, dtype=np.int32)).ravel()
-                grad = np.bincount(flat, (d[:, None] * x).ravel(), minlength=w.size).reshape(w.shape) / size
-                s += grad**2
-                w -= rate * grad / np.sqrt(s) * (size > 1e-6)
+            every_x, every_gate, every_bit, _ = self.inputs(toks, True)
+            for a in range(0, len(every_bit), STEP):
+                x, gates, bits = every_x[a : a + STEP], [g[a : a + STEP] for g in every_gate], every_bit[a : a + STEP]
+                d = squash(self.mixed(x, gates)) - bits
+                cell = gates[0] * (CONF * PLACES) + gates[1]
+                shape, cells = (CONF * PLACES, CONF * PLACES), (CONF * PLACES) ** 2
+                size = np.bincount(cell, minlength=cells).reshape(shape)
+                slope = np.stack([np.bincount(cell, d * x[:, j], minlength=cells).reshape(shape) for j in range(N_IN)], 2)
+                for w, s, axis in zip(self.weights, sums, (1, 0), strict=True):
+                    n = size.sum(axis)[:, None]
+                    grad = slope.sum(axis) / np.maximum(n, 1)
+                    s += grad**2
+                    w -= rate * grad / np.sqrt(s) * (n > 0)
             total += c.sum()
         return total
 
     def after(self, batches: Iterator[tuple[list[bytes], np.ndarray]]) -> np.ndarray:
-        """For the map: how often 0 and 1 came at each step of the mixed prediction, over tokens with their counts."""
+        """For the map: how often 0 and 1 came at each step of the mixed prediction, over all bits of the texts."""
         seen = np.zeros((2, CONF * STEPS))
-        for toks, c in batches:
-            x, gates, bits, owner = self.inputs(toks, True)
+        for toks, _ in batches:
+            x, gates, bits, _ = self.inputs(toks, True)
             low, part = self.steps(self.mixed(x, gates))
             at = (bits * CONF + gates[0] // PLACES) * STEPS + low
-            w = c[owner]
-            seen += np.bincount(at, (1 - part) * w, minlength=seen.size).reshape(seen.shape)
-            seen += np.bincount(at + 1, part * w, minlength=seen.size).reshape(seen.shape)
+            seen += np.bincount(at, 1 - part, minlength=seen.size).reshape(seen.shape)
+            seen += np.bincount(at + 1, part, minlength=seen.size).reshape(seen.shape)
         return seen
 
     def steps(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,28 +345,48 @@ class Mixer:
         low = np.minimum(at.astype(int), STEPS - 2)
         return low, at - low
 
-    def log2p(self, toks: list[bytes]) -> np.ndarray:
-        """log2 probability of each token with its closing byte."""
+    def costs(self, toks: list[bytes] | list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+        """log2 probability of each bit, and the text it belongs to."""
         x, gates, bits, owner = self.inputs(toks, False)
         z = self.mixed(x, gates)
         p = squash(z)
         if self.map is not None:
             low, part = self.steps(z)
-            row = gates[0] // PLACES
-            p = (p + self.map[row, low] * (1 - part) + self.map[row, low + 1] * part) / 2
+            low += gates[0] // PLACES * STEPS
+            flat = self.map.ravel()
+            p = (p + flat.take(low) * (1 - part) + flat.take(low + 1) * part) / 2
         p = np.clip(p, 1e-7, 1 - 1e-7)
-        return np.bincount(owner, np.log2(np.where(bits == 1, p, 1 - p)), minlength=len(toks))
+        return np.log2(np.where(bits == 1, p, 1 - p)), owner
+
+    def log2p(self, toks: list[bytes] | list[Piece]) -> np.ndarray:
+        """log2 probability of each text with its closing byte."""
+        cost, owner = self.costs(toks)
+        return np.bincount(owner, cost, minlength=len(toks))
+
+    def token_log2p(self, batches: Iterator[tuple[list[bytes] | list[Piece], np.ndarray]]) -> np.ndarray:
+        """log2 probability of each token with its closing byte, given the text before, for all texts one after the other."""
+        out = []
+        for toks, _ in batches:
+            data = np.frombuffer(toks[0].data if isinstance(toks[0], Piece) else b" ".join([*toks, b""]), np.uint8)
+            token = np.concatenate([[0], np.cumsum(data == 32)[:-1]])
+            own = np.bincount(token, self.costs(toks)[0].reshape(-1, 8).sum(1))
+            if isinstance(toks[0], Piece) and toks[0].place:  # the same token goes on
+                out[-1][-1] += own[0]
+                own = own[1:]
+            if len(own):
+                out.append(own)
+        return np.concatenate(out) if out else np.zeros(0)
 
 
 def fit(train: DataFrame) -> Mixer:
-    """Counts, then weights, then the map, each over the whole table of training tokens (token, c)."""
+    """Counts, then weights, then the map, each over the running text of all training documents (text, 1)."""
     context = train.sparkSession.sparkContext
     mixer = Mixer(count_tables(train))
     tables = context.broadcast(mixer.tables)  # their size is fixed by BITS
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Mixer(tables.value)
-        total = own.learn(_batches(batches, 256))
+        total = own.learn(_batches(batches))
         if total:
             yield _partial([(0, 0, np.array([1.0])), (0, 1, own.weights[0].ravel()), (0, 2, own.weights[1].ravel())])
 
@@ -351,6 +423,47 @@ def rising(m: np.ndarray, x: np.ndarray, ln_x: np.ndarray) -> np.ndarray:
     return out
 
 
+def seen_of(c: np.ndarray, law: tuple[int, float, float]) -> np.ndarray:
+    """ln of the discounted share of tokens with count c."""
+    with np.errstate(divide="ignore"):
+        return np.log(np.maximum(c - law[1], 0) / law[0])
+
+
+def experts(q: np.ndarray, seen: list[np.ndarray], laws: list[tuple[int, float, float]], earlier: np.ndarray) -> list[np.ndarray]:
+    """ln probability of each token by the counts, the blend, each class and (but for their totals) the urns.
+
+    q: ln probability by the mixer; seen: ln of the discounted share, of all and of each class; earlier: the same token's occurrences before, in its document.
+    """
+    counted = np.logaddexp(seen[0], np.log(laws[0][2]) + q)
+    blend = np.logaddexp(counted, q) - np.log(2)
+    classes = [np.logaddexp(s, np.log(law[2]) + blend) for s, law in zip(seen[1:], laws[1:], strict=True)]
+    with np.errstate(divide="ignore"):
+        before = np.log(earlier)
+    return [counted, blend, *classes, *(np.logaddexp(before, np.log(a) + blend) for a in URNS)]
+
+
+def earlier_of(group: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """How often the same token came before in its group."""
+    order = np.lexsort((token, group))  # stable
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(group[order]) != 0) | (np.diff(token[order]) != 0)
+    first = np.flatnonzero(new)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return out
+
+
+def training_text(docs: DataFrame) -> DataFrame:
+    """The running text of each training document, with 1."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [running(tokens(t.as_py())) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), pa.array(np.ones(len(text), np.int64))], ["running", "c"])
+
+    return docs.where(held_out(F.col("doc_id").cast("long")) == F.lit(False)).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "running binary, c long")
+
+
 def score_documents(docs: DataFrame, common: int = 1 << 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     spark = docs.sparkSession
@@ -358,82 +471,72 @@ def score_documents(docs: DataFrame, common: int = 1 << 16) -> DataFrame:
     names = ["c", *(f"c{k}" for k in classes)]
     counts = stored(token_counts(docs, classes), "tokens")
     each = [f(F.col(x)) for x in names for f in (F.sum, lambda c: F.count_if(c > 0), lambda c: F.count_if(c == 1), lambda c: F.count_if(c == 2))]
-    vocabulary, *sums = (x or 0 for x in counts.agg(F.count("*"), *each).first())
+    long = F.sum(F.col("c") * (F.octet_length("token") + 1))
+    vocabulary, size, *sums = (x or 0 for x in counts.agg(F.count("*"), long, *each).first())
     total, kinds = sums[0], sums[1]
     laws = []  # tokens, discount, and what the discount leaves, of the whole and of each class
     for all_, some, once, twice in zip(*[iter(sums)] * 4, strict=True):
         discount = once / (once + 2 * twice) if twice else 0.75  # leave-one-out estimate
         laws.append((max(all_, 1), discount, discount * some / all_ if all_ else 1.0))
-    parts = max(8, vocabulary // TASK_TOKENS)
-    train = counts.where("c > 0").select("token", "c").coalesce(parts)
-    shared = spark.sparkContext.broadcast(fit(train))
+    shared = spark.sparkContext.broadcast(fit(training_text(docs).coalesce(max(8, size // TASK_BYTES))))
 
-    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = [np.zeros(0)]
-            for toks, _ in _batches(iter([batch])):
-                own = shared.value.log2p(toks)
-                if isinstance(toks[0], Piece) and toks[0].place:
-                    p[-1] += own  # the same token goes on
-                else:
-                    p.append(own)
-            base, out = np.concatenate(p) * np.log(2), []
-            for x, (all_, discount, escape) in zip(names, laws, strict=True):
-                with np.errstate(divide="ignore"):
-                    seen = np.log(np.maximum(batch.column(x).to_numpy() - discount, 0) / all_)
-                out.append(np.logaddexp(seen, np.log(escape) + (out[0] if out else base)))
-            lnp = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(out, 1).ravel()), len(out)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("token", "c", "n")], lnp], ["token", "c", "n", "lnp"])
-
-    table = stored(counts.mapInArrow(evaluate, "token binary, c long, n long, lnp array<double>"), "scored")
-    top = table.orderBy(F.desc("n"), "token").limit(common).toArrow()  # at most `common` rows
+    top = counts.orderBy(F.desc("n"), "token").limit(common).toArrow()  # at most `common` rows
     index = dict(zip(top.column("token").to_pylist(), range(top.num_rows), strict=True))
-    looked = spark.sparkContext.broadcast((index, top.column("c").to_numpy(), np.array(top.column("lnp").to_pylist()).reshape(top.num_rows, len(names)).T.copy()))
-    stills = [f"still{i}" for i in range(len(names))]
+    looked = spark.sparkContext.broadcast((index, top.column("c").to_numpy(), [seen_of(top.column(x).to_numpy(), law) for x, law in zip(names, laws, strict=True)]))
+    stills = [f"still{i}" for i in range(len(names) + 1)]
+    grown = [*stills, *(f"urn{i}" for i in range(len(URNS)))]
     unit = np.log10(total + 0.5 * (kinds + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, c, lnp = looked.value
-        base, known, get, urns = np.log10(c + 0.5) - unit, c > 0, index.get, np.array(URNS)
-        for batch in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
-            at, m, size, tails, times = [], [], [], [], []
-            for text in batch.column("text"):
-                own = Counter(tokens(text.as_py()))
-                own[b""] = 1
-                i = list(map(get, own, repeat(-1)))
-                at += i
-                m += own.values()
-                size.append(len(own))
-                rest = [(t, k) for (t, k), j in zip(own.items(), i, strict=True) if j < 0] if -1 in i else []
-                tails.append([t for t, _ in rest])
-                times.append([k for _, k in rest])
-            at, m, size = np.array(at), np.array(m), np.array(size)
-            first, here = np.cumsum(size) - size, at >= 0
-            add = lambda v: np.add.reduceat(np.where(here, v, 0), first)
-            n = np.add.reduceat(m, first)
-            cols = [n, add(m * known[at]), add(m * base[at]), *[add(m * x[at]) for x in lnp]]
-            for a in urns:
-                below = rising(n, np.full(len(n), a), np.full(len(n), np.log(a)))
-                cols.append(add(rising(m, a * np.exp(lnp[0][at]), np.log(a) + lnp[0][at])) - below)
+        index, c, seen = looked.value
+        base, known, get, model = np.log10(c + 0.5) - unit, c > 0, index.get, shared.value
+        for batch in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
+            own = [tokens(text.as_py()) for text in batch.column("text")]
+            ones = pa.array(np.ones(len(own), np.int64))
+            q = model.token_log2p(_batches(iter([pa.RecordBatch.from_arrays([pa.array(list(map(running, own)), pa.binary()), ones], ["running", "c"])]))) * np.log(2)
+            for toks in own:
+                toks.append(b"")
+            n = np.array([len(toks) for toks in own])
+            first, doc = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+            at = np.fromiter((get(t, -1) for toks in own for t in toks), np.int64, len(doc))
+            here = np.flatnonzero(at >= 0)
+            add = lambda v: np.bincount(doc[here], v, minlength=len(n))
+            i = at[here]
+            grow = [add(v) for v in experts(q[here], [s[i] for s in seen], laws, earlier_of(doc[here], i))]
+            for k, a in enumerate(URNS):
+                grow[k - len(URNS)] -= rising(n, np.full(len(n), a), np.full(len(n), np.log(a)))
+            tails: list[dict[bytes, list[float]]] = [{} for _ in own]
+            for j in np.flatnonzero(at < 0).tolist():
+                d = doc[j]
+                tails[d].setdefault(own[d][j - first[d]], []).append(q[j])
+            cols = [n, add(known[i]).astype(np.int64), add(base[i]), np.add.reduceat(q, first), *grow]
             out = [batch.column(x) for x in ("doc_id", "held_out", "row", "bytes")] + [pa.array(v) for v in cols]
-            out += [pa.array(tails, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "row", "bytes", "n_tokens", "n_known", "base", *stills, "urn0", "urn1", "tail", "times"])
+            out += [pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "row", "bytes", "n_tokens", "n_known", "base", "mixer", *grown, "tail", "qs"])
+
+    def score_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            qs = batch.column("qs")
+            m = np.diff(qs.offsets.to_numpy()).astype(np.int64)
+            first = np.cumsum(m) - m
+            if not len(m):
+                continue
+            earlier = np.arange(m.sum()) - np.repeat(first, m)
+            seen = [np.repeat(seen_of(batch.column(x).to_numpy(), law), m) for x, law in zip(names, laws, strict=True)]
+            c = batch.column("c").to_numpy()
+            cols = [m * (c > 0), m * (np.log10(c + 0.5) - unit)] + [np.add.reduceat(v, first) for v in experts(qs.flatten().to_numpy(), seen, laws, earlier)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(v) for v in cols)], ["row", "k2", "b2", *(f"{x}b" for x in grown)])
 
     rows = texts(docs).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), F.monotonically_increasing_id().alias("row"), F.octet_length("text").alias("bytes"))
-    sums = f"n_tokens long, n_known long, base double, {', '.join(f'{x} double' for x in stills)}, urn0 double, urn1 double"
-    first = stored(rows.mapInArrow(score, f"doc_id long, held_out boolean, row long, bytes int, {sums}, tail array<binary>, times array<long>"), "partial")
-
-    rest = first.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.times").alias("m"))
-    rest = rest.join(table.select("token", "c", F.col("lnp").alias("all"), F.col("lnp")[0].alias("lnp")), "token")
-    grow = lambda a: F.expr(
-        f"ln({a}D) + lnp + if(m = 1, 0D, aggregate(sequence(1L, m - 1), 0D, (s, j) -> s + ln(j + {a}D * exp(lnp))))"
-    )
-    rest = rest.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k2"), F.sum(F.col("m") * (F.log10(F.col("c") + 0.5) - F.lit(float(unit)))).alias("b2"),
-        *[F.sum(F.col("m") * F.col("all")[i]).alias(f"s{i}") for i in range(len(names))], F.sum(grow(URNS[0])).alias("u0"), F.sum(grow(URNS[1])).alias("u1"),
-    )
-    all_ = first.drop("tail", "times").join(rest, "row", "left").fillna(0, ["k2", "b2", "u0", "u1", *(f"s{i}" for i in range(len(names)))])
-    each = [F.col(x) + F.col(f"s{i}") for i, x in enumerate(stills)] + [F.col("urn0") + F.col("u0"), F.col("urn1") + F.col("u1")]
+    sums = f"n_tokens long, n_known long, base double, mixer double, {', '.join(f'{x} double' for x in grown)}"
+    first = stored(rows.mapInArrow(score, f"doc_id long, held_out boolean, row long, bytes int, {sums}, tail array<binary>, qs array<array<double>>"), "partial")
+
+    rest = first.select("row", F.explode(F.arrays_zip("tail", "qs")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.qs").alias("qs"))
+    rest = rest.join(counts.select("token", *names), "token").select("row", "qs", *names)
+    added = ["k2", "b2", *(f"{x}b" for x in grown)]
+    rest = rest.mapInArrow(score_rest, f"row long, k2 long, {', '.join(f'{x} double' for x in added[1:])}").groupBy("row").agg(*[F.sum(x).alias(x) for x in added])
+    all_ = first.drop("tail", "qs").join(rest, "row", "left").fillna(0, added)
+    each = [F.col("mixer"), *(F.col(x) + F.col(f"{x}b") for x in grown)]
     most = F.greatest(*each)
     ln = most + F.log(sum((F.exp(e - most) for e in each), F.lit(0.0)) / len(each))
     return all_.select(
