@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import AbstractContextManager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return storage.stored(df, name)
 
 
+def passing(df: DataFrame, name: str) -> AbstractContextManager[DataFrame]:
+    """storage.passing with small Arrow batches."""
+    small_batches(df.sparkSession)
+    return storage.passing(df, name)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, null text as empty; other columns, whatever their names, are dropped."""
     small_batches(docs.sparkSession)

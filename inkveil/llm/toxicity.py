@@ -28,12 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._bytes import LOWER, give_back, slices, span_hash, words
-from ._common import small_batches, stored, texts
+from ._common import passing, small_batches, texts
 
 SLOT_BITS, WIDTH, FILTERS, WIDTHS, CUT = 17, 8, 8, (1, 2, 3), 0.7
 SLOTS, LEAST = 1 << SLOT_BITS, 3  # an embedding is learned from words of this many training texts on
@@ -208,11 +208,27 @@ def _best(z: np.ndarray, hits: np.ndarray, n: np.ndarray) -> float:
     return float((z[i] + z[i + 1]) / 2)
 
 
+def _learned(doc_id: str) -> Column:
+    """Whether labels of this document may be learned from."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) != 1
+
+
+def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """text, lang, toxic, calibrates of the documents in `known`.
+
+    Of the documents only those that may be learned from are exchanged; the join is the same
+    at every size, so what is moved grows with the texts and in no step.
+    """
+    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.cast("string").alias("lang"))
+    return rows.where(_learned("doc_id")).join(known.hint("merge"), "doc_id").drop("doc_id")
+
+
 def labelled(labels: DataFrame) -> DataFrame:
     """doc_id, toxic, calibrates (a fifth, by hash) of all labelled documents to learn from."""
     key = F.col("doc_id").cast("long")
     known = labels.select(key.alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
+    known = known.where(_learned("doc_id"))
     return known.withColumn("calibrates", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) == 0)
 
 
@@ -347,12 +363,16 @@ def fit_all(docs: DataFrame, labels: DataFrame, sample: int = 3000, rounds: int
     m = fit(docs, known.where(~F.col("calibrates")), sample)  # where training starts
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     m.prior = min(0.5, float(prior))
-    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.cast("string").alias("lang"))
-    rows = stored(rows.join(known, "doc_id").drop("doc_id"), "labelled")
+    with passing(labelled_texts(docs, known), "labelled") as rows:
+        _fit_all(rows, m, rounds, rate)
+    return m
+
+
+def _fit_all(rows: DataFrame, m: Model, rounds: int, rate: float) -> None:
+    """Counts, training and thresholds of `m` over all rows (text, lang, toxic, calibrates)."""
     spoken = [(r["lang"], r["n"], r["hits"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
     if not sum(r[2] for r in spoken) or not sum(r[1] - r[2] for r in spoken) or not m.out.any():
-        return m  # no rows, or one label alone
+        return  # no rows, or one label alone
     m.languages = sorted(r[0] for r in spoken)
     number = F.lit(0)
     for k, name in enumerate(m.languages):
@@ -364,7 +384,6 @@ def fit_all(docs: DataFrame, labels: DataFrame, sample: int = 3000, rounds: int
     for _ in range(rounds):
         train_pass(rows.where("not calibrates").coalesce(TASKS), m, texts_with, rate)
     calibrate_all(rows.where("calibrates"), m)
-    return m
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_bytes: int = 64 << 20) -> Model:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +37,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """As stored, for a block: the table is deleted at its end, so nothing made from it may be read later."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        _delete(spark, path)
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Delete every intermediate table of this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/inkveil-{spark.sparkContext.applicationId}")
+    _delete(spark, f"{shared_dir(spark)}/inkveil-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

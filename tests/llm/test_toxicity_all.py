@@ -1,10 +1,12 @@
 """Toxicity is learned from all labelled rows, not from a sample of them."""
 
+import os
 import zlib
 
 import numpy as np
 import pytest
 
+from inkveil import storage
 from inkveil.llm import toxicity
 
 
@@ -57,3 +59,17 @@ def test_thresholds_from_counts_are_those_of_the_rows(spark):
         on = lang == k
         if y[on].sum() >= 20 and (1 - y[on]).sum() >= 20:
             assert f1(m.shift[k], on) == pytest.approx(max(f1(t, on) for t in z[on]), abs=0.02)
+
+
+def test_labelled_texts_are_exchanged_alike_at_every_size_and_kept_no_longer_than_needed(spark, monkeypatch):
+    rows, docs, labels = data(spark, 60)
+    more = docs.unionByName(spark.range(300, 900).selectExpr("id as doc_id", "'other' as text", "'en' as lang"))
+    got = toxicity.labelled_texts(more, toxicity.labelled(labels))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan  # a small table too is joined as a large one
+    assert sorted((r.text, r.toxic) for r in got.collect()) == sorted((r[1], r[3]) for r in rows)
+    made, new_path = [], storage.new_path
+    monkeypatch.setattr(storage, "new_path", lambda s, name: made.append(new_path(s, name)) or made[-1])
+    m = toxicity.fit_all(more, labels, sample=20)
+    assert made and not any(os.path.exists(p.removeprefix("file://")) for p in made)  # the later stages of a pipeline need the disk
+    assert m.out.any() and len(toxicity.apply(more, m).collect()) == more.count()
