@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import unused
 from ._bytes import give_back, mix, shingle_sets, slices
-from ._common import components, stored, texts
+from ._common import components, passing, stored, texts
 
 #: Shingles for each task that counts frequencies; classes for each task that verifies.
 BUCKET_SHINGLES, CHUNK = 2_000_000, 4096
@@ -309,20 +309,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4) ->
     total, copies = (x or 0 for x in cls.agg(F.sum("n"), F.sum("copies")).first())
     buckets = max(8, -(-total // BUCKET_SHINGLES))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, copies))
-    sets = stored(_ordered(_shared(_dealt(docs, k, buckets, frequent), buckets, frequent), num, den), "prefixes")
-
-    posts = sets.select("sig", F.explode("prefix").alias("h"))
-    first = posts.groupBy("h").agg(F.min("sig").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
-    block = components(posts.join(first, "h").select(F.col("sig").alias("u"), "v").distinct())
-    block = block.select(F.col("node").alias("sig"), F.col("component").alias("block"))
-    members = stored(sets.drop("prefix").join(block, "sig").join(cls.select("sig", "copies"), "sig"), "blocks")
-    chunks = members.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    placed = members.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("sig"), "chunks"))
-    placed = placed.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    placed = placed.withColumn("ci", F.least("chunk", "d")).withColumn("cj", F.greatest("chunk", "d")).drop("d", "chunks")
-    tasks = max(8, (members.count() // 2000) * 2)
-    placed = placed.withColumn("task", F.pmod(F.xxhash64("block", "ci", "cj"), F.lit(tasks)))
-    found = stored(_verified(placed, num, den), "links")
+    with passing(_ordered(_shared(_dealt(docs, k, buckets, frequent), buckets, frequent), num, den), "prefixes") as sets:
+        posts = sets.select("sig", F.explode("prefix").alias("h"))
+        first = posts.groupBy("h").agg(F.min("sig").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
+        block = components(posts.join(first, "h").select(F.col("sig").alias("u"), "v").distinct())
+        block = block.select(F.col("node").alias("sig"), F.col("component").alias("block"))
+        with passing(sets.drop("prefix").join(block, "sig").join(cls.select("sig", "copies"), "sig"), "blocks") as members:
+            chunks = members.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+            placed = members.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("sig"), "chunks"))
+            placed = placed.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+            placed = placed.withColumn("ci", F.least("chunk", "d")).withColumn("cj", F.greatest("chunk", "d")).drop("d", "chunks")
+            tasks = max(8, (members.count() // 2000) * 2)
+            placed = placed.withColumn("task", F.pmod(F.xxhash64("block", "ci", "cj"), F.lit(tasks)))
+            found = stored(_verified(placed, num, den), "links")
 
     comp = components(found.where("links > 0").select(F.col("sig").alias("u"), F.col("root").alias("v")))
     comp = comp.select(F.col("node").alias("sig"), F.col("component").alias("comp"))

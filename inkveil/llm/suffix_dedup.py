@@ -43,7 +43,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import unused
 from ._bytes import _BASE, _INV, binaries, give_back, mix, packed, powers, slices, span_hash, unpacked
-from ._common import stored
+from ._common import passing, stored
 
 #: Bytes that make a repeat, of an anchor and of a segment of a long text; anchors that a task compares; bytes of one merge and its shards.
 WINDOW, ANCHOR, SEGMENT, BUCKET_ANCHORS, MERGE_BYTES, SHARDS = 50, 16, 1 << 22, 100_000, 1 << 20, 4
@@ -141,7 +141,7 @@ def _range(key: np.ndarray, n: int) -> np.ndarray:
     return ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-_DEALT = [("sigs", "<i8"), ("hashes", "<u8"), ("sides", "<u4"), ("positions", "<u4"), ("reaches", "<u2")]
+_DEALT = [("sigs", "<i8"), ("hashes", "<u4"), ("sides", "<u4"), ("positions", "<u4"), ("reaches", "<u2")]
 _PLACES = [("sigs", "<i8"), ("positions", "<u4"), ("reaches", "<u2")]
 _SPANS = [("sigs", "<i8"), ("starts", "<u4"), ("ends", "<u4")]
 _PIECES = [("sigs", "<i8"), ("docs", "<i8"), ("starts", "<u4"), ("reaches", "<u2")]
@@ -152,7 +152,11 @@ def _schema(key: str, columns: list[tuple[str, str]], *more: str) -> str:
 
 
 def _dealt(keyed: DataFrame, buckets: int, hot: np.ndarray, window: int) -> DataFrame:
-    """Anchors by ranges of their hash: bucket and packed columns; hot ones by ranges of their class, to buckets from `buckets` on."""
+    """Anchors by ranges of their hash: bucket and packed columns; hot ones by ranges of their class, to buckets from `buckets` on.
+
+    The bucket stands for the upper bits of a hash, so only the lower 32 go there. Different anchors that agree in
+    them, and in a side, are merely looked at further: windows are told apart by their bytes.
+    """
 
     def pack(parts: list[tuple]) -> pa.RecordBatch:
         sig, h, side, pos, reach = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -198,7 +202,7 @@ def _repeated(dealt: DataFrame, parts: int) -> DataFrame:
         sig, h, side, pos, reach = (unpacked(table, *c) for c in _DEALT)
         again = np.full(len(h), key[0].as_py() >= parts)
         for k, s in enumerate(() if again.all() else (side >> np.uint32(16), side & np.uint32(0xFFFF))):
-            again |= several(h + (s.astype(np.uint64) << np.uint64(1) | np.uint64(k)) * np.uint64(_BASE), sig)
+            again |= several(h.astype(np.uint64) + (s.astype(np.uint64) << np.uint64(1) | np.uint64(k)) * np.uint64(_BASE), sig)
         del h, side
         keep = np.flatnonzero(again)
         keep = keep[np.lexsort((reach[keep], pos[keep], sig[keep]))]
@@ -527,11 +531,12 @@ def _analysed(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, list[
     total, copies = firsts.agg(F.sum("n"), F.max("copies")).first()
     buckets = max(8, -(-(total or 0) * 2 // (window - ANCHOR + 2) // BUCKET_ANCHORS))
     hot = _hot(keyed, window)
-    again = stored(_by_class(_repeated(_dealt(keyed, buckets, hot, window), buckets)), "anchors").join(firsts.select("sig", F.col("first").alias("doc")), "sig")
-    found = again.join(keyed.select("sig", "doc_id", "text"), "sig").where("doc_id = doc")
-    if rows.count() > rows.select("doc_id").distinct().count():
-        found = found.dropDuplicates(["sig"])
-    cut = stored(_spans(_pieces(found, 2 * buckets, hot, window), 2 * buckets, window), "spans")
+    with passing(_by_class(_repeated(_dealt(keyed, buckets, hot, window), buckets)), "anchors") as again:
+        again = again.join(firsts.select("sig", F.col("first").alias("doc")), "sig")
+        found = again.join(keyed.select("sig", "doc_id", "text"), "sig").where("doc_id = doc")
+        if rows.count() > rows.select("doc_id").distinct().count():
+            found = found.dropDuplicates(["sig"])
+        cut = stored(_spans(_pieces(found, 2 * buckets, hot, window), 2 * buckets, window), "spans")
     return rows.join(firsts.select("sig", "first"), "sig"), cut, clash
 
 
