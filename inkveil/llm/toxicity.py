@@ -326,7 +326,7 @@ def train_pass(rows: DataFrame, m: Model, texts_with: np.ndarray, rate: float) -
                     group[w][...] = moved[at : at + group[w].size].reshape(group[w].shape)
                     at += group[w].size
             m.out[...], m.out_bias = moved[at:-1], float(moved[-1])
-    shared.unpersist()
+    shared.destroy()  # nothing made from it is read later
 
 
 def calibrate_all(rows: DataFrame, m: Model) -> None:
@@ -342,7 +342,7 @@ def calibrate_all(rows: DataFrame, m: Model) -> None:
 
     found = rows.mapInArrow(work, "lang long, fine long, label long").groupBy("lang", "fine").agg(F.count("*").alias("n"), F.sum("label").alias("hits"))
     lang, fine, n, hits = (c.to_numpy() for c in found.orderBy(F.desc("fine"), "lang").toArrow().columns)  # at most 120 * FINE for a language
-    shared.unpersist()
+    shared.destroy()  # nothing made from it is read later
 
     def best(here: np.ndarray) -> float:
         z, at = np.unique(-fine[here], return_inverse=True)
@@ -365,6 +365,7 @@ def fit_all(docs: DataFrame, labels: DataFrame, sample: int = 3000, rounds: int
     m.prior = min(0.5, float(prior))
     with passing(labelled_texts(docs, known), "labelled") as rows:
         _fit_all(rows, m, rounds, rate)
+    give_back()  # what training took of the driver's memory
     return m
 
 
@@ -401,9 +402,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_bytes: int
     upto = F.sum("size").over(Window.orderBy(long, F.xxhash64("doc_id"), "doc_id"))
     rows = rows.join(F.broadcast(size.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "toxic")), "doc_id")
     out = []
-    for r in rows.orderBy("doc_id", F.xxhash64("text")).toArrow().to_pylist():
-        data = np.frombuffer(r["text"].encode("utf-8", "surrogatepass"), np.uint8)
-        out.append((features(data, np.array([0, len(data)]))[0], r["toxic"], r["lang"]))
+    picked = rows.orderBy("doc_id", F.xxhash64("text")).select("text", "toxic", "lang").toArrow()
+    for text, toxic, lang in zip(*picked.columns, strict=True):  # one text at a time: the driver has little memory
+        data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
+        out.append((features(data, np.array([0, len(data)]))[0], toxic.as_py(), lang.as_py()))
+    del picked
     return train(out, min(0.5, float(rate)))
 
 
