@@ -49,12 +49,15 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split, self.most = _CHUNKS[spaces].findall, most
         self.merge, self.alphabet, self.lower = self.tokenizer.model.tokenize, _byte_alphabet(), spaces == "dropped"
+        self.space = self.alphabet[32]
 
     def __missing__(self, chunk: str) -> bytes:
         if _LETTERS(chunk) and "\u0130" not in chunk:  # one piece for the merges: no need to split or normalize it
             piece = chunk.lower() if self.lower else chunk
-            if not piece.isascii() or piece[0] == " ":
+            if not piece.isascii():
                 piece = piece.encode().decode("latin-1").translate(self.alphabet)
+            elif piece[0] == " ":  # of ASCII letters and spaces the space alone has another letter
+                piece = self.space + piece[1:]
             ids = [t.id for t in self.merge(piece)]
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
