@@ -141,62 +141,101 @@ def pieces(text: bytes, size: int) -> Iterator[Piece]:
         place += len(part) - cut
 
 
-def bit_slots(batch: list[bytes] | list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all bits of the texts, or of one piece: slots (7 tables x bits), the bits, places in the token, and the text each belongs to.
+def _entries(context: np.ndarray, high: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
+    """For each byte and half of it: sixteen times the line of table k, plus the half itself."""
+    context = context + np.uint64(k + 1)
+    context *= _SEED[k]
+    x = context >> np.uint64(29)
+    context ^= x
+    out, shifted = np.empty((len(context), 2), np.uint64), np.empty_like(context)
+    for half, own in enumerate((high, low)):
+        if half:
+            context += high
+            context += np.uint64(1)
+        np.multiply(context, _SEED[6 - k], out=x)
+        x ^= np.right_shift(x, np.uint64(31), out=shifted)
+        x *= _SEED[k]
+        x >>= np.uint64(64 - BITS[k])
+        x &= np.uint64(0xFFFFFFFFFFFFFFF0)
+        np.bitwise_or(x, own, out=out[:, half])
+    return out.view(np.int64)
 
-    Contexts reach across tokens to the start of the text. In the last table slot 0 stands for no token before.
-    """
+
+_PAIRS = np.arange(1 << 16, dtype=np.uint64)  # the byte before and this one
+_FIRST = _entries(_PAIRS >> np.uint64(8), _PAIRS >> np.uint64(4) & np.uint64(15), _PAIRS & np.uint64(15), 0)  # table 0, whose context is one byte
+
+
+class Contexts(NamedTuple):
+    """The bytes of texts, or of one piece, and for each: its place in its token, the byte before and itself, its entries in the tables (bytes x 2; NONE[6] in the last one where there is no token before); and each text's bytes."""
+
+    data: np.ndarray
+    place: np.ndarray
+    pair: np.ndarray
+    entries: list[np.ndarray]
+    size: np.ndarray
+
+
+NONE = [1 << b for b in BITS]  # the entry after all others
+
+
+def contexts_of(batch: list[bytes] | list[Piece]) -> Contexts:
+    """Contexts reach across tokens to the start of the text."""
     piece = batch[0] if batch and isinstance(batch[0], Piece) else None
     data = np.frombuffer(piece.data if piece else b" ".join([*batch, b""]), np.uint8)
     size = np.array([len(piece.data)] if piece else [len(t) + 1 for t in batch])
     first = np.cumsum(size) - size
-    at = np.arange(len(data))
-    in_text = at - np.repeat(first, size) + (piece.at if piece else 0)
-    closing = np.flatnonzero(data == 32)
-    starts = np.unique(np.concatenate([first, closing + 1]))  # of tokens
-    starts = starts[starts < len(data)]
+    begins = np.zeros(len(data), bool)
+    begins[1:] = data[:-1] == 32
+    begins[first] = True
+    starts = np.flatnonzero(begins)  # of tokens
     length = np.diff(np.append(starts, len(data)))
-    start = np.repeat(starts, length)
-    place = at - start
+    place = np.arange(len(data)) - np.repeat(starts, length)
     if piece:
         place[: length[0]] += piece.place
-    head = np.frombuffer((b"\0" * 4 + piece.last)[-4:] if piece else b"\0" * 4, np.uint8)
-    longer = np.concatenate([head, data])
-    last = [np.where(in_text >= k, longer[4 - k : len(longer) - k], 0).astype(np.uint64) for k in (1, 2, 3, 4)]
+    wide = data.astype(np.uint64)
+    longer = np.concatenate([np.frombuffer((b"\0" * 4 + piece.last)[-4:] if piece else b"\0" * 4, np.uint8).astype(np.uint64), wide])
+    last = [longer[4 - k : len(longer) - k] for k in (1, 2, 3, 4)]
+    if len(size) > 1:  # nothing reaches into another text
+        last = [v.copy() for v in last]
+        for k, v in enumerate(last):
+            for j in range(k + 1):
+                v[(first + j)[j < size]] = 0
     run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=run[1:])
-    whole = (run[at] - run[start]) * powers(_INV, len(data) + 1)[start]
+    np.cumsum((wide + np.uint64(1)) * powers(_BASE, len(data)), out=run[1:])
+    whole = run[:-1] - np.repeat(run[starts], length)
+    whole *= np.repeat(powers(_INV, len(data) + 1)[starts], length)
     if piece:
         whole[: length[0]] = whole[: length[0]] * np.uint64(pow(_BASE, piece.place, 1 << 64)) + np.uint64(piece.hashed)
-    whole = whole + place.astype(np.uint64)
+    whole += place.view(np.uint64)
     # the token before: what the whole token was at its closing byte; none for the first token of a text
     before = np.zeros(len(starts), np.uint64)
     before[1:] = whole[starts[1:] - 1]
-    before[np.searchsorted(starts, first)] = np.uint64(piece.before if piece else 0)
-    follows = in_text > place
-    context = last[0]
-    contexts = [context]
+    alone = np.searchsorted(starts, first)
+    before[alone] = np.uint64(piece.before if piece else 0)
+    high, low = wide >> np.uint64(4), wide & np.uint64(15)
+    pair = (last[0] << np.uint64(8) | wide).view(np.int64)
+    entries, context = [_FIRST.take(pair, axis=0)], last[0]
     for k in (1, 2, 3):
         context = context << np.uint64(8) | last[k]
-        contexts.append(context)
-    contexts += [whole, whole, whole + np.repeat(before + np.uint64(1), length) * _SEED[5]]
-    slots = np.empty((len(BITS), len(data), 8), np.int32)
-    high_half = (data >> 4).astype(np.uint64) + np.uint64(1)
-    lines, nodes = np.empty((len(data), 2), np.int32), _NODES[data]
-    for k, c in enumerate(contexts):  # one line of 16 slots for each half of the byte
-        c = (c + np.uint64(k + 1)) * _SEED[k]
-        c ^= c >> np.uint64(29)
-        for half, x in enumerate((c, c + high_half)):
-            x = x * _SEED[6 - k]
-            x ^= x >> np.uint64(31)
-            x *= _SEED[k]
-            x >>= np.uint64(64 - BITS[k] + 4)
-            lines[:, half] = x
-        np.add(np.repeat(lines.ravel() << 4, 4).reshape(-1, 8), nodes, out=slots[k])
-    slots[6][~follows] = 0
-    places = np.repeat(np.minimum(place, PLACES - 1), 8)
-    owner = np.repeat(np.repeat(np.arange(len(batch)), size), 8)
-    return slots.reshape(len(BITS), -1), _BITS_OF[data].ravel(), places, owner
+        entries.append(_entries(context, high, low, k))
+    for k in (4, 5):
+        entries.append(_entries(whole, high, low, k))
+    entries.append(_entries(whole + np.repeat((before + np.uint64(1)) * _SEED[5], length), high, low, 6))
+    for i in alone.tolist():
+        if not piece or piece.at == piece.place:
+            entries[6][starts[i] : starts[i] + length[i]] = NONE[6]
+    return Contexts(data, place, pair, entries, size)
+
+
+def bit_slots(batch: list[bytes] | list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all bits of the texts, or of one piece: slots (7 tables x bits), the bits, places in the token, and the text each belongs to.
+
+    In the last table slot 0 stands for no token before.
+    """
+    data, place, _, entries, size = contexts_of(batch)
+    nodes = _NODES[data].reshape(-1, 2, 4)
+    slots = np.stack([((e & -16)[..., None] + nodes) * (e < none)[..., None] for e, none in zip(entries, NONE, strict=True)]).astype(np.int32)
+    return slots.reshape(len(BITS), -1), _BITS_OF[data].ravel(), np.repeat(np.minimum(place, PLACES - 1), 8), np.repeat(np.repeat(np.arange(len(batch)), size), 8)
 
 
 def _sum_blocks(parts: DataFrame) -> list:
@@ -233,26 +272,35 @@ def _batches(batches: Iterator[pa.RecordBatch], size: int = 2048) -> Iterator[tu
             a = b
 
 
+def nodes_of(halves: np.ndarray) -> np.ndarray:
+    """Counts of 0 and 1 in each slot (slots x 2) from those of each half of a byte in each line."""
+    halves = halves.reshape(-1, 16)
+    out = np.zeros((len(halves), 16, 2), np.float32)
+    for b in range(4):
+        out[:, 1 << b : 2 << b] = halves.reshape(len(halves), 1 << b, 2, -1).sum(3)
+    return out.reshape(-1, 2)
+
+
 def count_tables(train: DataFrame) -> list[np.ndarray]:
-    """For each context the counts of 0 and 1 in its slots (slots x 2)."""
+    """For each context the counts of 0 and 1 in its slots (slots x 2). A half of a byte is counted once, for its four bits."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << b) for b in BITS]
+        tables = [np.zeros(none + 1) for none in NONE]
         for toks, c in _batches(batches):
-            slots, bits, _, owner = bit_slots(toks)
-            times = 1.0 if (c == 1).all() else c[owner]
-            for k, t in enumerate(tables):
-                np.add.at(t, slots[k] * 2 + bits, times)
+            found = contexts_of(toks)
+            times = 1.0 if (c == 1).all() else np.repeat(c, found.size * 2)
+            for t, entries in zip(tables, found.entries, strict=True):
+                np.add.at(t, entries.ravel(), times)
         for k, t in enumerate(tables):
-            for b in range(0, len(t), BLOCK):
+            for b in range(0, NONE[k], BLOCK):
                 if t[b : b + BLOCK].any():
                     yield _partial([(k, b // BLOCK, t[b : b + BLOCK])])
 
-    tables = [np.zeros(2 << b, np.float32) for b in BITS]
+    tables = [np.zeros(none) for none in NONE]
     for r in _sum_blocks(train.mapInArrow(work, _BLOCKS)):
         block = np.frombuffer(r["data"], "<f4")
         tables[r["name"]][r["block"] * BLOCK :][: len(block)] = block
-    return [t.reshape(-1, 2) for t in tables]
+    return [nodes_of(t) for t in tables]
 
 
 # --- mixing ------------------------------------------------------------------
@@ -262,6 +310,22 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+_CELLS = PLACES * CONF**2  # a cell: the bit, the place and both confidences
+_PLACE_CELLS = (_BITS_OF.astype(np.int32) * _CELLS + np.arange(PLACES, dtype=np.int32)[:, None, None] * CONF**2).reshape(-1, 8).view("V32").ravel()  # by place and byte
+_BIT_MAPS = (_BITS_OF.astype(np.int32) * (CONF * STEPS)).view("V32").ravel()
+_HALF_NODES = _NODES[:16, 4:].astype(np.int64) * 2 + _BITS_OF[:16, 4:]  # in a line, the slots and bits that make a half
+
+
+class Inputs(NamedTuple):
+    """The predictions for the bits of texts, times -1 where the bit is 0 (predictors x bits), so that a sum is for the bit that came; cells, confidence of the whole token, and bytes."""
+
+    x: np.ndarray
+    cell: np.ndarray
+    sure: np.ndarray
+    data: np.ndarray
+    size: np.ndarray
+
+
 class Mixer:
     """Gated weights over the predictors and the map that corrects them."""
 
@@ -272,58 +336,82 @@ class Mixer:
         self.looked: dict[bool, list[np.ndarray]] = {}
 
     def look_up(self, leave_out: bool) -> list[np.ndarray]:
-        """For each table, by slot and bit, the stretched prediction and beside it, as an imaginary part, the count behind it; leave_out: as if that bit had been seen once less."""
+        """For each table, by entry, the four stretched predictions (by pairs of bytes the eight, in table 0), in tables 3 to 5 with one more than the counts behind them. leave_out: as if each bit had been seen once less."""
         if leave_out not in self.looked:
-            out = []
-            for t in self.tables:
-                pair = np.empty(t.shape, np.complex64)
+            found = []
+            for k, t in enumerate(self.tables):
+                t = t.astype(np.float32, copy=False)
+                value, count = np.empty_like(t), np.empty_like(t)
                 for bit in (0, 1):
-                    own, other = np.maximum(t[:, bit] - leave_out, 0), t[:, 1 - bit]
-                    pair.real[:, bit] = np.log((own + np.float32(0.02)) / (other + np.float32(0.02))) * (2 * bit - 1)
-                    pair.imag[:, bit] = own + other
-                out.append(pair.ravel() if 3 <= len(out) <= 5 else pair.real.ravel())
-            self.looked[leave_out] = out
+                    own, other = np.maximum(t[:, bit] - np.float32(leave_out), 0), t[:, 1 - bit]
+                    value[:, bit] = np.log((own + np.float32(0.02)) / (other + np.float32(0.02)))
+                    count[:, bit] = own + other + 1
+                halves = [v.reshape(-1, 32).take(_HALF_NODES, axis=1).reshape(-1, 4) for v in (value, count)[: 1 + (3 <= k <= 5)]]
+                rows = np.concatenate([np.hstack(halves), np.zeros((1, 4 * len(halves)), np.float32)])  # the last: no token before
+                rows = rows.take(_FIRST, axis=0).reshape(-1, 8) if k == 0 else rows
+                found.append(rows.view(f"V{4 * rows.shape[1]}").ravel())
+            self.looked[leave_out] = found
         return self.looked[leave_out]
 
-    def inputs(self, toks: list[bytes] | list[Piece], leave_out: bool):
-        """Inputs (bits x N_IN), gates, bits and owners; leave_out: as if each bit had been seen once less."""
-        slots, bits, places, owner = bit_slots(toks)
-        x, seen = np.empty((len(bits), N_IN), np.float32), {}
-        two = bits.astype(np.int32)
-        for k, table in enumerate(self.look_up(leave_out)):
-            got = table.take(slots[k] * 2 + two)
-            if k < 5:
-                x[:, k] = got.real
-                seen[k] = got.imag
-            elif k == 5:  # the second table of the whole token, where it has seen less
-                x[:, 4] = np.where(got.imag < seen[4], got.real, x[:, 4])
-                seen[4] = np.minimum(got.imag, seen[4])
-            else:
-                x[:, 6] = got * (slots[k] > 0)
-        x[:, 5] = 0.3
-        places = places.astype(np.int32)
-        conf = [np.minimum(np.log2(1 + seen[k]).astype(np.int32), CONF - 1) for k in (4, 3)]
-        return x, [conf[0] * PLACES + places, conf[1] * PLACES + places], bits, owner
-
-    def mixed(self, x: np.ndarray, gates: list[np.ndarray]) -> np.ndarray:
-        both = (self.weights[0][:, None] + self.weights[1][None]).reshape(-1, N_IN).astype(np.float32)
-        return np.einsum("ij,ij->i", x, both.take(gates[0] * (CONF * PLACES) + gates[1], axis=0))
+    def inputs(self, toks: list[bytes] | list[Piece], leave_out: bool) -> Inputs:
+        """leave_out: as if each bit had been seen once less."""
+        data, place, pair, entries, size = contexts_of(toks)
+        tables = self.look_up(leave_out)
+        x = np.empty((N_IN - 1, len(data) * 8), np.float32)
+        tables[0].take(pair, out=x[0].view("V32"), mode="clip")
+        for k, row in ((1, 1), (2, 2), (6, 5)):
+            tables[k].take(entries[k].ravel(), out=x[row].view("V16"), mode="clip")
+        four = [tables[k].take(entries[k].ravel(), mode="clip").view(np.complex128).reshape(-1, 2) for k in (3, 4, 5)]  # four predictions, four counts
+        x[3].view(np.complex128)[:], x[4].view(np.complex128)[:] = four[0][:, 0], four[1][:, 0]
+        fourth, whole, other = (v[:, 1].copy().view(np.float32) for v in four)
+        # the second table of the whole token, where it has seen less; by a mask, as that is half of them
+        change = four[2][:, 0].copy().view(np.int32)
+        change ^= x[4].view(np.int32)
+        change &= np.negative((other < whole).view(np.int8)).astype(np.int32)
+        x[4].view(np.int32)[:] ^= change
+        np.minimum(whole, other, out=whole)
+        sure, cell = whole.view(np.int32), fourth.view(np.int32)
+        for v in (sure, cell):  # whole logarithms: the exponents
+            v >>= 23
+            np.minimum(v, 127 + CONF - 1, out=v)
+            v -= 127
+        cell += sure * CONF
+        cell += _PLACE_CELLS.take(np.minimum(place, PLACES - 1) * 256 + data, mode="clip").view(np.int32)
+        return Inputs(x, cell.astype(np.intp), sure, data, size)
+
+    def by_cell(self) -> np.ndarray:
+        """The sum of both gates' weights (inputs x cells), the constant's times -0.3 or 0.3 by the bit."""
+        first, second = (w.reshape(CONF, PLACES, N_IN) for w in self.weights)
+        both = (first.transpose(2, 1, 0)[:, :, :, None] + second.transpose(2, 1, 0)[:, :, None]).reshape(N_IN, -1)
+        both = np.concatenate([both, both], 1)
+        both[5] *= np.repeat([-0.3, 0.3], _CELLS)
+        return both.astype(np.float32)
+
+    def mixed(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The mixed prediction of the bit that came, stretched."""
+        both = self.by_cell()
+        z, w = both[5].take(cell, mode="clip"), np.empty(len(cell), np.float32)
+        for row, k in enumerate((0, 1, 2, 3, 4, 6)):
+            both[k].take(cell, out=w, mode="clip")
+            w *= x[row]
+            z += w
+        return z
 
     def learn(self, batches: Iterator[tuple[list[bytes], np.ndarray]], rate: float = 0.03) -> float:
         """Online steps along the texts; returns the weight seen."""
         total, sums = 0.0, [np.full(w.shape, 1e-3) for w in self.weights]
         for toks, c in batches:
-            every_x, every_gate, every_bit, _ = self.inputs(toks, True)
-            for a in range(0, len(every_bit), STEP):
-                x, gates, bits = every_x[a : a + STEP], [g[a : a + STEP] for g in every_gate], every_bit[a : a + STEP]
-                d = squash(self.mixed(x, gates)) - bits
-                cell = gates[0] * (CONF * PLACES) + gates[1]
-                shape, cells = (CONF * PLACES, CONF * PLACES), (CONF * PLACES) ** 2
-                size = np.bincount(cell, minlength=cells).reshape(shape)
-                slope = np.stack([np.bincount(cell, d * x[:, j], minlength=cells).reshape(shape) for j in range(N_IN)], 2)
-                for w, s, axis in zip(self.weights, sums, (1, 0), strict=True):
-                    n = size.sum(axis)[:, None]
-                    grad = slope.sum(axis) / np.maximum(n, 1)
+            every = self.inputs(toks, True)
+            for a in range(0, len(every.cell), STEP):
+                x, cell = every.x[:, a : a + STEP], every.cell[a : a + STEP]
+                d = squash(self.mixed(x, cell)) - 1
+                sums_of = [np.bincount(cell, d * v, minlength=2 * _CELLS) for v in x]
+                constant = np.bincount(cell, d, minlength=2 * _CELLS) * np.repeat([-0.3, 0.3], _CELLS)
+                slope = np.stack([*sums_of[:5], constant, sums_of[5]], 1).reshape(2, PLACES, CONF, CONF, N_IN).sum(0)
+                size = np.bincount(cell, minlength=2 * _CELLS).reshape(2, PLACES, CONF, CONF).sum(0)
+                for w, s, axis in zip(self.weights, sums, (2, 1), strict=True):
+                    n = size.sum(axis).T.reshape(-1, 1)
+                    grad = slope.sum(axis).transpose(1, 0, 2).reshape(w.shape) / np.maximum(n, 1)
                     s += grad**2
                     w -= rate * grad / np.sqrt(s) * (n > 0)
             total += c.sum()
@@ -331,37 +419,49 @@ class Mixer:
 
     def after(self, batches: Iterator[tuple[list[bytes], np.ndarray]]) -> np.ndarray:
         """For the map: how often 0 and 1 came at each step of the mixed prediction, over all bits of the texts."""
-        seen = np.zeros((2, CONF * STEPS))
+        times, parts = np.zeros((2, 2 * CONF * STEPS + 1))
         for toks, _ in batches:
-            x, gates, bits, _ = self.inputs(toks, True)
-            low, part = self.steps(self.mixed(x, gates))
-            at = (bits * CONF + gates[0] // PLACES) * STEPS + low
-            seen += np.bincount(at, 1 - part, minlength=seen.size).reshape(seen.shape)
-            seen += np.bincount(at + 1, part, minlength=seen.size).reshape(seen.shape)
-        return seen
-
-    def steps(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = (np.clip(z, -12, 12) + 12) / 24 * (STEPS - 1)
-        low = np.minimum(at.astype(int), STEPS - 2)
-        return low, at - low
+            found = self.inputs(toks, True)
+            at, part = self.steps(self.mixed(found.x, found.cell), found)
+            times += np.bincount(at, minlength=len(times))
+            parts += np.bincount(at, part, minlength=len(parts))
+        seen = (times - parts)[:-1] + np.append(0, parts[:-2])
+        zeros, ones = seen.reshape(2, CONF, STEPS)
+        return np.stack([zeros[:, ::-1].ravel(), ones.ravel()])  # of a 0 that came the steps lie the other way
+
+    def steps(self, z: np.ndarray, found: Inputs) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the map (bit, confidence, step) each bit lies, and how far towards the next step."""
+        part = np.clip(z, -12, 12)
+        part += 12
+        part *= (STEPS - 1) / 24
+        low = np.minimum(part.astype(np.int32), STEPS - 2)
+        part -= low
+        low += found.sure * STEPS
+        low += _BIT_MAPS.take(found.data, mode="clip").view(np.int32)
+        return low.astype(np.intp), part
 
     def costs(self, toks: list[bytes] | list[Piece]) -> tuple[np.ndarray, np.ndarray]:
-        """log2 probability of each bit, and the text it belongs to."""
-        x, gates, bits, owner = self.inputs(toks, False)
-        z = self.mixed(x, gates)
+        """log2 probability of each byte, and each text's bytes."""
+        found = self.inputs(toks, False)
+        z = self.mixed(found.x, found.cell)
         p = squash(z)
         if self.map is not None:
-            low, part = self.steps(z)
-            low += gates[0] // PLACES * STEPS
-            flat = self.map.ravel()
-            p = (p + flat.take(low) * (1 - part) + flat.take(low + 1) * part) / 2
-        p = np.clip(p, 1e-7, 1 - 1e-7)
-        return np.log2(np.where(bits == 1, p, 1 - p)), owner
+            at, part = self.steps(z, found)
+            flat = np.stack([1 - self.map[:, ::-1], self.map]).ravel()
+            part *= np.append(np.diff(flat), 0).astype(np.float32).take(at, mode="clip")
+            p += part
+            p += flat.astype(np.float32).take(at, mode="clip")
+            p *= 0.5
+        np.clip(p, np.float32(1e-7), np.float32(1 - 1e-7), out=p)
+        for _ in range(2):  # four bits together, which is 1e-28 at least
+            p = p[::2] * p[1::2]
+        cost = np.log2(p.astype(np.float64))
+        return cost[::2] + cost[1::2], found.size
 
     def log2p(self, toks: list[bytes] | list[Piece]) -> np.ndarray:
         """log2 probability of each text with its closing byte."""
-        cost, owner = self.costs(toks)
-        return np.bincount(owner, cost, minlength=len(toks))
+        cost, size = self.costs(toks)
+        return np.bincount(np.repeat(np.arange(len(toks)), size), cost, minlength=len(toks))
 
     def token_log2p(self, batches: Iterator[tuple[list[bytes] | list[Piece], np.ndarray]]) -> np.ndarray:
         """log2 probability of each token with its closing byte, given the text before, for all texts one after the other."""
@@ -369,7 +469,7 @@ class Mixer:
         for toks, _ in batches:
             data = np.frombuffer(toks[0].data if isinstance(toks[0], Piece) else b" ".join([*toks, b""]), np.uint8)
             token = np.concatenate([[0], np.cumsum(data == 32)[:-1]])
-            own = np.bincount(token, self.costs(toks)[0].reshape(-1, 8).sum(1))
+            own = np.bincount(token, self.costs(toks)[0])
             if isinstance(toks[0], Piece) and toks[0].place:  # the same token goes on
                 out[-1][-1] += own[0]
                 own = own[1:]
