@@ -52,6 +52,7 @@ TASK_BYTES = 64 << 20  # text of one training task
 LONG = 1 << 17  # bytes of a text above which it is taken part by part
 TOGETHER = 1 << 15  # bytes of shorter texts whose bits are looked at together
 STEP = 1 << 14  # bits of one step of the weights
+COMMON_BYTES = 1 << 19  # of common tokens whose predictions are made once a task, 64 bytes for each
 N_IN = 7  # five predictors, a constant, and the predictor by the token before
 _SEED = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -166,22 +167,28 @@ _FIRST = _entries(_PAIRS >> np.uint64(8), _PAIRS >> np.uint64(4) & np.uint64(15)
 
 
 class Contexts(NamedTuple):
-    """The bytes of texts, or of one piece, and for each: its place in its token, the byte before and itself, its entries in the tables (bytes x 2; NONE[6] in the last one where there is no token before); and each text's bytes."""
+    """The bytes of texts, or of one piece, and for each: its place in its token, the byte before and itself, and its entries in the tables (bytes x 2; NONE[6] in the last one where there is no token before; None for tables not asked for).
+
+    With `common`, tables 4 and 5 have entries only for the bytes in `rest`; the others have rows.
+    """
 
     data: np.ndarray
     place: np.ndarray
     pair: np.ndarray
-    entries: list[np.ndarray]
+    entries: list[np.ndarray | None]
     size: np.ndarray
+    rows: np.ndarray | None
+    rest: np.ndarray | None
 
 
 NONE = [1 << b for b in BITS]  # the entry after all others
 
 
-def contexts_of(batch: list[bytes] | list[Piece]) -> Contexts:
-    """Contexts reach across tokens to the start of the text."""
+def contexts_of(batch: list[bytes] | list[Piece], which: tuple[int, ...] = tuple(range(len(BITS))), common: dict[bytes, int] | None = None) -> Contexts:
+    """Contexts reach across tokens to the start of the text. common: the row of the first byte of tokens that are looked up whole."""
     piece = batch[0] if batch and isinstance(batch[0], Piece) else None
-    data = np.frombuffer(piece.data if piece else b" ".join([*batch, b""]), np.uint8)
+    text = piece.data if piece else b" ".join([*batch, b""])
+    data = np.frombuffer(text, np.uint8)
     size = np.array([len(piece.data)] if piece else [len(t) + 1 for t in batch])
     first = np.cumsum(size) - size
     begins = np.zeros(len(data), bool)
@@ -214,17 +221,29 @@ def contexts_of(batch: list[bytes] | list[Piece]) -> Contexts:
     before[alone] = np.uint64(piece.before if piece else 0)
     high, low = wide >> np.uint64(4), wide & np.uint64(15)
     pair = (last[0] << np.uint64(8) | wide).view(np.int64)
-    entries, context = [_FIRST.take(pair, axis=0)], last[0]
+    entries: list[np.ndarray | None] = [None] * len(BITS)
+    if 0 in which:
+        entries[0] = _FIRST.take(pair, axis=0)
+    context = last[0]
     for k in (1, 2, 3):
         context = context << np.uint64(8) | last[k]
-        entries.append(_entries(context, high, low, k))
+        if k in which:
+            entries[k] = _entries(context, high, low, k)
+    if 6 in which:
+        entries[6] = _entries(whole + np.repeat((before + np.uint64(1)) * _SEED[5], length), high, low, 6)
+        for i in alone.tolist():
+            if not piece or piece.at == piece.place:
+                entries[6][starts[i] : starts[i] + length[i]] = NONE[6]
+    rows = rest = None
+    if common and not piece:
+        row = np.fromiter(map(common.get, text.split(b" "), repeat(-1)), np.int64, len(starts))
+        rows = np.arange(len(data)) + np.repeat(row - starts, length)
+        rest = np.flatnonzero(np.repeat(row < 0, length))
+        whole, high, low = whole[rest], high[rest], low[rest]
     for k in (4, 5):
-        entries.append(_entries(whole, high, low, k))
-    entries.append(_entries(whole + np.repeat((before + np.uint64(1)) * _SEED[5], length), high, low, 6))
-    for i in alone.tolist():
-        if not piece or piece.at == piece.place:
-            entries[6][starts[i] : starts[i] + length[i]] = NONE[6]
-    return Contexts(data, place, pair, entries, size)
+        if k in which:
+            entries[k] = _entries(whole, high, low, k)
+    return Contexts(data, place, pair, entries, size, rows, rest)
 
 
 def bit_slots(batch: list[bytes] | list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -232,7 +251,7 @@ def bit_slots(batch: list[bytes] | list[Piece]) -> tuple[np.ndarray, np.ndarray,
 
     In the last table slot 0 stands for no token before.
     """
-    data, place, _, entries, size = contexts_of(batch)
+    data, place, _, entries, size, *_ = contexts_of(batch)
     nodes = _NODES[data].reshape(-1, 2, 4)
     slots = np.stack([((e & -16)[..., None] + nodes) * (e < none)[..., None] for e, none in zip(entries, NONE, strict=True)]).astype(np.int32)
     return slots.reshape(len(BITS), -1), _BITS_OF[data].ravel(), np.repeat(np.minimum(place, PLACES - 1), 8), np.repeat(np.repeat(np.arange(len(batch)), size), 8)
@@ -281,23 +300,27 @@ def nodes_of(halves: np.ndarray) -> np.ndarray:
     return out.reshape(-1, 2)
 
 
-def count_tables(train: DataFrame) -> list[np.ndarray]:
-    """For each context the counts of 0 and 1 in its slots (slots x 2). A half of a byte is counted once, for its four bits."""
+def count_tables(train: DataFrame, counts: DataFrame) -> list[np.ndarray]:
+    """For each context the counts of 0 and 1 in its slots (slots x 2). A half of a byte is counted once, for its four bits, and a whole token with its number in `counts`."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(none + 1) for none in NONE]
-        for toks, c in _batches(batches):
-            found = contexts_of(toks)
-            times = 1.0 if (c == 1).all() else np.repeat(c, found.size * 2)
-            for t, entries in zip(tables, found.entries, strict=True):
-                np.add.at(t, entries.ravel(), times)
-        for k, t in enumerate(tables):
-            for b in range(0, NONE[k], BLOCK):
-                if t[b : b + BLOCK].any():
-                    yield _partial([(k, b // BLOCK, t[b : b + BLOCK])])
+    def by_half(which: tuple[int, ...]):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = {k: np.zeros(NONE[k] + 1) for k in which}
+            for toks, c in _batches(batches):
+                found = contexts_of(toks, which)
+                times = 1.0 if (c == 1).all() else np.repeat(c, found.size * 2)
+                for k, t in tables.items():
+                    np.add.at(t, found.entries[k].ravel(), times)
+            for k, t in tables.items():
+                for b in range(0, NONE[k], BLOCK):
+                    if t[b : b + BLOCK].any():
+                        yield _partial([(k, b // BLOCK, t[b : b + BLOCK])])
 
+        return work
+
+    parts = train.mapInArrow(by_half((0, 1, 2, 3, 6)), _BLOCKS).unionByName(counts.mapInArrow(by_half((4, 5)), _BLOCKS))
     tables = [np.zeros(none) for none in NONE]
-    for r in _sum_blocks(train.mapInArrow(work, _BLOCKS)):
+    for r in _sum_blocks(parts):
         block = np.frombuffer(r["data"], "<f4")
         tables[r["name"]][r["block"] * BLOCK :][: len(block)] = block
     return [nodes_of(t) for t in tables]
@@ -316,6 +339,11 @@ _BIT_MAPS = (_BITS_OF.astype(np.int32) * (CONF * STEPS)).view("V32").ravel()
 _HALF_NODES = _NODES[:16, 4:].astype(np.int64) * 2 + _BITS_OF[:16, 4:]  # in a line, the slots and bits that make a half
 
 
+def bounded(common: list[bytes]) -> list[bytes]:
+    """The first tokens that have COMMON_BYTES with their closing bytes."""
+    return common[: int(np.searchsorted(np.cumsum([len(t) + 1 for t in common]), COMMON_BYTES, "right"))]
+
+
 class Inputs(NamedTuple):
     """The predictions for the bits of texts, times -1 where the bit is 0 (predictors x bits), so that a sum is for the bit that came; cells, confidence of the whole token, and bytes."""
 
@@ -326,14 +354,25 @@ class Inputs(NamedTuple):
     size: np.ndarray
 
 
+def confidence(seen: np.ndarray) -> np.ndarray:
+    """The whole logarithm to base 2 of counts (one is the least), below CONF: their exponents. The counts are overwritten."""
+    sure = seen.view(np.int32)
+    sure >>= 23
+    np.minimum(sure, 127 + CONF - 1, out=sure)
+    sure -= 127
+    return sure
+
+
 class Mixer:
     """Gated weights over the predictors and the map that corrects them."""
 
-    def __init__(self, tables: list[np.ndarray]):
-        self.tables = tables
+    def __init__(self, tables: list[np.ndarray], common: list[bytes] | None = None):
+        """common: tokens whose predictions by the whole token are made once, which changes no result."""
+        self.tables, self.common = tables, common or []
         self.weights = [np.full((CONF * PLACES, N_IN), 0.12), np.full((CONF * PLACES, N_IN), 0.12)]
         self.map = None
         self.looked: dict[bool, list[np.ndarray]] = {}
+        self.made: dict[bool, tuple[dict[bytes, int], np.ndarray, np.ndarray]] = {}
 
     def look_up(self, leave_out: bool) -> list[np.ndarray]:
         """For each table, by entry, the four stretched predictions (by pairs of bytes the eight, in table 0), in tables 3 to 5 with one more than the counts behind them. leave_out: as if each bit had been seen once less."""
@@ -346,38 +385,57 @@ class Mixer:
                     own, other = np.maximum(t[:, bit] - np.float32(leave_out), 0), t[:, 1 - bit]
                     value[:, bit] = np.log((own + np.float32(0.02)) / (other + np.float32(0.02)))
                     count[:, bit] = own + other + 1
-                halves = [v.reshape(-1, 32).take(_HALF_NODES, axis=1).reshape(-1, 4) for v in (value, count)[: 1 + (3 <= k <= 5)]]
-                rows = np.concatenate([np.hstack(halves), np.zeros((1, 4 * len(halves)), np.float32)])  # the last: no token before
+                rows = np.zeros((len(t) + 1, 8 if 3 <= k <= 5 else 4), np.float32)  # the last: no token before
+                for a in range(0, rows.shape[1], 4):
+                    rows[:-1, a : a + 4] = (count if a else value).reshape(-1, 32).take(_HALF_NODES, axis=1).reshape(-1, 4)
                 rows = rows.take(_FIRST, axis=0).reshape(-1, 8) if k == 0 else rows
                 found.append(rows.view(f"V{4 * rows.shape[1]}").ravel())
             self.looked[leave_out] = found
         return self.looked[leave_out]
 
+    def whole(self, found: Contexts, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions by the whole token and its confidence (bits of the bytes that have entries)."""
+        own, other = (self.look_up(leave_out)[k].take(found.entries[k].ravel(), mode="clip").view(np.complex128).reshape(-1, 2) for k in (4, 5))  # four predictions, four counts
+        (x, seen), (change, less) = ([v[:, j].copy().view(np.float32) for j in (0, 1)] for v in (own, other))
+        # the second table of the whole token, where it has seen less; by a mask, as that is half of them
+        change, bits = change.view(np.int32), x.view(np.int32)
+        change ^= bits
+        change &= np.negative((less < seen).view(np.int8)).astype(np.int32)
+        bits ^= change
+        return x, confidence(np.minimum(seen, less, out=seen))
+
+    def whole_of(self, leave_out: bool) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+        """For the common tokens with their closing bytes: the row of the first byte of each, and by row what `whole` has for its eight bits."""
+        if leave_out not in self.made:
+            toks, end = self.common, np.cumsum([len(t) + 1 for t in self.common])
+            parts = [self.whole(contexts_of(toks[a : a + 2048], (4, 5)), leave_out) for a in range(0, len(toks), 2048)]
+            x, sure = (np.concatenate(v).view("V32") for v in zip(*parts, strict=True)) if parts else (None, None)
+            self.made[leave_out] = dict(zip(toks, [0, *end.tolist()], strict=False)), x, sure
+        return self.made[leave_out]
+
     def inputs(self, toks: list[bytes] | list[Piece], leave_out: bool) -> Inputs:
         """leave_out: as if each bit had been seen once less."""
-        data, place, pair, entries, size = contexts_of(toks)
-        tables = self.look_up(leave_out)
+        common, known, known_sure = self.whole_of(leave_out)
+        found, tables = contexts_of(toks, common=common), self.look_up(leave_out)
+        data, entries = found.data, found.entries
         x = np.empty((N_IN - 1, len(data) * 8), np.float32)
-        tables[0].take(pair, out=x[0].view("V32"), mode="clip")
+        tables[0].take(found.pair, out=x[0].view("V32"), mode="clip")
         for k, row in ((1, 1), (2, 2), (6, 5)):
             tables[k].take(entries[k].ravel(), out=x[row].view("V16"), mode="clip")
-        four = [tables[k].take(entries[k].ravel(), mode="clip").view(np.complex128).reshape(-1, 2) for k in (3, 4, 5)]  # four predictions, four counts
-        x[3].view(np.complex128)[:], x[4].view(np.complex128)[:] = four[0][:, 0], four[1][:, 0]
-        fourth, whole, other = (v[:, 1].copy().view(np.float32) for v in four)
-        # the second table of the whole token, where it has seen less; by a mask, as that is half of them
-        change = four[2][:, 0].copy().view(np.int32)
-        change ^= x[4].view(np.int32)
-        change &= np.negative((other < whole).view(np.int8)).astype(np.int32)
-        x[4].view(np.int32)[:] ^= change
-        np.minimum(whole, other, out=whole)
-        sure, cell = whole.view(np.int32), fourth.view(np.int32)
-        for v in (sure, cell):  # whole logarithms: the exponents
-            v >>= 23
-            np.minimum(v, 127 + CONF - 1, out=v)
-            v -= 127
+        fourth = tables[3].take(entries[3].ravel(), mode="clip").view(np.complex128).reshape(-1, 2)
+        x[3].view(np.complex128)[:] = fourth[:, 0]
+        rest, sure = self.whole(found, leave_out)
+        if found.rows is None:
+            x[4] = rest
+        else:
+            known.take(found.rows, out=x[4].view("V32"), mode="clip")
+            x[4].reshape(-1, 8)[found.rest] = rest.reshape(-1, 8)
+            rest_sure, sure = sure, known_sure.take(found.rows, mode="clip").view(np.int32)
+            sure.reshape(-1, 8)[found.rest] = rest_sure.reshape(-1, 8)
+        cell = confidence(fourth[:, 1].copy().view(np.float32))
         cell += sure * CONF
-        cell += _PLACE_CELLS.take(np.minimum(place, PLACES - 1) * 256 + data, mode="clip").view(np.int32)
-        return Inputs(x, cell.astype(np.intp), sure, data, size)
+        cell += _PLACE_CELLS.take(np.minimum(found.place, PLACES - 1) * 256 + data, mode="clip").view(np.int32)
+        return Inputs(x, cell.astype(np.intp), sure, data, found.size)
 
     def by_cell(self) -> np.ndarray:
         """The sum of both gates' weights (inputs x cells), the constant's times -0.3 or 0.3 by the bit."""
@@ -478,14 +536,14 @@ class Mixer:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(train: DataFrame) -> Mixer:
-    """Counts, then weights, then the map, each over the running text of all training documents (text, 1)."""
+def fit(train: DataFrame, counts: DataFrame, common: list[bytes]) -> Mixer:
+    """Counts, then weights, then the map, each over the running text of all training documents (text, 1); counts: (token, c) of their tokens."""
     context = train.sparkSession.sparkContext
-    mixer = Mixer(count_tables(train))
-    tables = context.broadcast(mixer.tables)  # their size is fixed by BITS
+    mixer = Mixer(count_tables(train, counts), common)
+    shared = context.broadcast((mixer.tables, common))  # their size is fixed by BITS and COMMON_BYTES
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Mixer(tables.value)
+        own = Mixer(*shared.value)
         total = own.learn(_batches(batches))
         if total:
             yield _partial([(0, 0, np.array([1.0])), (0, 1, own.weights[0].ravel()), (0, 2, own.weights[1].ravel())])
@@ -496,13 +554,13 @@ def fit(train: DataFrame) -> Mixer:
         weights = mixer.weights
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Mixer(tables.value)
+            own = Mixer(*shared.value)
             own.weights = weights
             yield _partial([(0, 0, own.after(_batches(batches)).ravel())])
 
         n0, n1 = np.frombuffer(_sum_blocks(train.mapInArrow(count, _BLOCKS))[0]["data"], "<f4").astype(float).reshape(2, CONF, STEPS)
         mixer.map = (n1 + 20 * squash(np.linspace(-12, 12, STEPS))) / (n0 + n1 + 20)
-    tables.unpersist()
+    shared.unpersist()
     return mixer
 
 
@@ -578,10 +636,11 @@ def score_documents(docs: DataFrame, common: int = 1 << 16) -> DataFrame:
     for all_, some, once, twice in zip(*[iter(sums)] * 4, strict=True):
         discount = once / (once + 2 * twice) if twice else 0.75  # leave-one-out estimate
         laws.append((max(all_, 1), discount, discount * some / all_ if all_ else 1.0))
-    shared = spark.sparkContext.broadcast(fit(training_text(docs).coalesce(max(8, size // TASK_BYTES))))
-
     top = counts.orderBy(F.desc("n"), "token").limit(common).toArrow()  # at most `common` rows
     index = dict(zip(top.column("token").to_pylist(), range(top.num_rows), strict=True))
+    tasks = max(8, size // TASK_BYTES)
+    tokens_of = counts.where("c > 0").select("token", "c").coalesce(tasks)
+    shared = spark.sparkContext.broadcast(fit(training_text(docs).coalesce(tasks), tokens_of, bounded(list(index))))
     looked = spark.sparkContext.broadcast((index, top.column("c").to_numpy(), [seen_of(top.column(x).to_numpy(), law) for x, law in zip(names, laws, strict=True)]))
     stills = [f"still{i}" for i in range(len(names) + 1)]
     grown = [*stills, *(f"urn{i}" for i in range(len(URNS)))]

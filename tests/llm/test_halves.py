@@ -1,11 +1,11 @@
 """Halves of bytes stand for their four bits: the same counts, weights and map as bit by bit, in less time."""
 
+import collections
 import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from inkveil.llm import mixing
 
@@ -44,11 +44,31 @@ def test_halves_count_all_bits(batches):
 
 def test_counts_of_a_table_with_times(spark):
     rows = [(mixing.running(mixing.tokens(t)), i + 1) for i, t in enumerate(TEXTS)]
-    got = mixing.count_tables(spark.createDataFrame(rows, "running binary, c long").select("running", F.col("c")))
+    counts = collections.Counter()
+    for t, c in rows:
+        counts.update({w: c * n for w, n in collections.Counter([*t.split(), b""]).items()})
+    got = mixing.count_tables(spark.createDataFrame(rows, "running binary, c long"), spark.createDataFrame(list(counts.items()), "token binary, c long"))
     want = by_bits([([t], None) for t, c in rows for _ in range(c)])
     assert all(np.array_equal(g[k == 6 :], w[k == 6 :]) for k, (g, w) in enumerate(zip(got, want, strict=True)))
 
 
+@pytest.mark.parametrize("leave_out", [False, True])
+def test_common_tokens_change_no_input(batches, leave_out):
+    tables = [t.astype(np.float32) for t in by_bits(batches)]
+    words = collections.Counter(w for toks, _ in batches for t in toks for w in [*t.split(b" ")[:-1], b""])
+    plain = mixing.Mixer(tables)
+    for common in ([w for w, _ in words.most_common(50)], list(words), [b"never"]):
+        mixer = mixing.Mixer(tables, common)
+        for toks, _ in batches:
+            one, other = mixer.inputs(toks, leave_out), plain.inputs(toks, leave_out)
+            assert all(np.array_equal(a, b) for a, b in zip(one, other, strict=True))
+
+
+def test_bounded(monkeypatch):
+    monkeypatch.setattr(mixing, "COMMON_BYTES", 8)
+    assert mixing.bounded([b"abc", b"", b"de", b"f"]) == [b"abc", b"", b"de"] and mixing.bounded([]) == [] and mixing.bounded([b"x" * 9]) == []
+
+
 def plain_inputs(mixer, toks):
     """Predictors (bits x 7), both gates and bits, as if each bit had been seen once less."""
     slots, bits, places, _ = mixing.bit_slots(toks)
