@@ -52,7 +52,7 @@ TASK_BYTES = 64 << 20  # text of one training task
 LONG = 1 << 17  # bytes of a text above which it is taken part by part
 TOGETHER = 1 << 15  # bytes of shorter texts whose bits are looked at together
 STEP = 1 << 14  # bits of one step of the weights
-COMMON_BYTES = 1 << 19  # of common tokens whose predictions are made once a task, 64 bytes for each
+COMMON_BYTES = 1 << 18  # of common tokens whose predictions are made once a task, 40 bytes for each
 N_IN = 7  # five predictors, a constant, and the predictor by the token before
 _SEED = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -374,20 +374,25 @@ class Mixer:
         self.looked: dict[bool, list[np.ndarray]] = {}
         self.made: dict[bool, tuple[dict[bytes, int], np.ndarray, np.ndarray]] = {}
 
-    def look_up(self, leave_out: bool) -> list[np.ndarray]:
-        """For each table, by entry, the four stretched predictions (by pairs of bytes the eight, in table 0), in tables 3 to 5 with one more than the counts behind them. leave_out: as if each bit had been seen once less."""
+    def look_up(self, leave_out: bool, last: bool = False) -> list[np.ndarray]:
+        """For each table, by entry, the four stretched predictions (by pairs of bytes the eight, in table 0), in tables 3 to 5 with one more than the counts behind them. leave_out: as if each bit had been seen once less; last: the counts are given up."""
         if leave_out not in self.looked:
             found = []
-            for k, t in enumerate(self.tables):
-                t = t.astype(np.float32, copy=False)
-                value, count = np.empty_like(t), np.empty_like(t)
-                for bit in (0, 1):
-                    own, other = np.maximum(t[:, bit] - np.float32(leave_out), 0), t[:, 1 - bit]
-                    value[:, bit] = np.log((own + np.float32(0.02)) / (other + np.float32(0.02)))
-                    count[:, bit] = own + other + 1
+            for k in range(len(BITS)):
+                t = self.tables[k].astype(np.float32, copy=False)
+                if last:
+                    self.tables[k] = None
                 rows = np.zeros((len(t) + 1, 8 if 3 <= k <= 5 else 4), np.float32)  # the last: no token before
-                for a in range(0, rows.shape[1], 4):
-                    rows[:-1, a : a + 4] = (count if a else value).reshape(-1, 32).take(_HALF_NODES, axis=1).reshape(-1, 4)
+                for a in range(0, len(t), BLOCK):  # a few at a time, as workers keep what they once took
+                    part = t[a : a + BLOCK]
+                    value, count = np.empty_like(part), np.empty_like(part)
+                    for bit in (0, 1):
+                        own, other = np.maximum(part[:, bit] - np.float32(leave_out), 0), part[:, 1 - bit]
+                        value[:, bit] = np.log((own + np.float32(0.02)) / (other + np.float32(0.02)))
+                        count[:, bit] = own + other + 1
+                    for b in range(0, rows.shape[1], 4):
+                        rows[a : a + len(part), b : b + 4] = (count if b else value).reshape(-1, 32).take(_HALF_NODES, axis=1).reshape(-1, 4)
+                del t
                 rows = rows.take(_FIRST, axis=0).reshape(-1, 8) if k == 0 else rows
                 found.append(rows.view(f"V{4 * rows.shape[1]}").ravel())
             self.looked[leave_out] = found
@@ -408,9 +413,12 @@ class Mixer:
         """For the common tokens with their closing bytes: the row of the first byte of each, and by row what `whole` has for its eight bits."""
         if leave_out not in self.made:
             toks, end = self.common, np.cumsum([len(t) + 1 for t in self.common])
-            parts = [self.whole(contexts_of(toks[a : a + 2048], (4, 5)), leave_out) for a in range(0, len(toks), 2048)]
-            x, sure = (np.concatenate(v).view("V32") for v in zip(*parts, strict=True)) if parts else (None, None)
-            self.made[leave_out] = dict(zip(toks, [0, *end.tolist()], strict=False)), x, sure
+            first = [0, *map(int, end)]
+            x, sure = np.empty(8 * first[-1], np.float32), np.empty(8 * first[-1], np.int8)
+            for a in range(0, len(toks), 2048):
+                place = slice(8 * first[a], 8 * first[min(a + 2048, len(toks))])
+                x[place], sure[place] = self.whole(contexts_of(toks[a : a + 2048], (4, 5)), leave_out)
+            self.made[leave_out] = dict(zip(toks, first, strict=False)), x.view("V32"), sure.view(np.int64)
         return self.made[leave_out]
 
     def inputs(self, toks: list[bytes] | list[Piece], leave_out: bool) -> Inputs:
@@ -430,7 +438,7 @@ class Mixer:
         else:
             known.take(found.rows, out=x[4].view("V32"), mode="clip")
             x[4].reshape(-1, 8)[found.rest] = rest.reshape(-1, 8)
-            rest_sure, sure = sure, known_sure.take(found.rows, mode="clip").view(np.int32)
+            rest_sure, sure = sure, known_sure.take(found.rows, mode="clip").view(np.int8).astype(np.int32)
             sure.reshape(-1, 8)[found.rest] = rest_sure.reshape(-1, 8)
         cell = confidence(fourth[:, 1].copy().view(np.float32))
         cell += sure * CONF
@@ -649,6 +657,7 @@ def score_documents(docs: DataFrame, common: int = 1 << 16) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, c, seen = looked.value
         base, known, get, model = np.log10(c + 0.5) - unit, c > 0, index.get, shared.value
+        model.look_up(False, last=True)
         for batch in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
             own = [tokens(text.as_py()) for text in batch.column("text")]
             ones = pa.array(np.ones(len(own), np.int64))
