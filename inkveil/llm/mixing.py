@@ -300,13 +300,20 @@ def nodes_of(halves: np.ndarray) -> np.ndarray:
     return out.reshape(-1, 2)
 
 
+def running_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The running text of each text, with 1; made where it is used, as a worker more for it costs memory."""
+    for batch in batches:
+        text = [running(tokens(t.as_py())) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), pa.array(np.ones(len(text), np.int64))], ["running", "c"])
+
+
 def count_tables(train: DataFrame, counts: DataFrame) -> list[np.ndarray]:
     """For each context the counts of 0 and 1 in its slots (slots x 2). A half of a byte is counted once, for its four bits, and a whole token with its number in `counts`."""
 
-    def by_half(which: tuple[int, ...]):
+    def by_half(which: tuple[int, ...], made=iter):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = {k: np.zeros(NONE[k] + 1) for k in which}
-            for toks, c in _batches(batches):
+            for toks, c in _batches(made(batches)):
                 found = contexts_of(toks, which)
                 times = 1.0 if (c == 1).all() else np.repeat(c, found.size * 2)
                 for k, t in tables.items():
@@ -318,7 +325,7 @@ def count_tables(train: DataFrame, counts: DataFrame) -> list[np.ndarray]:
 
         return work
 
-    parts = train.mapInArrow(by_half((0, 1, 2, 3, 6)), _BLOCKS).unionByName(counts.mapInArrow(by_half((4, 5)), _BLOCKS))
+    parts = train.mapInArrow(by_half((0, 1, 2, 3, 6), running_texts), _BLOCKS).unionByName(counts.mapInArrow(by_half((4, 5)), _BLOCKS))
     tables = [np.zeros(none) for none in NONE]
     for r in _sum_blocks(parts):
         block = np.frombuffer(r["data"], "<f4")
@@ -545,14 +552,14 @@ class Mixer:
 
 
 def fit(train: DataFrame, counts: DataFrame, common: list[bytes]) -> Mixer:
-    """Counts, then weights, then the map, each over the running text of all training documents (text, 1); counts: (token, c) of their tokens."""
+    """Counts, then weights, then the map, each over the running text of all training documents (text); counts: (token, c) of their tokens."""
     context = train.sparkSession.sparkContext
     mixer = Mixer(count_tables(train, counts), common)
     shared = context.broadcast((mixer.tables, common))  # their size is fixed by BITS and COMMON_BYTES
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Mixer(*shared.value)
-        total = own.learn(_batches(batches))
+        total = own.learn(_batches(running_texts(batches)))
         if total:
             yield _partial([(0, 0, np.array([1.0])), (0, 1, own.weights[0].ravel()), (0, 2, own.weights[1].ravel())])
 
@@ -564,7 +571,7 @@ def fit(train: DataFrame, counts: DataFrame, common: list[bytes]) -> Mixer:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Mixer(*shared.value)
             own.weights = weights
-            yield _partial([(0, 0, own.after(_batches(batches)).ravel())])
+            yield _partial([(0, 0, own.after(_batches(running_texts(batches))).ravel())])
 
         n0, n1 = np.frombuffer(_sum_blocks(train.mapInArrow(count, _BLOCKS))[0]["data"], "<f4").astype(float).reshape(2, CONF, STEPS)
         mixer.map = (n1 + 20 * squash(np.linspace(-12, 12, STEPS))) / (n0 + n1 + 20)
@@ -620,14 +627,7 @@ def earlier_of(group: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 def training_text(docs: DataFrame) -> DataFrame:
-    """The running text of each training document, with 1."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = [running(tokens(t.as_py())) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), pa.array(np.ones(len(text), np.int64))], ["running", "c"])
-
-    return docs.where(held_out(F.col("doc_id").cast("long")) == F.lit(False)).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "running binary, c long")
+    return docs.where(held_out(F.col("doc_id").cast("long")) == F.lit(False)).select(F.coalesce("text", F.lit("")).alias("text"))
 
 
 def score_documents(docs: DataFrame, common: int = 1 << 16) -> DataFrame:

@@ -44,10 +44,11 @@ def test_halves_count_all_bits(batches):
 
 def test_counts_of_a_table_with_times(spark):
     rows = [(mixing.running(mixing.tokens(t)), i + 1) for i, t in enumerate(TEXTS)]
+    texts = [(t,) for i, t in enumerate(TEXTS) for _ in range(i + 1)]
     counts = collections.Counter()
     for t, c in rows:
         counts.update({w: c * n for w, n in collections.Counter([*t.split(), b""]).items()})
-    got = mixing.count_tables(spark.createDataFrame(rows, "running binary, c long"), spark.createDataFrame(list(counts.items()), "token binary, c long"))
+    got = mixing.count_tables(spark.createDataFrame(texts, "text string"), spark.createDataFrame(list(counts.items()), "token binary, c long"))
     want = by_bits([([t], None) for t, c in rows for _ in range(c)])
     assert all(np.array_equal(g[k == 6 :], w[k == 6 :]) for k, (g, w) in enumerate(zip(got, want, strict=True)))
 
@@ -140,3 +141,8 @@ def test_counting_halves_takes_less_time(batches):
                 np.add.at(t, s * 2 + bits, 1.0)
 
     assert least(by_half) < 0.8 * least(by_bit)  # contexts and all against the counting alone
+
+
+def test_a_training_pass_needs_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    assert "MapInArrow" not in mixing.training_text(docs)._jdf.queryExecution().toString()
