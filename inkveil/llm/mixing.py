@@ -56,7 +56,7 @@ LONG = 1 << 17  # bytes of a text above which it is taken part by part
 TOGETHER = 1 << 15  # bytes of shorter texts whose bits are looked at together
 STEP = 1 << 14  # bits of one step of the weights
 COMMON_BYTES = 1 << 18  # of common tokens whose predictions are made once a task, 40 bytes for each
-CODED, LEAST = 1 << 17, 16  # of the commonest training tokens, those that get a word of the code, and how often they occur at least: fewer, and spelt tokens would be too rare in training
+CODED, LEAST = 1 << 18, 16  # of the commonest training tokens, those that get a word of the code, and how often they occur at least: fewer, and spelt tokens would be too rare in training
 N_IN = 7  # five predictors, a constant, and the predictor by the token before
 _SEED = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
